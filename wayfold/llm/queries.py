@@ -15,6 +15,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnowing import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +66,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_token_count, op4_mixing, op7_url_rules, op8_byte_bpe, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op7_url_rules, op8_byte_bpe, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
