@@ -59,6 +59,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxic_documents
+
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_copies
 
@@ -66,7 +72,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op7_url_rules, op8_byte_bpe, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
