@@ -35,6 +35,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_by_document(mix(table(spark, sf_dir, "documents")))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 #: The rules of the contract.
 URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/", "block net/es/", "block net/fr/"]
 
@@ -72,8 +86,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op5_exact_topk, op6_html_text, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])), 0) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_topk": TOPK_SQL}
