@@ -130,17 +130,17 @@ def _coprime(a: int, b: int) -> bool:
     return math.gcd(a, b) == 1
 
 
-def mix(docs: DataFrame, *, shards: int = 16, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, *, shards: int = 16, seed: int = 11, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """The mix: a row per piece of a document in a block, and one with n_words 0 for each epoch of a document from which nothing is drawn.
 
-    Columns: row (a key of the input row), id, source, size, source_size,
+    Columns: row (a key of the input row, from row_col if given), id, source, size, source_size,
     target, epoch, shard, block, word_start and n_words (the piece's place in
     its document), mix_order (sorting by it shuffles a shard).
     """
     text = F.col(text_col).cast("string")
     sized = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
             F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -183,6 +183,25 @@ def mix(docs: DataFrame, *, shards: int = 16, seed: int = 11, id_col: str = "doc
     )
 
 
+def mixed_documents(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """docs as the mix takes them, all columns: a row per whole copy, and one with the first words of a document that is cut.
+
+    The line of a source is taken from its start, so only one document of it
+    is cut, after a whole number of copies. length_col, if there, is set anew.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(numbered, source_col=source_col, text_col=text_col, row_col="_row", **options)
+    taken = mixed.groupBy(F.col("row").alias("_row")).agg(F.first("size").alias("_size"), F.sum("n_words").alias("_taken")).filter(F.col("_taken") > 0)
+    whole = F.expr("_taken div _size")
+    rows = numbered.join(taken, "_row").withColumn("_words", F.explode(F.concat(F.array_repeat("_size", whole.cast("int")), F.when(F.col("_taken") > whole * F.col("_size"), F.array(F.col("_taken") - whole * F.col("_size"))).otherwise(F.array().cast("array<bigint>")))))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), "")
+    rows = rows.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col(text_col)))
+    if length_col in docs.columns:
+        rows = rows.withColumn(length_col, F.when(F.col("_words") < F.col("_size"), F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return rows.select(docs.columns)
+
+
 def taken_by_document(mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Per input row: id, size, source_size, target, and the words that the mix takes of it."""
     return mixed.groupBy("row").agg(

@@ -7,8 +7,9 @@ probabilities as good as the ones it will get, and not from an earlier model's
 memory of its training rows.
 
 Features say whether a word, or the first 4, 5 or 6 letters of one, occurs in
-the whole text once, twice or four times; a vocabulary of bounded size keeps those that go with a
-category. A few shares (of signs, of repeated lines) describe the text as such.
+the whole text once, twice or four times; a vocabulary of bounded size keeps
+those that go with a category. A few shares (of signs, of repeated lines)
+describe the text as such.
 The chain is fitted on at most about `train_rows` labelled documents, drawn by
 a hash of their id; every document is scored on its whole text.
 
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,44 +185,69 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: st
     return fit_chain(x, y, np.array([r["fold"] for r in found], dtype=int), categories, vocabulary)
 
 
+class Scorer:
+    """Probabilities of texts; one for each task."""
+
+    def __init__(self, chain: Chain, words_kept: int = 300_000):
+        self.chain, self.words_kept = chain, words_kept
+        self.words: dict[str, tuple[str, ...]] = {}  # names of words seen that count
+        self.roots = {f.split("#")[0] for f in chain.vocabulary}
+
+    def known(self, text: str) -> list[int]:
+        counts: dict[str, int] = {}
+        for w, n in Counter(LETTERS.findall(text.lower())).items():
+            hit = self.words.get(w)
+            if hit is None:
+                hit = tuple(f for f in names_of(w) if f in self.roots)
+                if len(self.words) >= self.words_kept:
+                    self.words.clear()
+                self.words[w] = hit
+            for f in hit:
+                counts[f] = counts.get(f, 0) + n
+        marked = [*counts, *[f"{f}#{n}" for n in TIMES for f, c in counts.items() if c >= n]]
+        return [self.chain.vocabulary[f] for f in marked if f in self.chain.vocabulary]
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        """A row of probabilities for each text; zeros for null and empty ones."""
+        out = np.zeros((len(texts), len(self.chain.categories)))
+        for start in range(0, len(texts), 500):
+            part = [t or "" for t in texts[start : start + 500]]
+            p = self.chain.predict(np.stack([self.chain.vector(self.known(t), text_shares(t)) for t in part]))
+            p[[not t for t in part]] = 0
+            out[start : start + 500] = p
+        return out
+
+
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and p_<category> for each category."""
     bounded_batches(docs.sparkSession)
     names = [f"p{i}" for i in range(len(chain.categories))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, tuple[str, ...]] = {}  # names of words seen that count, bounded
-        vocabulary = chain.vocabulary
-        roots = {f.split("#")[0] for f in vocabulary}
-
-        def known(text: str) -> list[int]:
-            counts: dict[str, int] = {}
-            for w, n in Counter(LETTERS.findall(text.lower())).items():
-                hit = words.get(w)
-                if hit is None:
-                    hit = tuple(f for f in names_of(w) if f in roots)
-                    if len(words) >= 300_000:
-                        words.clear()
-                    words[w] = hit
-                for f in hit:
-                    counts[f] = counts.get(f, 0) + n
-            marked = [*counts, *[f"{f}#{n}" for n in TIMES for f, c in counts.items() if c >= n]]
-            return [vocabulary[f] for f in marked if f in vocabulary]
-
+        scorer = Scorer(chain)
         for b in batches:
-            for start in range(0, len(b), 500):
-                part = b.iloc[start : start + 500]
-                x = np.stack([chain.vector(known(t), text_shares(t)) for t in part["text"]])
-                p = chain.predict(x).astype(float)
-                p[(part["text"] == "").to_numpy()] = 0
-                yield pd.DataFrame({"id": part["id"]} | {n: p[:, i] for i, n in enumerate(names)})
+            p = scorer(b["text"].tolist())
+            yield pd.DataFrame({"id": b["id"]} | {n: p[:, i] for i, n in enumerate(names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInPandas(run, f"id {kind}, {', '.join(f'{n} double' for n in names)}")
     return out.select(F.col("id").alias(id_col), *[F.col(n).alias(f"p_{c}") for n, c in zip(names, chain.categories, strict=True)])
 
 
+def without(docs: DataFrame, chain: Chain, category: str, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose probability of the category stays below the threshold."""
+    bounded_batches(docs.sparkSession)
+    at, place = chain.categories.index(category), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(chain)
+        for b in batches:
+            yield b.filter(pa.array(scorer(b.column(place).to_pylist())[:, at] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: The categories of the labels table, in the order of the chain.
 CATEGORIES = ["low_quality", "toxic"]
 
@@ -229,7 +256,11 @@ def corpus_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (F.col("quality") == 0).alias("low_quality"), (F.col("toxic") == 1).alias("toxic"))
 
 
+def corpus_chain(docs: DataFrame, labels: DataFrame) -> Chain:
+    return fit(docs, corpus_labels(labels), CATEGORIES)
+
+
 def toxic_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, p_low_quality, p_toxic, toxic (p_toxic reaches the threshold)."""
-    chain = fit(docs, corpus_labels(labels), CATEGORIES)
+    chain = corpus_chain(docs, labels)
     return score(docs, chain).withColumn("toxic", F.col("p_toxic") >= threshold)
