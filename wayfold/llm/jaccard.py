@@ -10,19 +10,22 @@ m - t identical segments at least, so if each set indexes its t + 1 first
 segments in an order that depends on the segments' content only, one of those
 is shared. The order puts segments with rare and many elements first: which
 shingles are frequent is estimated on a bounded sample, and a wrong estimate
-costs time, never a link. A set whose first segments would include empty or
-altogether frequent ones is allotted one-deletion neighbourhoods instead: in a
-coarser partition t // 2 + 1 segments differ in at most one element in a pair,
-and those share their content or one with an element left out. Such sets still
-index their segments with rare elements for pairs with others.
+costs time, never a link. A set that has too few segments with rare elements
+(it is mostly made of what many documents share) is allotted one-deletion
+neighbourhoods instead: in a coarser partition t // 2 + 1 segments differ in at
+most one element in a pair, and those share their content or one with an
+element left out. Such sets still index their segments with rare elements for
+pairs with others. What links by whole segments comes first; between two sets
+of different components so far, elements that only one component has differ for
+certain, and their numbers u rule out pairs with 7 (u + u') > n + n'.
 
 Groups of sets with a common signature are never expanded into all pairs when
-large: the members are compared with one centre; those that link to it are in
-its component, a pair across is looked at only if the triangle inequality of
-the Jaccard distance leaves it possible, and the others go on with a centre of
-their own. What is left of a group after that is compared pairwise. All
-candidates are verified exactly on whole sets. Equal sets (64-bit set hash) are
-one node from the start.
+large: the members are compared with one centre (of least u) of the group. What
+is then in one component needs no more; members of different components around
+one centre are compared by bit maps of their sets in blocks of bounded size,
+inside tasks, and only pairs that the maps leave open come out. All candidates
+are verified exactly on whole sets. Equal sets (64-bit set hash) are one node
+from the start.
 
 Cases: null, empty and blank texts have no set, link with nothing and are their
 own component; fewer than five words make one shingle; repeated rows are
@@ -37,17 +40,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, materialize, partitions
 
-#: Distinct documents in the sample that tells frequent shingles, how often a
-#: shingle is in them to count as frequent, and how many such are kept.
-SAMPLE_DOCS, FREQUENT, FREQUENT_BOUND = 4096, 3, 200_000
-#: Groups up to the first size are compared pairwise at once, what a centre
-#: leaves of a group up to the second; centres that a group may get.
-PAIRS_AT_ONCE, PAIRS_LATER, CENTRES = 8, 128, 8
+#: Documents in the sample that tells frequent shingles (or one in so many, if
+#: that is more), how often a shingle is in them to count as frequent, and how
+#: many such are kept.
+SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, FREQUENT_BOUND = 16_384, 32, 3, 2_000_000
+#: Pairs for each member up to which a group is compared pairwise at once, and
+#: members in a block around a centre.
+PAIRS_AT_ONCE, BLOCK = 4, 512
 #: Bits of the map of documents whose sets verification needs.
 MAP_BITS = 1 << 24
 WORDS = 5
@@ -134,13 +139,15 @@ def set_hash(x: np.ndarray) -> int:
 
 
 def band_ends(upto: int) -> list[int]:
-    """Largest sizes of the bands, each about 1.5 times the one before, up to a size at least."""
-    ends, end = [], 1
-    while True:
-        ends.append(end)
-        if end >= upto:
-            return ends
-        end = max(end + 1, end * 3 // 2)
+    """Largest sizes of the bands, each four times the one before, up to a size at least.
+
+    Wide bands: few sets lie so near an end that a partner may be in the next
+    band and they have to sign for both.
+    """
+    ends = [1]
+    while ends[-1] < upto:
+        ends.append(4 * ends[-1])
+    return ends
 
 
 class Signer:
@@ -156,21 +163,22 @@ class Signer:
         at = np.minimum(np.searchsorted(self.frequent, x), len(self.frequent) - 1)
         return (self.frequent[at] != x).astype(np.int64)
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures by whole segments, and by one-deletion neighbourhoods in bands where those don't do."""
         n = len(x)
         most = 4 * n // 3
-        high, y, rare, out = x >> U64(32), mixed(x + U64(BASE)), self.rare(x), []
+        high, y, whole, near = x >> U64(32), mixed(x + U64(BASE)), [], [np.array([], dtype=U64)]
         for band in range(int(np.searchsorted(self.ends, n)), int(np.searchsorted(self.ends, most)) + 1):
             end = int(self.ends[band])
             differ = (n + min(end, most)) // 7  # of a pair with x in this band at most
-            m = int(0.5 * end + 3 * end**0.5) + 1
+            m = int(end + 3 * end**0.5) + 1
             segment, content, count, rares = self.segments(high, y, rare, m)
             order = np.lexsort((segment, -count, -rares))[: differ + 1]
             order = order[rares[order] > 0]
-            out.append(mixed(content[order] ^ mixed(segment[order].astype(U64) + U64((2 * band + 1) << 40))))
+            whole.append(mixed(content[order] ^ mixed(segment[order].astype(U64) + U64((2 * band + 1) << 40))))
             if len(order) <= differ:
-                out.append(self.one_deletion(high, y, n, band, end, differ))
-        return np.concatenate(out).astype(np.int64)
+                near.append(self.one_deletion(high, y, n, band, end, differ))
+        return np.concatenate(whole).astype(np.int64), np.concatenate(near).astype(np.int64)
 
     @staticmethod
     def segments(high: np.ndarray, y: np.ndarray, rare: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,16 +205,31 @@ class Signer:
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        sizes, nodes = [], []
-        for x in shingler().sets(b["text"].tolist()):
-            sizes.append(len(x))
-            nodes.append(set_hash(x) if len(x) else None)
-        yield pd.DataFrame({"id": b["id"].astype("Int64"), "n_shingles": np.array(sizes, dtype=np.int64), "node": pd.array(nodes, dtype="Int64")})
+def member_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(id, text_hash, n_shingles, node, rare): rare has the elements that aren't frequent of sets that need one-deletion signatures, once per task."""
+    held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sign, seen = Signer(held.value), set()
+        for b in batches:
+            sizes, nodes, rares = [], [], []
+            for x in shingler().sets(b["text"].tolist()):
+                sizes.append(len(x))
+                node = set_hash(x) if len(x) else None
+                nodes.append(node)
+                rares.append(None)
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    rare = sign.rare(x)
+                    if len(sign(x, rare)[1]):
+                        rares[-1] = x[rare == 1].astype(np.int64)
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"], "n_shingles": np.array(sizes, dtype=np.int64), "node": pd.array(nodes, dtype="Int64"), "rare": rares})
+
+    return rows.mapInPandas(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>")
 
 
 def _new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -231,135 +254,260 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
                 yield pd.DataFrame({"shingle": np.concatenate(sets).astype(np.int64), "node": np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sets])})
 
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 11) / F.lit(float(1 << 53))
-    sample = rows.filter(F.col("text").isNotNull() & (chance < SAMPLE_DOCS / max(n, 1)))
+    sample = rows.filter(F.col("text").isNotNull() & (chance < max(SAMPLE_DOCS / max(n, 1), 1 / SAMPLE_SHARE)))
     counts = sample.mapInPandas(run, "shingle long, node long").distinct().groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_BOUND).select("shingle").toPandas()["shingle"]
     return np.sort(found.to_numpy(np.int64).astype(U64))
 
 
 def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(sig, node, near) of every set, once per task; near: by one-deletion neighbourhoods."""
     held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign = Signer(held.value)
         for nodes, sets in _new_sets(batches):
             for i in range(0, len(sets), 500):
-                signed = [sign(x) for x in sets[i : i + 500]]
-                yield pd.DataFrame({"sig": np.concatenate(signed), "node": np.repeat(np.array(nodes[i : i + 500], dtype=np.int64), [len(s) for s in signed])})
+                signed = [part for x in sets[i : i + 500] for part in sign(x, sign.rare(x))]
+                sizes = [len(part) for part in signed]
+                yield pd.DataFrame({
+                    "sig": np.concatenate(signed), "node": np.repeat(np.repeat(np.array(nodes[i : i + 500], dtype=np.int64), 2), sizes), "near": np.repeat(np.tile([False, True], len(sizes) // 2), sizes),
+                })
 
-    return rows.mapInPandas(run, "sig long, node long")
+    return rows.mapInPandas(run, "sig long, node long, near boolean")
 
 
-def group_candidates(nodes: np.ndarray, distance: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
-    """Pairs (two lists of arrays) to verify in a group, and whether they are with a new centre that may leave others.
+def certain_differences(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, f, comp) of the sets with one-deletion signatures: f = 7 u - n, where no such set of another component has u elements.
 
-    distance: to the last centre, where there was one.
+    Two of different components link only if f + f' <= 0.
     """
-    left, right = [], []
-    rest = nodes
-    if distance is not None:
-        rest, far = nodes[distance > 0.25], distance[distance > 0.25]
-        near, gap = nodes[distance <= 0.25], distance[distance <= 0.25]
-        order = np.argsort(-gap)
-        near, gap = near[order], gap[order]
-        for u, d in zip(rest.tolist(), far.tolist(), strict=True):
-            k = int(np.searchsorted(-gap, 0.25 - d + 1e-9, side="right"))  # those with gap >= d - 0.25
-            if k:
-                left.append(near[:k])
-                right.append(np.full(k, u))
-    if len(rest) <= (PAIRS_AT_ONCE if distance is None else PAIRS_LATER):
-        i, j = np.triu_indices(len(rest), 1)
-        left.append(rest[i])
-        right.append(rest[j])
-        return left, right, False
-    left.append(np.full(len(rest) - 1, rest[0]))
-    right.append(rest[1:])
-    return left, right, True
+    hard = members.filter(F.col("rare").isNotNull()).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    hard = materialize(hard.select("node", "comp", "n_shingles", "rare"), "hard")
+    element = hard.select("comp", F.explode("rare").alias("element")).groupBy("element").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shared = element.filter(F.col("low") != F.col("high")).select("element")
+    held = hard.select("node", F.explode("rare").alias("element")).distinct().join(shared, "element").groupBy("node").agg(F.count("*").alias("shared"))
+    sizes = hard.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("comp").alias("comp"), F.max(F.size("rare")).alias("rare"))
+    return sizes.join(held, "node", "left").select("node", (7 * (F.col("rare") - F.coalesce("shared", F.lit(0))) - F.col("n")).alias("f"), "comp")
+
+
+def group_candidates(nodes: np.ndarray, f: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool] | None:
+    """Pairs to verify in a group (two arrays), and whether they are only those with a centre."""
+    order = np.lexsort((nodes, f))
+    nodes, f, comp = nodes[order], f[order], comp[order]
+    upto = np.searchsorted(f, -f, side="right")  # partners have a smaller place
+    left, right, total = [], [], 0
+    for i in range(len(nodes)):
+        if upto[i] <= i + 1:
+            break
+        mates = np.arange(i + 1, upto[i])
+        mates = mates[comp[mates] != comp[i]]
+        total += len(mates)
+        if total > PAIRS_AT_ONCE * len(nodes):
+            return np.full(upto[0] - 1, nodes[0]), nodes[1 : upto[0]], True
+        left.append(np.full(len(mates), nodes[i]))
+        right.append(nodes[mates])
+    return (np.concatenate(left), np.concatenate(right), False) if total else None
+
+
+PAIR, STAR, RAW = 0, 1, 2
 
 
 def candidates(groups: DataFrame, parts: int) -> DataFrame:
-    """Pairs a < b of nodes with a common signature; `star`: with a centre, kept with the signature for what follows."""
-    again = "d" in groups.columns
+    """What groups of nodes with a common signature give: (sig, a, b, kind).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[np.ndarray] = []
+    PAIR: a pair to verify. STAR: one of centre a with b. RAW: b is in a group
+    of one-deletion signatures, for which f isn't known yet.
+    groups: sig, node, and near; or f and comp.
+    """
+    has = [c for c in ("near", "f", "comp") if c in groups.columns]
 
-        def out(arrays: list[np.ndarray], upto: int) -> pd.DataFrame:
-            sig, node = arrays[0][:upto], arrays[1][:upto]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(arrays: list[np.ndarray]) -> pd.DataFrame:
+            sig, node = arrays[:2]
             fresh = np.ones(len(sig), dtype=bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
             sig, node = sig[fresh], node[fresh]
-            d = arrays[2][:upto][fresh] if again else None
+            more = {c: x[fresh] for c, x in zip(has, arrays[2:], strict=True)}
             first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.array([], dtype=int)
             size = np.diff(np.append(first, len(sig)))
-            cols: list[list] = [[], [], [], []]
-            if not again:
-                two = first[size == 2]
-                cols = [[sig[two]], [node[two]], [node[two + 1]], [np.zeros(len(two), dtype=bool)]]
-            for f, s in zip(first[size > (1 if again else 2)].tolist(), size[size > (1 if again else 2)].tolist(), strict=True):
-                left, right, star = group_candidates(node[f : f + s], d[f : f + s] if again else None)
-                for k, (a, b) in enumerate(zip(left, right, strict=True)):
-                    if len(a):
-                        cols[0].append(np.full(len(a), sig[f]))
-                        cols[1].append(a)
-                        cols[2].append(b)
-                        cols[3].append(np.full(len(a), star and k == len(left) - 1))
-            s, a, b, star = (np.concatenate(c) if c else np.array([], dtype=kind) for c, kind in zip(cols, (np.int64, np.int64, np.int64, bool), strict=True))
-            return pd.DataFrame({"sig": s, "a": np.where(star, a, np.minimum(a, b)), "b": np.where(star, b, np.maximum(a, b)), "star": star})
-
-        for batch in batches:
-            now = [batch["sig"].to_numpy(np.int64), batch["node"].to_numpy(np.int64)] + ([batch["d"].to_numpy(float)] if again else [])
-            kept = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
-            if len(kept[0]) and kept[0][0] != kept[0][-1]:
-                upto = int(np.searchsorted(kept[0], kept[0][-1]))
-                yield out(kept, upto)
+            f, comp = more.get("f", np.full(len(sig), -1)), more.get("comp", node)
+            cols: list[list[np.ndarray]] = [[], [], [], []]
+
+            def add(s: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int) -> None:
+                for col, x in zip(cols, (s, a, b, np.full(len(a), kind)), strict=True):
+                    col.append(x)
+
+            if "near" in more:
+                raw = np.repeat(more["near"][first] & (size > 1), size)
+                add(sig[raw], node[raw], node[raw], RAW)
+                two = first[(size == 2) & ~more["near"][first]]
+                add(sig[two], node[two], node[two + 1], PAIR)
+                loop = (size > 2) & ~more["near"][first]
+            else:
+                loop = size > 1
+            for at, n in zip(first[loop].tolist(), size[loop].tolist(), strict=True):
+                here = slice(at, at + n)
+                if found := group_candidates(node[here], f[here], comp[here]):
+                    add(np.full(len(found[0]), sig[at]), found[0], found[1], STAR if found[2] else PAIR)
+            s, a, b, kind = (np.concatenate(c) if c else np.array([], dtype=np.int64) for c in cols)
+            return pd.DataFrame({"sig": s, "a": a, "b": b, "kind": kind}).astype({"kind": "int8"})
+
+        for arrays in whole_groups(batches, ["sig"], ["sig", "node", *has]):
+            yield out(arrays)
+
+    dealt = groups.select("sig", "node", *has).repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    return dealt.mapInPandas(run, "sig long, a long, b long, kind byte")
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the key changes."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        now = [batch[c].to_numpy() for c in columns]
+        kept = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
+        if len(kept[0]):
+            same = np.ones(len(kept[0]), dtype=bool)
+            for k in keys:
+                same &= kept[columns.index(k)] == kept[columns.index(k)][-1]
+            upto = len(same) - int(same[::-1].argmin()) if not same.all() else 0
+            if upto:
+                yield [x[:upto] for x in kept]
                 kept = [x[upto:] for x in kept]
-        if kept and len(kept[0]):
-            yield out(kept, len(kept[0]))
+    if kept and len(kept[0]):
+        yield kept
+
+
+def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of different components around one centre that bit maps don't rule out.
+
+    stars: distinct (centre, node); known: node, comp, f, n, bits. The members
+    of a centre are dealt to blocks; each pair of blocks meets in one task.
+    """
+    members = materialize(stars.join(known, "node"), "around")
+    open_ = members.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").select("centre", "blocks")
+    dealt = members.join(materialize(open_, "open"), "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    dealt = dealt.select("centre", "node", "comp", "f", "n", "bits", "own", F.inline(meet))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", "bits"]):
+            centre, i, j, own, node, comp, f, n, bits = arrays
+            change = np.flatnonzero((centre[1:] != centre[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(node)], strict=True):
+                here = np.arange(lo, hi)
+                rows, cols = here[own[here] == i[lo]], here[own[here] == j[lo]]
+                yield from compare(node, comp, f, n, bits, rows, cols)
+
+    spread = dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
+    return spread.mapInPandas(run, "a long, b long").distinct()
+
+
+def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Pairs of a row and a column of different components for which neither f, nor sizes, nor bit maps rule a link out."""
+    if not len(rows) or not len(cols):
+        return
+    words = min(min(len(bits[k]) for k in rows), min(len(bits[k]) for k in cols))
 
-    dealt = groups.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInPandas(run, "sig long, a long, b long, star boolean")
+    def folded(k: int) -> np.ndarray:
+        x = np.asarray(bits[k], dtype=np.int64)
+        while len(x) > words:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        return x
+
+    right = np.stack([folded(k) for k in cols])
+    for k in rows.tolist():
+        fit = (comp[cols] != comp[k]) & (f[cols] + f[k] <= 0) & (4 * np.minimum(n[cols], n[k]) >= 3 * np.maximum(n[cols], n[k])) & (node[cols] != node[k])
+        at = np.flatnonzero(fit)
+        if len(at):
+            differ = np.bitwise_count(right[at] ^ folded(k)).sum(axis=1)
+            at = cols[at[7 * differ <= n[cols[at]] + n[k]]]
+            if len(at):
+                yield pd.DataFrame({"a": np.minimum(node[at], node[k]), "b": np.maximum(node[at], node[k])})
+
+
+def map_bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(MAP_BITS))
+
+
+def key_map(rows: DataFrame, key: Column) -> np.ndarray:
+    """A bit map of fixed size (MAP_BITS) of the keys of all rows."""
+    rows = rows.select(map_bit(key).alias("bit"))
+    parts = rows.groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits"))
+    table = np.zeros(MAP_BITS // 8, dtype=np.uint8)
+    for r in parts.collect():  # MAP_BITS / 32768 rows of 4 KB at most
+        at = r["part"] * 4096
+        table[at : at + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return table
+
+
+def in_map(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
 def needed_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the nodes in pairs, read again from the texts of one document each.
+    """(node, n, bits, shingles) of the nodes in pairs, read again from the texts of one document each.
 
     A bit map of fixed size finds those documents; it may let others through.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    bit = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
-    bits = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    parts = [(r["part"], bytes(r["bits"])) for r in bits.collect()]
-    table = np.zeros(MAP_BITS // 8 + 4096 * 2, dtype=np.uint8)
-    for part, data in parts:  # parts are numbered from 1 (from 0 for position 0)
-        at = max(0, (part - 1) * 4096)
-        table[at : at + len(data)] |= np.frombuffer(data, dtype=np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(table)
+    held = rows.sparkSession.sparkContext.broadcast(key_map(wanted, F.xxhash64("rep")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def wanted_only() -> Iterator[pd.DataFrame]:
             for b in batches:
-                at, pos = b["at"].to_numpy(np.int64), b["pos"].to_numpy(np.int64)
-                index = np.maximum(0, (at - 1) * 4096) + pos // 8
-                yield b[(held.value[index] >> (pos % 8).astype(np.uint8)) & 1 == 1]
+                yield b[in_map(held.value, b["bit"].to_numpy(np.int64))]
 
         for nodes, sets in _new_sets(wanted_only()):
             for i in range(0, len(sets), 200):
-                yield pd.DataFrame({"node": np.array(nodes[i : i + 200], dtype=np.int64), "n": [len(x) for x in sets[i : i + 200]], "shingles": [x.astype(np.int64) for x in sets[i : i + 200]]})
+                part = sets[i : i + 200]
+                yield pd.DataFrame({"node": np.array(nodes[i : i + 200], dtype=np.int64), "n": [len(x) for x in part], "bits": [bit_map(x) for x in part], "shingles": [x.astype(np.int64) for x in part]})
+
+    located = rows.select("text", map_bit(F.xxhash64("id")).alias("bit"))
+    return located.mapInPandas(run, "node long, n long, bits array<bigint>, shingles array<bigint>")
+
+
+def bit_map(x: np.ndarray) -> np.ndarray:
+    """Which of 4 to 8 bits per element are hit; a power of two of 64-bit words, so that a longer map folds into a shorter one."""
+    words = 1 << max(0, (4 * len(x) - 1).bit_length() - 6)
+    out = np.zeros(words, dtype=U64)
+    at = x & U64(64 * words - 1)
+    np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return out.astype(np.int64)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Differing bits of two bit maps, the longer one folded: no more than the sets' differing elements."""
 
-    located = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
-    located = located.select("text", F.bitmap_bucket_number("bit").alias("at"), F.bitmap_bit_position("bit").alias("pos"))
-    return located.mapInPandas(run, "node long, n long, shingles array<bigint>")
+    def folded(x: str, n: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > n, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseOR(v))).otherwise(F.col(x))
+
+    least = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(folded(a, least), folded(b, least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, n: total + n).cast("long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, linked) with the exact Jaccard distance."""
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    out = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.col("na") + F.col("nb")).alias("total"))
-    union = F.col("total") - F.col("both")
-    return out.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))
+    """(a, b, d, linked): the exact Jaccard distance, or where sizes or bit maps rule a link out, a lower bound of it.
+
+    Bit maps are a small part of the sets; most pairs that don't link go no further.
+    """
+
+    def side(x: str, *more: str) -> DataFrame:
+        return sets.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in more])
+
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    met = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    near_size = 4 * small >= 3 * large
+    met = met.withColumn("differ", F.when(near_size, _differing("bitsa", "bitsb"))).select("a", "b", "na", "nb", near_size.alias("sized"), "differ")
+    met = materialize(met.withColumn("open", F.col("sized") & (7 * F.col("differ") <= F.col("na") + F.col("nb"))), "met", release=True)
+    total = F.col("na") + F.col("nb")
+    bound = F.when(F.col("sized"), 2 * F.col("differ") / (total + F.col("differ"))).otherwise(1 - small / large)
+    out = met.filter(~F.col("open")).select("a", "b", bound.alias("d"), F.lit(False).alias("linked"))
+    both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
+    exact = met.filter("open").select("a", "b", "na", "nb").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("both", both)
+    union = total - F.col("both")
+    return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -382,48 +530,68 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per row (id, n_shingles, node, component_id), and the links between nodes (a, b, d).
+    """Per row (id, n_shingles, node, group, text_hash, component_id), and the links between nodes (a, b, d).
 
-    node: the hash of the row's set (null: none); rows of a node have equal sets.
+    node: the hash of the row's set (null: none); rows of a node have equal
+    sets. group: the smallest node of the component.
     """
     rows = _rows(docs, id_col, text_col)
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    members = materialize(rows.mapInPandas(_members, "id long, n_shingles long, node long"), "members")
+    parts = partitions(docs.sparkSession)
+    frequent = frequent_shingles(rows, rows.count())
+    members = materialize(member_rows(rows, frequent), "members", release=True)
     nodes = materialize(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    frequent = frequent_shingles(rows, nodes.count())
-    found = materialize(candidates(signatures(rows, frequent), parts), "candidates")
-    sets, links, centres = None, [], 1
-    while True:
-        pairs = materialize(found.select("a", "b").distinct(), "pairs")
-        if sets is None:
-            sets = materialize(needed_sets(rows, nodes, pairs), "sets")
-        checked = materialize(verified(pairs, sets), "checked")
-        links.append(checked.filter("linked"))
-        star = found.filter("star")
-        far = checked.filter("not linked").select("a", "b")
-        open_ = star.join(far, ["a", "b"]).select("sig").distinct()
-        left = materialize(star.join(materialize(open_, "open"), "sig").join(checked, ["a", "b"]).select("sig", F.col("b").alias("node"), F.greatest("d", F.when(~F.col("linked"), F.lit(0.25 + 1e-12))).alias("d")), "left")
-        if left.isEmpty():
-            break
-        centres += 1
-        found = materialize(candidates(left, parts) if centres <= CENTRES else _all_pairs(left), "candidates")
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    edges = materialize(edges.distinct(), "links")
+    signed = materialize(candidates(signatures(rows, frequent), parts), "signed", release=True)
+    whole = signed.filter(F.col("kind") != RAW)
+    first = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
+    known = materialize(certain_differences(members, components(first)), "differences")
+    near = signed.filter(F.col("kind") == RAW).select("sig", F.col("b").alias("node")).join(known, "node")
+    second = _resolved(materialize(candidates(near, parts), "near"), known, rows, nodes, first, parts)
+    edges = materialize(first.union(second).distinct(), "links", release=True)
     labels = components(edges)
     low = materialize(labels.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("low")), "lowest")
-    named = materialize(nodes.join(labels, "node", "left").join(low, "comp", "left").select("node", F.coalesce("low", "rep").alias("component")), "named")
-    out = members.join(named, "node", "left").select("id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
-    return out.withColumnRenamed("id", id_col), edges.select("a", "b", "d")
+    named = materialize(nodes.join(labels, "node", "left").join(low, "comp", "left").select("node", F.coalesce("comp", "node").alias("group"), F.coalesce("low", "rep").alias("component")), "named")
+    out = members.join(named, "node", "left").select("id", "n_shingles", "node", "group", "text_hash", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    return out.withColumnRenamed("id", id_col), edges
+
+
+def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFrame, before: DataFrame | None, parts: int) -> DataFrame:
+    """The links (a, b, d) among candidates and around their centres; known: node, f, comp; before: earlier links."""
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", release=True)
+    sets = materialize(needed_sets(rows, nodes, pairs), "sets", release=True)
+    links = materialize(verified(pairs, sets).filter("linked").select("a", "b", "d"), "links", release=True)
+    stars = materialize(found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct(), "stars")
+    if stars.isEmpty():
+        return links
+    labels = components(links if before is None else links.union(before)).withColumnRenamed("comp", "now")
+    known = known.join(labels, "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+    more = materialize(around_centres(stars, known.join(sets.select("node", "n", "bits"), "node"), parts), "around-pairs")
+    return materialize(links.union(verified(more, sets).filter("linked").select("a", "b", "d")).distinct(), "links", release=True)
 
 
-def _all_pairs(left: DataFrame) -> DataFrame:
-    """What is left of groups that have had all their centres: the pairs of members that link to none yet, and those across that may link."""
-    a, b = left.select("sig", F.col("node").alias("a"), F.col("d").alias("da")), left.select("sig", F.col("node").alias("b"), F.col("d").alias("db"))
-    open_ = ((F.col("da") > 0.25) & (F.col("db") > 0.25)) | (F.col("db") > 0.25) & (F.col("db") <= 0.25 + F.col("da") + 1e-9) | (F.col("da") > 0.25) & (F.col("da") <= 0.25 + F.col("db") + 1e-9)
-    return a.join(b, "sig").filter((F.col("a") < F.col("b")) & open_).select("sig", "a", "b", F.lit(False).alias("star"))
+def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: that of the smallest id (nulls last). Texts without words all stay.
+
+    Only texts whose key is in a bit map of the keys to drop are shuffled.
+    """
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    members = materialize(link_copies(docs, id_col=id_col, text_col=text_col)[0], "groups").filter(F.col("node").isNotNull())
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), "text_hash")
+    first = materialize(members.groupBy("group").agg(F.min(order).alias("first")), "first")
+    drop = members.join(first, "group").filter(order != F.col("first")).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
+    repeated = members.groupBy(id_col, "text_hash").count().filter(F.col("count") > 1).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash"))
+    drop = materialize(drop.withColumn("_all", F.lit(True)).unionByName(repeated.withColumn("_all", F.lit(False))).groupBy("_drop_id", "_drop_hash").agg(F.max("_all").alias("_all")), "drop")
+    held = docs.sparkSession.sparkContext.broadcast(key_map(drop, F.xxhash64("_drop_id", "_drop_hash")))
+
+    @F.pandas_udf("boolean")
+    def listed(bits: pd.Series) -> pd.Series:
+        return pd.Series(in_map(held.value, bits.to_numpy(np.int64)))
+
+    marked = keyed.withColumn("_listed", listed(map_bit(F.xxhash64(F.col(id_col).cast("long"), "_text_hash"))))
+    looked_up = marked.filter("_listed").join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash")), "left").filter(~F.coalesce("_all", F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy(id_col, "_text_hash").orderBy(F.lit(0)))
+    looked_up = looked_up.withColumn("_nth", nth).filter(F.col("_all").isNull() | (F.col("_nth") == 1))
+    return marked.filter(~F.col("_listed")).select(docs.columns).union(looked_up.select(docs.columns))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

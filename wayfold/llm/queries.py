@@ -91,10 +91,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 TOPK_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id query_id, c.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])), 0) as bigint) score
+  select q.vec_id query_id, c.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 0) as bigint) score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
