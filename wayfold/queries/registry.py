@@ -25,10 +25,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, and `-0.0` made 0.0."""
-    return df.select([(F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded, and `-0.0` made 0.0. A nudge sends halves up, whatever the last bit of a sum."""
+    return df.select([(F.round(F.col(f"`{f.name}`") + F.lit(nudge), digits) + F.lit(0.0)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 def load() -> None:
-    from wayfold.queries import analysis, library, profiles, tracking  # noqa: F401
+    from wayfold.queries import analysis, risks, tracking  # noqa: F401

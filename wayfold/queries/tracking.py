@@ -172,14 +172,14 @@ def trp_02(spark: SparkSession, d: str) -> DataFrame:
     return rounded(t.withColumns({c: F.round(c, 3) for c in ("distance", "start_time", "end_time")}))
 
 
-REPORT = """count(*) total_points, count(*) filter (where is_valid) valid_points, count(*) filter (where has_issues) flagged_points, round(avg(confidence),6) mean_confidence, round(stddev_pop(confidence),6) std_confidence,
+REPORT = """count(*) total_points, count(*) filter (where is_valid) valid_points, count(*) filter (where has_issues) flagged_points, round(avg(confidence),9) mean_confidence, round(stddev_pop(confidence),9) std_confidence,
  min(confidence) min_confidence, max(confidence) max_confidence, count(*) filter (where confidence>=0.75e0) high_confidence, count(*) filter (where confidence>=0.5e0 and confidence<0.75e0) medium_confidence, count(*) filter (where confidence<0.5e0) low_confidence,
- round(count(*) filter (where is_valid)*1e0/count(*),6) validity_rate"""
+ round(count(*) filter (where is_valid)*1e0/count(*),9) validity_rate"""
 
 
 @query("agg_01", sql.query("conf", f"select user_id,trip_id,{REPORT} from conf group by rollup(user_id,trip_id) having user_id is not null"))
 def agg_01(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(quality.report(plan.scored_tracks(spark, d)))
+    return rounded(quality.report(plan.scored_tracks(spark, d)), 9)
 
 
 @query("agg_02", sql.query("conf", "select user_id, flag, count(*) n from (select user_id, unnest(quality_flags) flag from conf) group by 1,2"))
