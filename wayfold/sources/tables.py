@@ -25,14 +25,14 @@ class Table:
         self.schema = spark.createDataFrame([], schema).schema
 
     def _pointer(self) -> tuple:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def read(self) -> DataFrame:
         fs, pointer = self._pointer()
         if not fs.exists(pointer):
             return self.spark.createDataFrame([], self.schema)
-        version = self.spark.read.text(f"{self.path}/_current").first()[0]
+        version = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
     def _write(self, rows: DataFrame) -> None:
