@@ -53,8 +53,8 @@ SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, FREQUENT_BOUND = 16_384, 32, 3, 2_000_000
 #: Pairs for each member up to which a group is compared pairwise at once, and
 #: members in a block around a centre.
 PAIRS_AT_ONCE, BLOCK = 4, 512
-#: Bits of the map of documents whose sets verification needs.
-MAP_BITS = 1 << 24
+#: Bits of the map of documents whose sets verification needs, and of maps in plans.
+MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
 
 U64 = np.uint64
@@ -426,16 +426,16 @@ def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bi
                 yield pd.DataFrame({"a": np.minimum(node[at], node[k]), "b": np.maximum(node[at], node[k])})
 
 
-def map_bit(key: Column) -> Column:
-    return F.pmod(key, F.lit(MAP_BITS))
+def map_bit(key: Column, bits: int = MAP_BITS) -> Column:
+    return F.pmod(key, F.lit(bits))
 
 
-def key_map(rows: DataFrame, key: Column) -> np.ndarray:
-    """A bit map of fixed size (MAP_BITS) of the keys of all rows."""
-    rows = rows.select(map_bit(key).alias("bit"))
+def key_map(rows: DataFrame, key: Column, bits: int = MAP_BITS) -> np.ndarray:
+    """A bit map of fixed size of the keys of all rows."""
+    rows = rows.select(map_bit(key, bits).alias("bit"))
     parts = rows.groupBy((F.col("bit") / 32768).cast("int").alias("part")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("bits"))
-    table = np.zeros(MAP_BITS // 8, dtype=np.uint8)
-    for r in parts.collect():  # MAP_BITS / 32768 rows of 4 KB at most
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for r in parts.collect():  # bits / 32768 rows of 4 KB at most
         at = r["part"] * 4096
         table[at : at + 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return table
@@ -445,6 +445,18 @@ def in_map(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
+def listed(rows: DataFrame, key: Column, value: Column) -> Column:
+    """Whether `value` may be among the keys of rows: false only where it isn't.
+
+    The map is a literal of fixed size (LISTED_BITS), looked up without Python.
+    """
+    words = key_map(rows, key, LISTED_BITS).view(np.int64)
+    table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
+    bit = map_bit(value, LISTED_BITS)
+    word = F.get(table, F.shiftright(bit, 6).cast("int"))
+    return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def needed_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, n, bits, shingles) of the nodes in pairs, read again from the texts of one document each.
 
@@ -505,6 +517,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     bound = F.when(F.col("sized"), 2 * F.col("differ") / (total + F.col("differ"))).otherwise(1 - small / large)
     out = met.filter(~F.col("open")).select("a", "b", bound.alias("d"), F.lit(False).alias("linked"))
     both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
+    open_nodes = met.filter("open").select(F.explode(F.array("a", "b")).alias("node"))
+    sets = sets.filter(listed(open_nodes, F.xxhash64("node"), F.xxhash64("node")))
     exact = met.filter("open").select("a", "b", "na", "nb").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("both", both)
     union = total - F.col("both")
     return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked")))
@@ -581,13 +595,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     drop = members.join(first, "group").filter(order != F.col("first")).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
     repeated = members.groupBy(id_col, "text_hash").count().filter(F.col("count") > 1).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash"))
     drop = materialize(drop.withColumn("_all", F.lit(True)).unionByName(repeated.withColumn("_all", F.lit(False))).groupBy("_drop_id", "_drop_hash").agg(F.max("_all").alias("_all")), "drop")
-    held = docs.sparkSession.sparkContext.broadcast(key_map(drop, F.xxhash64("_drop_id", "_drop_hash")))
-
-    @F.pandas_udf("boolean")
-    def listed(bits: pd.Series) -> pd.Series:
-        return pd.Series(in_map(held.value, bits.to_numpy(np.int64)))
-
-    marked = keyed.withColumn("_listed", listed(map_bit(F.xxhash64(F.col(id_col).cast("long"), "_text_hash"))))
+    marked = keyed.withColumn("_listed", F.coalesce(listed(drop, F.xxhash64("_drop_id", "_drop_hash"), F.xxhash64(F.col(id_col).cast("long"), "_text_hash")), F.lit(True)))
     looked_up = marked.filter("_listed").join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash")), "left").filter(~F.coalesce("_all", F.lit(False)))
     nth = F.row_number().over(Window.partitionBy(id_col, "_text_hash").orderBy(F.lit(0)))
     looked_up = looked_up.withColumn("_nth", nth).filter(F.col("_all").isNull() | (F.col("_nth") == 1))
