@@ -309,9 +309,9 @@ sql.define("calls", [], "select cast(o_orderkey as bigint) call_id,'m'||(o_custk
 
 
 @query("ops_01", sql.query("calls", """with r as (select *, row_number() over (partition by model order by taken_at desc,call_id desc) n from calls)
-select model,count(*) calls,round(avg(ms),6) mean_ms,round(quantile_cont(ms,0.5),6) p50_ms,round(quantile_cont(ms,0.95),6) p95_ms,round(quantile_cont(ms,0.99),6) p99_ms,round(count(*)/greatest(1e0,sum(ms)/1000),6) throughput,round(avg(case when success then 0e0 else 1e0 end),6) error_rate from r where n<=1000 group by 1"""))
+select model,count(*) calls,round(avg(ms)+1e-9,6) mean_ms,round(quantile_cont(ms,0.5)+1e-9,6) p50_ms,round(quantile_cont(ms,0.95)+1e-9,6) p95_ms,round(quantile_cont(ms,0.99)+1e-9,6) p99_ms,round(count(*)/greatest(1e0,sum(ms)/1000)+1e-9,6) throughput,round(avg(case when success then 0e0 else 1e0 end)+1e-9,6) error_rate from r where n<=1000 group by 1"""))
 def ops_01(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(ops.inference_stats(call_log(spark, d)))
+    return rounded(ops.inference_stats(call_log(spark, d)), nudge=1e-9)
 
 
 @query("ops_02", """with u as (select cast(cast(o_orderdate as date) as timestamp) s,(o_orderkey%9+1)*1e0 h,0.5e0+(o_custkey%3) c from orders), m as (select coalesce(sum(h),0e0) as hours,coalesce(sum(h*c),0e0) spend from u where s>=timestamp '1997-03-01' and s<=timestamp '1997-03-20')
