@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 80_000
 BUCKETS = 8192
 
 
@@ -144,7 +144,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, *, id_col: s
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decode).withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decode).withColumnRenamed("id", id_col)
 
 
 def rank_buckets(ranks: dict[bytes, int], buckets: int = BUCKETS) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches of at most about `mb` MB, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after which a reused Python worker gives the memory it has freed back to the machine."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, materialize, partitions
+from .common import bounded_batches, materialize, partitions, tidy
 
 #: Documents in the sample that tells frequent shingles (or one in so many, if
 #: that is more), how often a shingle is in them to count as frequent, and how
@@ -75,7 +75,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts, by numpy over whole blocks of texts."""
 
-    def __init__(self, block_bytes: int = 1 << 20):
+    def __init__(self, block_bytes: int = 1 << 18):
         self.block_bytes = block_bytes
         self._tables(block_bytes)
 
@@ -229,7 +229,7 @@ def member_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                         rares[-1] = x[rare == 1].astype(np.int64)
             yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"], "n_shingles": np.array(sizes, dtype=np.int64), "node": pd.array(nodes, dtype="Int64"), "rare": rares})
 
-    return rows.mapInPandas(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>")
+    return rows.mapInPandas(tidy(run), "id long, text_hash long, n_shingles long, node long, rare array<bigint>")
 
 
 def _new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -255,7 +255,7 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
 
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 11) / F.lit(float(1 << 53))
     sample = rows.filter(F.col("text").isNotNull() & (chance < max(SAMPLE_DOCS / max(n, 1), 1 / SAMPLE_SHARE)))
-    counts = sample.mapInPandas(run, "shingle long, node long").distinct().groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
+    counts = sample.mapInPandas(tidy(run), "shingle long, node long").distinct().groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_BOUND).select("shingle").toPandas()["shingle"]
     return np.sort(found.to_numpy(np.int64).astype(U64))
 
@@ -267,14 +267,14 @@ def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sign = Signer(held.value)
         for nodes, sets in _new_sets(batches):
-            for i in range(0, len(sets), 500):
-                signed = [part for x in sets[i : i + 500] for part in sign(x, sign.rare(x))]
+            for i in range(0, len(sets), 100):
+                signed = [part for x in sets[i : i + 100] for part in sign(x, sign.rare(x))]
                 sizes = [len(part) for part in signed]
                 yield pd.DataFrame({
-                    "sig": np.concatenate(signed), "node": np.repeat(np.repeat(np.array(nodes[i : i + 500], dtype=np.int64), 2), sizes), "near": np.repeat(np.tile([False, True], len(sizes) // 2), sizes),
+                    "sig": np.concatenate(signed), "node": np.repeat(np.repeat(np.array(nodes[i : i + 100], dtype=np.int64), 2), sizes), "near": np.repeat(np.tile([False, True], len(sizes) // 2), sizes),
                 })
 
-    return rows.mapInPandas(run, "sig long, node long, near boolean")
+    return rows.mapInPandas(tidy(run), "sig long, node long, near boolean")
 
 
 def certain_differences(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -357,7 +357,7 @@ def candidates(groups: DataFrame, parts: int) -> DataFrame:
             yield out(arrays)
 
     dealt = groups.select("sig", "node", *has).repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInPandas(run, "sig long, a long, b long, kind byte")
+    return dealt.mapInPandas(tidy(run), "sig long, a long, b long, kind byte")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -400,7 +400,7 @@ def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                 yield from compare(node, comp, f, n, bits, rows, cols)
 
     spread = dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return spread.mapInPandas(run, "a long, b long").distinct()
+    return spread.mapInPandas(tidy(run), "a long, b long").distinct()
 
 
 def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -471,12 +471,12 @@ def needed_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
                 yield b[in_map(held.value, b["bit"].to_numpy(np.int64))]
 
         for nodes, sets in _new_sets(wanted_only()):
-            for i in range(0, len(sets), 200):
-                part = sets[i : i + 200]
-                yield pd.DataFrame({"node": np.array(nodes[i : i + 200], dtype=np.int64), "n": [len(x) for x in part], "bits": [bit_map(x) for x in part], "shingles": [x.astype(np.int64) for x in part]})
+            for i in range(0, len(sets), 50):
+                part = sets[i : i + 50]
+                yield pd.DataFrame({"node": np.array(nodes[i : i + 50], dtype=np.int64), "n": [len(x) for x in part], "bits": [bit_map(x) for x in part], "shingles": [x.astype(np.int64) for x in part]})
 
     located = rows.select("text", map_bit(F.xxhash64("id")).alias("bit"))
-    return located.mapInPandas(run, "node long, n long, bits array<bigint>, shingles array<bigint>")
+    return located.mapInPandas(tidy(run), "node long, n long, bits array<bigint>, shingles array<bigint>")
 
 
 def bit_map(x: np.ndarray) -> np.ndarray:

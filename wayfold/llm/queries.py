@@ -101,5 +101,18 @@ select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
+JACCARD_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+ i as (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) i from w where len(ws) > 0),
+ s as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') sh from i),
+ n as (select doc_id, count(*) n from s group by 1),
+ p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+ e as (select a, b from l union all select b, a from l),
+ r as (select doc_id id, doc_id root from documents union select e.b, r.root from r join e on e.a = r.id)
+select d.doc_id, coalesce(n.n, 0) n_shingles, g.root component_id from documents d left join n using (doc_id) join (select id, min(root) root from r group by 1) g on g.id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": TOPK_SQL}
+    return {"op5_exact_topk": TOPK_SQL, "op10_ngram_jaccard": JACCARD_SQL}

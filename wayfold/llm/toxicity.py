@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, tidy
 
 TRAIN_ROWS = 8000
 FOLDS = 3
@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], id_
             out["shares"] = [text_shares(t) for t in b["text"]]
             yield out
 
-    return rows.mapInPandas(run, f"fold int, {', '.join(f'{c} int' for c in names)}, features array<string>, shares array<double>")
+    return rows.mapInPandas(tidy(run), f"fold int, {', '.join(f'{c} int' for c in names)}, features array<string>, shares array<double>")
 
 
 def choose_vocabulary(rows: DataFrame, n_categories: int) -> dict[str, int]:
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: st
             out["known"] = [[vocabulary[f] for f in features if f in vocabulary] for features in b["features"]]
             yield out
 
-    found = rows.mapInPandas(run, f"fold int, shares array<double>, {', '.join(f'{c} int' for c in names)}, known array<int>").collect()
+    found = rows.mapInPandas(tidy(run), f"fold int, shares array<double>, {', '.join(f'{c} int' for c in names)}, known array<int>").collect()
     found = sorted(found, key=lambda r: (r["fold"], list(r["shares"]), list(r["known"])))
     empty = Chain(categories, vocabulary, [])
     x = np.stack([empty.vector(r["known"], r["shares"]) for r in found]) if found else np.zeros((0, len(vocabulary) + SHARES), dtype=np.float32)
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: st
 class Scorer:
     """Probabilities of texts; one for each task."""
 
-    def __init__(self, chain: Chain, words_kept: int = 300_000):
+    def __init__(self, chain: Chain, words_kept: int = 50_000):
         self.chain, self.words_kept = chain, words_kept
         self.words: dict[str, tuple[str, ...]] = {}  # names of words seen that count
         self.roots = {f.split("#")[0] for f in chain.vocabulary}
@@ -231,7 +231,7 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(run, f"id {kind}, {', '.join(f'{n} double' for n in names)}")
+    out = rows.mapInPandas(tidy(run), f"id {kind}, {', '.join(f'{n} double' for n in names)}")
     return out.select(F.col("id").alias(id_col), *[F.col(n).alias(f"p_{c}") for n, c in zip(names, chain.categories, strict=True)])
 
 
@@ -245,7 +245,7 @@ def without(docs: DataFrame, chain: Chain, category: str, *, text_col: str = "te
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(place).to_pylist())[:, at] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 #: The categories of the labels table, in the order of the chain.
