@@ -218,6 +218,14 @@ def test_differencing_deletes_the_sites_lines(spark):
     assert [r["text"] for r in html_text.extract(pages).orderBy("page_id").collect()] == [f"Own text number {i}" for i in range(6)]
 
 
+def test_differencing_decides_on_marked_pages(spark):
+    make = lambda i, end: f"<nav>Menu</nav><article><p>Own text {i}</p><p>Said by both</p>{end}</article>"
+    widget = "<p>Write to us</p><p>Call us</p>"
+    rows = [(1, "http://h.example/a/1", make(1, widget)), (2, "http://h.example/a/2", make(2, "") + widget), (3, "http://other.example/a", make(3, widget))]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in found] == ["Own text 1 Said by both", "Own text 2 Said by both", "Own text 3 Said by both Write to us Call us"]
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
 

@@ -2,13 +2,15 @@
 
 A page is cut into text lines, one per block element. Lines in elements that
 never hold the article (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, reader comments, hidden parts) are left out. Where a
-page marks its article (article, main), that is the text. Other lines are
-compared with the page nearest by URL path on the same host: the two pages'
-lines are aligned by their longest common subsequence, and lines that both have
-are the site's, not the article's, and go. An article that two pages share as
-such stays, since marked articles aren't touched by the differencing, and a
-page that would lose all its lines to a copy of itself keeps them.
+adverts, forms, scripts, reader comments, hidden parts) are left out. The rest
+is compared with the page nearest by URL path on the same host: the two pages'
+lines, inside and outside the article, are aligned by their longest common
+subsequence. Where a page doesn't mark its article (article, main), lines that
+both pages have are the site's, not the article's, and go. In a marked article
+runs of two lines or more go that the other page has in a run outside its own
+text; a single line, which may be a sentence that an advert quotes, and lines
+that both articles have stay. A page that would lose all its lines to a copy of
+itself keeps them.
 
 Pages are dealt to ranges of (host, path, id) between sampled splitters, so a
 host with a third of all pages is spread over tasks; a page's partner is the
@@ -83,19 +85,21 @@ def left_out(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> list[tuple[str, bool]]:
-    """Lines of text that may be the article's, in order, and whether each lies in a marked article."""
-    lines: list[tuple[str, bool]] = []
+def page_lines(page: str) -> list[tuple[str, bool, bool]]:
+    """Lines of text in order; whether each lies in a marked article; whether it may be the article's (isn't left out)."""
+    lines: list[tuple[str, bool, bool]] = []
     text: list[str] = []
+    aside: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, text left out, inside a marked article
     out, inside, at, end = False, False, 0, len(page)
 
     def flush() -> None:
-        if text:
-            line = " ".join("".join(text).split())
-            if line:
-                lines.append((line, inside))
-            text.clear()
+        for parts, kept in ((text, True), (aside, False)):
+            if parts:
+                line = " ".join("".join(parts).split())
+                if line:
+                    lines.append((line, inside, kept))
+                parts.clear()
 
     def close(i: int) -> None:
         nonlocal out, inside
@@ -107,9 +111,9 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     while at < end:
         found = OPENS.search(page, at)
         start = found.start() if found else end
-        if start > at and not out:
+        if start > at:
             run = page[at:start]
-            text.append(html.unescape(run) if "&" in run else run)
+            (aside if out else text).append(html.unescape(run) if "&" in run else run)
         if not found:
             break
         if found[0] == "<!--":
@@ -143,8 +147,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
             at = end if close_ < 0 else close_ + 1
             continue
         if name == "br":
-            if not out:
-                text.append(" ")
+            (aside if out else text).append(" ")
             continue
         if name not in INLINE:
             flush()
@@ -164,15 +167,15 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
     return lines
 
 
-def candidate_lines(page: str) -> tuple[list[str], bool]:
-    """The lines of the marked article, or all, and whether they are marked."""
+def candidate_lines(page: str) -> tuple[list[str], list[bool], bool]:
+    """All lines, whether each is a candidate (of the marked article, or of what isn't left out), and whether the article is marked."""
     lines = page_lines(page)
-    marked = [line for line, inside in lines if inside]
-    return (marked, True) if marked else ([line for line, _ in lines], False)
+    marked = any(inside and kept for _, inside, kept in lines)
+    return [line for line, _, _ in lines], [kept and (inside or not marked) for _, inside, kept in lines], marked
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b (bit-parallel, a bit per line of b)."""
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence (bit-parallel, a bit per line of b)."""
     places: dict[str, int] = {}
     for j, line in enumerate(b):
         places[line] = places.get(line, 0) | 1 << j
@@ -191,16 +194,27 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
             i -= 1
         else:
             i, j = i - 1, j - 1
-            out.append(i)
+            out.append((i, j))
     return out[::-1]
 
 
-def own_lines(lines: list[str], marked: bool, other: list[str] | None) -> list[str]:
-    """lines without those shared with the nearest page; a marked article and a page that would lose all stay whole."""
-    if marked or not other or not lines:
-        return lines
-    shared = set(common_lines(lines, other))
-    return [x for i, x in enumerate(lines) if i not in shared] or lines
+def common_lines(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b."""
+    return [i for i, _ in aligned(a, b)]
+
+
+def own_lines(lines: list[str], candidate: list[bool], marked: bool, other: tuple[list[str], list[bool]] | None) -> list[str]:
+    """The candidates among lines without the site's, as far as the nearest page (lines, candidate) tells them; all, if none were left."""
+    own = [x for x, c in zip(lines, candidate, strict=True) if c]
+    if not other or not own:
+        return own
+    if not marked:
+        shared = set(common_lines(own, other[0]))
+        return [x for i, x in enumerate(own) if i not in shared] or own
+    texts = {x for x, c in zip(*other, strict=True) if c}
+    pairs = {(i, j) for i, j in aligned(lines, other[0]) if candidate[i] and lines[i] not in texts}
+    site = {i for i, j in pairs if (i - 1, j - 1) in pairs or (i + 1, j + 1) in pairs}
+    return [x for i, x in enumerate(lines) if candidate[i] and i not in site] or own
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -211,8 +225,8 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def nearest(path: str, before: tuple | None, after: tuple | None) -> list[str] | None:
-    """The lines of the neighbour (path, lines) whose path has the longer start in common; the one before, if equal."""
+def nearest(path: str, before: tuple | None, after: tuple | None) -> tuple[list[str], list[bool]] | None:
+    """The lines of the neighbour (path, lines and candidates) whose path has the longer start in common; the one before, if equal."""
     sides = [x for x in (before, after) if x]
     return max(sides, key=lambda x: len(os.path.commonprefix([path, x[0]])))[1] if sides else None
 
@@ -237,15 +251,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             yield pd.DataFrame({
                 "range": [bisect.bisect_right(bounds, (*p, -1 if i is pd.NA else i)) for p, i in zip(places, ids, strict=True)],
                 "host": [p[0] for p in places], "path": [p[1] for p in places], "id": ids, "url": b["url"],
-                "marked": [m for _, m in parsed], "lines": ["\n".join(x) for x, _ in parsed],
+                "marked": [m for _, _, m in parsed], "lines": ["\n".join("+-"[not c] + x for x, c in zip(a, k, strict=True)) for a, k, _ in parsed],
             })
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None  # (range and host, path, lines, marked, id, url)
+        before = now = None  # (range and host, path, lines and candidates, marked, id, url)
 
         def result(after: tuple | None) -> tuple:
             sides = [x[1:3] if x and x[0] == now[0] else None for x in (before, after)]
-            return now[4], now[5], " ".join(own_lines(now[2], now[3], None if now[3] else nearest(now[1], *sides)))
+            return now[4], now[5], " ".join(own_lines(*now[2], now[3], nearest(now[1], *sides)))
 
         def frame(found: list[tuple]) -> pd.DataFrame:
             out = pd.DataFrame(found, columns=["id", "url", "text"])
@@ -255,7 +269,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         for b in batches:
             found = []
             for r, host, path, i, url, marked, lines in b.astype({"id": "Int64"}).itertuples(index=False, name=None):
-                page = ((r, host), path, lines.split("\n") if lines else [], marked, i, url)
+                coded = lines.split("\n") if lines else []
+                page = ((r, host), path, ([x[1:] for x in coded], [x[0] == "+" for x in coded]), marked, i, url)
                 if now:
                     found.append(result(page))
                 before, now = now, page
