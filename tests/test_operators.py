@@ -78,6 +78,31 @@ def test_average_linkage():
     assert len(set(profile.average_linkage(np.array([[0.0, 0], [0, 1]]), 1.0))) == 1
 
 
+def test_clusters_have_no_borders(spark):
+    rng, cut = np.random.default_rng(5), 100 / profile.DEGREE
+    places = [(u, lat, lon) for u in (1, 2) for lat in (0.5, 50.0, -0.5 * u, profile.REGION * cut * 1.001 * u) for lon in (0.0, 10.5)]
+    rows = [(u, float(lat + a), float(lon + b)) for u, lat, lon in places for a, b in rng.normal(0, cut, size=(12, 2))]
+    rows += rows[::3]  # equal points
+    got = profile.clustered(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, user_id long, lat double, lon double"), ["lat", "lon"], 100.0).collect()
+    assert len(got) == len(rows)
+    found, want = {}, {}
+    for r in got:
+        found.setdefault((r["user_id"], r["place"], r["cluster"]), set()).add(r["i"])
+    for u in (1, 2):
+        mine = [i for i, r in enumerate(rows) if r[0] == u]
+        for i, c in zip(mine, profile.average_linkage(np.array([rows[i][1:] for i in mine]), cut), strict=True):
+            want.setdefault((u, c), set()).add(i)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
+def test_routes_and_stops_on_a_border(spark):
+    trips = [(1, t, lat, 10.0, 50.2, 10.2, 60.0, 900.0, 5.0, 8) for t, lat in enumerate((49.9999, 50.0001))]
+    s = spark.createDataFrame(trips, "user_id long, trip_id long, start_lat double, start_lon double, end_lat double, end_lon double, duration double, distance double, mean_speed double, start_hour int")
+    assert [r["frequency"] for r in profile.routes(s).collect()] == [2]
+    e = spark.createDataFrame([(1, float(i), lat, 10.0, 60.0, 8, 8) for i, lat in enumerate((49.9999, 50.0001, 50.0001))], "user_id long, arrival double, lat double, lon double, duration double, arrival_hour int, departure_hour int")
+    assert [r["frequency"] for r in profile.stops(e).collect()] == [3]
+
+
 def test_simplify():
     line = np.column_stack((np.linspace(0, 0.01, 50), np.zeros(50)))
     assert simplify.kept(line).sum() == 2
