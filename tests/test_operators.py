@@ -117,6 +117,17 @@ def test_isolation_forest_ranks_an_outlier():
     assert np.mean([iforest.depths(t, x) for t in forest], axis=0).argmin() == 200
 
 
+@pytest.mark.parametrize("trees", [20, 4])  # trees draw by themselves, or by hash before
+def test_isolation_forest_covers_all_points(spark, trees):
+    speed = F.when(F.col("event_id") % 97 == 0, 500.0).otherwise(F.abs(F.randn(7)) * 3)
+    p = spark.range(3000).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id")).withColumn("speed", speed)
+    p = p.withColumns({c: F.randn(i) for i, c in enumerate(("calc_speed", "acceleration", "time_delta", "distance", "coords_accuracy", "confidence"))}).cache()
+    x = np.array([r["x"] for r in iforest.scaled(p, 10).collect()])
+    assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1)
+    found = [r["iso_score"] for r in iforest.score(p, trees=trees).collect()]
+    assert len(found) == 3000 and sum(s > 0.5 for s in found) == pytest.approx(150, abs=5)
+
+
 def test_crash_fall_battery(spark):
     def batch(i, gs, speed, age):
         return [(i, s, 0.0, 0.0, g * 9.81, s * 0.1, speed, age) for s, g in enumerate(gs)]

@@ -1,8 +1,8 @@
-"""Isolation forests, one per user, fitted on a bounded sample drawn by hash.
+"""Isolation forests, one per user, each tree grown on a bounded sample of its own.
 
-Trees are small arrays: they are grown in one task per user from at most
-`sample` rows, and scored against the user's points in a second pass, so no
-task needs all points of a user.
+Trees are small arrays: they are grown in one task per user from about `sample`
+rows a tree, and scored against the user's points in a second pass, so no task
+needs all points of a user. Scaling and the threshold cover all points.
 """
 
 from __future__ import annotations
@@ -14,11 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayfold.operators.anomaly import feature_vector
 
 
+FEATURES = 7  # of feature_vector
+POINTS_PER_PART = 20_000
+
+
 def mean_path(n: int) -> float:
     """Mean path length of an unsuccessful search among n."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -56,41 +59,57 @@ def depths(nodes: list, x: np.ndarray) -> np.ndarray:
         at[inner] = np.where(low, table[at[inner], 2], table[at[inner], 3]).astype(int)
 
 
-def fit(points: DataFrame, *, trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42, least: int = 10) -> DataFrame:
-    """(user_id, mean, std, trees, offset, n) from at most `sample` points of each user."""
-    order = Window.partitionBy("user_id").orderBy(F.xxhash64(F.lit(seed), "event_id"), "event_id")
-    rows = feature_vector(points).select("user_id", "event_id", "x").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= sample)
+def scaled(points: DataFrame, least: int) -> DataFrame:
+    """(user_id, event_id, x, n): features scaled by mean and deviation over all n points of the user, for users with `least` or more."""
+    rows = feature_vector(points).select("user_id", "event_id", "x")
+    over = lambda f: F.array(*[f(F.get("x", F.lit(i))) for i in range(FEATURES)])
+    scale = rows.groupBy("user_id").agg(F.count("*").alias("n"), over(F.avg).alias("mean"), over(F.stddev_pop).alias("std")).filter(F.col("n") >= least)
+    x = F.zip_with(F.zip_with("x", "mean", lambda a, b: a - b), "std", lambda a, b: a / F.when(b > 0, b).otherwise(1.0))
+    return rows.join(scale, "user_id").select("user_id", "event_id", x.alias("x"), "n")
+
+
+def fit(points: DataFrame, *, trees: int = 100, sample: int = 256, seed: int = 42, least: int = 10) -> DataFrame:
+    """(user_id, trees): each tree grown on up to `sample` points of its own.
+
+    Trees draw by themselves from a user of up to trees * sample points; of a
+    larger one, each tree's points are drawn by hash before they are dealt.
+    """
+    rows = scaled(points, least)
+    chance = (sample + 6 * math.sqrt(sample)) / F.col("n")  # six deviations more than needed; the surplus goes by hash order
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, "event_id").alias("hash")))
+    drawn = F.filter(drawn, lambda t: F.shiftrightunsigned(t["hash"], 11) / F.lit(float(1 << 53)) < chance)
+    every = F.array(F.struct(F.lit(-1).alias("tree"), F.xxhash64(F.lit(seed), "event_id").alias("hash")))
+    dealt = rows.select("user_id", "event_id", "x", F.inline(F.when(F.col("n") <= trees * sample, every).otherwise(drawn)))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < least:
-            return pd.DataFrame({"user_id": [], "mean": [], "std": [], "trees": [], "offset": [], "n": []})
-        x = np.stack(g.sort_values("nth")["x"])
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std[std == 0] = 1
-        x, rng = (x - mean) / std, np.random.default_rng(seed)
-        forest = [grow(x, rng, math.ceil(math.log2(max(2, len(x))))) for _ in range(trees)]
-        s = -np.power(2.0, -np.mean([depths(t, x) for t in forest], axis=0) / max(1e-9, mean_path(len(x))))
-        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "mean": [mean], "std": [std], "trees": [pickle.dumps(forest)], "offset": [float(np.quantile(s, contamination))], "n": [len(x)]})
-
-    return rows.groupBy("user_id").applyInPandas(run, "user_id bigint, mean array<double>, std array<double>, trees binary, offset double, n int")
-
-
-def score(points: DataFrame, **options) -> DataFrame:
-    """(event_id, iso_score in [0, 1]); above 0.5 where the forest calls a point an outlier."""
-    model = fit(points, **options)
-    rows = feature_vector(points).select("user_id", "event_id", "x").join(model.select("user_id"), "user_id", "left_semi")
-    # a user's model travels once per user and task: both sides are dealt by user
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"event_id": [], "iso_score": []}).astype({"event_id": "int64", "iso_score": "float64"})
-        m = right.iloc[0]
-        x = (np.stack(left["x"]) - np.asarray(m["mean"])) / np.asarray(m["std"])
-        forest = pickle.loads(m["trees"])
-        s = -np.power(2.0, -np.mean([depths(t, x) for t in forest], axis=0) / max(1e-9, mean_path(int(m["n"]))))
-        return pd.DataFrame({"event_id": left["event_id"].to_numpy(), "iso_score": np.clip(0.5 - (s - m["offset"]) / 2, 0, 1)})
+        g, rng = g.sort_values(["tree", "hash", "event_id"]), np.random.default_rng(seed)
+        x, tree = np.stack(g["x"]), g["tree"].to_numpy()
+        forest = []
+        for t in range(trees):
+            mine = x[rng.choice(len(x), min(sample, len(x)), replace=False)] if tree[0] < 0 else x[tree == t][:sample]
+            forest.append(grow(mine, rng, math.ceil(math.log2(max(2, len(mine))))))
+        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "trees": [pickle.dumps(forest)]})
+
+    return dealt.groupBy("user_id").applyInPandas(run, "user_id bigint, trees binary")
 
-    salted = rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
-    spread = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
-    return salted.groupBy("user_id", "part").cogroup(spread.groupBy("user_id", "part")).applyInPandas(run, "event_id bigint, iso_score double")
 
+def score(points: DataFrame, *, contamination: float = 0.05, sample: int = 256, least: int = 10, **options) -> DataFrame:
+    """(event_id, iso_score in [0, 1]); above 0.5 where the forest calls a point an outlier: `contamination` of all points of a user."""
+    parts = F.greatest(F.lit(4), F.ceil(F.col("n") / POINTS_PER_PART).cast("int"))  # of a user; the model travels once to each
+    rows = scaled(points, least).withColumn("parts", parts)
+    model = fit(points, sample=sample, least=least, **options).join(rows.groupBy("user_id").agg(F.first("n").alias("n"), F.first("parts").alias("parts")), "user_id")
 
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"user_id": [], "event_id": [], "s": []}).astype({"user_id": "int64", "event_id": "int64", "s": "float64"})
+        m = right.iloc[0]
+        forest, x = pickle.loads(m["trees"]), np.stack(left["x"])
+        s = -np.power(2.0, -np.mean([depths(t, x) for t in forest], axis=0) / max(1e-9, mean_path(min(sample, int(m["n"])))))
+        return pd.DataFrame({"user_id": left["user_id"].to_numpy(), "event_id": left["event_id"].to_numpy(), "s": s})
+
+    salted = rows.withColumn("part", F.pmod(F.xxhash64("event_id"), F.col("parts").cast("bigint")))
+    spread = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<bigint>")))
+    found = salted.groupBy("user_id", "part").cogroup(spread.groupBy("user_id", "part")).applyInPandas(run, "user_id bigint, event_id bigint, s double")
+    offset = found.groupBy("user_id").agg(F.percentile("s", F.lit(contamination)).alias("offset"))
+    value = F.lit(0.5) - (F.col("s") - F.col("offset")) / 2
+    return found.join(offset, "user_id").select("event_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("iso_score"))
