@@ -70,6 +70,21 @@ def test_p_values():
     assert stats.shapiro_p(rng.normal(size=200)) > 0.01 and stats.shapiro_p(rng.exponential(size=200)) < 1e-6
 
 
+def test_normality_of_small_and_large_groups(spark):
+    x = F.when(F.col("g") == 3, F.exp(F.randn(2))).otherwise(F.randn(2))
+    t = spark.createDataFrame([(1, 200), (2, 6000), (3, 6000), (4, 5), (5, 5000)], "g long, size int").select("g", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("i")).withColumn("x", x)
+    found = {r["g"]: r for r in stats.normality(t, "x", "g").collect()}
+    assert {g: r["n"] for g, r in found.items()} == {1: 200, 2: 6000, 3: 6000, 5: 5000}
+    assert all(found[g]["p"] > 1e-4 for g in (1, 2, 5)) and found[3]["p"] < 1e-6
+
+
+def test_normality_query_reads_all_rows(spark):
+    from wayfold.queries import library
+
+    d = "/root/testdata/sf0.001"
+    assert library.sta_09_normality(spark, d).agg(F.sum("n")).first()[0] == library.line(spark, d).filter("x is not null").count()
+
+
 def test_average_linkage():
     x = np.array([[0.0, 0], [0, 1], [10, 0], [10, 1], [50, 50]])
     labels = profile.average_linkage(x, 2.0)

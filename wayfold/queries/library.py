@@ -145,7 +145,7 @@ def sta_09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sta_09_normality")
 def sta_09_normality(spark: SparkSession, d: str) -> DataFrame:
-    t = line(spark, d).filter("n <= 3").withColumn("g", F.pmod("k", F.lit(40)))
+    t = line(spark, d).withColumn("g", F.pmod("k", F.lit(40)))
     return rounded(stats.normality(t, "x", "g"))
 
 
