@@ -226,6 +226,17 @@ def test_differencing_decides_on_marked_pages(spark):
     assert [r["text"] for r in found] == ["Own text 1 Said by both", "Own text 2 Said by both", "Own text 3 Said by both Write to us Call us"]
 
 
+def test_pages_at_range_ends_keep_their_neighbours(spark, monkeypatch):
+    make = lambda i: f"<div>Site of things</div><div>Own text {i}</div><div>Group {i // 2}</div>"
+    rows = [(None if i == 7 else i, f"http://{'ha'[i > 8]}.example/b/{i // 2}/{i}", make(i)) for i in range(13)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted(map(str, html_text.extract(pages).collect()))
+    monkeypatch.setattr(html_text, "PAGES_PER_RANGE", 1)
+    for seed in (3, 4):
+        assert sorted(map(str, html_text.extract(pages, seed=seed).collect())) == want
+    assert len(want) == 13 and not any("Site" in r for r in want)
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
 

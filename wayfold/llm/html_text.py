@@ -13,8 +13,9 @@ that both articles have stay. A page that would lose all its lines to a copy of
 itself keeps them.
 
 Pages are dealt to ranges of (host, path, id) between sampled splitters, so a
-host with a third of all pages is spread over tasks; a page's partner is the
-neighbour in its range whose path has the longer start in common.
+host with a third of all pages is spread over tasks; a range also gets the last
+page before it and the first after it, without putting them out. A page's
+partner is the neighbour on its host whose path has the longer start in common.
 
 Cases: null and empty pages have the empty text; a null url, or one without
 `://`, has an empty host and the url's own text as path; a page alone on its
@@ -243,19 +244,43 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     keys = sorted((*host_and_path(r["url"]), -1 if r["id"] is None else r["id"]) for r in drawn)
     bounds = quantile_bounds(keys, [1.0] * len(keys), ranges)
 
+    def key(url: str | None, i: int | None) -> tuple:
+        return (*host_and_path(url), -1 if i is None or i is pd.NA else int(i))
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, last = {}, {}
+        for b in batches:
+            for k in map(key, b["url"], b["id"].astype("Int64")):
+                r = bisect.bisect_right(bounds, k)
+                first[r], last[r] = min(k, first.get(r, k)), max(k, last.get(r, k))
+        yield pd.DataFrame([(r, *first[r], *last[r]) for r in first], columns=["range", "h1", "p1", "i1", "h2", "p2", "i2"])
+
+    edge = lambda n: F.struct(f"h{n}", f"p{n}", f"i{n}")
+    found = rows.select("id", "url").mapInPandas(ends, "range int, h1 string, p1 string, i1 long, h2 string, p2 string, i2 long")
+    found = sorted(tuple(r) for r in found.groupBy("range").agg(F.min(edge(1)), F.max(edge(2))).collect())
+    also: dict[tuple, list[int]] = {}  # a page at a range's end: the ranges beside, where its host goes on
+    for (r, _, last), (s, first, _) in zip(found, found[1:], strict=False):
+        if last[0] == first[0]:
+            also.setdefault(tuple(last), []).append(s)
+            also.setdefault(tuple(first), []).append(r)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids = b["id"].astype("Int64")
             places = [host_and_path(u) for u in b["url"]]
             parsed = [candidate_lines(h) for h in b["html"]]
-            yield pd.DataFrame({
-                "range": [bisect.bisect_right(bounds, (*p, -1 if i is pd.NA else i)) for p, i in zip(places, ids, strict=True)],
-                "host": [p[0] for p in places], "path": [p[1] for p in places], "id": ids, "url": b["url"],
-                "marked": [m for _, _, m in parsed], "lines": ["\n".join("+-"[not c] + x for x, c in zip(a, k, strict=True)) for a, k, _ in parsed],
+            keys = [(*p, -1 if i is pd.NA else int(i)) for p, i in zip(places, ids, strict=True)]
+            out = pd.DataFrame({
+                "range": [bisect.bisect_right(bounds, k) for k in keys], "host": [p[0] for p in places], "path": [p[1] for p in places], "place": [k[2] for k in keys], "id": ids, "url": b["url"],
+                "marked": [m for _, _, m in parsed], "lines": ["\n".join("+-"[not c] + x for x, c in zip(a, k, strict=True)) for a, k, _ in parsed], "context": False,
             })
+            yield out
+            beside = [(i, r) for i, k in enumerate(keys) for r in also.get(k, ())]
+            if beside:
+                yield out.iloc[[i for i, _ in beside]].assign(range=[r for _, r in beside], context=True)
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None  # (range and host, path, lines and candidates, marked, id, url)
+        before = now = None  # (range and host, path, lines and candidates, marked, id, url, context)
 
         def result(after: tuple | None) -> tuple:
             sides = [x[1:3] if x and x[0] == now[0] else None for x in (before, after)]
@@ -268,17 +293,17 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
         for b in batches:
             found = []
-            for r, host, path, i, url, marked, lines in b.astype({"id": "Int64"}).itertuples(index=False, name=None):
+            for r, host, path, _, i, url, marked, lines, context in b.astype({"id": "Int64"}).itertuples(index=False, name=None):
                 coded = lines.split("\n") if lines else []
-                page = ((r, host), path, ([x[1:] for x in coded], [x[0] == "+" for x in coded]), marked, i, url)
-                if now:
+                page = ((r, host), path, ([x[1:] for x in coded], [x[0] == "+" for x in coded]), marked, i, url, context)
+                if now and not now[6]:
                     found.append(result(page))
                 before, now = now, page
             yield frame(found)
-        if now:
+        if now and not now[6]:
             yield frame([result(None)])
 
-    lines = rows.mapInPandas(read, "range int, host string, path string, id long, url string, marked boolean, lines string")
-    dealt = lines.repartition(partitions(spark), "range").sortWithinPartitions("range", "host", "path", "id")
+    lines = rows.mapInPandas(read, "range int, host string, path string, place long, id long, url string, marked boolean, lines string, context boolean")
+    dealt = lines.repartition(partitions(spark), "range").sortWithinPartitions("range", "host", "path", "place")
     out = dealt.mapInPandas(difference, "id long, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
