@@ -37,14 +37,15 @@ beside id and text don't matter, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, materialize, partitions, tidy
+from .common import bounded_batches, materialize, partitions
 
 #: Documents in the sample that tells frequent shingles (or one in so many, if
 #: that is more), how often a shingle is in them to count as frequent, and how
@@ -57,10 +58,7 @@ PAIRS_AT_ONCE, BLOCK = 4, 512
 MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
 
-U64 = np.uint64
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[32, *range(9, 14)]] = True
+U64, U8 = np.uint64, np.uint8
 BASE = 0x9E3779B97F4A7C15
 PLACE = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=U64)
 
@@ -72,8 +70,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Sets(NamedTuple):
+    """Sets of a block of texts: the sorted distinct hashes of one after the other, and where each begins (and the last ends)."""
+
+    elements: np.ndarray
+    at: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.at)
+
+    def some(self, take: np.ndarray) -> Sets:
+        """Those of a boolean mask."""
+        sizes = self.sizes()
+        return Sets(self.elements[np.repeat(take, sizes)], offsets(sizes[take]))
+
+    def each(self) -> list[np.ndarray]:
+        return np.split(self.elements, self.at[1:-1]) if len(self.at) > 1 else []
+
+
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the parts of values that begin at `at` (and end at its last); 0 for empty parts."""
+    out = np.zeros(len(at) - 1, dtype=values.dtype)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        out[full] = np.add.reduceat(values, at[full])
+    return out
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts, by numpy over whole blocks of texts."""
+    """Shingle hashes of texts, by numpy over the bytes of whole blocks of texts."""
 
     def __init__(self, block_bytes: int = 1 << 18):
         self.block_bytes = block_bytes
@@ -82,45 +111,85 @@ class Shingler:
     def _tables(self, n: int) -> None:
         self.powers = np.cumprod(np.full(n + 1, BASE, dtype=U64))
         self.inverse = np.cumprod(np.full(n + 1, pow(BASE, -1, 1 << 64), dtype=U64))
-
-    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        block, size = [], 0
-        for t in texts:
-            data = (t or "").encode("utf-8", "surrogatepass").translate(LOWER)
-            if block and size + len(data) > self.block_bytes:
-                yield from self._block(block)
-                block, size = [], 0
-            block.append(data)
-            size += len(data) + 1
-        if block:
-            yield from self._block(block)
-
-    def _block(self, block: list[bytes]) -> Iterator[np.ndarray]:
-        data = np.frombuffer(b" ".join(block) + b" ", dtype=np.uint8)
-        if len(data) >= len(self.powers):
-            self._tables(len(data))
-        blank = BLANK[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank)).astype(np.int8)))
-        starts, ends = edge[::2], edge[1::2]
-        upto = np.zeros(len(data) + 1, dtype=U64)
-        np.cumsum((data.astype(U64) + U64(1)) * self.powers[: len(data)], out=upto[1:])
-        word = (upto[ends] - upto[starts]) * self.inverse[starts]
-        word = mixed(word + (ends - starts).astype(U64) * U64(BASE))
-        at = np.cumsum([0] + [len(b) + 1 for b in block])
-        first = np.searchsorted(starts, at)
-        n = len(word)
-        if n >= WORDS:
-            rolled = word[: n - WORDS + 1] * PLACE[0]
+        self.upto = np.zeros(n + 1, dtype=U64)
+
+    def blocks(self, texts: pa.Array) -> Iterator[tuple[int, Sets]]:
+        """The sets of consecutive texts, block by block, each with the place of its first text."""
+        binary = texts.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(binary.buffers()[1], dtype=np.int64)[binary.offset : binary.offset + len(binary) + 1]
+        data = np.frombuffer(binary.buffers()[2] or b"", dtype=U8)
+        lo = 0
+        while lo < len(binary):
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + self.block_bytes, side="right")) - 1)
+            yield lo, self.sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            lo = hi
+
+    def sets(self, data: np.ndarray, at: np.ndarray) -> Sets:
+        """The sets of the texts that begin at `at` in data."""
+        if len(data) <= self.block_bytes:
+            word, first = self.words(data, at)
+        else:  # one long text
+            word = np.concatenate([self.words(piece, np.array([0, len(piece)]))[0] for piece in self.pieces(data)])
+            first = np.array([0, len(word)])
+        n = np.diff(first)
+        long = n >= WORDS
+        count = np.where(long, n - WORDS + 1, n > 0)
+        at = offsets(count)
+        out = np.empty(at[-1], dtype=U64)
+        if long.any():
+            rolled = word[: len(word) - WORDS + 1] * PLACE[0]
             for k in range(1, WORDS):
-                rolled = rolled + word[k : n - WORDS + 1 + k] * PLACE[k]
-            rolled = mixed(rolled)
-        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if hi - lo >= WORDS:
-                yield np.unique(rolled[lo : hi - WORDS + 1])
-            elif hi > lo:  # the whole sequence; its length keeps it apart
-                yield mixed(np.array([(word[lo:hi] * PLACE[: hi - lo]).sum() + U64(hi - lo)], dtype=U64))
-            else:
-                yield word[:0]
+                rolled += word[k : len(word) - WORDS + 1 + k] * PLACE[k]
+            whole = np.arange(len(rolled)) + WORDS <= np.repeat(first[1:], n)[: len(rolled)]
+            out[np.repeat(long, count)] = mixed(rolled[whole])
+        for i in np.flatnonzero((n > 0) & ~long).tolist():  # the whole sequence; its length keeps it apart
+            out[at[i]] = mixed((word[first[i] : first[i + 1]] * PLACE[: n[i]]).sum(keepdims=True) + U64(n[i]))[0]
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out[lo:hi].sort()
+        fresh = np.ones(len(out), dtype=bool)
+        fresh[1:] = out[1:] != out[:-1]
+        fresh[at[:-1][count > 0]] = True
+        return Sets(out[fresh], offsets(fresh)[at])
+
+    def pieces(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """A long text, cut after blanks."""
+        lo, width = 0, self.block_bytes
+        while lo < len(data):
+            hi = lo + width
+            if hi < len(data):
+                cut = np.flatnonzero(blank(data[lo:hi]))
+                if not len(cut):
+                    width *= 2
+                    continue
+                hi = lo + int(cut[-1]) + 1
+            yield data[lo:hi]
+            lo, width = hi, self.block_bytes
+
+    def words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, and the number of each text's first."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, dtype=U64), np.zeros(len(at), dtype=np.int64)
+        if n >= len(self.powers):
+            self._tables(n)
+        solid = ~blank(data)
+        begin, stop = solid.copy(), solid.copy()
+        begin[1:] &= ~solid[:-1]
+        stop[:-1] &= ~solid[1:]
+        inner, last = at[at < n], at[at > 0] - 1
+        begin[inner], stop[last] = solid[inner], solid[last]
+        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        lower = data + ((data - U8(65) < U8(26)).view(U8) << U8(5))  # A-Z
+        upto = self.upto[: n + 1]
+        np.multiply(lower, self.powers[:n], out=upto[1:])
+        np.cumsum(upto, out=upto)
+        word = (upto[ends] - upto[starts]) * self.inverse[starts]
+        return mixed(word + (ends - starts).astype(U64) * U64(BASE)), np.searchsorted(starts, at)
+
+
+def blank(data: np.ndarray) -> np.ndarray:
+    """Which bytes are a blank or 9 to 13."""
+    return (data == U8(32)) | (data - U8(9) < U8(5))
 
 
 _SHINGLER: list[Shingler] = []
@@ -132,10 +201,9 @@ def shingler() -> Shingler:
     return _SHINGLER[0]
 
 
-def set_hash(x: np.ndarray) -> int:
-    """A signed 64-bit hash of a sorted set."""
-    h = mixed(mixed(x + U64(BASE)).sum(keepdims=True) + U64(len(x)))
-    return int(h.astype(np.int64)[0])
+def set_hashes(sets: Sets, spread: np.ndarray) -> np.ndarray:
+    """Signed 64-bit hashes of the sets; spread: their elements, mixed."""
+    return mixed(mixed(sums(spread, sets.at) + U64(BASE)) + sets.sizes().astype(U64)).astype(np.int64)
 
 
 def band_ends(upto: int) -> list[int]:
@@ -155,52 +223,84 @@ class Signer:
 
     def __init__(self, frequent: np.ndarray):
         self.frequent = frequent
-        self.ends = np.array(band_ends(1 << 40), dtype=np.int64)
+        self.ends = np.array(band_ends(1 << 32), dtype=np.int64)
+        self.table = np.zeros(1 << 20, dtype=U8)  # which leading bits frequent elements have
+        np.bitwise_or.at(self.table, frequent >> U64(44), U8(1) << ((frequent >> U64(41)) & U64(7)).astype(U8))
 
     def rare(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.ones(len(x), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, x), len(self.frequent) - 1)
-        return (self.frequent[at] != x).astype(np.int64)
-
-    def __call__(self, x: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures by whole segments, and by one-deletion neighbourhoods in bands where those don't do."""
-        n = len(x)
+        """1 for elements that aren't frequent, else 0."""
+        out = np.ones(len(x), dtype=np.int64)
+        may = np.flatnonzero((self.table[x >> U64(44)] >> ((x >> U64(41)) & U64(7)).astype(U8)) & U8(1))
+        if len(may):
+            found = np.minimum(np.searchsorted(self.frequent, x[may]), len(self.frequent) - 1)
+            out[may[self.frequent[found] == x[may]]] = 0
+        return out
+
+    def block(self, sets: Sets, rare: np.ndarray, spread: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers of sets, their counts of signatures, these) by whole segments; and by one-deletion neighbourhoods in bands where those don't do. The lowest bit tells which: 0, 1."""
+        n = sets.sizes()
         most = 4 * n // 3
-        high, y, whole, near = x >> U64(32), mixed(x + U64(BASE)), [], [np.array([], dtype=U64)]
-        for band in range(int(np.searchsorted(self.ends, n)), int(np.searchsorted(self.ends, most)) + 1):
-            end = int(self.ends[band])
-            differ = (n + min(end, most)) // 7  # of a pair with x in this band at most
-            m = int(end + 3 * end**0.5) + 1
-            segment, content, count, rares = self.segments(high, y, rare, m)
-            order = np.lexsort((segment, -count, -rares))[: differ + 1]
-            order = order[rares[order] > 0]
-            whole.append(mixed(content[order] ^ mixed(segment[order].astype(U64) + U64((2 * band + 1) << 40))))
-            if len(order) <= differ:
-                near.append(self.one_deletion(high, y, n, band, end, differ))
-        return np.concatenate(whole).astype(np.int64), np.concatenate(near).astype(np.int64)
+        own, last = np.searchsorted(self.ends, n), np.searchsorted(self.ends, most)
+        for which, band in ((n > 0, own), ((n > 0) & (last > own), last)):
+            if not which.any():
+                continue
+            inside = np.repeat(which, n)
+            sub, which, band = sets.some(which), np.flatnonzero(which), band[which]
+            end = self.ends[band]
+            differ = (n[which] + np.minimum(end, most[which])) // 7  # of a pair with the set in this band at most
+            count, signed = self.whole(sub, rare[inside], spread[inside], band, end, differ)
+            yield which, count, signed
+            near = np.flatnonzero(count <= differ).tolist()
+            if near:
+                parts = [slice(sub.at[i], sub.at[i + 1]) for i in near]
+                signed = [self.one_deletion(sub.elements[p], spread[inside][p], int(band[i]), int(end[i]), int(differ[i])) for i, p in zip(near, parts, strict=True)]
+                yield which[near], np.array([len(x) for x in signed]), np.concatenate(signed).astype(np.int64) | 1
 
     @staticmethod
-    def segments(high: np.ndarray, y: np.ndarray, rare: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the segments that aren't empty: number, content (a sum, so that order doesn't matter), elements, rare elements."""
-        segment = ((high * U64(m)) >> U64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        return segment[first], np.add.reduceat(y, first), np.diff(np.append(first, len(y))), np.add.reduceat(rare, first)
+    def whole(sets: Sets, rare: np.ndarray, spread: np.ndarray, band: np.ndarray, end: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many signatures each set has, and these: of its first differ + 1 segments those with rare elements.
+
+        First are segments with many rare elements, then with many elements (15 count as more do).
+        """
+        n = sets.sizes()
+        m = (end + 3 * np.sqrt(end)).astype(U64) + U64(1)
+        of = np.repeat(np.arange(len(n)), n)
+        segment = ((sets.elements >> U64(32)) * m[of]) >> U64(32)
+        fresh = np.ones(len(segment), dtype=bool)
+        fresh[1:] = segment[1:] != segment[:-1]
+        fresh[sets.at[:-1]] = True
+        first = np.flatnonzero(fresh)
+        content, rares, elements = np.add.reduceat(spread, first), np.add.reduceat(rare, first), np.diff(np.append(first, len(segment)))
+        of, segment = of[first], segment[first]
+        key = of.astype(U64) << U64(40) | (15 - np.minimum(rares, 15)).astype(U64) << U64(36) | (15 - np.minimum(elements, 15)).astype(U64) << U64(32) | np.arange(len(first)).astype(U64)
+        key.sort()
+        order = (key & U64(0xFFFFFFFF)).astype(np.int64)
+        place = np.arange(len(order)) - offsets(np.bincount(of, minlength=len(n)))[of]  # keys keep the sets together
+        order = order[(place <= differ[of]) & (rares[order] > 0)]
+        of = of[order]
+        signed = mixed(content[order] ^ mixed(segment[order] + (2 * band[of] + 1).astype(U64) * U64(1 << 40)))
+        return np.bincount(of, minlength=len(n)), (signed & U64(2**64 - 2)).astype(np.int64)
 
     @staticmethod
-    def one_deletion(high: np.ndarray, y: np.ndarray, n: int, band: int, end: int, differ: int) -> np.ndarray:
+    def one_deletion(x: np.ndarray, spread: np.ndarray, band: int, end: int, differ: int) -> np.ndarray:
         half = 2 * end // 7 // 2
         m = half + half * 3 // 10 + 1
-        segment = ((high * U64(m)) >> U64(32)).astype(np.int64)
+        segment = (((x >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)
         count = np.bincount(segment, minlength=m)
         content = np.zeros(m, dtype=U64)
-        np.add.at(content, segment, y)
+        np.add.at(content, segment, spread)
         use = np.ones(m, dtype=bool)
         if (thin := count < 2).sum() <= (m - differ // 2 - 1) // 2:  # both sets of a pair can do without their thin segments
             use = ~thin
         salt = mixed(np.arange(m, dtype=U64) + U64((2 * band + 2) << 40))
         inside = use[segment]
-        return np.concatenate((mixed(content[use] ^ salt[use]), mixed((content[segment] - y)[inside] ^ salt[segment][inside])))
+        return np.concatenate((mixed(content[use] ^ salt[use]), mixed((content[segment] - spread)[inside] ^ salt[segment][inside])))
+
+    def __call__(self, x: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of one set: signatures by whole segments, and by one-deletion neighbourhoods."""
+        signed = [s for _, _, s in self.block(Sets(x, np.array([0, len(x)])), rare, mixed(x + U64(BASE)))]
+        signed = np.concatenate(signed) if signed else np.zeros(0, dtype=np.int64)
+        return signed[signed & 1 == 0], signed[signed & 1 == 1]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,72 +309,84 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def member_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, text_hash, n_shingles, node, rare): rare has the elements that aren't frequent of sets that need one-deletion signatures, once per task."""
-    held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sign, seen = Signer(held.value), set()
-        for b in batches:
-            sizes, nodes, rares = [], [], []
-            for x in shingler().sets(b["text"].tolist()):
-                sizes.append(len(x))
-                node = set_hash(x) if len(x) else None
-                nodes.append(node)
-                rares.append(None)
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    rare = sign.rare(x)
-                    if len(sign(x, rare)[1]):
-                        rares[-1] = x[rare == 1].astype(np.int64)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"], "n_shingles": np.array(sizes, dtype=np.int64), "node": pd.array(nodes, dtype="Int64"), "rare": rares})
-
-    return rows.mapInPandas(tidy(run), "id long, text_hash long, n_shingles long, node long, rare array<bigint>")
-
-
-def _new_sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Nodes and sets of each batch; a set that this task has seen is left out."""
+def new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Sets]]:
+    """Nodes and sets, block by block; a set that this task has seen is left out."""
     seen: set[int] = set()
     for b in batches:
-        nodes, sets = [], []
-        for x in shingler().sets(b["text"].tolist()):
-            if len(x) and (h := set_hash(x)) not in seen:
-                seen.add(h)
-                nodes.append(h)
-                sets.append(x)
-        yield nodes, sets
+        for _, sets in shingler().blocks(b.column("text")):
+            nodes = set_hashes(sets, mixed(sets.elements + U64(BASE)))
+            fresh = unseen(nodes, sets.sizes() > 0, seen)
+            yield nodes[fresh], sets.some(fresh)
+
+
+def unseen(nodes: np.ndarray, full: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which of the full sets are the first of their node; adds these to seen."""
+    out = full.copy()
+    for i in np.flatnonzero(full).tolist():
+        if (h := int(nodes[i])) in seen:
+            out[i] = False
+        else:
+            seen.add(h)
+    return out
+
+
+def lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+
+
+def batch(**columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
     """Sorted hashes of shingles that several documents of a sample share; the sample is drawn by a hash of the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for nodes, sets in _new_sets(batches):
-            if sets:
-                yield pd.DataFrame({"shingle": np.concatenate(sets).astype(np.int64), "node": np.repeat(np.array(nodes, dtype=np.int64), [len(x) for x in sets])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, sets in new_sets(batches):
+            yield batch(shingle=sets.elements.view(np.int64), node=np.repeat(nodes, sets.sizes()))
 
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(3), "text"), 11) / F.lit(float(1 << 53))
     sample = rows.filter(F.col("text").isNotNull() & (chance < max(SAMPLE_DOCS / max(n, 1), 1 / SAMPLE_SHARE)))
-    counts = sample.mapInPandas(tidy(run), "shingle long, node long").distinct().groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
-    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_BOUND).select("shingle").toPandas()["shingle"]
-    return np.sort(found.to_numpy(np.int64).astype(U64))
+    counts = sample.mapInArrow(run, "shingle long, node long").distinct().groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT_BOUND).select("shingle").toArrow()["shingle"]
+    return np.sort(found.to_numpy().view(U64))
 
 
-def signatures(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(sig, node, near) of every set, once per task; near: by one-deletion neighbourhoods."""
-    held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
+def signed_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Members and signatures in one pass over the texts.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sign = Signer(held.value)
-        for nodes, sets in _new_sets(batches):
-            for i in range(0, len(sets), 100):
-                signed = [part for x in sets[i : i + 100] for part in sign(x, sign.rare(x))]
-                sizes = [len(part) for part in signed]
-                yield pd.DataFrame({
-                    "sig": np.concatenate(signed), "node": np.repeat(np.repeat(np.array(nodes[i : i + 100], dtype=np.int64), 2), sizes), "near": np.repeat(np.tile([False, True], len(sizes) // 2), sizes),
-                })
+    Rows with sigs null are members, one per input row: id, text_hash,
+    n_shingles, node, and in the first row of a node in its task `rare`, if it
+    needs one-deletion signatures: its elements that aren't frequent. The
+    others hold sigs of a node, once per task; the lowest bit is 1 in those by
+    one-deletion neighbourhoods.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
 
-    return rows.mapInPandas(tidy(run), "sig long, node long, near boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign, seen, longs = Signer(held.value), set(), pa.list_(pa.int64())
+        for b in batches:
+            for lo, sets in shingler().blocks(b.column("text")):
+                spread = mixed(sets.elements + U64(BASE))
+                sizes, nodes = sets.sizes(), set_hashes(sets, spread)
+                fresh = unseen(nodes, sizes > 0, seen)
+                inside, new = np.repeat(fresh, sizes), np.flatnonzero(fresh)
+                sets, spread = sets.some(fresh), spread[inside]
+                rare, hard = sign.rare(sets.elements), {}
+                for which, count, sigs in sign.block(sets, rare, spread):
+                    if len(sigs) and sigs[0] & 1:
+                        for i in which.tolist():
+                            part = slice(sets.at[i], sets.at[i + 1])
+                            hard[int(new[i])] = sets.elements[part][rare[part] == 1].view(np.int64)
+                    none = pa.nulls(len(which), pa.int64())
+                    yield batch(id=none, text_hash=none, n_shingles=none, node=nodes[new[which]], rare=pa.nulls(len(which), longs), sigs=lists(sigs, offsets(count)))
+                k = len(sizes)
+                yield batch(
+                    id=b.column("id").slice(lo, k), text_hash=b.column("text_hash").slice(lo, k), n_shingles=sizes, node=pa.array(nodes, mask=sizes == 0),
+                    rare=pa.array([hard.get(i) for i in range(k)], longs), sigs=pa.nulls(k, longs),
+                )
+
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>, sigs array<bigint>")
 
 
 def certain_differences(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,53 +430,49 @@ def candidates(groups: DataFrame, parts: int) -> DataFrame:
 
     PAIR: a pair to verify. STAR: one of centre a with b. RAW: b is in a group
     of one-deletion signatures, for which f isn't known yet.
-    groups: sig, node, and near; or f and comp.
+    groups: sig, node; and f and comp if known.
     """
-    has = [c for c in ("near", "f", "comp") if c in groups.columns]
+    has = [c for c in ("f", "comp") if c in groups.columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(arrays: list[np.ndarray]) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrays in whole_groups(batches, ["sig"], ["sig", "node", *has]):
             sig, node = arrays[:2]
             fresh = np.ones(len(sig), dtype=bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[fresh], node[fresh]
-            more = {c: x[fresh] for c, x in zip(has, arrays[2:], strict=True)}
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.array([], dtype=int)
+            sig, node, *more = [x[fresh] for x in arrays]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             size = np.diff(np.append(first, len(sig)))
-            f, comp = more.get("f", np.full(len(sig), -1)), more.get("comp", node)
+            f, comp = more or (np.full(len(sig), -1), node)
             cols: list[list[np.ndarray]] = [[], [], [], []]
 
-            def add(s: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int) -> None:
-                for col, x in zip(cols, (s, a, b, np.full(len(a), kind)), strict=True):
+            def add(s: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int, cols: list = cols) -> None:
+                for col, x in zip(cols, (s, a, b, np.full(len(a), kind, dtype=np.int8)), strict=True):
                     col.append(x)
 
-            if "near" in more:
-                raw = np.repeat(more["near"][first] & (size > 1), size)
+            loop = size > 1
+            if not more:
+                near = sig[first] & 1 == 1
+                raw = np.repeat(near & (size > 1), size)
                 add(sig[raw], node[raw], node[raw], RAW)
-                two = first[(size == 2) & ~more["near"][first]]
+                two = first[(size == 2) & ~near]
                 add(sig[two], node[two], node[two + 1], PAIR)
-                loop = (size > 2) & ~more["near"][first]
-            else:
-                loop = size > 1
+                loop = (size > 2) & ~near
             for at, n in zip(first[loop].tolist(), size[loop].tolist(), strict=True):
                 here = slice(at, at + n)
                 if found := group_candidates(node[here], f[here], comp[here]):
                     add(np.full(len(found[0]), sig[at]), found[0], found[1], STAR if found[2] else PAIR)
-            s, a, b, kind = (np.concatenate(c) if c else np.array([], dtype=np.int64) for c in cols)
-            return pd.DataFrame({"sig": s, "a": a, "b": b, "kind": kind}).astype({"kind": "int8"})
-
-        for arrays in whole_groups(batches, ["sig"], ["sig", "node", *has]):
-            yield out(arrays)
+            if cols[0]:
+                yield batch(**dict(zip(("sig", "a", "b", "kind"), map(np.concatenate, cols), strict=True)))
 
     dealt = groups.select("sig", "node", *has).repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInPandas(tidy(run), "sig long, a long, b long, kind byte")
+    return dealt.mapInArrow(run, "sig long, a long, b long, kind byte")
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted rows, cut only where the key changes."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only where the key changes; never without rows."""
     kept: list[np.ndarray] = []
-    for batch in batches:
-        now = [batch[c].to_numpy() for c in columns]
+    for b in batches:
+        now = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
         kept = [np.concatenate(x) for x in zip(kept, now, strict=True)] if kept else now
         if len(kept[0]):
             same = np.ones(len(kept[0]), dtype=bool)
@@ -390,7 +498,7 @@ def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
     dealt = dealt.select("centre", "node", "comp", "f", "n", "bits", "own", F.inline(meet))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", "bits"]):
             centre, i, j, own, node, comp, f, n, bits = arrays
             change = np.flatnonzero((centre[1:] != centre[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -400,10 +508,10 @@ def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                 yield from compare(node, comp, f, n, bits, rows, cols)
 
     spread = dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return spread.mapInPandas(tidy(run), "a long, b long").distinct()
+    return spread.mapInArrow(run, "a long, b long").distinct()
 
 
-def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pd.DataFrame]:
+def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs of a row and a column of different components for which neither f, nor sizes, nor bit maps rule a link out."""
     if not len(rows) or not len(cols):
         return
@@ -423,7 +531,7 @@ def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bi
             differ = np.bitwise_count(right[at] ^ folded(k)).sum(axis=1)
             at = cols[at[7 * differ <= n[cols[at]] + n[k]]]
             if len(at):
-                yield pd.DataFrame({"a": np.minimum(node[at], node[k]), "b": np.maximum(node[at], node[k])})
+                yield batch(a=np.minimum(node[at], node[k]), b=np.maximum(node[at], node[k]))
 
 
 def map_bit(key: Column, bits: int = MAP_BITS) -> Column:
@@ -465,27 +573,23 @@ def needed_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     held = rows.sparkSession.sparkContext.broadcast(key_map(wanted, F.xxhash64("rep")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def wanted_only() -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[in_map(held.value, b["bit"].to_numpy(np.int64))]
-
-        for nodes, sets in _new_sets(wanted_only()):
-            for i in range(0, len(sets), 50):
-                part = sets[i : i + 50]
-                yield pd.DataFrame({"node": np.array(nodes[i : i + 50], dtype=np.int64), "n": [len(x) for x in part], "bits": [bit_map(x) for x in part], "shingles": [x.astype(np.int64) for x in part]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted_only = (b.filter(pa.array(in_map(held.value, b.column("bit").to_numpy()))) for b in batches)
+        for nodes, sets in new_sets(wanted_only):
+            yield batch(node=nodes, n=sets.sizes(), bits=lists(*bit_maps(sets)), shingles=lists(*sets))
 
     located = rows.select("text", map_bit(F.xxhash64("id")).alias("bit"))
-    return located.mapInPandas(tidy(run), "node long, n long, bits array<bigint>, shingles array<bigint>")
+    return located.mapInArrow(run, "node long, n long, bits array<bigint>, shingles array<bigint>")
 
 
-def bit_map(x: np.ndarray) -> np.ndarray:
-    """Which of 4 to 8 bits per element are hit; a power of two of 64-bit words, so that a longer map folds into a shorter one."""
-    words = 1 << max(0, (4 * len(x) - 1).bit_length() - 6)
-    out = np.zeros(words, dtype=U64)
-    at = x & U64(64 * words - 1)
-    np.bitwise_or.at(out, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
-    return out.astype(np.int64)
+def bit_maps(sets: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """Which of 4 to 8 bits per element are hit, and where each set's map begins; a map is a power of two of 64-bit words, so that a longer one folds into a shorter one."""
+    n = sets.sizes()
+    words = np.array([1 << max(0, (4 * k - 1).bit_length() - 6) for k in n.tolist()], dtype=np.int64)
+    at = offsets(words)
+    hit = np.zeros(64 * at[-1], dtype=bool)
+    hit[(sets.elements & np.repeat((64 * words - 1).astype(U64), n)).astype(np.int64) + np.repeat(64 * at[:-1], n)] = True
+    return np.packbits(hit, bitorder="little").view(U64), at
 
 
 def _differing(a: str, b: str) -> Column:
@@ -552,9 +656,10 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     parts = partitions(docs.sparkSession)
     frequent = frequent_shingles(rows, rows.count())
-    members = materialize(member_rows(rows, frequent), "members", release=True)
+    signed = materialize(signed_rows(rows, frequent), "signatures", release=True)
+    members = materialize(signed.filter(F.col("sigs").isNull()).drop("sigs"), "members")
     nodes = materialize(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    signed = materialize(candidates(signatures(rows, frequent), parts), "signed", release=True)
+    signed = materialize(candidates(signed.filter(F.col("sigs").isNotNull()).select("node", F.explode("sigs").alias("sig")), parts), "signed", release=True)
     whole = signed.filter(F.col("kind") != RAW)
     first = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
     known = materialize(certain_differences(members, components(first)), "differences")
