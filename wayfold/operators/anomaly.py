@@ -53,30 +53,60 @@ def z_score(points: DataFrame) -> DataFrame:
     return points.withColumn("z_max", flagged).withColumn("stat_score", F.when(flagged <= 3, flagged / 6).otherwise(score))
 
 
-def fit_hbos(points: DataFrame, *, least: int = 50, bins: int = 20) -> DataFrame:
-    """(user_id, feature, low, width, bin, density, top): densities plus 0.1, made to sum to 1."""
-    value = lambda c: F.col(c) if c == "speed" else F.when(F.col(c) != 0, F.col(c))
-    rows = points.select("user_id", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), value(c).alias("value")) for c in HBOS_COLUMNS])))
-    ends = rows.groupBy("user_id", "feature").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.count("value").alias("n"), F.count("*").alias("points")).filter((F.col("points") >= least) & (F.col("n") >= 10))
-    ends = ends.select("user_id", "feature", "n", F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("a") - 0.5).alias("low"), ((F.when(F.col("a") < F.col("b"), F.col("b")).otherwise(F.col("b") + 0.5) - F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("a") - 0.5)) / bins).alias("width"))
-    counts = rows.filter("value is not null").join(ends.select("user_id", "feature", "low", "width"), ["user_id", "feature"])
-    counts = counts.groupBy("user_id", "feature", F.least(F.floor((F.col("value") - F.col("low")) / F.col("width")).cast("int") + 1, F.lit(bins)).alias("bin")).agg(F.count("*").alias("c"))
-    grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).join(counts, ["user_id", "feature", "bin"], "left")
-    raw = F.coalesce("c", F.lit(0)) / (F.col("n") * F.col("width")) + 0.1
-    grid = grid.withColumn("raw", raw)
-    group = Window.partitionBy("user_id", "feature")
-    grid = grid.withColumn("density", F.col("raw") / F.sum("raw").over(group))
-    return grid.withColumn("top", F.max("density").over(group)).select("user_id", "feature", "low", "width", "bin", "density", "top")
-
-
-def hbos_score(points: DataFrame, fit: DataFrame, *, bins: int = 20) -> DataFrame:
-    """(event_id, hbos_score): mean of 1 - density / top over scores above 0; a value on an edge goes to the lower bin; a missing value scores 0.5."""
-    rows = points.select("user_id", "event_id", F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in HBOS_COLUMNS])))
-    fitted = fit.groupBy("user_id", "feature").agg(F.first("low").alias("low"), F.first("width").alias("width"))
-    rows = rows.join(fitted, ["user_id", "feature"]).withColumn("bin", F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("value") - F.col("low")) / F.col("width")).cast("int"))))
-    rows = rows.join(fit.select("user_id", "feature", "bin", "density", "top"), ["user_id", "feature", "bin"], "left")
-    score = F.when(F.col("value").isNull(), 0.5).otherwise(1 - F.col("density") / F.col("top"))
-    return rows.groupBy("event_id").agg(F.coalesce(F.avg(F.when(score > 0, score)), F.lit(0.0)).alias("hbos_score"))
+def fit_hbos_arrays(points: DataFrame, *, least: int = 50, bins: int = 20) -> DataFrame:
+    """(user_id, fits): per user with enough points, and feature with enough values, a struct (feature, low, width, densities) of `bins` densities plus 0.1, made to sum to 1."""
+    value = {c: F.col(c) if c == "speed" else F.when(F.col(c) != 0, F.col(c)) for c in HBOS_COLUMNS}
+    ends = points.groupBy("user_id").agg(F.count("*").alias("points"), *[f(value[c]).alias(f"{n}_{c}") for c in HBOS_COLUMNS for n, f in (("a", F.min), ("b", F.max), ("n", F.count))])
+
+    def end(c: str) -> Column:
+        a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
+        low, high = F.when(a < b, a).otherwise(a - 0.5), F.when(a < b, b).otherwise(b + 0.5)
+        return F.when(F.col(f"n_{c}") >= 10, F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), low.alias("low"), ((high - low) / bins).alias("width")))
+
+    ends = ends.filter(F.col("points") >= least).select("user_id", *[end(c).alias(f"end_{c}") for c in HBOS_COLUMNS])
+
+    def key(c: str) -> Column:
+        """The number of the value's bin among those of all features; null without a value or a fit."""
+        bin_ = F.floor((value[c] - F.col(f"end_{c}.low")) / F.col(f"end_{c}.width")).cast("int")
+        return F.when(bin_.isNotNull(), F.least(bin_, F.lit(bins - 1)) + bins * HBOS_COLUMNS.index(c))
+
+    rows = points.select("user_id", *HBOS_COLUMNS).join(ends, "user_id").select("user_id", F.explode(F.array_compact(F.array(*[key(c) for c in HBOS_COLUMNS]))).alias("key"))
+    counts = rows.groupBy("user_id", "key").agg(F.count("*").alias("c"))
+    counts = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "c"))).alias("counts"))  # a row per bin
+
+    def fit(c: str) -> Column:
+        e = F.col(f"end_{c}")
+        raw = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("counts", b + bins * HBOS_COLUMNS.index(c)), F.lit(0)) / (e["n"] * e["width"]) + 0.1)
+        total = F.aggregate(raw, F.lit(0.0), lambda t, x: t + x)
+        return F.when(e.isNotNull(), F.struct(e["feature"].alias("feature"), e["low"].alias("low"), e["width"].alias("width"), F.transform(raw, lambda x: x / total).alias("densities")))
+
+    return ends.join(counts, "user_id").select("user_id", F.array_compact(F.array(*[fit(c) for c in HBOS_COLUMNS])).alias("fits"))
+
+
+def fit_hbos(points: DataFrame, **options: int) -> DataFrame:
+    """The same in long form: (user_id, feature, low, width, bin, density, top)."""
+    rows = fit_hbos_arrays(points, **options).select("user_id", F.inline("fits"))
+    return rows.select("user_id", "feature", "low", "width", F.array_max("densities").alias("top"), F.posexplode("densities").alias("pos", "density")).withColumn("bin", F.col("pos") + 1).select("user_id", "feature", "low", "width", "bin", "density", "top")
+
+
+def with_hbos(points: DataFrame, fit: DataFrame) -> DataFrame:
+    """points with hbos_score, looked up in the user's arrays: mean of 1 - density / top over scores above 0; a value on an edge goes to the lower bin; a missing value scores 0.5; null without a fit."""
+
+    def score(f: Column) -> Column:
+        v = F.when(F.lit(False), 0.0)
+        for c in HBOS_COLUMNS:
+            v = F.when(f["feature"] == c, F.col(c)).otherwise(v)
+        bin_ = F.greatest(F.lit(1), F.least(F.size(f["densities"]), F.ceil((v - f["low"]) / f["width"]).cast("int")))
+        return F.when(v.isNull(), 0.5).otherwise(1 - F.element_at(f["densities"], bin_) / F.array_max(f["densities"]))
+
+    scores = F.filter(F.transform("fits", score), lambda x: x > 0)
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda t, x: t + x) / F.size(scores)).otherwise(0.0)
+    return points.join(fit, "user_id", "left").withColumn("hbos_score", F.when(F.size("fits") > 0, mean)).drop("fits")
+
+
+def hbos_score(points: DataFrame, fit: DataFrame) -> DataFrame:
+    """(event_id, hbos_score) of the users that have a fit (fit_hbos_arrays)."""
+    return with_hbos(points, fit).filter("hbos_score is not null").select("event_id", "hbos_score")
 
 
 def physical(points: DataFrame) -> DataFrame:
@@ -117,7 +147,7 @@ def detect(points: DataFrame, base: DataFrame | None = None, iso: DataFrame | No
     """Scored points with everything above. iso: (event_id, iso_score), else 0."""
     base = wide(points) if base is None else base
     out = z_score(z_from_baseline(physical(points), base))
-    out = out.join(hbos_score(points, fit_hbos(points)), "event_id", "left")
+    out = with_hbos(out, fit_hbos_arrays(points))
     out = out.join(iso, "event_id", "left") if iso is not None else out.withColumn("iso_score", F.lit(0.0))
     return low_confidence_runs(ensemble(out))
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DELAY_FEATURES = ["distance_m", "hist_duration", "weather_impact", "traffic_factor", "hour", "weekday", "rush", "route_confidence"]
@@ -45,6 +47,35 @@ def evaluate_delay(requests: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("delay_predicted") - F.col("label"))), 4).alias("mae"), F.round(F.avg(F.abs(F.col("label") - mean)), 4).alias("mae_of_mean"))
 
 
+THREAT_FEATURES = ["avg_risk", "max_risk", "min_risk", "std_risk", "high_share"]
+
+
+def fit_threat(history: DataFrame, *, features: list[str] = THREAT_FEATURES, strength: float = 0.01):
+    """A logistic regression fitted by log-loss; history: features by user and `label` (0 or 1: whether a threat came true)."""
+    steps = [VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), LogisticRegression(maxIter=50, regParam=strength)]
+    return Pipeline(stages=steps).fit(history.withColumn("label", F.col("label").cast("double")))
+
+
+def predict_threat(model, history: DataFrame) -> DataFrame:
+    """history with p, the chance of a threat."""
+    out = model.transform(history).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
+    return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def log_loss(label: Column, p: Column) -> Column:
+    p = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), p))
+    return F.avg(-F.when(label == 1, F.log(p)).otherwise(F.log(1 - p)))
+
+
+def evaluate_threat(history: DataFrame) -> DataFrame:
+    """One row: users held out, log-loss of the model and of predicting the training share."""
+    held = F.pmod(F.xxhash64("user_id"), F.lit(5)) == 0
+    model = fit_threat(history.filter(~held))
+    share = history.filter(~held).agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0
+    out = predict_threat(model, history.filter(held))
+    return out.agg(F.count("*").alias("n"), F.round(log_loss(F.col("label"), F.col("p")), 4).alias("log_loss"), F.round(log_loss(F.col("label"), F.lit(share)), 4).alias("log_loss_of_share"))
+
+
 def batched_threat(history: DataFrame) -> DataFrame:
     """(user_id, p): a fixed linear scorer run in Arrow batches, the form in which outside models are called."""
     columns = ["avg_risk", "max_risk", "high_share", "anomaly_rate", "mean_anomaly", "max_spoof"]

@@ -32,6 +32,14 @@ def hours(points: DataFrame) -> DataFrame:
     return out.select("user_id", "hour", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("probability"), F.coalesce("activity", F.lit("unknown")).alias("activity"), F.coalesce("mean_speed", F.lit(0.0)).alias("mean_speed"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def hour_probabilities(points: DataFrame) -> DataFrame:
+    """(user_id, hour, probability): the shares of hours alone, those without points too."""
+    counts = points.filter("confidence >= 0.5").groupBy("user_id", hour_of(F.col("timestamp_unix")).alias("hour")).agg(F.count("*").alias("n"))
+    by_user = counts.groupBy("user_id").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("counts"))  # 24 entries at most
+    grid = by_user.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    return grid.select("user_id", "hour", (F.coalesce(F.try_element_at("counts", "hour"), F.lit(0)) / F.col("total")).alias("probability"))
+
+
 def stop_episodes(points: DataFrame, *, least: float = 60.0, flush_open: bool = False, per_trip: bool = False) -> DataFrame:
     """Runs of stop points over a user's trips in order; a run without a point after it is left out unless flush_open."""
     by = KEYS if per_trip else ["user_id"]

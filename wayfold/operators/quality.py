@@ -38,5 +38,7 @@ def confidence_distribution(points: DataFrame) -> DataFrame:
 
 def user_summary(points: DataFrame, *, mature_trips: int = MATURE_TRIPS, mature_points: int = MATURE_POINTS) -> DataFrame:
     kept = F.col("confidence") >= 0.5
+    n, total = F.count("*"), F.sum(F.round(F.col("confidence") * 10000).cast("long"))  # confidences have four decimals: their sum is exact
+    mean = F.floor((200 * total + n) / (2.0 * n)) / 1e6  # six decimals, halves upward
     mature = (F.countDistinct(F.when(kept, F.col("trip_id"))) >= mature_trips) & (F.count_if(kept) >= mature_points)
-    return points.groupBy("user_id").agg(F.countDistinct("trip_id").alias("trips"), F.count("*").alias("events"), F.avg("confidence").alias("mean_confidence"), mature.alias("is_mature"))
+    return points.groupBy("user_id").agg(F.countDistinct("trip_id").alias("trips"), n.alias("events"), mean.alias("mean_confidence"), mature.alias("is_mature"))

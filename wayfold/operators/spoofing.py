@@ -30,15 +30,22 @@ def _signal(kind: str, likelihood: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), likelihood.alias("likelihood"))
 
 
+def _signals(checks: dict[str, Column]) -> Column:
+    """An array of the signals among likelihoods that aren't null."""
+    return F.array_compact(F.array(*[F.when(likelihood.isNotNull(), _signal(kind, likelihood)) for kind, likelihood in checks.items()]))
+
+
+def physical_checks() -> dict[str, Column]:
+    v, c, a, one = F.col("speed"), F.col("calc_speed"), F.abs("acceleration"), F.lit(1.0)
+    return {
+        "impossible_speed": F.when(v > 300, F.least(one, v / 600)),
+        "teleportation": F.when(c > 360, F.least(one, (c / 300 - 1) / 2)),
+        "impossible_acceleration": F.when(a > 15, F.least(one, a / 15 - 1)),
+    }
+
+
 def physical(points: DataFrame) -> DataFrame:
-    v, c, a = F.col("speed"), F.col("calc_speed"), F.abs("acceleration")
-    one = F.lit(1.0)
-    found = F.array_compact(F.array(
-        F.when(v > 300, _signal("impossible_speed", F.least(one, v / 600))),
-        F.when(c > 360, _signal("teleportation", F.least(one, (c / 300 - 1) / 2))),
-        F.when(a > 15, _signal("impossible_acceleration", F.least(one, a / 15 - 1))),
-    ))
-    return points.select(*KEYS, F.lit("physical").alias("source"), "idx", F.inline(found))
+    return points.select(*KEYS, F.lit("physical").alias("source"), "idx", F.inline(_signals(physical_checks())))
 
 
 def repeated_teleports(points: DataFrame) -> DataFrame:
@@ -49,25 +56,32 @@ def repeated_teleports(points: DataFrame) -> DataFrame:
     return starts.select(*KEYS, F.lit("physical").alias("source"), F.explode("members").alias("idx"), F.lit("repeated_teleportation").alias("kind"), F.least(F.lit(1.0), F.size("members") / 10.0).alias("likelihood"))
 
 
+def clock_checks(gap: Column) -> dict[str, Column]:
+    return {"clock_set_back": F.when(gap < -1, F.least(F.lit(1.0), F.abs(gap) / 60)), "long_silence": F.when(gap > 3000, F.lit(0.3))}
+
+
 def timestamps(events: DataFrame, arrival: str = "arrival_seq") -> DataFrame:
     """Clocks set back by more than a second, and gaps above 3000 s, in order of arrival."""
     order = Window.partitionBy(*KEYS).orderBy(arrival, "copy_no", "event_id")
     gap = F.col("timestamp_unix") - F.lag("timestamp_unix").over(order)
     e = events.withColumns({"idx": F.row_number().over(order) - 1, "gap": gap})
-    found = F.array_compact(F.array(F.when(F.col("gap") < -1, _signal("clock_set_back", F.least(F.lit(1.0), F.abs("gap") / 60))), F.when(F.col("gap") > 3000, _signal("long_silence", F.lit(0.3)))))
-    return e.select(*KEYS, F.lit("timestamp").alias("source"), "idx", F.inline(found))
+    return e.select(*KEYS, F.lit("timestamp").alias("source"), "idx", F.inline(_signals(clock_checks(F.col("gap")))))
+
+
+def with_accuracy(points: DataFrame) -> DataFrame:
+    """points with acc, how much worse than before it is (ratio), and whether it and the next four are bad."""
+    p = points.withColumn("acc", F.coalesce("coords_accuracy", F.lit(50.0)))
+    before, ahead = F.lag("acc").over(_order()), _order().rowsBetween(0, 4)
+    return p.withColumns({"ratio": F.when(before > 0, F.col("acc") / before), "bad": (F.count("*").over(ahead) == 5) & (F.min("acc").over(ahead) >= 100)})
+
+
+def accuracy_checks() -> dict[str, Column]:
+    ratio = F.col("ratio")
+    return {"accuracy_drop": F.when(ratio >= 5, F.least(F.lit(1.0), (ratio - 1) / 10)), "accuracy_lost": F.when(F.col("bad"), F.lit(0.4))}
 
 
 def accuracy(points: DataFrame) -> DataFrame:
-    acc = F.coalesce("coords_accuracy", F.lit(50.0))
-    p = points.withColumn("acc", acc)
-    before = F.lag("acc").over(_order())
-    p = p.withColumn("ratio", F.when(before > 0, F.col("acc") / before))
-    ahead = _order().rowsBetween(0, 4)
-    bad = (F.count("*").over(ahead) == 5) & (F.min("acc").over(ahead) >= 100)
-    p = p.withColumn("bad", bad)
-    found = F.array_compact(F.array(F.when(F.col("ratio") >= 5, _signal("accuracy_drop", F.least(F.lit(1.0), (F.col("ratio") - 1) / 10))), F.when(F.col("bad"), _signal("accuracy_lost", F.lit(0.4)))))
-    return p.select(*KEYS, F.lit("accuracy").alias("source"), "idx", F.inline(found))
+    return with_accuracy(points).select(*KEYS, F.lit("accuracy").alias("source"), "idx", F.inline(_signals(accuracy_checks())))
 
 
 def identical_coordinates(points: DataFrame) -> DataFrame:
@@ -77,18 +91,27 @@ def identical_coordinates(points: DataFrame) -> DataFrame:
     return p.join(groups, [*KEYS, "la", "lo"]).select(*KEYS, F.lit("synthetic").alias("source"), "idx", F.lit("identical_coordinates").alias("kind"), F.least(F.lit(1.0), F.col("n") / 10.0).alias("likelihood"))
 
 
-def perfect_lines(points: DataFrame, *, most: float = 0.001) -> DataFrame:
-    """Windows of five points whose latitude and longitude are straight in the index; the signal stands at the middle."""
+def with_line(points: DataFrame) -> DataFrame:
+    """points with worst: the largest distance of this and the next four from a straight line in the index; null where they are fewer or hardly move."""
     order = _order()
-    p = points.select(*KEYS, "idx", *[F.lead(c, i).over(order).alias(f"{c}{i}") for c in ("lat", "lon") for i in range(5)]).filter("lat4 is not null")
-    distinct = [F.size(F.array_distinct(F.array(*[F.col(f"{c}{i}") for i in range(5)]))) for c in ("lat", "lon")]
-    worst = []
+    p = points.withColumns({f"{c}{i}": F.lead(c, i).over(order) for c in ("lat", "lon") for i in range(5)})
+    found, moves = [], F.col("lat4").isNotNull()
     for c in ("lat", "lon"):
         y = [F.col(f"{c}{i}") for i in range(5)]
+        moves = moves & (F.size(F.array_distinct(F.array(*y))) > 2)
         mean, slope = (y[0] + y[1] + y[2] + y[3] + y[4]) / 5, (-2 * y[0] - y[1] + y[3] + 2 * y[4]) / 10
-        worst += [F.abs(y[i] - mean - (i - 2) * slope) for i in range(5)]
-    p = p.withColumn("worst", F.greatest(*worst)).filter((distinct[0] > 2) & (distinct[1] > 2) & (F.col("worst") < most))
-    return p.select(*KEYS, F.lit("synthetic").alias("source"), (F.col("idx") + 2).alias("idx"), F.lit("perfect_line").alias("kind"), (1 - F.col("worst") / most).alias("likelihood"))
+        found += [F.abs(y[i] - mean - (i - 2) * slope) for i in range(5)]
+    return p.withColumn("worst", F.when(moves, F.greatest(*found))).drop(*[f"{c}{i}" for c in ("lat", "lon") for i in range(5)])
+
+
+def line_check(most: float = 0.001) -> Column:
+    return F.when(F.col("worst") < most, 1 - F.col("worst") / most)
+
+
+def perfect_lines(points: DataFrame, *, most: float = 0.001) -> DataFrame:
+    """Windows of five points whose latitude and longitude are straight in the index; the signal stands at the middle."""
+    p = with_line(points.select(*KEYS, "idx", "lat", "lon")).withColumn("likelihood", line_check(most)).filter("likelihood is not null")
+    return p.select(*KEYS, F.lit("synthetic").alias("source"), (F.col("idx") + 2).alias("idx"), F.lit("perfect_line").alias("kind"), "likelihood")
 
 
 def regular_timing(points: DataFrame) -> DataFrame:
@@ -133,11 +156,70 @@ def session_scores(signals: DataFrame) -> DataFrame:
     return tops.groupBy(*KEYS).agg((F.sum(F.col("w") * F.col("top")) / F.sum("w")).alias("spoofing"), tamper.alias("tampering"), F.min(1 - F.col("top")).alias("integrity"), F.sum("n").alias("n_signals"))
 
 
+def session_tops(points: DataFrame) -> DataFrame:
+    """Per session `tops`, a struct (top, n) per group of checks: its largest likelihood (null: no signal) and how many signals it has.
+
+    The same checks as in long form, with the points as what arrived, but in
+    one shuffle: all windows and the aggregate go by session.
+    """
+    p = indexed(points).select(*KEYS, "idx", "event_id", "point_index", "timestamp_unix", "time_delta", "speed", "calc_speed", "acceleration", "coords_accuracy", "lat", "lon")
+    p = with_line(with_accuracy(p))
+    jump = F.col("calc_speed") > 360
+    ahead = Window.partitionBy(*KEYS).orderBy("idx").rangeBetween(0, 10)
+    p = p.withColumn("jumps", F.when(jump, F.least(F.lit(10), F.count_if(jump).over(ahead))))
+    place = Window.partitionBy(*KEYS, "la", "lo")
+    p = p.withColumns({"la": F.round("lat", 6), "lo": F.round("lon", 6)})
+    p = p.withColumns({"same": F.count("*").over(place), "apart": (F.count("*").over(place) >= 3) & (F.max("idx").over(place) - F.min("idx").over(place) + 1 != F.count("*").over(place))})
+    arrival = Window.partitionBy(*KEYS).orderBy("point_index", "event_id")
+    one, two = F.lag("point_index", 1).over(arrival), F.lag("point_index", 2).over(arrival)
+    p = p.withColumns({
+        "gap": F.col("timestamp_unix") - F.lag("timestamp_unix").over(arrival),
+        "second": F.coalesce((F.col("point_index") == one) & ~F.coalesce(F.col("point_index") == two, F.lit(False)), F.lit(False)),
+        "new": F.coalesce(F.col("point_index") != one, F.lit(True)),
+    })
+    repeated = F.when(F.col("jumps") >= 3, F.least(F.lit(1.0), F.col("jumps") / 10.0))
+    same = F.when(F.col("apart"), F.least(F.lit(1.0), F.col("same") / 10.0))
+    groups = {
+        "physical": [*physical_checks().values(), repeated], "timestamp": list(clock_checks(F.col("gap")).values()), "accuracy": list(accuracy_checks().values()), "synthetic": [same, line_check()],
+    }
+    dt, many = F.when(F.col("time_delta") > 0, F.col("time_delta")), F.when(F.col("jumps") >= 3, F.col("jumps") - 1)
+    found = p.groupBy(*KEYS).agg(
+        *[F.max(F.array_max(F.array(*c))).alias(f"{g}_top") for g, c in groups.items()],
+        *[F.sum(F.size(F.array_compact(F.array(*c))) + (F.coalesce(many, F.lit(0)) if g == "physical" else 0)).alias(f"{g}_n") for g, c in groups.items()],
+        F.count("*").alias("n"), F.count(dt).alias("k"), F.avg(dt).alias("mean"), F.stddev_pop(dt).alias("std"), (F.max("point_index") - F.min("point_index") + 1).alias("expected"), F.count_if("new").alias("found"), F.count_if("second").alias("repeated"),
+    )
+    cv, missing = F.col("std") / F.col("mean"), F.col("expected") - F.col("found")
+    regular = F.when((F.col("n") >= 10) & (F.col("k") >= 5) & (F.col("mean") > 0) & (cv < 0.05), 1 - cv / 0.05)
+    lost = F.when((F.col("n") >= 2) & (missing > 0), F.least(F.lit(1.0), 2 * missing / F.col("expected")))
+    twice = F.when((F.col("n") >= 2) & (F.col("repeated") > 0), F.least(F.lit(1.0), F.col("repeated") / F.col("n")))
+    more = {"synthetic": [regular], "pattern": [lost, twice]}
+
+    def group(g: str) -> Column:
+        own, late = [F.col(f"{g}_top")] if g in groups else [], more.get(g, [])
+        n = (F.col(f"{g}_n") if own else F.lit(0)) + (F.size(F.array_compact(F.array(*late))) if late else 0)
+        return F.struct(F.array_max(F.array(*own, *late)).alias("top"), n.alias("n")).alias(g)
+
+    return found.select(*KEYS, F.struct(*[group(g) for g in WEIGHTS]).alias("tops"))
+
+
+def scores_of_tops(tops: DataFrame) -> DataFrame:
+    """session_scores from session_tops; null scores where there is no signal."""
+    top = {g: F.col(f"tops.{g}.top") for g in WEIGHTS}
+    total = lambda parts: sum(parts[1:], parts[0])
+    weighted = total([F.coalesce(w * top[g], F.lit(0.0)) for g, w in WEIGHTS.items()]) / total([F.when(top[g].isNotNull(), w).otherwise(0.0) for g, w in WEIGHTS.items()])
+    n = total([F.col(f"tops.{g}.n") for g in WEIGHTS]).cast("long")
+    return tops.select(
+        *KEYS, F.when(n > 0, weighted).alias("spoofing"), F.greatest(top["timestamp"], top["pattern"], F.lit(0.0)).alias("tampering"), F.when(n > 0, 1 - F.array_max(F.array(*top.values()))).alias("integrity"), n.alias("n_signals")
+    )
+
+
 def sessions(points: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """session_scores of every session, zeros without signals."""
-    found = session_scores(session_signals(points, events))
-    keys = points.select(*KEYS).distinct()
-    out = keys.join(found, KEYS, "left").fillna({"spoofing": 0.0, "tampering": 0.0, "integrity": 1.0, "n_signals": 0})
+    """session_scores of every session, zeros without signals. events: what arrived, with its order; else the points count as such."""
+    if events is None:
+        out = scores_of_tops(session_tops(points))
+    else:
+        out = points.select(*KEYS).distinct().join(session_scores(session_signals(points, events)), KEYS, "left")
+    out = out.fillna({"spoofing": 0.0, "tampering": 0.0, "integrity": 1.0, "n_signals": 0})
     return out.withColumn("requires_attention", (F.col("spoofing") >= 0.5) | (F.col("tampering") >= 0.5))
 
 

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from wayfold.operators import anomaly, baseline, profile, risk, spoofing
+from wayfold.operators import anomaly, baseline, iforest, profile, risk, spoofing
+from wayfold.sources.staging import staged
 
 
-def located(points: DataFrame, *, mature_trips: int = 5, mature_points: int = 100, iso: DataFrame | None = None) -> DataFrame:
-    """Scored points with anomalies, baseline deviation, session spoofing, risk and trust."""
+def located(points: DataFrame, *, mature_trips: int = 5, mature_points: int = 100, iso: DataFrame | None = None, forest: bool = False) -> DataFrame:
+    """Scored points with anomalies, baseline deviation, session spoofing, risk and trust.
+
+    Points are computed once, into the shared folder; the branches read from
+    there the columns they need. iso: isolation scores (event_id, iso_score);
+    forest: learn and apply isolation forests for them.
+    """
+    points = staged(points, "scored-points")
     base = baseline.wide(points, mature_trips=mature_trips, mature_points=mature_points)
-    found = anomaly.detect(points, base, iso)
-    found = risk.baseline_deviation(found, base, baseline.activities(points), profile.hours(points))
+    found = anomaly.detect(points, base, iforest.score(points) if forest else iso)
+    found = risk.baseline_deviation(found, base, baseline.activities(points), profile.hour_probabilities(points))
     return risk.locations(found, spoofing.sessions(points))
 
 

@@ -31,6 +31,6 @@ def page(points: DataFrame, *, trip_id: int | None = None, min_confidence: float
     """A page of a user's points in order, with the number of all that match. Pass one user's points."""
     found = points if trip_id is None else points.filter(F.col("trip_id") == trip_id)
     found = found.filter(F.col("confidence") >= min_confidence)
-    order = Window.partitionBy("user_id").orderBy("trip_id", "timestamp_unix", "point_index", "event_id")
-    found = found.withColumns({"total": F.count("*").over(Window.partitionBy("user_id")), "nth": F.row_number().over(order)})
-    return found.filter(F.col("nth").between(offset + 1, offset + limit))
+    order = ["trip_id", "timestamp_unix", "point_index", "event_id"]
+    here = found.orderBy(order).offset(offset).limit(limit).withColumn("total", F.lit(found.count()).cast("long"))
+    return here.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy(order)) + offset)

@@ -9,6 +9,7 @@ from wayfold.operators import anomaly, baseline, iforest, trips
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import sql
 from wayfold.queries.registry import query, rounded
+from wayfold.sources.staging import staged
 
 K = "user_id,trip_id,point_index,event_id"
 KEY = K.split(",")
@@ -159,7 +160,7 @@ select event_id, coalesce(avg(case when score>0 then score end),0e0) hbos_score
 @query("ano_08", sql.query("hbos", "select event_id,round(hbos_score,5) hbos_score from hbos"))
 def ano_08(spark: SparkSession, d: str) -> DataFrame:
     p = scored_tracks(spark, d)
-    return rounded(anomaly.hbos_score(p, anomaly.fit_hbos(p)), 5)
+    return rounded(anomaly.hbos_score(p, anomaly.fit_hbos_arrays(p)), 5)
 
 
 @query("ano_09", sql.query("zsc", f"select {K},violates_physics from zsc"))
@@ -167,7 +168,18 @@ def ano_09(spark: SparkSession, d: str) -> DataFrame:
     return anomaly.physical(scored_tracks(spark, d)).select(*KEY, "violates_physics")
 
 
-sql.define("ano", ["zsc", "hbos"], """with e as (select z.*, h.hbos_score, case when violates_physics then 1e0 else least(1e0,0.4e0*coalesce(stat_score,0)+0.2e0*coalesce(hbos_score,0)) end s0 from zsc z left join hbos h using (event_id)),
+def given_isolation(points: DataFrame) -> DataFrame:
+    """(event_id, iso_score) by arithmetic: forests are beyond SQL, so that both engines get the same scores; ano_10_forest learns them."""
+    return points.select("event_id", (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100).alias("iso_score"))
+
+
+def detected(spark: SparkSession, d: str) -> DataFrame:
+    p = scored_tracks(spark, d)
+    return anomaly.detect(p, iso=given_isolation(p))
+
+
+sql.define("ano", ["zsc", "hbos"], """with i as (select z.*, h.hbos_score, (event_id*37%101)/1e2 iso_score from zsc z left join hbos h using (event_id)),
+ e as (select *, case when violates_physics then 1e0 else least(1e0,0.3e0*iso_score+0.4e0*coalesce(stat_score,0)+0.2e0*coalesce(hbos_score,0)) end s0 from i),
  l as (select *, case when count(*) over w=5 and avg(confidence) over w<0.5e0-1e-9 then 1 else 0 end low from e window w as (partition by user_id,trip_id order by timestamp_unix,point_index,event_id rows between current row and 4 following)),
  r as (select *, sum(low) over (partition by user_id,trip_id order by timestamp_unix,point_index,event_id rows between 4 preceding and current row) low_runs from l)
 select *, least(1e0,s0+0.1e0*low_runs) anomaly_score, s0>=0.5e0 or (low_runs>0 and least(1e0,s0+0.1e0*low_runs)>=0.5e0) is_anomalous from r""")
@@ -175,28 +187,36 @@ select *, least(1e0,s0+0.1e0*low_runs) anomaly_score, s0>=0.5e0 or (low_runs>0 a
 
 @query("ano_10_11", sql.query("ano", f"select {K},round(anomaly_score,5) anomaly_score,is_anomalous,cast(low_runs as bigint) low_runs from ano"))
 def ano_10_11(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(anomaly.detect(scored_tracks(spark, d)).select(*KEY, "anomaly_score", "is_anomalous", "low_runs"), 5)
+    return rounded(detected(spark, d).select(*KEY, "anomaly_score", "is_anomalous", "low_runs"), 5)
 
 
 @query("ano_12", sql.query("ano", "select user_id,count(*) points,count(*) filter (where is_anomalous) anomalies,round(avg(case when is_anomalous then 1e0 else 0e0 end),6) rate from ano group by 1"))
 def ano_12(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(anomaly.query(anomaly.detect(scored_tracks(spark, d))))
+    return rounded(anomaly.query(detected(spark, d)))
 
 
 KINDS = [
     ("impossible_speed", "speed>300", "1e0"), ("impossible_acceleration", "abs(acceleration)>30", "1e0"), ("teleportation", "calc_speed>450", "1e0"),
     ("unusual_speed", "not violates_physics and abs(z_speed)>3", "least(1e0,abs(z_speed)/6)"), ("unusual_gap", "not violates_physics and z_time>3", "least(1e0,z_time/6)"),
-    ("unusual_pattern", "not violates_physics and coalesce(hbos_score,0)>0.7e0", "hbos_score"), ("low_confidence_sequence", "low_runs>0", "least(1e0,0.1e0*low_runs)"),
+    ("unusual_pattern", "not violates_physics and coalesce(hbos_score,0)>0.7e0", "hbos_score"), ("isolated", "not violates_physics and iso_score>0.5e0", "iso_score"), ("low_confidence_sequence", "low_runs>0", "least(1e0,0.1e0*low_runs)"),
 ]
 sql.define("asig", ["ano"], " union all ".join(f"select {K},'{k}' kind,{s} severity from ano where {c}" for k, c, s in KINDS))
 
 
 @query("ano_12_signals", sql.query("asig", "select user_id,kind,count(*) n,round(max(severity),5) worst from asig group by 1,2"))
 def ano_12_signals(spark: SparkSession, d: str) -> DataFrame:
-    s = anomaly.signals(anomaly.detect(scored_tracks(spark, d)))
+    s = anomaly.signals(detected(spark, d))
     return rounded(s.groupBy("user_id", "kind").agg(F.count("*").alias("n"), F.max("severity").alias("worst")), 5)
 
 
+@query("ano_10_forest")
+def ano_10_forest(spark: SparkSession, d: str) -> DataFrame:
+    """The ensemble with learned isolation forests."""
+    p = staged(scored_tracks(spark, d), "scored-points")
+    out = anomaly.detect(p, iso=iforest.score(p))
+    return rounded(out.select(*KEY, "violates_physics", "iso_score", "stat_score", "hbos_score", "low_runs", "anomaly_score", "is_anomalous"))
+
+
 @query("ano_01_03")
 def ano_01_03(spark: SparkSession, d: str) -> DataFrame:
     return rounded(iforest.score(scored_tracks(spark, d)))

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators import anomaly, baseline, learning, ops, predict, profile, risk, safety, spoofing
-from wayfold.plans import sessions as plan
 from wayfold.plans.tracking import scored_tracks
-from wayfold.queries import risks, sql
+from wayfold.queries import analysis, risks, sql
 from wayfold.queries.registry import query, rounded
 
 READ = "select * from {0}"
@@ -135,10 +134,11 @@ def dly_04_mlt_01(spark: SparkSession, d: str) -> DataFrame:
 # --- threat, from orders as risk history
 
 
-def order_risks(spark: SparkSession, d: str) -> DataFrame:
+def order_risks(spark: SparkSession, d: str, by: str | None = None) -> DataFrame:
     o = table(spark, d, "orders")
+    user = F.col(by) if by else F.col("o_custkey") % 50
     days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
-    return o.select((F.col("o_custkey") % 50).cast("bigint").alias("user_id"), (days * 86400.0 + F.col("o_orderkey") % 86400).alias("at"), F.least(F.lit(1.0), F.col("o_totalprice").cast("double") / 400000).alias("risk"))
+    return o.select(user.cast("bigint").alias("user_id"), (days * 86400.0 + F.col("o_orderkey") % 86400).alias("at"), F.least(F.lit(1.0), F.col("o_totalprice").cast("double") / 400000).alias("risk"))
 
 
 sql.define("orisk", [], "select cast(o_custkey%50 as bigint) user_id, (cast(o_orderdate as date)-date '1970-01-01')*86400e0+o_orderkey%86400 as taken_at, least(1e0,cast(o_totalprice as double)/400000) risk from orders")
@@ -153,7 +153,7 @@ def thr_01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("thr_02", sql.query("ano asig", "select user_id,round(avg(case when is_anomalous then 1e0 else 0e0 end),6) anomaly_rate,round(avg(anomaly_score),5) mean_anomaly,count(*) n_points,max(coalesce(k,0)) kinds from ano left join (select user_id,count(distinct kind) k from asig group by 1) using (user_id) group by 1"))
 def thr_02(spark: SparkSession, d: str) -> DataFrame:
-    a = anomaly.detect(scored_tracks(spark, d))
+    a = analysis.detected(spark, d)
     h = predict.anomaly_history(a, anomaly.signals(a))
     return h.withColumns({"anomaly_rate": F.round("anomaly_rate", 6), "mean_anomaly": F.round("mean_anomaly", 5)})
 
@@ -175,7 +175,7 @@ def thr_04(spark: SparkSession, d: str) -> DataFrame:
 
 def threats(spark: SparkSession, d: str) -> DataFrame:
     p = scored_tracks(spark, d)
-    a = anomaly.detect(p)
+    a = anomaly.detect(p, iso=analysis.given_isolation(p))
     h = predict.risk_history(order_risks(spark, d), NOW, days=35).join(predict.trend(order_risks(spark, d)), "user_id")
     h = h.join(predict.anomaly_history(a, anomaly.signals(a)), "user_id").join(predict.spoof_history(spoofing.sessions(p)), "user_id")
     return predict.threat(h.withColumn("has_drift", F.col("user_id") % 3 == 0))
@@ -348,15 +348,21 @@ def ops_04(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ops.processing_rate(log))
 
 
-@query("rsk_09")
+@query("rsk_09", sql.query("srk", "select user_id,trip_id,round(session_risk,6) session_risk,round(trust_rate,6) trust_rate,is_valid,recommendations from srk"))
 def rsk_09(spark: SparkSession, d: str) -> DataFrame:
-    s = risk.session_risk(plan.located(scored_tracks(spark, d), mature_trips=5, mature_points=50))
+    s = risk.session_risk(risks.located(spark, d))
     return rounded(s.select("user_id", "trip_id", "session_risk", "trust_rate", "is_valid", F.array_join("recommendations", ",").alias("recommendations")))
 
 
+@query("mlt_01_threat")
+def mlt_01_threat(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' risks up to NOW against whether their first order after it is a risk above 0.5."""
+    o = order_risks(spark, d, by="o_custkey")
+    later = o.filter(F.col("at") > NOW).groupBy("user_id").agg((F.min_by("risk", F.struct("at", "risk")) > 0.5).cast("int").alias("label"))
+    return learning.evaluate_threat(predict.risk_history(o, NOW, days=3650).join(later, "user_id"))
+
+
 @query("mlt_02")
 def mlt_02(spark: SparkSession, d: str) -> DataFrame:
     return rounded(learning.batched_threat(threats(spark, d)))
 
-
-_ = risks

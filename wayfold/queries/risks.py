@@ -122,7 +122,8 @@ select *, risk<0.5e0 and confidence>=0.5e0 and not is_anomalous and not requires
 
 
 def located(spark: SparkSession, d: str) -> DataFrame:
-    return plan.located(scored_tracks(spark, d), mature_trips=5, mature_points=50)
+    p = scored_tracks(spark, d)
+    return plan.located(p, mature_trips=5, mature_points=50, iso=analysis.given_isolation(p))
 
 
 @query("rsk_01_04", sql.query("loc", f"select {K},round(deviation,5) deviation,round(risk,5) risk,risk_level,is_trusted,array_to_string(reasons,',') reasons from loc"))
@@ -179,7 +180,7 @@ def viz_01(spark: SparkSession, d: str) -> DataFrame:
 @query("viz_02", sql.query("srk", f"with x as (select c.*, least(1e0,greatest(0e0,session_risk*(1+0.2e0*(1-confidence)))) r, spoofing>=0.5e0 sp from conf c join (select user_id,trip_id,session_risk,spoofing from srk) using (user_id,trip_id)) select {K},round(r,5) risk,sp spoofed,confidence>=0.5e0 and r<0.5e0 and not sp trusted,confidence<0.7e0 shows_anomalies from x"))
 def viz_02(spark: SparkSession, d: str) -> DataFrame:
     p = scored_tracks(spark, d)
-    return rounded(viz.full_timeline(p, plan.sessions(p, mature_trips=5, mature_points=50)).drop("timestamp_unix"), 5)
+    return rounded(viz.full_timeline(p, risk.session_risk(located(spark, d))).drop("timestamp_unix"), 5)
 
 
 @query("viz_03", sql.query("fast", f"select {K},risk from fast where user_id=4 and trusted order by timestamp_unix,trip_id,point_index,event_id limit 15"))
@@ -217,19 +218,44 @@ def viz_06(spark: SparkSession, d: str) -> DataFrame:
     return rounded(viz.dashboard(viz.fast_timeline(scored_tracks(spark, d))), 8)
 
 
-@query("viz_07")
+SAID = ["case when risk>=0.5e0 then 'risk is '||risk_level end", "case when confidence<0.5e0 then 'position is uncertain' end", "case when is_anomalous then 'behaviour is unusual' end", "case when requires_attention then 'position may be forged' end", "case when deviation>0.5e0 then 'differs from habits' end"]
+
+
+@query("viz_07", sql.query("loc", f"with s as (select *, list_filter([{','.join(SAID)}], lambda x: x is not null) said from loc) select {K},case when len(said)>0 then array_to_string(said[1:3],'. ') else 'nothing unusual' end explanation from s"))
 def viz_07(spark: SparkSession, d: str) -> DataFrame:
     return located(spark, d).select(*KEY, viz.explain_point().alias("explanation"))
 
 
-@query("exp_01")
+def told_sql(risk_: str, level: str, reasons: str) -> str:
+    """The sentence without its percentage, whose last digit hangs on how halves are printed."""
+    title = "array_to_string(list_transform(string_split(x,'_'), lambda w: upper(w[1])||w[2:]),' ')"
+    return f"'Risk is '||{level}||case when len({reasons})>0 then ': '||array_to_string(list_transform({reasons}[1:5], lambda x: {title}),', ')||'.' else ': nothing stands out.' end"
+
+
+def plain(out: DataFrame, keys: list[str]) -> DataFrame:
+    """Explanations with the percentage checked apart, and the factors' names in order with their contributions, rounded."""
+    factor = "array<struct<factor:string,contribution:double>>"
+    parts = F.from_json("factors", factor)
+    shares = F.array_sort(F.transform(parts, lambda p: F.concat(p["factor"], F.lit("="), F.round(p["contribution"] * 10000).cast("bigint").cast("string"))))
+    return out.select(*keys, F.regexp_replace("explanation", r" \([0-9.,]+%\)", "").alias("explanation"), F.array_join(shares, ",").alias("factors"))
+
+
+def shares_sql(parts: dict[str, str]) -> str:
+    return "array_to_string(list_sort([" + ",".join(f"'{n}='||cast(cast(round(({c})*10000) as bigint) as varchar)" for n, c in parts.items()) + "]),',')"
+
+
+OF_SESSION = {"high_risk_share": "0.25e0*least(1e0,2*high_share)", "largest_risk": "0.2e0*max_risk", "average_risk": "0.2e0*avg_risk", "spoofing": "0.2e0*spoofing", "integrity": "0.15e0*(1-integrity)"}
+OF_POINT = {"uncertain_position": "0.3e0*(1-confidence)", "anomaly": "0.3e0*anomaly_score", "spoofing": "0.25e0*greatest(spoofing,tampering)", "unlike_baseline": "0.15e0*deviation"}
+
+
+@query("exp_01", sql.query("srk", f"with s as (select *, list_filter(string_split(session_reasons,','), lambda x: x<>'') why from srk) select user_id,trip_id,{told_sql('session_risk', 'session_level', 'why')} explanation,{shares_sql(OF_SESSION)} factors from s"))
 def exp_01(spark: SparkSession, d: str) -> DataFrame:
-    return explain.sessions(risk.session_risk(located(spark, d)))
+    return plain(explain.sessions(risk.session_risk(located(spark, d))), ["user_id", "trip_id"])
 
 
-@query("exp_02")
+@query("exp_02", sql.query("loc", f"select {K},{told_sql('risk', 'risk_level', 'reasons')} explanation,{shares_sql(OF_POINT)} factors from loc"))
 def exp_02(spark: SparkSession, d: str) -> DataFrame:
-    return explain.points(located(spark, d))
+    return plain(explain.points(located(spark, d)), KEY)
 
 
 @query("rsk_profile")

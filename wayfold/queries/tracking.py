@@ -135,7 +135,20 @@ def con_01_09(spark: SparkSession, d: str) -> DataFrame:
     return rounded(plan.scored_tracks(spark, d).select(*KEY, *SCORES, "confidence", "confidence_level"))
 
 
-@query("con_08", None)
+CON_PARTS = [
+    "case when coords_accuracy is null then 'no_gps_accuracy' when coords_accuracy>100 then 'very_poor_gps_accuracy' when coords_accuracy>50 then 'poor_gps_accuracy' when coords_accuracy>25 then 'moderate_gps_accuracy' end",
+    "case when speed>100 then 'impossible_speed' when speed>80 then 'very_high_speed' end",
+    f"case when speed>1.5e0*({sql.ACT_MAX}) then 'speed_activity_mismatch' end",
+    "case when calc_speed>1 and abs(speed_diff)/calc_speed>0.5e0 then 'large_speed_discrepancy' end",
+    "case when abs(acceleration)>15 then 'impossible_acceleration' when abs(acceleration)>10 then 'emergency_acceleration' end",
+    "case when time_delta>30 then 'time_gap_'||cast(cast(floor(time_delta) as bigint) as varchar)||'s' when time_delta<0.5e0 then 'rapid_update' end",
+    "case when activity='still' and is_moving=1 and coalesce(speed,0e0)>1 then 'still_but_moving' when activity='still' and coalesce(calc_speed,0e0)>2 then 'still_but_displaced' when activity in ('running','walking','in_vehicle') and is_moving<>1 and coalesce(speed,0e0)<0.5e0 and coalesce(calc_speed,0e0)<0.5e0 then 'active_but_stationary' end",
+    "case when list_contains(quality_flags,'teleportation') then 'teleportation_detected' when list_contains(quality_flags,'gps_drift') then 'gps_drift_detected' end",
+    "case when not list_contains(quality_flags,'teleportation') and abs(bearing_change)>150 and calc_speed>5 then 'sharp_direction_change' end",
+]
+
+
+@query("con_08", sql.query("conf", f"select {K},array_to_string(list_filter([{','.join(CON_PARTS)}], lambda x: x is not null),',') confidence_flags from conf"))
 def con_08(spark: SparkSession, d: str) -> DataFrame:
     return plan.scored_tracks(spark, d).select(*KEY, F.array_join("confidence_flags", ",").alias("confidence_flags"))
 
@@ -192,6 +205,6 @@ def agg_03(spark: SparkSession, d: str) -> DataFrame:
     return quality.confidence_distribution(plan.scored_tracks(spark, d))
 
 
-@query("agg_04", sql.query("conf", "select user_id, count(distinct trip_id) trips, count(*) events, round(avg(confidence),6) mean_confidence, count(distinct trip_id) filter (where confidence>=0.5e0)>=5 and count(*) filter (where confidence>=0.5e0)>=50 is_mature from conf group by 1"))
+@query("agg_04", sql.query("conf", "select user_id, count(distinct trip_id) trips, count(*) events, floor((200*sum(cast(round(confidence*10000) as bigint))+count(*))/(2e0*count(*)))/1e6 mean_confidence, count(distinct trip_id) filter (where confidence>=0.5e0)>=5 and count(*) filter (where confidence>=0.5e0)>=50 is_mature from conf group by 1"))
 def agg_04(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.user_summary(plan.scored_tracks(spark, d), mature_trips=5, mature_points=50))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,30 +19,56 @@ def delete(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 class Table:
-    """A table in versions: each write makes a new folder and then moves the pointer, so readers never see half a write."""
+    """A table in versions: version N is a small file that names the folders which hold its rows.
+
+    A version's file appears whole or not at all, under a name that nobody else
+    can take: readers never see half a write, and of two writers that began
+    from the same version the second fails and has to begin again. Appending
+    adds a folder; upserting and deleting write the rows anew.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
         self.schema = spark.createDataFrame([], schema).schema
+        self._place = spark._jvm.org.apache.hadoop.fs.Path
+
+    def _files(self) -> object:
+        return self._place(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> dict:
+        """The newest version: its number, folders and mark."""
+        files, versions = self._files(), self._place(f"{self.path}/versions")
+        numbers = [int(s.getPath().getName()) for s in files.listStatus(versions) if s.getPath().getName().isdigit()] if files.exists(versions) else []
+        if not numbers:
+            return {"number": 0, "folders": [], "mark": None}
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{max(numbers)}").first()[0])
+
+    def _publish(self, before: dict, folders: list[str], mark: str | None) -> None:
+        version = {"number": before["number"] + 1, "folders": folders, "mark": before["mark"] if mark is None else mark}
+        files, written = self._files(), self._place(f"{self.path}/versions/.{uuid.uuid4().hex}")
+        out = files.create(written, False)
+        out.write(bytearray(json.dumps(version).encode()))
+        out.close()
+        name = self._place(f"{self.path}/versions/{version['number']}")
+        if files.exists(name) or not files.rename(written, name):
+            files.delete(written, False)
+            raise RuntimeError(f"another writer has made version {version['number']} of {self.path}")
+
+    def _folder(self, rows: DataFrame) -> str:
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.select(self.schema.names).write.parquet(f"{self.path}/{folder}")
+        return folder
 
-    def _pointer(self) -> tuple:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+    def _rows(self, version: dict) -> DataFrame:
+        folders = [f"{self.path}/{f}" for f in version["folders"]]
+        return self.spark.read.schema(self.schema).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
-        fs, pointer = self._pointer()
-        if not fs.exists(pointer):
-            return self.spark.createDataFrame([], self.schema)
-        version = self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def _write(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.select(self.schema.names).write.parquet(f"{self.path}/{version}")
-        fs, pointer = self._pointer()
-        out = fs.create(pointer, True)
-        out.write(bytearray(version.encode()))
-        out.close()
+        return self._rows(self._current())
+
+    def mark(self) -> str | None:
+        """What the last writer that gave a mark has left (a stream: its batch)."""
+        return self._current()["mark"]
 
     def get(self, **key: object) -> DataFrame:
         rows = self.read()
@@ -52,22 +79,26 @@ class Table:
     def page(self, limit: int = 100, offset: int = 0) -> DataFrame:
         return self.read().orderBy(*self.keys).offset(offset).limit(limit)
 
-    def create(self, rows: DataFrame) -> int:
+    def create(self, rows: DataFrame, *, mark: str | None = None) -> int:
         """Append; the number of rows appended."""
-        self._write(self.read().unionByName(rows.select(self.schema.names)))
-        return rows.count()
+        before = self._current()
+        folder = self._folder(rows)
+        self._publish(before, [*before["folders"], folder], mark)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}").count()
 
-    def upsert(self, rows: DataFrame) -> None:
-        self._write(upsert(self.read(), rows.select(self.schema.names), self.keys))
+    def upsert(self, rows: DataFrame, *, mark: str | None = None) -> None:
+        before = self._current()
+        self._publish(before, [self._folder(upsert(self._rows(before), rows.select(self.schema.names), self.keys))], mark)
 
-    def delete(self, rows: DataFrame) -> None:
-        self._write(delete(self.read(), rows, self.keys))
+    def delete(self, rows: DataFrame, *, mark: str | None = None) -> None:
+        before = self._current()
+        self._publish(before, [self._folder(delete(self._rows(before), rows, self.keys))], mark)
 
     def count(self) -> int:
         return self.read().count()
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], self.schema))
+        self._publish(self._current(), [], None)
 
 
 def fresh(requests: DataFrame, records: DataFrame, seconds: float, *, cell: str = "cell", at: str = "at", value: list[str]) -> DataFrame:

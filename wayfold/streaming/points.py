@@ -8,11 +8,14 @@ history isn't rewritten.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayfold.operators import baseline
@@ -48,48 +51,72 @@ STATE = "t double, lat double, lon double, speed double, n bigint, stopped boole
 FEATURES = "user_id bigint, trip_id bigint, event_id bigint, time_delta double, distance double, calc_speed double, acceleration double, is_stop boolean, stop_duration double, late boolean"
 
 
-def _distance(a: float, b: float, c: float, d: float) -> float:
+def _distance(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     p, q = np.radians(a), np.radians(c)
     h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(d - b) / 2) ** 2
-    return float(2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h)))
+    return 2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
 
-def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Features of one trip's events against the last one seen; the state is one row."""
+def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """Features of one trip's events against the last one seen; the state is one row, and goes when no event has come for ttl_ms."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     rows = pd.concat(list(batches)).sort_values(["timestamp_unix", "point_index", "event_id"])
     last = state.get if state.exists else None
-    out = []
-    for r in rows.itertuples(index=False):
-        v = None if r.speed is None or not r.speed >= 0 else float(r.speed)
-        if last is not None and r.timestamp_unix < last[0]:
-            out.append((key[0], key[1], r.event_id, r.timestamp_unix - last[0], None, None, None, None, None, True))
-            continue
-        if last is None:
-            stop = r.is_moving != 1
-            out.append((key[0], key[1], r.event_id, None, None, None, None, stop, None, False))
-            last = (r.timestamp_unix, r.lat, r.lon, v, 1, bool(stop), 0.0)
-            continue
-        dt = r.timestamp_unix - last[0]
-        d = _distance(last[1], last[2], r.lat, r.lon)
-        calc = d / dt if dt > 0 else None
-        acc = (v - last[3]) / dt if dt > 0 and v is not None and last[3] is not None else None
-        stop = bool(r.is_moving != 1 or r.activity == "still" or (v is not None and v < 0.5) or (calc is not None and calc < 0.5))
-        run = (last[6] + dt if last[5] else 0.0) if stop else 0.0
-        out.append((key[0], key[1], r.event_id, dt, d, calc, acc, stop, run if stop else None, False))
-        last = (r.timestamp_unix, r.lat, r.lon, v, last[4] + 1, stop, run)
-    state.update(last)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
-
-
-def features(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("user_id", "trip_id").applyInPandasWithState(follow, FEATURES, STATE, "append", GroupStateTimeout.NoTimeout)
+    late = rows[rows["timestamp_unix"] < last[0]] if last else rows[:0]
+    rows = rows[len(late) :]  # in order of time, the late ones come first
+    if len(late):
+        nothing = dict.fromkeys(("distance", "calc_speed", "acceleration", "is_stop", "stop_duration"))
+        yield pd.DataFrame({"user_id": key[0], "trip_id": key[1], "event_id": late["event_id"], "time_delta": late["timestamp_unix"] - last[0], **nothing, "late": True}, index=late.index)
+    if len(rows):
+        # the last event seen stands before the new ones
+        t, lat, lon = (np.concatenate(([last[i]] if last else [np.nan], rows[c].to_numpy(float))) for i, c in enumerate(("timestamp_unix", "lat", "lon")))
+        v = rows["speed"].to_numpy(float)
+        v = np.concatenate(([np.nan if last is None or last[3] is None else last[3]], np.where(v >= 0, v, np.nan)))
+        dt, d = np.diff(t), _distance(lat[:-1], lon[:-1], lat[1:], lon[1:])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            calc, acc = np.where(dt > 0, d / dt, np.nan), np.where(dt > 0, np.diff(v) / dt, np.nan)
+        stop = rows["is_moving"].to_numpy() != 1
+        after = ~np.isnan(dt)
+        stop = stop | (after & ((rows["activity"] == "still").to_numpy() | (v[1:] < 0.5) | (calc < 0.5)))
+        before = np.concatenate(([bool(last and last[5])], stop[:-1]))
+        stayed = np.cumsum(np.where(stop & before & after, dt, 0.0))
+        start = np.maximum.accumulate(np.where(stop & before, -np.inf, stayed))  # where the run of stops began
+        run = np.where(stop, stayed - np.where(np.isfinite(start), start, 0.0) + np.where(np.isfinite(start), 0.0, last[6] if last else 0.0), 0.0)
+        state.update((float(t[-1]), float(lat[-1]), float(lon[-1]), None if np.isnan(v[-1]) else float(v[-1]), (last[4] if last else 0) + len(rows), bool(stop[-1]), float(run[-1])))
+        number = lambda x: pd.Series(x, index=rows.index).astype(object).where(~np.isnan(x), None)
+        yield pd.DataFrame({
+            "user_id": key[0], "trip_id": key[1], "event_id": rows["event_id"], "time_delta": number(dt), "distance": number(d), "calc_speed": number(calc), "acceleration": number(acc),
+            "is_stop": stop, "stop_duration": number(np.where(stop & after, run, np.nan)), "late": False,
+        })
+    seen = state.get[0] if state.exists else 0.0
+    state.setTimeoutTimestamp(max(int(seen * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def features(stream: DataFrame, *, late: str = "1 day", ttl: timedelta = timedelta(days=1)) -> DataFrame:
+    """Features as they come.
+
+    Events that come after later ones of their trip are marked as late; those
+    older than the watermark, `late` behind the newest event, are left out. A
+    trip is forgotten once the watermark is `ttl` beyond its last event.
+    """
+    grouped = stream.withWatermark("event_time", late).groupBy("user_id", "trip_id")
+    return grouped.applyInPandasWithState(partial(follow, ttl_ms=int(ttl.total_seconds() * 1000)), FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def baseline_updater(table: Table) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over scored points: blends a batch's metrics into a table of metrics by user."""
+    """For foreachBatch over scored points: blends a batch's metrics into a table of metrics by user, each batch once however often it is sent."""
 
-    def update(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            table.upsert(baseline.blend(table.read(), baseline.metrics(batch)))
+    def update(batch: DataFrame, number: int) -> None:
+        done = table.mark()
+        if (done is None or number > int(done)) and not batch.isEmpty():
+            table.upsert(baseline.blend(table.read(), baseline.metrics(batch)), mark=str(number))
 
     return update
+
+
+def start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, every: str | None = None) -> StreamingQuery:
+    """Run a stream's batches through `each`: every so often (`10 seconds`), or all there is now and then end."""
+    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
