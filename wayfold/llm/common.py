@@ -3,45 +3,30 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: White space of the corpus contracts: blank, tab, LF, VT, FF, CR.
-WORD = r"[^\x20\x09-\x0D]+"
+from wayfold.sources.staging import discard, staged
 
+__all__ = ["WORD", "bounded_batches", "discard", "materialize", "partitions", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the setting is missing (tests in one process) a folder of our
-    own is made and put into the session.
-    """
-    key = "spark.checkpoint.dir"
-    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set(key, folder)
-    return folder.rstrip("/")
+#: White space of the corpus contracts: blank, tab, LF, VT, FF, CR.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def materialize(df: DataFrame, tag: str, *, release: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+    """df as a staged table: lineage cut, and the rows where a lost executor can't take them.
 
-    Cuts the lineage and keeps the rows where a lost executor can't take them.
     release: have Spark drop the shuffle files of what is done with. It does so
     when the driver collects garbage, which may otherwise be long after.
     """
-    spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = staged(df, tag)
     if release:
+        spark = df.sparkSession
         del df
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,21 +40,3 @@ def partitions(spark: SparkSession) -> int:
 def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches of at most about `mb` MB, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
-
-
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, after which a reused Python worker gives the memory it has freed back to the machine."""
-
-    def tidied(batches: Iterator) -> Iterator:
-        yield from run(batches)
-        import ctypes
-
-        import pyarrow as pa
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
-
-    return tidied

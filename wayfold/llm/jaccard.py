@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, materialize, partitions
+from .common import bounded_batches, discard, materialize, partitions
 
 #: Documents in the sample that tells frequent shingles (or one in so many, if
 #: that is more), how often a shingle is in them to count as frequent, and how
@@ -603,8 +603,8 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(folded(a, least), folded(b, least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, n: total + n).cast("long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, linked): the exact Jaccard distance, or where sizes or bit maps rule a link out, a lower bound of it.
+def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, d, linked): the exact Jaccard distance, or where sizes or bit maps rule a link out, a lower bound of it; and a table to discard after that.
 
     Bit maps are a small part of the sets; most pairs that don't link go no further.
     """
@@ -625,7 +625,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sets = sets.filter(listed(open_nodes, F.xxhash64("node"), F.xxhash64("node")))
     exact = met.filter("open").select("a", "b", "na", "nb").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("both", both)
     union = total - F.col("both")
-    return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked")))
+    return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))), met
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -656,15 +656,18 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = _rows(docs, id_col, text_col)
     parts = partitions(docs.sparkSession)
     frequent = frequent_shingles(rows, rows.count())
-    signed = materialize(signed_rows(rows, frequent), "signatures", release=True)
-    members = materialize(signed.filter(F.col("sigs").isNull()).drop("sigs"), "members")
+    made = materialize(signed_rows(rows, frequent), "signatures", release=True)
+    members = materialize(made.filter(F.col("sigs").isNull()).drop("sigs"), "members")
     nodes = materialize(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    signed = materialize(candidates(signed.filter(F.col("sigs").isNotNull()).select("node", F.explode("sigs").alias("sig")), parts), "signed", release=True)
+    signed = materialize(candidates(made.filter(F.col("sigs").isNotNull()).select("node", F.explode("sigs").alias("sig")), parts), "signed", release=True)
+    discard(made)
     whole = signed.filter(F.col("kind") != RAW)
     first = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
     known = materialize(certain_differences(members, components(first)), "differences")
     near = signed.filter(F.col("kind") == RAW).select("sig", F.col("b").alias("node")).join(known, "node")
-    second = _resolved(materialize(candidates(near, parts), "near"), known, rows, nodes, first, parts)
+    near = materialize(candidates(near, parts), "near", release=True)
+    discard(signed)
+    second = _resolved(near, known, rows, nodes, first, parts)
     edges = materialize(first.union(second).distinct(), "links", release=True)
     labels = components(edges)
     low = materialize(labels.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("low")), "lowest")
@@ -677,14 +680,20 @@ def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFr
     """The links (a, b, d) among candidates and around their centres; known: node, f, comp; before: earlier links."""
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", release=True)
     sets = materialize(needed_sets(rows, nodes, pairs), "sets", release=True)
-    links = materialize(verified(pairs, sets).filter("linked").select("a", "b", "d"), "links", release=True)
+    found_links, met = verified(pairs, sets)
+    links = materialize(found_links.filter("linked").select("a", "b", "d"), "links", release=True)
+    discard(pairs, met)
     stars = materialize(found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct(), "stars")
     if stars.isEmpty():
+        discard(sets)
         return links
     labels = components(links if before is None else links.union(before)).withColumnRenamed("comp", "now")
     known = known.join(labels, "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
     more = materialize(around_centres(stars, known.join(sets.select("node", "n", "bits"), "node"), parts), "around-pairs")
-    return materialize(links.union(verified(more, sets).filter("linked").select("a", "b", "d")).distinct(), "links", release=True)
+    found_links, met = verified(more, sets)
+    links = materialize(links.union(found_links.filter("linked").select("a", "b", "d")).distinct(), "links", release=True)
+    discard(sets, met)
+    return links
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

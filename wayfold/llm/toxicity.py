@@ -15,7 +15,7 @@ a hash of their id; every document is scored on its whole text.
 
 Cases: null and empty texts have probability 0 in every category and are kept;
 labels with a null are left out, several of one document count as their
-largest; a category that all or none of the training rows have gets its share
+largest, and of several texts of one document the smallest trains; a category that all or none of the training rows have gets its share
 as probability; without any labels all probabilities are 0; repeated rows give
 repeated results; an empty table gives an empty result; columns beside id and
 text don't matter, whatever their names.
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, tidy
+from .common import bounded_batches, materialize
 
 TRAIN_ROWS = 8000
 FOLDS = 3
@@ -139,8 +139,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], id_
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "id"), 11) / F.lit(float(1 << 53))
     drawn = known.filter(chance < train_rows / max(1, n)).withColumn("fold", F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(FOLDS)).cast("int"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(drawn), "id").dropDuplicates(["id"])  # about train_rows rows
     names = [f"c{i}" for i in range(len(categories))]
+    rows = rows.join(F.broadcast(drawn), "id").groupBy("id", "fold", *names).agg(F.min("text").alias("text"))  # about train_rows rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -149,7 +149,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], id_
             out["shares"] = [text_shares(t) for t in b["text"]]
             yield out
 
-    return rows.mapInPandas(tidy(run), f"fold int, {', '.join(f'{c} int' for c in names)}, features array<string>, shares array<double>")
+    return rows.mapInPandas(run, f"fold int, {', '.join(f'{c} int' for c in names)}, features array<string>, shares array<double>")
 
 
 def choose_vocabulary(rows: DataFrame, n_categories: int) -> dict[str, int]:
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_col: st
             out["known"] = [[vocabulary[f] for f in features if f in vocabulary] for features in b["features"]]
             yield out
 
-    found = rows.mapInPandas(tidy(run), f"fold int, shares array<double>, {', '.join(f'{c} int' for c in names)}, known array<int>").collect()
+    found = rows.mapInPandas(run, f"fold int, shares array<double>, {', '.join(f'{c} int' for c in names)}, known array<int>").collect()
     found = sorted(found, key=lambda r: (r["fold"], list(r["shares"]), list(r["known"])))
     empty = Chain(categories, vocabulary, [])
     x = np.stack([empty.vector(r["known"], r["shares"]) for r in found]) if found else np.zeros((0, len(vocabulary) + SHARES), dtype=np.float32)
@@ -231,7 +231,7 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInPandas(tidy(run), f"id {kind}, {', '.join(f'{n} double' for n in names)}")
+    out = rows.mapInPandas(run, f"id {kind}, {', '.join(f'{n} double' for n in names)}")
     return out.select(F.col("id").alias(id_col), *[F.col(n).alias(f"p_{c}") for n, c in zip(names, chain.categories, strict=True)])
 
 
@@ -245,7 +245,7 @@ def without(docs: DataFrame, chain: Chain, category: str, *, text_col: str = "te
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(place).to_pylist())[:, at] < threshold))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 #: The categories of the labels table, in the order of the chain.
