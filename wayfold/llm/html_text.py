@@ -2,7 +2,9 @@
 
 A page is cut into text lines, one per block element. Lines in elements that
 never hold the article (menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, reader comments, hidden parts) are left out. The rest
+adverts, forms, scripts, reader comments, hidden parts) are left out; a class or
+id tells so only if all its words do or stand around such (`cookie-notice`,
+`comment-list`, but not `share-prices`). The rest
 is compared with the page nearest by URL path on the same host: the two pages'
 lines, inside and outside the article, are aligned by their longest common
 subsequence. Where a page doesn't mark its article (article, main), lines that
@@ -21,7 +23,7 @@ Cases: null and empty pages have the empty text; a null url, or one without
 `://`, has an empty host and the url's own text as path; a page alone on its
 host is not differenced; repeated rows are compared like other pages (and keep
 their text, being copies); an empty table gives an empty result; columns beside
-id, url and html don't matter. Pages are read whole.
+id, url and html don't matter. Pages are read whole, however long.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +43,8 @@ from .common import bounded_batches, partitions
 from .sharding import SAMPLE_BOUND, SAMPLE_PER_RANGE, quantile_bounds
 
 PAGES_PER_RANGE = 64
+#: Bits of an alignment's table at most (32 MB).
+ALIGNED_BITS = 1 << 28
 
 # Names of the HTML standard, and words that sites use in class and id.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "noembed", "noframes", "xmp", "template"}
@@ -58,6 +63,10 @@ NAMES = {
     "subscribe", "subscription", "tags", "toolbar", "topbar", "trending", "widget",
 }
 OUTSIDE_NAMES = {"header"}
+AROUND = {
+    "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "first", "form", "global", "group", "icons", "inner", "item", "items", "last", "left",
+    "articles", "level", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "stories", "right", "row", "secondary", "section", "site", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 
 OPENS = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -80,8 +89,8 @@ def left_out(name: str, attributes: str, inside: bool) -> bool:
         if key == "role" and value in ROLES:
             return True
         if key in ("class", "id"):
-            words = set(PARTS.findall(value))
-            if words & ({"comment", "comments"} if name in NEVER_BY_NAME else NAMES) or not inside and name not in NEVER_BY_NAME and words & OUTSIDE_NAMES:
+            names = {"comment", "comments"} if name in NEVER_BY_NAME else NAMES if inside else NAMES | OUTSIDE_NAMES
+            if any((words := set(PARTS.findall(one))) & names and words <= names | AROUND for one in value.split()):
                 return True
     return False
 
@@ -175,17 +184,34 @@ def candidate_lines(page: str) -> tuple[list[str], list[bool], bool]:
     return [line for line, _, _ in lines], [kept and (inside or not marked) for _, inside, kept in lines], marked
 
 
-def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places in a and b of a longest common subsequence (bit-parallel, a bit per line of b)."""
+def rows_of(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each start of a, from the empty one: an integer with a bit per line of b, 0 where the longest common subsequence grows by that line."""
     places: dict[str, int] = {}
     for j, line in enumerate(b):
         places[line] = places.get(line, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows = [full]
+    v = full = (1 << len(b)) - 1
+    yield v
     for line in a:
-        v = rows[-1]
         u = v & places.get(line, 0)
-        rows.append(((v + u) | (v - u)) & full)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each start of b."""
+    for v in rows_of(a, b):
+        last = v
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places in a and b of a longest common subsequence (bit-parallel); long pages are halved first, so that memory is bounded."""
+    if len(a) * len(b) > ALIGNED_BITS and len(a) > 1:
+        half = len(a) // 2
+        cut = int((lengths(a[:half], b) + lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return aligned(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in aligned(a[half:], b[cut:])]
+    rows = list(rows_of(a, b))
     out, i, j = [], len(a), len(b)
     while i and j:
         bit = 1 << (j - 1)
