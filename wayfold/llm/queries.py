@@ -56,11 +56,12 @@ URL_RULES = ["allow com/", "block example.com/en/", "allow www.example.com/en/",
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .url_rules import filter_urls
+    from .url_rules import filter_urls, labels_by_text
 
-    # the tables have labels of this one kind only; their ids stand for pages too
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, labels=labels)
+    # the tables label documents only: pages are labelled by what such documents say
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, URL_RULES, labels=labels_by_text(pages, table(spark, sf_dir, "documents"), labels))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

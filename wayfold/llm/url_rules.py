@@ -10,8 +10,13 @@ it as often as it has tokens.
 
 FP-growth sees at most about `train_rows` of the labels, drawn by a hash of the
 url. (What the hand-written rules judge is no use as labels: they choose by the
-very tokens that would be mined, so that every other url looks blocked.) How many rules there are is bounded by the support: a url has few
-tokens, so at most C(tokens, length) / min_support combinations are frequent.
+very tokens that would be mined, so that every other url looks blocked.) How
+many rules there are is bounded by the support: a url has few tokens, so few
+combinations are frequent; there is no bound on a rule's length.
+
+Where only documents are labelled, `labels_by_text` labels pages: a logistic
+regression on hashed words, fitted on a bounded sample of labelled documents,
+judges the text of a bounded sample of pages, all in Spark's own functions.
 
 Cases: a null url, or one without `://`, has an empty host and path and no
 tokens, so no rule and the verdict `allow`; repeated rows give repeated
@@ -24,6 +29,8 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,7 +100,7 @@ def judged_by_rules(urls: DataFrame, rules: list[UrlRule], url_col: str = "url")
     return out.withColumns({"_rule": rule, "_verdict": verdict, "_tokens": url_tokens(url, F.col("_host"), F.col("_path"))})
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.8, longest: int = 4, train_rows: int = 50_000, seed: int = 5) -> list[dict]:
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.8, train_rows: int = 50_000, seed: int = 5) -> list[dict]:
     """Token combinations that imply `block`, from rows with _tokens and _verdict; pruned by support (min_rows at least), confidence and simpler rules."""
     n = labelled.count()
     if n < min_rows:
@@ -102,7 +109,7 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int
     sample = labelled.filter(chance < train_rows / n) if n > train_rows else labelled
     label = F.when(F.col("_verdict") == "block", F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / min(n, train_rows)), minConfidence=min_confidence).fit(sample.select(F.concat("_tokens", label).alias("items")))
-    found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BLOCK))) & (F.size("antecedent") <= longest)).select("antecedent", "confidence", "support").collect()
+    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support").collect()
     found = sorted(found, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"])))
     kept: list[dict] = []
     for r in found:
@@ -112,6 +119,36 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int
     return kept
 
 
+def drawn(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
+    """About `most` rows, drawn by a hash of the key, or all if they are no more."""
+    n = rows.count()
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 11) / F.lit(float(1 << 53))
+    return rows.filter(chance < most / n) if n > most else rows
+
+
+def labels_by_text(pages: DataFrame, docs: DataFrame, labels: DataFrame, *, id_col: str = "page_id", html_col: str = "html", doc_id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8_000, label_rows: int = 50_000, features: int = 1 << 16, seed: int = 9) -> DataFrame:
+    """(id, block) for about label_rows pages, judged by a model of about train_rows labelled documents. labels: (doc id, `block` boolean).
+
+    Without labels of both kinds no page is labelled.
+    """
+    hashing = HashingTF(inputCol="words", outputCol="features", numFeatures=features, binary=True)
+
+    def featured(rows: DataFrame, text: Column) -> DataFrame:
+        words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+|[^\p{L}\s]+"), F.lit(0))
+        return hashing.transform(rows.withColumn("words", words))
+
+    known = labels.select(F.col(doc_id_col).alias("_id"), "block").filter(F.col("_id").isNotNull() & F.col("block").isNotNull()).distinct()
+    known = drawn(known, F.col("_id"), train_rows, seed).join(docs.select(F.col(doc_id_col).alias("_id"), F.col(text_col).cast("string").alias("text")), "_id")
+    known = featured(known, F.col("text")).select("features", F.col("block").cast("double").alias("label")).cache()
+    plain = F.regexp_replace(F.regexp_replace(F.col(html_col).cast("string"), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    some = drawn(pages.select(F.col(id_col), F.col(html_col)), F.col(id_col), label_rows, seed)
+    if known.agg(F.count_distinct("label")).first()[0] < 2:
+        return some.select(id_col, F.lit(False).alias("block")).limit(0)
+    model = LogisticRegression(maxIter=20, regParam=0.01).fit(known)
+    known.unpersist()
+    return model.transform(featured(some, plain)).select(id_col, (F.col("prediction") > 0.5).alias("block"))
+
+
 def fired(tokens: Column, mined: list[dict]) -> Column:
     """Numbers of the mined rules all of whose tokens are among `tokens`, by the inverted index."""
     if not mined:
