@@ -62,6 +62,35 @@ def test_shards_of_odd_tables(spark):
     assert sorted(map(str, again)) == sorted(map(str, sharding.shard_by_bytes(documents(spark, ODD).repartition(3)).collect()))
 
 
+def test_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RECORDS_PER_RANGE", 8)
+    rng = random.Random(21)
+    texts = [prose(rng, rng.randint(1, 30)) for _ in range(300)] + ["the same"] * 40 + [None] * 60 + ["x" * 900] * 5
+    ids = [None if i % 7 == 0 else i for i in range(len(texts))]
+    docs = documents(spark, texts, ids=ids)
+    key = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).distinct().collect()}
+    rows = sorted((key[t], -(1 << 63) if i is None else i, len((t or "").encode()) + 1) for i, t in zip(ids, texts, strict=True))
+    total, most = sum(r[2] for r in rows), max(r[2] for r in rows)
+    limit, want, at = max(int(total / 8 / 32), 2 * most), [], 0
+    for k in sorted(set(key.values())):
+        own = [r for r in rows if r[0] == k]
+        size, upto = sum(r[2] for r in own), at
+        for _, i, n in own:
+            middle = at + size / 2 if size <= limit else upto + n / 2
+            want.append((None if i < 0 else i, n, min(int(middle * 8 // total), 7), size > limit))
+            upto += n
+        at += size
+    got = sharding.shard_by_bytes(docs, 8).collect()
+    assert sorted(map(str, ((r["doc_id"], r["size"], r["shard"], r["group_cut"]) for r in got))) == sorted(map(str, want))
+
+
+def test_rows_without_size_or_id_are_spread(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 < 3, F.xxhash64("id")).otherwise(0).alias("_key"), F.lit(sharding.LEAST).alias("_id"), F.col("id").alias("_nth"), F.when(F.col("id") % 10 < 3, 100).otherwise(1).cast("long").alias("_size"))
+    total = rows.agg(F.sum("_size")).first()[0]
+    counts = [r["count"] for r in sharding.with_range(rows, sharding.split_ranges(rows, 30_000, total)).groupBy("_range").count().collect()]
+    assert len(counts) > 60 and max(counts) <= 4 * 30_000 / len(counts)
+
+
 # --- 2 winnowing
 
 
@@ -136,6 +165,42 @@ def test_splitting_tree_is_exact():
         assert max(totals) - min(totals) <= 1
 
 
+def test_hypergeometric_draws():
+    from math import comb
+
+    rng = random.Random(6)
+    for good, bad, draws in ((7, 9, 6), (3, 40, 20), (30, 2, 25), (5, 5, 10)):
+        seen = [mixing.hypergeometric(good, bad, draws, rng) for _ in range(20_000)]
+        for k in range(max(0, draws - bad), min(good, draws) + 1):
+            p = comb(good, k) * comb(bad, draws - k) / comb(good + bad, draws)
+            assert abs(seen.count(k) / len(seen) - p) < 5 * (p * (1 - p) / len(seen)) ** 0.5 + 1e-9
+    large = [mixing.hypergeometric(10**9, 2 * 10**9, 10**6, rng) for _ in range(200)]
+    assert abs(sum(large) / len(large) - 10**6 / 3) < 300 and len(set(large)) > 100
+
+
+def test_parts_of_a_line_add_up_and_are_disjoint():
+    rng = random.Random(7)
+    for _ in range(300):
+        size = rng.randint(1, 5000)
+        words = rng.randint(0, 3 * size)
+        epochs, last, before, drawn = mixing.quotas(words, size)
+        tree = mixing.splitting_tree([before, drawn], 8, rng.randint(0, 9999))
+        parts = sorted((p["lo"], p["hi"]) for p in mixing.drawn_parts(words, size, [t[0] for t in tree], [t[1] for t in tree]))
+        assert sum(hi - lo for lo, hi in parts) == words and all(a[1] <= b[0] for a, b in zip(parts, parts[1:], strict=False))
+        assert not parts or parts[0][0] >= 0 and parts[-1][1] <= epochs * size
+
+
+def test_the_tree_chooses_the_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = documents(spark, [prose(rng, 200) for _ in range(60)], sources=["a", "b", "c"] * 20)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken_by_document(mixing.mix(docs, shards=4)).collect()}
+    grow = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda counts, n, seed: [[sum(x) for x in zip(*grow(counts, n, seed), strict=True)]] + [[0] * len(counts)] * (n - 1))
+    other = mixing.taken_by_document(mixing.mix(docs, shards=4)).collect()
+    assert {r["doc_id"]: r["taken"] for r in other} != taken and sum(taken.values()) == sum(r["taken"] for r in other)
+    assert all(set(r["shards"]) <= {0} and sum(r["shard_words"]) == r["taken"] for r in other)
+
+
 def test_mix(spark):
     rng = random.Random(5)
     texts = [prose(rng, rng.randint(0, 40)) for _ in range(500)] + ODD
@@ -237,6 +302,44 @@ def test_pages_at_range_ends_keep_their_neighbours(spark, monkeypatch):
     assert len(want) == 13 and not any("Site" in r for r in want)
 
 
+def test_class_names_inside_an_article(spark):
+    body = "<p>One.</p><div class='related-work'>Two.</div><p id='comment-on-law'>Three.</p><div class='share-prices'>Four.</div><ul class='search-results'><li>Five.</ul>"
+    gone = "<div class='cookie-notice'>x</div><div id=comment-list>x</div><div class='post ad-slot-3 share-bar'>x</div><div class='related-posts'>x</div>"
+    pages = spark.createDataFrame([(1, "http://h.example/a", f"<article>{body}{gone}</article>")], "page_id bigint, url string, html string")
+    assert html_text.extract(pages).first()["text"] == "One. Two. Three. Four. Five."
+
+
+def test_differencing_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PAGES_PER_RANGE", 2)
+    rng = random.Random(31)
+    rows = []
+    for i in range(120):
+        host, path = f"h{rng.randint(0, 9)}.example", f"/{rng.choice('ab')}/{rng.choice('xyz')}{rng.randint(0, 30)}/{i}"
+        lines = [f"site {host}", *[f"line {rng.randint(0, 40)}" for _ in range(rng.randint(0, 5))], f"foot {path[1]}"]
+        rows.append((i, host, path, lines))
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", "".join(f"<div>{x}</div>" for x in lines)) for i, h, p, lines in rows], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    for i, h, p, lines in rows:
+        own = sorted((q, j, other) for j, g, q, other in rows if g == h)
+        at = [j for _, j, _ in own].index(i)
+        sides = [own[k] for k in (at - 1, at + 1) if 0 <= k < len(own)]
+        partner = max(sides, key=lambda s: len(html_text.os.path.commonprefix([p, s[0]])))[2] if sides else []
+        shared = set(html_text.common_lines(lines, partner))
+        assert got[i] == " ".join([x for k, x in enumerate(lines) if k not in shared] or lines)
+
+
+def test_long_pages_align_in_bounded_memory(monkeypatch):
+    rng = random.Random(32)
+    for most in (1, 8, 40):
+        for _ in range(100):
+            monkeypatch.undo()
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+            whole = len(html_text.aligned(a, b))
+            monkeypatch.setattr(html_text, "ALIGNED_BITS", most)
+            found = html_text.aligned(a, b)
+            assert len(found) == whole and all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(7)
 
@@ -302,6 +405,23 @@ def test_mined_rules_find_planted_tokens(spark):
     assert [sorted(r[0]) for r in df.select(url_rules.fired(F.col("t"), mined)).collect()] == [[0], [1], [], []]
 
 
+def test_pages_get_labels_by_their_text(spark):
+    rng = random.Random(41)
+    bad = lambda: " ".join(f"{rng.choice(WORDS)}{rng.choice(['***', '%%%', '###'])}" for _ in range(60))
+    texts = [bad() if i % 3 == 0 else prose(rng, 60) for i in range(200)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, i % 3 == 0) for i in range(150)], "doc_id bigint, block boolean")
+    pages = spark.createDataFrame(
+        [(i, f"http://{'farm' if i % 4 == 0 else f'h{i % 7}'}.example.org/en/{i}", f"<script>var x=1</script><p>{bad() if i % 4 == 0 else prose(rng, 60)}</p>") for i in range(300)] + [(None, None, None), (301, "", "")], "page_id bigint, url string, html string"
+    )
+    found = url_rules.labels_by_text(pages, docs, labels)
+    told = {r["page_id"]: r["block"] for r in found.collect()}
+    assert len(told) == 302 and sum(told[i] == (i % 4 == 0) for i in range(300)) >= 290
+    rows = {r["page_id"]: r for r in url_rules.filter_urls(pages, RULES, labels=found).collect()}
+    assert all((rows[i]["verdict"] == "block") == (i % 4 == 0) for i in range(300)) and rows[0]["mined_hits"] > 0 and rows[None]["verdict"] == "allow"
+    assert url_rules.labels_by_text(pages, docs, labels.filter("block")).count() == 0
+    assert url_rules.filter_urls(pages, RULES, labels=found.limit(0)).filter("mined_hits > 0").count() == 0
+
+
 # --- 8 byte-level BPE
 
 
@@ -360,6 +480,24 @@ def test_chain_finds_planted_categories(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["p_insult"] < 0.5 for r in rows.values())
 
 
+def test_later_models_learn_from_out_of_fold_probabilities(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, y, folds = rng.random((90, 40), dtype=np.float32), rng.integers(0, 2, (90, 2)).astype(np.float32), np.arange(90) % toxicity.FOLDS
+    fit, calls = toxicity.fit_linear, []
+    monkeypatch.setattr(toxicity, "fit_linear", lambda inputs, target: calls.append((inputs, fit(inputs, target))) or calls[-1][1])
+    toxicity.fit_chain(x, y, folds, ["a", "b"], {})
+    given = calls[-1][0][:, -1]  # what the model of the second category saw of the first
+    for f in range(toxicity.FOLDS):
+        assert len(calls[f][0]) == 60 and np.allclose(given[folds == f], calls[f][1].chance(x[folds == f]))
+    assert not np.allclose(given, calls[toxicity.FOLDS][1].chance(x))
+
+
+def test_several_texts_of_one_id_train_alike(spark):
+    docs, labels = documents(spark, ["b a", "a b", "c c"], ids=[1, 1, 2]), spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    found = [sorted(map(str, toxicity.training_rows(d, labels, ["toxic"], "doc_id", "text", 10).collect())) for d in (docs, docs.orderBy(F.desc("text")))]
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
 def test_chain_without_labels(spark):
     docs = documents(spark, ODD)
     empty = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -440,6 +578,20 @@ def test_pairs_that_link_share_a_signature():
     assert checked > 150
 
 
+def test_long_texts_are_shingled_in_pieces():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    texts = [t.replace("\x00", "") if t else t for t in ODD] + [prose(rng, 400), "w" * 700 + " " + prose(rng, 50) + "  \n", " " * 300 + "end"]
+    whole = [x.tolist() for _, s in jaccard.Shingler().blocks(pa.array(texts)) for x in s.each()]
+    for size in (8, 64, 1000):
+        assert [x.tolist() for _, s in jaccard.Shingler(size).blocks(pa.array(texts)) for x in s.each()] == whole
+    for t, found in zip(texts, whole, strict=True):
+        w = units((t or "").lower())
+        assert len(found) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ())
+        assert found == sorted(set(found))
+
+
 def test_odd_tables_for_the_join(spark):
     assert jaccard.near_copies(documents(spark, [])).count() == 0
     rows = jaccard.near_copies(documents(spark, ["a b c d e f", "A B C D E F", None, "a b c d e f"], ids=[None, 7, 7, 9])).collect()

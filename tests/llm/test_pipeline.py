@@ -34,3 +34,23 @@ def test_pipeline(spark, tmp_path):
     assert set(ids["near_copies"]) == clean and len(ids["near_copies"]) == len(clean)
     assert set(ids["mixing"]) <= clean and sorted(ids["encoding"]) == sorted(ids["mixing"])
     assert corpus_pipeline.run(spark, f"{tmp_path}/t").count() == len(ids["encoding"])
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null, empty, very long and repeated texts, null ids and sources, without labels; and an empty table."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rng = random.Random(2)
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, " \n", "en", "a", 2), (4, "one", "en", None, 3), (None, prose(rng, 20), "en", "b", None), (6, "y" * 200_000, "en", "b", 200_000), (7, prose(rng, 30_000), "en", "b", 0)]
+    same = prose(rng, 50)
+    rows += [(8, same, "en", "a", 1), (8, same, "en", "a", 1), (9, same, "de", "c", 1), (10, "漢字 😀 é", "zh", "c", 7)]
+    for name, some in (("odd", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        if not some:
+            assert out == []
+            continue
+        ids = [r["doc_id"] for r in out]
+        assert ids.count(8) <= 3 and 9 not in ids and not {1, 2, 3} & set(ids) and {r["doc_id"] for r in out} <= {4, None, 6, 7, 8, 10}
+        assert all(r["ids_sha256"] and r["decoded_sha256"] and r["n_tokens"] > 0 for r in out)
