@@ -57,6 +57,8 @@ PAIRS_AT_ONCE, BLOCK = 4, 512
 #: Bits of the map of documents whose sets verification needs, and of maps in plans.
 MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
+#: Bytes of text for each bucket of signatures (some 17 give one), and signatures that a task holds before it deals them out.
+BUCKET_BYTES, SIGNED_AT_ONCE = 8 << 20, 1 << 19
 
 U64, U8 = np.uint64, np.uint8
 BASE = 0x9E3779B97F4A7C15
@@ -352,19 +354,36 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
     return np.sort(found.to_numpy().view(U64))
 
 
-def signed_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+def signed_rows(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
     """Members and signatures in one pass over the texts.
 
     Rows with sigs null are members, one per input row: id, text_hash,
     n_shingles, node, and in the first row of a node in its task `rare`, if it
-    needs one-deletion signatures: its elements that aren't frequent. The
-    others hold sigs of a node, once per task; the lowest bit is 1 in those by
-    one-deletion neighbourhoods.
+    needs one-deletion signatures: its elements that aren't frequent. Rows with
+    a bucket hold signatures by whole segments of many sets and, side by side,
+    their nodes; the bucket goes by the signature. The others hold a node's
+    signatures by one-deletion neighbourhoods, whose lowest bit is 1. A node
+    signs once per task.
     """
     held = rows.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_BOUND hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign, seen, longs = Signer(held.value), set(), pa.list_(pa.int64())
+        signed: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(n: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+            kinds = dict(id=pa.int64(), text_hash=pa.int64(), n_shingles=pa.int64(), node=pa.int64(), rare=longs, bucket=pa.int32(), sigs=longs, nodes=longs)
+            return batch(**{c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
+
+        def dealt() -> pa.RecordBatch:
+            sig, node = (np.concatenate(x) for x in zip(*signed, strict=True))
+            signed.clear()
+            bucket = ((sig.view(U64) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order, count = np.argsort(bucket, kind="stable"), np.bincount(bucket)
+            full = np.flatnonzero(count)
+            at = offsets(count[full])
+            return out(len(full), bucket=full.astype(np.int32), sigs=lists(sig[order], at), nodes=lists(node[order], at))
+
         for b in batches:
             for lo, sets in shingler().blocks(b.column("text")):
                 spread = mixed(sets.elements + U64(BASE))
@@ -378,15 +397,17 @@ def signed_rows(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
                         for i in which.tolist():
                             part = slice(sets.at[i], sets.at[i + 1])
                             hard[int(new[i])] = sets.elements[part][rare[part] == 1].view(np.int64)
-                    none = pa.nulls(len(which), pa.int64())
-                    yield batch(id=none, text_hash=none, n_shingles=none, node=nodes[new[which]], rare=pa.nulls(len(which), longs), sigs=lists(sigs, offsets(count)))
+                        yield out(len(which), node=nodes[new[which]], sigs=lists(sigs, offsets(count)))
+                    elif len(sigs):
+                        signed.append((sigs, np.repeat(nodes[new[which]], count)))
                 k = len(sizes)
-                yield batch(
-                    id=b.column("id").slice(lo, k), text_hash=b.column("text_hash").slice(lo, k), n_shingles=sizes, node=pa.array(nodes, mask=sizes == 0),
-                    rare=pa.array([hard.get(i) for i in range(k)], longs), sigs=pa.nulls(k, longs),
-                )
+                yield out(k, id=b.column("id").slice(lo, k), text_hash=b.column("text_hash").slice(lo, k), n_shingles=sizes, node=pa.array(nodes, mask=sizes == 0), rare=pa.array([hard.get(i) for i in range(k)], longs))
+                if sum(len(x) for x, _ in signed) >= SIGNED_AT_ONCE:
+                    yield dealt()
+        if signed:
+            yield dealt()
 
-    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>, sigs array<bigint>")
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>, bucket int, sigs array<bigint>, nodes array<bigint>")
 
 
 def certain_differences(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -425,6 +446,35 @@ def group_candidates(nodes: np.ndarray, f: np.ndarray, comp: np.ndarray) -> tupl
 PAIR, STAR, RAW = 0, 1, 2
 
 
+CANDIDATES = "sig long, a long, b long, kind byte"
+
+
+def paired(sig: np.ndarray, node: np.ndarray, f: np.ndarray | None = None, comp: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """What sorted groups of nodes with a common signature give: (sig, a, b, kind)."""
+    fresh = np.ones(len(sig), dtype=bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+    sig, node = sig[fresh], node[fresh]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(first, len(sig)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
+    if f is None:
+        near = sig[first] & 1 == 1
+        raw = np.repeat(near & (size > 1), size)
+        found.append((sig[raw], node[raw], node[raw], RAW))
+        two = first[(size == 2) & ~near]
+        found.append((sig[two], node[two], node[two + 1], PAIR))
+        loop, f, comp = (size > 2) & ~near, np.full(len(sig), -1), node
+    else:
+        loop, f, comp = size > 1, f[fresh], comp[fresh]
+    for at, n in zip(first[loop].tolist(), size[loop].tolist(), strict=True):
+        here = slice(at, at + n)
+        if pairs := group_candidates(node[here], f[here], comp[here]):
+            found.append((np.full(len(pairs[0]), sig[at]), pairs[0], pairs[1], STAR if pairs[2] else PAIR))
+    if found:
+        s, a, b = (np.concatenate([x[i] for x in found]) for i in range(3))
+        yield batch(sig=s, a=a, b=b, kind=np.repeat(np.array([x[3] for x in found], dtype=np.int8), [len(x[0]) for x in found]))
+
+
 def candidates(groups: DataFrame, parts: int) -> DataFrame:
     """What groups of nodes with a common signature give: (sig, a, b, kind).
 
@@ -436,36 +486,40 @@ def candidates(groups: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for arrays in whole_groups(batches, ["sig"], ["sig", "node", *has]):
-            sig, node = arrays[:2]
-            fresh = np.ones(len(sig), dtype=bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node, *more = [x[fresh] for x in arrays]
-            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-            size = np.diff(np.append(first, len(sig)))
-            f, comp = more or (np.full(len(sig), -1), node)
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-
-            def add(s: np.ndarray, a: np.ndarray, b: np.ndarray, kind: int, cols: list = cols) -> None:
-                for col, x in zip(cols, (s, a, b, np.full(len(a), kind, dtype=np.int8)), strict=True):
-                    col.append(x)
-
-            loop = size > 1
-            if not more:
-                near = sig[first] & 1 == 1
-                raw = np.repeat(near & (size > 1), size)
-                add(sig[raw], node[raw], node[raw], RAW)
-                two = first[(size == 2) & ~near]
-                add(sig[two], node[two], node[two + 1], PAIR)
-                loop = (size > 2) & ~near
-            for at, n in zip(first[loop].tolist(), size[loop].tolist(), strict=True):
-                here = slice(at, at + n)
-                if found := group_candidates(node[here], f[here], comp[here]):
-                    add(np.full(len(found[0]), sig[at]), found[0], found[1], STAR if found[2] else PAIR)
-            if cols[0]:
-                yield batch(**dict(zip(("sig", "a", "b", "kind"), map(np.concatenate, cols), strict=True)))
+            yield from paired(*arrays)
 
     dealt = groups.select("sig", "node", *has).repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "sig long, a long, b long, kind byte")
+    return dealt.mapInArrow(run, CANDIDATES)
+
+
+def bucket_candidates(signed: DataFrame, parts: int) -> DataFrame:
+    """The same of buckets of signatures (bucket, sigs, nodes). Most signatures have one node only: a bucket, of bounded size, is sorted in its task and those are dropped first."""
+
+    def groups(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(sig)
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        sig, node = sig[shared], node[order][shared]
+        if len(sig):
+            order = np.lexsort((node, sig))
+            yield from paired(sig[order], node[order])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            sigs, nodes = b.column("sigs"), b.column("nodes")
+            for i, bucket in enumerate(b.column("bucket").to_pylist()):
+                if held and bucket != now:
+                    yield from groups(held)
+                    held = []
+                now = bucket
+                held.append((sigs[i].values.to_numpy(), nodes[i].values.to_numpy()))
+        if held:
+            yield from groups(held)
+
+    return signed.select("bucket", "sigs", "nodes").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CANDIDATES)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -655,11 +709,14 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = _rows(docs, id_col, text_col)
     parts = partitions(docs.sparkSession)
-    frequent = frequent_shingles(rows, rows.count())
-    made = materialize(signed_rows(rows, frequent), "signatures", release=True)
-    members = materialize(made.filter(F.col("sigs").isNull()).drop("sigs"), "members")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    frequent = frequent_shingles(rows, n)
+    made = materialize(signed_rows(rows, frequent, max(4 * parts, size // BUCKET_BYTES)), "signatures", release=True)
+    members = materialize(made.filter(F.col("sigs").isNull()).drop("bucket", "sigs", "nodes"), "members")
     nodes = materialize(members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep")), "nodes")
-    signed = materialize(candidates(made.filter(F.col("sigs").isNotNull()).select("node", F.explode("sigs").alias("sig")), parts), "signed", release=True)
+    whole, near = made.filter(F.col("bucket").isNotNull()), made.filter(F.col("sigs").isNotNull() & F.col("bucket").isNull())
+    signed = bucket_candidates(whole, parts).union(candidates(near.select("node", F.explode("sigs").alias("sig")), parts))
+    signed = materialize(signed, "signed", release=True)
     discard(made)
     whole = signed.filter(F.col("kind") != RAW)
     first = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
