@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo, stats, time
-from wayfold.operators import confidence, iforest, profile, risk, safety, simplify, viz
+from wayfold.operators import confidence, iforest, learning, ops, profile, risk, safety, simplify, spoofing, viz
 from wayfold.plans import tracking
 from wayfold.sources import tables, tracks
 from wayfold.streaming import points as stream
@@ -212,3 +212,68 @@ def test_stream_features_equal_batch(spark, tmp_path):
         for c in ("time_delta", "distance", "calc_speed", "acceleration", "stop_duration"):
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=1e-6, equal_nan=True), c
     assert len(got)
+
+
+def test_tables_append_and_refuse_a_second_writer(spark, tmp_path):
+    table = tables.Table(spark, f"file://{tmp_path}/t", "k int, v string", ["k"])
+    one, two = (spark.createDataFrame([(i, "a")], "k int, v string") for i in (1, 2))
+    assert table.create(one, mark="7") == 1 and table.create(two) == 1
+    version = table._current()
+    assert len(version["folders"]) == 2 and table.mark() == "7"
+    with pytest.raises(RuntimeError, match="another writer"):
+        table._publish(version | {"number": version["number"] - 1}, [], None)
+    assert table.count() == 2
+
+
+class State:
+    """What a stream gives to the function of a group."""
+
+    def __init__(self, row=None, timed_out=False):
+        self.row, self.hasTimedOut, self.removed, self.until = row, timed_out, False, None
+
+    exists = property(lambda self: self.row is not None)
+    get = property(lambda self: self.row)
+
+    def update(self, row):
+        self.row = row
+
+    def remove(self):
+        self.removed = True
+
+    def setTimeoutTimestamp(self, ms):
+        self.until = ms
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def test_stream_state_expires_and_late_events_are_marked():
+    columns = [c.split()[0] for c in stream.EVENTS.split(", ")]
+    rows = pd.DataFrame([(1, 2, 0, 10, 100.0, 0.0, 0.0, None, 1, "walking"), (1, 2, 1, 11, 104.0, 0.0, 0.001, -1.0, 0, "still"), (1, 2, 2, 12, 110.0, 0.0, 0.001, 0.2, 0, "still")], columns=columns)
+    state = State()
+    first = pd.concat(stream.follow((1, 2), iter([rows]), state, ttl_ms=5000))
+    assert list(first["time_delta"])[1:] == [4.0, 6.0] and list(first["stop_duration"])[1:] == [0.0, 6.0] and state.until == 115_000 and state.row[4] == 3
+    more = pd.DataFrame([(1, 2, 3, 13, 105.0, 0.0, 0.0, 1.0, 1, "walking"), (1, 2, 4, 14, 112.0, 0.0, 0.001, 0.2, 0, "still")], columns=columns)
+    second = pd.concat(stream.follow((1, 2), iter([more]), state, ttl_ms=5000)).set_index("event_id")
+    assert second.loc[13, "late"] and second.loc[13, "time_delta"] == -5.0 and second.loc[14, "stop_duration"] == 8.0 and second.loc[14, "acceleration"] == 0.0
+    gone = State(state.row, timed_out=True)
+    assert list(stream.follow((1, 2), iter([]), gone, ttl_ms=5000)) == [] and gone.removed
+
+
+def test_threat_classifier_learns_a_planted_relation(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, x), int(x[0] + 0.1 * rng.normal() > 0.5)) for i, x in enumerate(rng.random((400, 5)))]
+    found = learning.evaluate_threat(spark.createDataFrame(rows, "user_id bigint, avg_risk double, max_risk double, min_risk double, std_risk double, high_share double, label int")).first()
+    assert found["n"] > 40 and found["log_loss"] < 0.6 * found["log_loss_of_share"]
+
+
+def test_signals_of_sessions_in_one_pass_equal_the_long_form(spark):
+    p = tracking.scored(tracks.tracks(spark, "/root/testdata/sf0.001")).filter("user_id < 8")
+    one = {(r["user_id"], r["trip_id"]): (round(r["spoofing"], 9), round(r["tampering"], 9), round(r["integrity"], 9), r["n_signals"]) for r in spoofing.sessions(p).collect() if r["n_signals"]}
+    long = {(r["user_id"], r["trip_id"]): (round(r["spoofing"], 9), round(r["tampering"], 9), round(r["integrity"], 9), r["n_signals"]) for r in spoofing.session_scores(spoofing.session_signals(p)).collect()}
+    assert one == long and len(one) > 10
+
+
+def test_retraining_is_due_by_schedule(spark):
+    rows = [("a", "daily", 0.0), ("b", "weekly", 0.0), ("c", "never", 0.0)]
+    assert {r["model"]: r["due"] for r in ops.retraining_due(spark.createDataFrame(rows, "model string, schedule string, trained_at double"), 90_000.0).collect()} == {"a": True, "b": False, "c": False}

@@ -47,6 +47,11 @@ def wide(points: DataFrame, **mature: int) -> DataFrame:
     return header(points, **mature).join(m, "user_id", "left")
 
 
+def brief(base: DataFrame) -> DataFrame:
+    """Wide baselines in brief: how much is known of each user, and the usual speed."""
+    return base.select("user_id", "trips", "points", "days", "is_mature", F.col("speed.mean").alias("mean_speed"), F.col("speed.std").alias("std_speed"))
+
+
 def blend(old: DataFrame, new: DataFrame) -> DataFrame:
     """Metrics (long form) of two periods, weighted by their numbers of values; an approximation where medians and percentiles are concerned."""
     keys = ["user_id", "metric"]

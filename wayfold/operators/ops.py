@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.functions.core import cases
+from wayfold.functions.core import cases, names_where
 
 
 def inference_stats(log: DataFrame, *, last: int = 1000) -> DataFrame:
@@ -29,6 +29,24 @@ def gpu_cost(usage: DataFrame, as_of: str, budget: float) -> DataFrame:
     return s.withColumns({"used": used, "alert": cases((used >= 1, "over_budget"), (used >= 0.8, "critical"), (used >= 0.6, "warning"), other="ok")})
 
 
+def gpu_advice(cost: DataFrame, as_of: str, budget: float, *, least: float, hourly: float) -> DataFrame:
+    """gpu_cost's row with what to do: hours a day that are missing to reach `least` by the month's end, and names of steps."""
+    now = F.lit(as_of).cast("timestamp")
+    days = F.dayofmonth(F.last_day(now)) - F.dayofmonth(now)
+    short = F.when(F.col("projected") < least, (least - F.col("spend")) / hourly)
+    steps = names_where(use_more=short.isNotNull(), stop_what_can_wait=F.col("spend") >= budget, expect_overspend=F.col("projected") > 1.1 * budget)
+    return cost.withColumns({"missing_hours": short, "missing_hours_a_day": F.when(days > 0, short / days), "advice": F.array_join(steps, ",")})
+
+
+INTERVALS = {"hourly": 3600, "daily": 86400, "weekly": 7 * 86400, "monthly": 30 * 86400}
+
+
+def retraining_due(models: DataFrame, now: float) -> DataFrame:
+    """models (model, schedule, trained_at in seconds) with when they are to be trained next, and whether that is due; an unknown schedule never is."""
+    step = cases(*[(F.col("schedule") == n, s) for n, s in INTERVALS.items()])
+    return models.withColumn("next_at", F.col("trained_at") + step).withColumn("due", F.coalesce(F.col("next_at") <= now, F.lit(False)))
+
+
 def api_quotas(calls: DataFrame, as_of: float, per_day: int, *, last: int = 100) -> DataFrame:
     """Per api (api, at, success, latency_ms): calls today, this month (30 days) and in the last minute, errors, mean latency, status."""
     ago = as_of - F.col("at")

@@ -314,13 +314,35 @@ def ops_01(spark: SparkSession, d: str) -> DataFrame:
     return rounded(ops.inference_stats(call_log(spark, d)), nudge=1e-9)
 
 
-@query("ops_02", """with u as (select cast(cast(o_orderdate as date) as timestamp) s,(o_orderkey%9+1)*1e0 h,0.5e0+(o_custkey%3) c from orders), m as (select coalesce(sum(h),0e0) as hours,coalesce(sum(h*c),0e0) spend from u where s>=timestamp '1997-03-01' and s<=timestamp '1997-03-20')
-select round(hours,6) as hours,round(spend,6) spend,round(spend/20*31,6) projected,round(spend/400,6) used,case when spend/400>=1 then 'over_budget' when spend/400>=0.8e0 then 'critical' when spend/400>=0.6e0 then 'warning' else 'ok' end alert from m""")
-def ops_02(spark: SparkSession, d: str) -> DataFrame:
+GPU = """with u as (select cast(cast(o_orderdate as date) as timestamp) s,(o_orderkey%9+1)*1e0 h,0.5e0+(o_custkey%3) c from orders), m as (select coalesce(sum(h),0e0) as hours,coalesce(sum(h*c),0e0) spend from u where s>=timestamp '1997-03-01' and s<=timestamp '1997-03-20') """
+
+
+def gpu_cost(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     start = F.col("o_orderdate").cast("date").cast("timestamp")
     usage = o.select(start.alias("start"), (start + F.make_interval(hours=(F.col("o_orderkey") % 9 + 1).cast("int"))).alias("end"), F.lit("g").alias("instance_type"), (0.5 + F.col("o_custkey") % 3).cast("double").alias("hourly_cost"))
-    return rounded(ops.gpu_cost(usage, "1997-03-20", 400.0))
+    return ops.gpu_cost(usage, "1997-03-20", 400.0)
+
+
+@query("ops_02", GPU + """select round(hours,6) as hours,round(spend,6) spend,round(spend/20*31,6) projected,round(spend/400,6) used,case when spend/400>=1 then 'over_budget' when spend/400>=0.8e0 then 'critical' when spend/400>=0.6e0 then 'warning' else 'ok' end alert from m""")
+def ops_02(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(gpu_cost(spark, d))
+
+
+@query("ops_02_advice", GPU + """select round(spend,6) spend,round(case when spend/20*31<9e6 then (9e6-spend)/2.5e0 end,4) missing_hours,round(case when spend/20*31<9e6 then (9e6-spend)/2.5e0/11 end,4) missing_hours_a_day,
+ array_to_string(list_filter([case when spend/20*31<9e6 then 'use_more' end,case when spend>=400 then 'stop_what_can_wait' end,case when spend/20*31>440 then 'expect_overspend' end], lambda x: x is not null),',') advice from m""")
+def ops_02_advice(spark: SparkSession, d: str) -> DataFrame:
+    out = ops.gpu_advice(gpu_cost(spark, d), "1997-03-20", 400.0, least=9e6, hourly=2.5)
+    return out.select(F.round("spend", 6).alias("spend"), F.round("missing_hours", 4).alias("missing_hours"), F.round("missing_hours_a_day", 4).alias("missing_hours_a_day"), "advice")
+
+
+@query("ops_05_due", """with m as (select 's'||s_suppkey model,case s_suppkey%5 when 0 then 'hourly' when 1 then 'daily' when 2 then 'weekly' when 3 then 'monthly' else 'never' end schedule,1e6-s_suppkey*40000e0 trained_at from supplier),
+ n as (select *, trained_at+case schedule when 'hourly' then 3600 when 'daily' then 86400 when 'weekly' then 604800 when 'monthly' then 2592000 end next_at from m) select model,schedule,next_at,coalesce(next_at<=1e6,false) due from n""")
+def ops_05_due(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    schedule = F.get(F.array(*map(F.lit, (*ops.INTERVALS, "never"))), (k % 5).cast("int"))
+    models = table(spark, d, "supplier").select(F.concat(F.lit("s"), k).alias("model"), schedule.alias("schedule"), (1e6 - k * 40000.0).alias("trained_at"))
+    return ops.retraining_due(models, 1e6).drop("trained_at")
 
 
 @query("ops_03", sql.query("calls", f"""with r as (select *, {int(NOW)}-taken_at ago, row_number() over (partition by model order by taken_at desc,call_id desc) n from calls where taken_at<={int(NOW)})

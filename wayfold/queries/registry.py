@@ -31,4 +31,4 @@ def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
 
 
 def load() -> None:
-    from wayfold.queries import analysis, library, profiles, risks, tracking  # noqa: F401
+    from wayfold.queries import analysis, library, profiles, risks, streams, tracking  # noqa: F401

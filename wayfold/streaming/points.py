@@ -116,7 +116,7 @@ def baseline_updater(table: Table) -> Callable[[DataFrame, int], None]:
     return update
 
 
-def start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, every: str | None = None) -> StreamingQuery:
+def start(rows: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], *, every: str | None = None, mode: str = "append") -> StreamingQuery:
     """Run a stream's batches through `each`: every so often (`10 seconds`), or all there is now and then end."""
-    writer = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
