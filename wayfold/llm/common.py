@@ -37,6 +37,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded_batches(spark: SparkSession, mb: int = 4) -> None:
+def bounded_batches(spark: SparkSession, mb: int = 1) -> None:
     """Arrow batches of at most about `mb` MB, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

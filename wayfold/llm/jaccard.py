@@ -58,7 +58,7 @@ PAIRS_AT_ONCE, BLOCK = 4, 512
 MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
 #: Bytes of text for each bucket of signatures (some 17 give one), and signatures that a task holds before it deals them out.
-BUCKET_BYTES, SIGNED_AT_ONCE = 8 << 20, 1 << 19
+BUCKET_BYTES, SIGNED_AT_ONCE = 8 << 20, 1 << 17
 
 U64, U8 = np.uint64, np.uint8
 BASE = 0x9E3779B97F4A7C15
@@ -375,14 +375,16 @@ def signed_rows(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
             kinds = dict(id=pa.int64(), text_hash=pa.int64(), n_shingles=pa.int64(), node=pa.int64(), rare=longs, bucket=pa.int32(), sigs=longs, nodes=longs)
             return batch(**{c: columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()})
 
-        def dealt() -> pa.RecordBatch:
+        def dealt() -> Iterator[pa.RecordBatch]:
             sig, node = (np.concatenate(x) for x in zip(*signed, strict=True))
             signed.clear()
             bucket = ((sig.view(U64) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
             order, count = np.argsort(bucket, kind="stable"), np.bincount(bucket)
             full = np.flatnonzero(count)
-            at = offsets(count[full])
-            return out(len(full), bucket=full.astype(np.int32), sigs=lists(sig[order], at), nodes=lists(node[order], at))
+            sig, node, at = sig[order], node[order], offsets(count[full])
+            for i in range(0, len(full), 16):  # small batches: the JVM's native memory grows with the largest
+                ends = at[i : i + 17]
+                yield out(len(ends) - 1, bucket=full[i : i + 16].astype(np.int32), sigs=lists(sig[ends[0] : ends[-1]], ends - ends[0]), nodes=lists(node[ends[0] : ends[-1]], ends - ends[0]))
 
         for b in batches:
             for lo, sets in shingler().blocks(b.column("text")):
@@ -402,10 +404,10 @@ def signed_rows(rows: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
                         signed.append((sigs, np.repeat(nodes[new[which]], count)))
                 k = len(sizes)
                 yield out(k, id=b.column("id").slice(lo, k), text_hash=b.column("text_hash").slice(lo, k), n_shingles=sizes, node=pa.array(nodes, mask=sizes == 0), rare=pa.array([hard.get(i) for i in range(k)], longs))
-                if sum(len(x) for x, _ in signed) >= SIGNED_AT_ONCE:
-                    yield dealt()
+                if sum(len(x) for x, _ in signed) >= max(SIGNED_AT_ONCE, min(16 * buckets, 1 << 22)):
+                    yield from dealt()
         if signed:
-            yield dealt()
+            yield from dealt()
 
     return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, node long, rare array<bigint>, bucket int, sigs array<bigint>, nodes array<bigint>")
 
