@@ -86,8 +86,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster_vectors, with_inertia
+
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .packing import pack, pieces
+
+    cut = pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op5_exact_topk, op6_html_text, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op5_exact_topk, op6_html_text, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard, op12_hamerly, op13_packing)}
 
 
 TOPK_SQL = """
@@ -116,4 +132,6 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, g.root component_id from documents
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_topk": TOPK_SQL, "op10_ngram_jaccard": JACCARD_SQL}
+    from .centroids import centroid_sql
+
+    return {"op5_exact_topk": TOPK_SQL, "op10_ngram_jaccard": JACCARD_SQL, "op12_hamerly": centroid_sql()}
