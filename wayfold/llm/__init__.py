@@ -1,2 +1,3 @@
 """Operators for large text corpora: sharding, fingerprints, token counts,
-mixing, exact search, extraction, URL rules, BPE, toxicity and near copies."""
+mixing, exact search, extraction, URL rules, BPE, toxicity, near copies,
+ranked search, clustering and packing."""

@@ -86,6 +86,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .treaps import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_vectors, with_inertia
 
@@ -103,7 +109,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op5_exact_topk, op6_html_text, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard, op12_hamerly, op13_packing)}
+    return {f.__name__: f for f in (op1_sharding, op2_winnowing, op3_token_count, op4_mixing, op5_exact_topk, op6_html_text, op7_url_rules, op8_byte_bpe, op9_toxicity, op10_ngram_jaccard, op11_inverted_treaps, op12_hamerly, op13_packing)}
 
 
 TOPK_SQL = """
@@ -133,5 +139,6 @@ select d.doc_id, coalesce(n.n, 0) n_shingles, g.root component_id from documents
 
 def oracle_sql() -> dict[str, str]:
     from .centroids import centroid_sql
+    from .treaps import search_sql
 
-    return {"op5_exact_topk": TOPK_SQL, "op10_ngram_jaccard": JACCARD_SQL, "op12_hamerly": centroid_sql()}
+    return {"op5_exact_topk": TOPK_SQL, "op10_ngram_jaccard": JACCARD_SQL, "op11_inverted_treaps": search_sql(), "op12_hamerly": centroid_sql()}
