@@ -192,7 +192,8 @@ def pack(rows: DataFrame, *, window: int = 2048, length_col: str = "length") ->
     runs = spark.createDataFrame(plan(histogram, window), RUN)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     local = F.row_number().over(Window.partitionBy("length", "task").orderBy("at"))
-    numbered = kept.withColumn("number", local).join(before, ["length", "task"]).withColumn("number", F.col("number") - 1 + F.col("before"))
+    # merged on the exchange that the numbering needs anyway: `before` grows with the tasks and is never broadcast
+    numbered = kept.withColumn("number", local).join(before.hint("merge"), ["length", "task"]).withColumn("number", F.col("number") - 1 + F.col("before"))
     r = F.broadcast(runs)
     found = numbered.join(r, (numbered["length"] == r["length"]) & (numbered["number"] >= r["first"]) & (numbered["number"] < r["last"]))
     sequence = F.col("sequence") + F.expr("(number - first) div per_sequence")
