@@ -63,8 +63,8 @@ def weight(n_docs: int, df: int) -> int:
 # --- index
 
 
-def shards(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """Rows of INDEX: a shard's documents in the order of their ids, and for each of its terms the postings in that order."""
+def shards(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str, most: int = SHARD) -> DataFrame:
+    """Rows of INDEX: a shard's documents in the order of their ids, and for each of its terms the postings in that order; a shard ends with the document that brings it to `most` postings."""
     bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -101,7 +101,7 @@ def shards(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col:
                     sizes.append(len(words))
                     found.append(own)
                     held += len(own)
-                if held >= SHARD:
+                if held >= most:
                     yield shard(number, ids, sizes, found, (docs_, words_))
                     number, held, docs_, words_, ids, sizes, found = number + 1, 0, 0, 0, [], [], []
         if docs_:
@@ -297,15 +297,15 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]
         yield block
 
 
-def search(docs: DataFrame, items: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per item its k best documents: item id, rank (from 1), doc_id, score."""
+def search(docs: DataFrame, items: DataFrame, *, k: int = 50, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", postings: int = SHARD) -> DataFrame:
+    """Per item its k best documents: item id, rank (from 1), doc_id, score. postings: about how many a shard holds."""
     spark = docs.sparkSession
     kind = items.schema[item_col].dataType.simpleString()
     done: DataFrame | None = None
     for number, block in enumerate(blocks(items, item_col, item_text_col)):
         words = [list(dict.fromkeys(terms_of(text))) for _, text in block]
         vocabulary = {t: i for i, t in enumerate(dict.fromkeys(t for own in words for t in own))}
-        index = materialize(shards(docs, vocabulary, id_col, text_col), "postings")
+        index = materialize(shards(docs, vocabulary, id_col, text_col, postings), "postings")
         n_docs, n_words = (v or 0 for v in index.agg(F.sum("docs"), F.sum("words")).first())
         if not n_docs:
             discard(index)
