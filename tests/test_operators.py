@@ -5,8 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo, stats, time
-from wayfold.operators import confidence, iforest, learning, ops, profile, risk, safety, simplify, spoofing, viz
+from wayfold.functions import geo, groups, stats, time
+from wayfold.operators import confidence, iforest, learning, ops, places, profile, risk, safety, simplify, spoofing, viz
 from wayfold.plans import tracking
 from wayfold.sources import tables, tracks
 from wayfold.streaming import points as stream
@@ -87,25 +87,73 @@ def test_normality_query_reads_all_rows(spark):
 
 def test_average_linkage():
     x = np.array([[0.0, 0], [0, 1], [10, 0], [10, 1], [50, 50]])
-    labels = profile.average_linkage(x, 2.0)
+    labels = places.average_linkage(x, 2.0)
     assert labels[0] == labels[1] and labels[2] == labels[3] and len(set(labels)) == 3
-    assert len(set(profile.average_linkage(x, 1000.0))) == 1
-    assert len(set(profile.average_linkage(np.array([[0.0, 0], [0, 1]]), 1.0))) == 1
+    assert len(set(places.average_linkage(x, 1000.0))) == 1
+    assert len(set(places.average_linkage(np.array([[0.0, 0], [0, 1]]), 1.0))) == 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_chains_find_the_same_clusters(seed, monkeypatch):
+    monkeypatch.setattr(places, "BLOCK", (1, 50, 1 << 20)[seed % 3])
+    rng = np.random.default_rng(seed)
+    n, width = int(rng.integers(3, 160)), (2, 4)[seed % 2]
+    x = rng.normal(size=(n, width)) * (1, 3, 10)[seed % 3] + rng.integers(0, 3, size=(n, 1)) * 5
+    weight = rng.integers(1, 6, size=n).astype(float)
+    for cut in (0.3, 1.0, 2.5, 100.0):
+        a, b = places.by_matrix(x, cut, weight), places.by_chain(x, cut, weight)
+        assert (a == b).all()
+
+
+def test_components_of_cells():
+    rng = np.random.default_rng(3)
+    for width, side in ((1, 40), (2, 8), (4, 3)):
+        group = np.sort(rng.integers(0, 4, size=60))
+        cells, at = np.unique(np.column_stack((group, rng.integers(-side, side, size=(60, width)))), axis=0, return_index=True)
+        group, cells = cells[:, 0], cells[:, 1:]
+        want = {(i, j) for i in range(len(cells)) for j in range(i) if group[i] == group[j] and (abs(cells[i] - cells[j]) <= 1).all()}
+        links = places.touching(cells, group)
+        assert {(max(p), min(p)) for p in links.tolist()} == want and len(links) == len(want)
+        label, step = np.arange(len(cells)), True
+        while step:  # by hand, link by link
+            step = False
+            for i, j in want:
+                if label[i] != label[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+                    step = True
+        assert (places.linked(len(cells), links) == label).all()
+
+
+def test_groups_across_batches(spark):
+    """Groups, also of nulls, reach the function whole wherever batches end."""
+    rows = [(None if u == 3 else u, v, i) for i, (u, v) in enumerate((u, v) for u in range(7) for v in ("a", "b", None) for _ in range(u * u + 1))]
+    df = spark.createDataFrame(rows, "u long, v string, i int").repartition(3)
+
+    def run(found, starts):
+        ends = [*starts[1:], len(found)]
+        return pd.DataFrame({"u": found["u"].iloc[starts].to_numpy(), "v": found["v"].iloc[starts].to_numpy(), "n": [int(b - a) for a, b in zip(starts, ends, strict=True)]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in ("1", "7", "10000"):
+        spark.conf.set(key, size)
+        got = [tuple(r) for r in groups.map_groups(df, ["u", "v"], run, "u long, v string, n int").collect()]
+        assert sorted(got, key=str) == sorted(((None if u == 3 else u, v, u * u + 1) for u in range(7) for v in ("a", "b", None)), key=str)
+    spark.conf.unset(key)
 
 
 def test_clusters_have_no_borders(spark):
-    rng, cut = np.random.default_rng(5), 100 / profile.DEGREE
-    places = [(u, lat, lon) for u in (1, 2) for lat in (0.5, 50.0, -0.5 * u, profile.REGION * cut * 1.001 * u) for lon in (0.0, 10.5)]
-    rows = [(u, float(lat + a), float(lon + b)) for u, lat, lon in places for a, b in rng.normal(0, cut, size=(12, 2))]
+    rng, cut = np.random.default_rng(5), 100 / places.DEGREE
+    spots = [(u, lat, lon) for u in (1, 2) for lat in (0.5, 50.0, -0.5 * u, places.REGION * cut * 1.001 * u) for lon in (0.0, 10.5)]
+    rows = [(u, float(lat + a), float(lon + b)) for u, lat, lon in spots for a, b in rng.normal(0, cut, size=(12, 2))]
     rows += rows[::3]  # equal points
-    got = profile.clustered(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, user_id long, lat double, lon double"), ["lat", "lon"], 100.0).collect()
+    got = places.clustered(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, user_id long, lat double, lon double"), ["lat", "lon"], 100.0).collect()
     assert len(got) == len(rows)
     found, want = {}, {}
     for r in got:
         found.setdefault((r["user_id"], r["place"], r["cluster"]), set()).add(r["i"])
     for u in (1, 2):
         mine = [i for i, r in enumerate(rows) if r[0] == u]
-        for i, c in zip(mine, profile.average_linkage(np.array([rows[i][1:] for i in mine]), cut), strict=True):
+        for i, c in zip(mine, places.average_linkage(np.array([rows[i][1:] for i in mine]), cut), strict=True):
             want.setdefault((u, c), set()).add(i)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 

@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import product
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.functions.core import cases
+from wayfold.operators.places import clustered
 from wayfold.operators.trips import KEYS
 
-DEGREE = 111_000.0
-
 
 def hour_of(t) -> object:
     return F.pmod(F.floor(t / 3600), F.lit(24)).cast("int")
@@ -53,108 +48,6 @@ def stop_episodes(points: DataFrame, *, least: float = 60.0, flush_open: bool =
     return runs.select(*by, "arrival", "departure", "duration", "lat", "lon", "points", hour_of(F.col("arrival")).alias("arrival_hour"), hour_of(F.col("departure")).alias("departure_hour"))
 
 
-def average_linkage(x: np.ndarray, cut: float, weight: np.ndarray | None = None) -> np.ndarray:
-    """Cluster numbers by average linkage (Lance-Williams), merged while the distance is at most cut; weight: points at each place."""
-    n = len(x)
-    d = np.sqrt(sum((c[:, None] - c[None, :]) ** 2 for c in x.T))
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n) if weight is None else weight.astype(float), np.arange(n)
-    near = d.argmin(axis=1)
-    best = d[np.arange(n), near]
-    while n > 1:
-        i = int(best.argmin())
-        if best[i] > cut:
-            break
-        i, j = sorted((i, int(near[i])))
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-        stale = np.flatnonzero((near == i) | (near == j) | (d[:, i] <= best))
-        stale = np.union1d(stale, [i, j])
-        near[stale] = d[stale].argmin(axis=1)
-        best[stale] = d[stale, near[stale]]
-    return np.unique(label, return_inverse=True)[1]
-
-
-def _roots(n: int, links: list[tuple[int, int]]) -> list[int]:
-    """The smallest member of each member's component."""
-    up = list(range(n))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for a, b in links:
-        a, b = sorted((root(a), root(b)))
-        up[b] = a
-    return [root(i) for i in range(n)]
-
-
-REGION = 256  # cells to a side
-
-
-def components(cells: DataFrame) -> DataFrame:
-    """(user_id, cell, place): distinct cells (arrays of whole numbers) of a user, those that touch under one place.
-
-    Cells are joined within regions of their first two numbers, a region also
-    seeing the cells around it; the parts that such a cell has in several
-    regions are one place.
-    """
-    region = lambda a, b: F.concat_ws("/", *[F.floor((F.get("cell", F.lit(i)) + o) / REGION) for i, o in enumerate((a, b))])
-    dealt = cells.withColumn("region", F.explode(F.array_distinct(F.array(*[region(a, b) for a in (0, -1, 1) for b in (0, -1, 1)]))))
-
-    def join(g: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(tuple(int(v) for v in c) for c in g["cell"])
-        at = {c: i for i, c in enumerate(found)}
-        steps = [o for o in product((-1, 0, 1), repeat=len(found[0])) if o > (0,) * len(o)]
-        if len(found) < len(steps):
-            links = [(i, j) for j, b in enumerate(found) for i, a in enumerate(found[:j]) if all(-1 <= p - q <= 1 for p, q in zip(a, b, strict=True))]
-        else:
-            links = [(i, at[b]) for a, i in at.items() for o in steps if (b := tuple(p + q for p, q in zip(a, o, strict=True))) in at]
-        return pd.DataFrame({"user_id": g["user_id"].iloc[0], "cell": [list(c) for c in found], "part": [f"{g['region'].iloc[0]}#{r}" for r in _roots(len(found), links)]})
-
-    kind = cells.schema["user_id"].dataType.simpleString()
-    parts = dealt.groupBy("user_id", "region").applyInPandas(join, f"user_id {kind}, cell array<bigint>, part string")
-    # a cell's parts, its own region's or another's: the smallest stands for it
-    parts = parts.groupBy("user_id", "cell").agg(F.array_sort(F.collect_set("part")).alias("parts"))
-
-    def merge_parts(g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({p for parts in g["parts"] for p in parts})
-        at = {p: i for i, p in enumerate(names)}
-        roots = _roots(len(names), [(at[parts[0]], at[p]) for parts in g["parts"] for p in parts[1:]])
-        return pd.DataFrame({"user_id": g["user_id"].iloc[0], "part": names, "whole": [names[r] for r in roots]})
-
-    crossing = parts.filter(F.size("parts") > 1).select("user_id", "parts").distinct()
-    whole = crossing.groupBy("user_id").applyInPandas(merge_parts, f"user_id {kind}, part string, whole string")
-    out = parts.select("user_id", "cell", F.get("parts", F.lit(0)).alias("part")).join(whole, ["user_id", "part"], "left")
-    return out.select("user_id", "cell", F.coalesce("whole", "part").alias("place"))
-
-
-def clustered(rows: DataFrame, columns: list[str], cut_metres: float) -> DataFrame:
-    """rows (a user's trips or stops) with `place` and, in it, `cluster`; rows without all columns are in none and left out.
-
-    Average linkage never merges across a gap wider than the cut, so a user's
-    points part without loss into places: groups of cells of the cut's size
-    that touch. Only a place's distinct points, with their numbers, meet in a task.
-    """
-    cut = cut_metres / DEGREE
-    points = rows.dropna(subset=columns).groupBy("user_id", *columns).agg(F.count("*").alias("weight"))
-    points = points.withColumn("cell", F.array(*[F.floor(F.col(c) / (cut * 1.001)).cast("bigint") for c in columns]))  # the margin: rounding
-    points = points.join(components(points.select("user_id", "cell").distinct()), ["user_id", "cell"])
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema if f.name in ("user_id", "place", *columns))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(columns)
-        return g.drop(columns="weight").assign(cluster=average_linkage(g[columns].to_numpy(float), cut, g["weight"].to_numpy()))
-
-    found = points.drop("cell").groupBy("user_id", "place").applyInPandas(run, f"{kind}, cluster int")
-    return rows.join(found, ["user_id", *columns])
-
-
 def trip_signatures(points: DataFrame) -> DataFrame:
     s = points.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.min("timestamp_unix").alias("start"), F.max("timestamp_unix").alias("end"), F.coalesce(F.sum(F.when(F.col("distance") > 0, F.col("distance"))), F.lit(0.0)).alias("distance"), F.avg("speed").alias("mean_speed"),
@@ -172,8 +65,8 @@ def routes(signatures: DataFrame, *, metres: float = 200.0) -> DataFrame:
     ends = ["start_lat", "start_lon", "end_lat", "end_lon"]
     c = clustered(signatures, ends, metres)
     group = ["user_id", "place", "cluster"]
-    centres = c.groupBy(*group).agg(*[F.avg(e).alias(f"c_{e}") for e in ends])
-    c = c.join(centres, group)
+    own = Window.partitionBy(*group)
+    c = c.withColumns({f"c_{e}": F.avg(e).over(own) for e in ends})
     c = c.withColumns({s: geo.haversine(F.col(f"c_{s}_lat"), F.col(f"c_{s}_lon"), F.col(f"{s}_lat"), F.col(f"{s}_lon")) for s in ("start", "end")})
     out = c.groupBy(*group).agg(
         *[F.first(f"c_{e}").alias(e) for e in ends], F.greatest(F.max("start"), F.lit(metres)).alias("start_radius"), F.greatest(F.max("end"), F.lit(metres)).alias("end_radius"), F.count("*").alias("frequency"),
@@ -186,7 +79,8 @@ def stops(episodes: DataFrame, *, metres: float = 100.0, least: int = 3) -> Data
     """Places of three episodes or more, with radius, mean duration and hours."""
     c = clustered(episodes, ["lat", "lon"], metres)
     group = ["user_id", "place", "cluster"]
-    c = c.join(c.groupBy(*group).agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon")), group).withColumn("d", geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon")))
+    own = Window.partitionBy(*group)
+    c = c.withColumns({"c_lat": F.avg("lat").over(own), "c_lon": F.avg("lon").over(own)}).withColumn("d", geo.haversine(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon")))
     out = c.groupBy(*group).agg(
         F.first("c_lat").alias("lat"), F.first("c_lon").alias("lon"), F.greatest(F.max("d"), F.lit(metres)).alias("radius"), F.count("*").alias("frequency"), F.avg("duration").alias("duration"),
         F.array_sort(F.collect_set("arrival_hour")).alias("arrival_hours"), F.array_sort(F.collect_set("departure_hour")).alias("departure_hours"),
