@@ -8,22 +8,18 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.functions.core import between, cases, names_where
+from wayfold.operators import zones
 
 # --- delay
 
 
 def match_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """requests (request_id, user_id, o_lat, o_lon, d_lat, d_lon) with the best route both of whose zones hold the ends, and its confidence.
-
-    The join is by user, with a box on latitudes before the distances.
-    """
-    r = routes.select("user_id", "route_id", "frequency", F.col("duration").alias("route_duration"), F.col("distance").alias("route_distance"), *["start_lat", "start_lon", "end_lat", "end_lon", "start_radius", "end_radius"])
-    box = (F.abs(F.col("o_lat") - F.col("start_lat")) * 110_000 <= F.col("start_radius") + 1) & (F.abs(F.col("d_lat") - F.col("end_lat")) * 110_000 <= F.col("end_radius") + 1)
-    met = requests.select("request_id", "user_id", "o_lat", "o_lon", "d_lat", "d_lon").join(r, "user_id").filter(box)
-    met = met.withColumns({"d1": geo.haversine(F.col("o_lat"), F.col("o_lon"), F.col("start_lat"), F.col("start_lon")), "d2": geo.haversine(F.col("d_lat"), F.col("d_lon"), F.col("end_lat"), F.col("end_lon"))})
-    met = met.filter((F.col("d1") <= F.col("start_radius")) & (F.col("d2") <= F.col("end_radius")))
-    conf = 0.6 * F.least(F.lit(1.0), F.col("frequency") / 10) + 0.4 * (1 - (F.col("d1") + F.col("d2")) / (F.col("start_radius") + F.col("end_radius") + 1))
-    best = met.withColumn("route_confidence", conf).groupBy("request_id").agg(F.max_by(F.struct("route_id", "route_confidence", "route_duration", "route_distance"), F.struct("route_confidence", F.col("route_id"))).alias("b"))
+    """requests (request_id, user_id, o_lat, o_lon, d_lat, d_lon) with the best of all routes both of whose zones hold the ends, and its confidence."""
+    r = routes.select("user_id", "route_id", "frequency", "duration", "distance", "start_lat", "start_lon", "end_lat", "end_lon", "start_radius", "end_radius")
+    met = zones.met(requests.select("request_id", "user_id", "o_lat", "o_lon", "d_lat", "d_lon"), r, ends={"start": ("o_lat", "o_lon"), "end": ("d_lat", "d_lon")})
+    conf = 0.6 * F.least(F.lit(1.0), F.col("zone.frequency") / 10) + 0.4 * (1 - (F.col("start_distance") + F.col("end_distance")) / (F.col("zone.start_radius") + F.col("zone.end_radius") + 1))
+    met = met.select(F.col("trip.request_id").alias("request_id"), "zone.route_id", conf.alias("route_confidence"), F.col("zone.duration").alias("route_duration"), F.col("zone.distance").alias("route_distance"))
+    best = met.groupBy("request_id").agg(F.max_by(F.struct("route_id", "route_confidence", "route_duration", "route_distance"), F.struct("route_confidence", F.col("route_id"))).alias("b"))
     return requests.join(best, "request_id", "left").select(*requests.columns, "b.*").withColumn("route_confidence", F.coalesce("route_confidence", F.lit(0.0)))
 
 

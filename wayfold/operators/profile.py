@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from wayfold.functions import geo
 from wayfold.functions.core import cases
+from wayfold.operators import zones
 from wayfold.operators.places import clustered
 from wayfold.operators.trips import KEYS
+from wayfold.sources.staging import staged
 
 
 def hour_of(t) -> object:
@@ -106,11 +108,9 @@ def update_regularity(points: DataFrame) -> DataFrame:
     return s.select("user_id", F.when((F.col("n") < 2) | (F.col("m") == 0), 0.5).otherwise(F.least(F.lit(1.0), 1 / (1 + F.col("sd") / F.col("m")))).alias("update_regularity"))
 
 
-def route_adherence(signatures: DataFrame, all_trips: DataFrame, zones: DataFrame) -> DataFrame:
-    """(user_id, route_adherence): the share of all trips with both ends in some route's zones. A box on latitude comes before the distance."""
-    z = zones.select("user_id", *[F.col(c).alias(f"z_{c}") for c in ("start_lat", "start_lon", "end_lat", "end_lon", "start_radius", "end_radius")])
-    near = lambda s: (F.abs(F.col(f"{s}_lat") - F.col(f"z_{s}_lat")) * 110_000 <= F.col(f"z_{s}_radius") + 1) & (geo.haversine(F.col(f"{s}_lat"), F.col(f"{s}_lon"), F.col(f"z_{s}_lat"), F.col(f"z_{s}_lon")) <= F.col(f"z_{s}_radius"))
-    hit = signatures.alias("s").join(z, (F.col("s.user_id") == z["user_id"]) & near("start") & near("end"), "left_semi").groupBy("user_id").agg(F.count("*").alias("hits"))
+def route_adherence(signatures: DataFrame, all_trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """(user_id, route_adherence): the share of all trips with both ends in some route's zones."""
+    hit = zones.met(signatures, routes).groupBy("user_id").agg(F.count_distinct("trip.trip_id").alias("hits"))
     return all_trips.select(*KEYS).distinct().groupBy("user_id").agg(F.count("*").alias("trips")).join(hit, "user_id", "left").select("user_id", (F.coalesce("hits", F.lit(0)) / F.col("trips")).alias("route_adherence"))
 
 
@@ -122,14 +122,20 @@ def profile_confidence(header: DataFrame) -> DataFrame:
 
 def learn(points: DataFrame, base: DataFrame, *, mature_trips: int = 10, mature_points: int = 500) -> DataFrame:
     """One row per user: counts, consistency, confidence, maturity, and nested routes, stops and hours."""
-    sig = trip_signatures(points)
-    r, st, h = routes(sig), stops(stop_episodes(points)), hours(points)
+    sig = staged(trip_signatures(points), "signatures")
+    r, st = staged(routes(sig), "routes"), stops(stop_episodes(points))
+    out = _assembled(points, sig, base, r, st, hours(points))
+    return out.withColumn("is_mature", F.col("is_mature") & (F.col("trips") >= mature_trips) & (F.col("points") >= mature_points))
+
+
+def _assembled(points: DataFrame, signatures: DataFrame, base: DataFrame, routes_: DataFrame, stops_: DataFrame, hours_: DataFrame) -> DataFrame:
     nested = lambda df, name: df.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "user_id"]))).alias(name))
     out = base.select("user_id", "trips", "points", "is_mature")
-    for part in (speed_consistency(points, base), update_regularity(points), route_adherence(sig, points, r), profile_confidence(base)):
+    for part in (speed_consistency(points, base), update_regularity(points), route_adherence(signatures, points, routes_), profile_confidence(base)):
         out = out.join(part, "user_id", "left")
-    out = out.join(nested(r, "routes"), "user_id", "left").join(nested(st, "stops"), "user_id", "left").join(nested(h, "hours"), "user_id", "left")
-    return out.withColumn("is_mature", F.col("is_mature") & (F.col("trips") >= mature_trips) & (F.col("points") >= mature_points))
+    for part, name in ((routes_, "routes"), (stops_, "stops"), (hours_, "hours")):
+        out = out.join(nested(part, name), "user_id", "left")
+    return out
 
 
 def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -137,6 +143,46 @@ def merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.unionByName(new.join(old.select("user_id", key).distinct(), ["user_id", key], "left_anti"))
 
 
+def update_routes(old: DataFrame, signatures: DataFrame, *, metres: float = 200.0) -> DataFrame:
+    """Known routes with the trips that came since.
+
+    A new trip belongs to the known route whose zones hold both its ends, of
+    several to that with the ends nearest; counts are added, usual duration,
+    distance and speed become means over all trips, hours widen. Only trips
+    beyond all known zones are clustered, into routes of their own. Zones and
+    ids of known routes stay.
+    """
+    cols = old.columns
+    nearest = F.struct((F.col("start_distance") + F.col("end_distance")).alias("d"), F.col("zone.route_id").alias("route_id"))
+    taken = staged(zones.met(signatures, old).groupBy("user_id", "trip.trip_id").agg(F.min(nearest).alias("n"), F.first("trip").alias("trip")), "taken")
+    added = taken.groupBy("user_id", F.col("n.route_id").alias("route_id")).agg(
+        F.count("*").alias("_n"), *[F.sum(f"trip.{c}").alias(f"_{c}") for c in ("duration", "distance", "mean_speed")], *[F.count(f"trip.{c}").alias(f"_n_{c}") for c in ("duration", "distance", "mean_speed")],
+        F.min("trip.start_hour").alias("_first"), F.max("trip.start_hour").alias("_last"),
+    )
+    n = F.coalesce("_n", F.lit(0))
+    mean = lambda c: F.when(F.coalesce(f"_n_{c}", F.lit(0)) > 0, (F.col(c) * F.col("frequency") + F.col(f"_{c}")) / (F.col("frequency") + F.col(f"_n_{c}"))).otherwise(F.col(c))
+    known = old.join(added, ["user_id", "route_id"], "left").withColumns({c: mean(c) for c in ("duration", "distance", "mean_speed")})
+    known = known.withColumns({"frequency": F.col("frequency") + n, "first_hour": F.least("first_hour", "_first"), "last_hour": F.greatest("last_hour", "_last")})
+    rest = signatures.join(taken.select("user_id", "trip_id"), ["user_id", "trip_id"], "left_anti")
+    return merge(known.select(*cols), routes(rest, metres=metres).select(*cols), "route_id")
+
+
+def update(old: DataFrame, points: DataFrame, base: DataFrame) -> DataFrame:
+    """Profiles of `learn` with the points that came since: routes as in update_routes, stops of both, hours and consistency of the new points, counts of all.
+
+    base: baselines of all points (user_id, trips, points, is_mature, speed).
+    Users of only one side keep what that side says.
+    """
+    sig = trip_signatures(points)
+    unnested = lambda name: old.select("user_id", F.explode(name).alias("v")).select("user_id", "v.*")
+    r = staged(update_routes(unnested("routes"), sig), "routes")
+    st = merge(unnested("stops"), stops(stop_episodes(points)).select(*unnested("stops").columns), "stop_id")
+    now = _assembled(points, sig, base, r, st, hours(points))
+    seen = points.select("user_id").distinct()
+    quiet = old.join(seen, "user_id", "left_anti")
+    return now.join(seen, "user_id", "left_semi").select(*old.columns).unionByName(quiet)
+
+
 def summary(profiles: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     return profiles.select("user_id", "trips", "points", "is_mature", n("routes").alias("n_routes"), n("stops").alias("n_stops"), F.size(F.filter("hours", lambda h: h["n"] > 0)).alias("active_hours"), "profile_confidence")
