@@ -109,3 +109,42 @@ def test_best_of_several_routes(spark):
                 found.append((0.6 * min(1, n / 10) + 0.4 * (1 - (x + y) / (s + e + 1)), name, duration))
         best = max(found, default=(0.0, None, None))
         assert (got["route_id"], got["route_duration"]) == best[1:] and got["route_confidence"] == pytest.approx(best[0])
+
+
+def test_learned_routes_reach_adherence_and_delays(spark):
+    """Queries over learned routes, by brute force over the routes."""
+    points = scored_tracks(spark, D)
+    sig = profile.trip_signatures(points)
+    known, trips = profile.routes(sig).collect(), sig.collect()
+    on = lambda t, r: r["user_id"] == t["user_id"] and metres(t["start_lat"], t["start_lon"], r["start_lat"], r["start_lon"]) <= r["start_radius"] and metres(t["end_lat"], t["end_lon"], r["end_lat"], r["end_lon"]) <= r["end_radius"]
+    hits = {t["trip_id"]: [r for r in known if on(t, r)] for t in trips}
+    n = Counter(r["user_id"] for r in points.select("user_id", "trip_id").distinct().collect())
+    got = {r["user_id"]: r["route_adherence"] for r in queries.pro_09_learned(spark, D).collect()}
+    assert got == {u: round(sum(bool(hits[t["trip_id"]]) for t in trips if t["user_id"] == u) / n[u], 6) for u in n}
+    late = queries.dly_01_learned(spark, D).collect()
+    assert len(late) == len(trips) and {r["request_id"] for r in late if r["route_id"]} == {t for t, own in hits.items() if own}
+    assert all(r["route_id"] in {x["route_id"] for x in hits[r["request_id"]]} for r in late if r["route_id"])
+
+
+def test_profiles_brought_up_to_date(spark):
+    from wayfold.operators import baseline
+
+    p = scored_tracks(spark, D).cache()
+    first, since = p.filter("trip_id % 2 = 0 and user_id % 4 <> 1"), p.filter("trip_id % 2 = 1 and user_id % 4 <> 2")
+    old = profile.learn(first, baseline.wide(first))
+    before = {r["user_id"]: r for r in old.collect()}
+    got = {r["user_id"]: r for r in profile.update(old, since, baseline.wide(p)).collect()}
+    assert set(got) == {r["user_id"] for r in p.select("user_id").distinct().collect()}
+    for u, r in got.items():
+        if u % 4 == 2:
+            assert r == before[u]  # nothing new
+        else:
+            assert r["trips"] == p.filter(F.col("user_id") == u).select("trip_id").distinct().count()
+            assert {x["route_id"] for x in (before[u]["routes"] or [])} <= {x["route_id"] for x in (r["routes"] or [])} if u in before else True
+            assert sum(h["n"] for h in r["hours"]) == since.filter((F.col("user_id") == u) & (F.col("confidence") >= 0.5)).count()
+    p.unpersist()
+
+
+def test_outlook_by_drift(spark):
+    rows = {r["user_id"]: r for r in queries.p3_01_learned(spark, D).collect()}
+    assert rows and all(0 <= r["threat"] <= 1 for r in rows.values())

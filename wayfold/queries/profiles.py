@@ -9,6 +9,7 @@ from wayfold.operators import anomaly, baseline, learning, ops, predict, profile
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, risks, sql
 from wayfold.queries.registry import query, rounded
+from wayfold.sources.staging import staged
 
 READ = "select * from {0}"
 
@@ -90,6 +91,22 @@ def pro_10(spark: SparkSession, d: str) -> DataFrame:
     return rounded(profile.profile_confidence(baseline.header(scored_tracks(spark, d), mature_trips=5, mature_points=50)))
 
 
+@query("pro_09_learned")
+def pro_09_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Adherence to the routes that the trips themselves make up."""
+    p = staged(scored_tracks(spark, d), "points")
+    sig = staged(profile.trip_signatures(p), "signatures")
+    return rounded(profile.route_adherence(sig, p, profile.routes(sig)))
+
+
+@query("pro_11_update")
+def pro_11_update(spark: SparkSession, d: str) -> DataFrame:
+    """Routes of one half of the trips, brought up to date with the other half."""
+    sig = staged(profile.trip_signatures(scored_tracks(spark, d)), "signatures")
+    known, since = (sig.filter(f"pmod(trip_id, 2) = {i}") for i in (0, 1))
+    return rounded(profile.update_routes(staged(profile.routes(known), "routes"), since))
+
+
 @query("pro_11_12")
 def pro_11_12(spark: SparkSession, d: str) -> DataFrame:
     p = scored_tracks(spark, d)
@@ -121,11 +138,19 @@ def dly_01_05(spark: SparkSession, d: str) -> DataFrame:
     return rounded(delays(scored_tracks(spark, d)).select("request_id", "user_id", "hour", "weekday", "is_rush", *DLY), 4)
 
 
-def delays(p: DataFrame) -> DataFrame:
-    r = predict.delay_features(predict.match_routes(requests(p), tour_zones(p)))
+def delays(p: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    r = predict.delay_features(predict.match_routes(requests(p), tour_zones(p) if routes is None else routes))
     return predict.heuristic_delay(r.withColumns(predict.fuse(F.col("weather_impact"), F.col("traffic_factor"))))
 
 
+@query("dly_01_learned")
+def dly_01_learned(spark: SparkSession, d: str) -> DataFrame:
+    """Delays by the best of the learned routes that a request lies on."""
+    p = staged(scored_tracks(spark, d), "points")
+    late = delays(p, staged(profile.routes(profile.trip_signatures(p)), "routes"))
+    return rounded(late.select("request_id", "user_id", "route_id", "hour", "weekday", "is_rush", *DLY), 4)
+
+
 @query("dly_04_mlt_01")
 def dly_04_mlt_01(spark: SparkSession, d: str) -> DataFrame:
     return learning.evaluate_delay(delays(scored_tracks(spark, d)))
@@ -173,29 +198,53 @@ def thr_04(spark: SparkSession, d: str) -> DataFrame:
     return t.select("user_id", (F.round("slope", 8) + F.lit(0.0)).alias("slope"), F.round("strength", 6).alias("strength"), "trend")
 
 
-def threats(spark: SparkSession, d: str) -> DataFrame:
-    p = scored_tracks(spark, d)
-    a = anomaly.detect(p, iso=analysis.given_isolation(p))
+def threats(spark: SparkSession, d: str, p: DataFrame | None = None, drifting: DataFrame | None = None) -> DataFrame:
+    """Threats from the points' anomalies and spoofing, the orders' risks, and users' drift (has_drift; a stand-in without)."""
+    p = staged(scored_tracks(spark, d), "points") if p is None else p
+    a = staged(anomaly.detect(p, iso=analysis.given_isolation(p)), "anomalies")
     h = predict.risk_history(order_risks(spark, d), NOW, days=35).join(predict.trend(order_risks(spark, d)), "user_id")
     h = h.join(predict.anomaly_history(a, anomaly.signals(a)), "user_id").join(predict.spoof_history(spoofing.sessions(p)), "user_id")
-    return predict.threat(h.withColumn("has_drift", F.col("user_id") % 3 == 0))
+    if drifting is None:
+        return predict.threat(h.withColumn("has_drift", F.col("user_id") % 3 == 0))
+    return predict.threat(h.join(drifting, "user_id", "left").fillna({"has_drift": False}))
+
+
+sql.define("thr", ["ano", "ses", "trend"], f"""with h as (select user_id,coalesce(avg(r),0e0) a,coalesce(max(r),0e0) m,coalesce(avg(case when r>0.7e0 then 1e0 when r is not null then 0e0 end),0e0) hs,count(r) n from (select *, case when taken_at>{NOW}-3024000 and taken_at<={NOW} then risk end r from orisk) group by 1),
+ an as (select user_id,avg(case when is_anomalous then 1e0 else 0e0 end) ar,avg(anomaly_score) am from ano group by 1), sp as (select user_id,max(spoofing) ms from ses group by 1)
+select user_id,n,least(1e0,greatest(0e0,0.35e0*(0.5e0*a+0.3e0*m+0.2e0*hs)+0.25e0*(0.6e0*ar+0.4e0*am)+0.2e0*ms+0.1e0*(case when user_id%3=0 then 0.5e0 else 0e0 end)+0.1e0*(case trend when 'rising' then 0.3e0+0.4e0*strength when 'falling' then -0.1e0 else 0e0 end))) threat from h join an using (user_id) join sp using (user_id) join trend using (user_id)""")
 
 
-@query("thr_05_06", sql.query("ano ses trend", f"""with h as (select user_id,coalesce(avg(r),0e0) a,coalesce(max(r),0e0) m,coalesce(avg(case when r>0.7e0 then 1e0 when r is not null then 0e0 end),0e0) hs,count(r) n from (select *, case when taken_at>{NOW}-3024000 and taken_at<={NOW} then risk end r from orisk) group by 1),
- an as (select user_id,avg(case when is_anomalous then 1e0 else 0e0 end) ar,avg(anomaly_score) am from ano group by 1), sp as (select user_id,max(spoofing) ms from ses group by 1),
- t as (select user_id,n,least(1e0,greatest(0e0,0.35e0*(0.5e0*a+0.3e0*m+0.2e0*hs)+0.25e0*(0.6e0*ar+0.4e0*am)+0.2e0*ms+0.1e0*(case when user_id%3=0 then 0.5e0 else 0e0 end)+0.1e0*(case trend when 'rising' then 0.3e0+0.4e0*strength when 'falling' then -0.1e0 else 0e0 end))) threat from h join an using (user_id) join sp using (user_id) join trend using (user_id))
-select user_id,round(threat,5) threat,round(least(0.9e0,0.3e0+0.6e0*n/100),6) threat_confidence,case when threat<0.1e0 then 'minimal' when threat<0.25e0 then 'low' when threat<0.45e0 then 'moderate' when threat<0.65e0 then 'elevated' when threat<0.85e0 then 'high' else 'critical' end threat_level,
- case when threat<0.2e0 then 'calm' when threat<0.5e0 then 'watchful' else 'tense' end outlook,case when threat<0.4e0 then 'none' when threat<0.7e0 then 'watch' else 'act' end advice from t"""))
+LEVEL = "case when threat<0.1e0 then 'minimal' when threat<0.25e0 then 'low' when threat<0.45e0 then 'moderate' when threat<0.65e0 then 'elevated' when threat<0.85e0 then 'high' else 'critical' end"
+ADVICE = "case when threat<0.4e0 then 'none' when threat<0.7e0 then 'watch' else 'act' end"
+
+
+@query("thr_05_06", sql.query("thr", f"select user_id,round(threat,5) threat,round(least(0.9e0,0.3e0+0.6e0*n/100),6) threat_confidence,{LEVEL} threat_level,case when threat<0.2e0 then 'calm' when threat<0.5e0 then 'watchful' else 'tense' end outlook,{ADVICE} advice from thr"))
 def thr_05_06(spark: SparkSession, d: str) -> DataFrame:
     t = threats(spark, d)
     return t.select("user_id", F.round("threat", 5).alias("threat"), F.round("threat_confidence", 6).alias("threat_confidence"), "threat_level", "outlook", "advice")
 
 
-@query("p3_01")
+def outlook(spark: SparkSession, d: str, p: DataFrame, routes: DataFrame | None = None, drifting: DataFrame | None = None) -> DataFrame:
+    """A user's threat, worst delay and what follows from both."""
+    late = delays(p, routes).groupBy("user_id").agg(F.max("delay_minutes").alias("delay_minutes"))
+    out = threats(spark, d, p, drifting).join(late, "user_id", "left")
+    return rounded(out.select("user_id", "threat", "threat_level", "delay_minutes", F.when(F.col("delay_minutes") > 15, "expect_delay").otherwise(F.col("advice")).alias("recommendation")), 5)
+
+
+@query("p3_01", sql.query("thr dly", f"with l as (select user_id,max(delay_minutes) delay_minutes from dly group by 1) select user_id,round(threat,5) threat,{LEVEL} threat_level,round(delay_minutes,5)+0e0 delay_minutes,case when delay_minutes>15 then 'expect_delay' else {ADVICE} end recommendation from thr left join l using (user_id)"))
 def p3_01(spark: SparkSession, d: str) -> DataFrame:
-    late = delays(scored_tracks(spark, d)).groupBy("user_id").agg(F.max("delay_minutes").alias("delay_minutes"))
-    out = threats(spark, d).join(late, "user_id", "left")
-    return rounded(out.select("user_id", "threat", "threat_level", "delay_minutes", F.when(F.col("delay_minutes") > 15, "expect_delay").otherwise(F.col("advice")).alias("recommendation")))
+    return outlook(spark, d, staged(scored_tracks(spark, d), "points"))
+
+
+@query("p3_01_learned")
+def p3_01_learned(spark: SparkSession, d: str) -> DataFrame:
+    """The same from learned routes and from the drift of the users' snapshots."""
+    p = staged(scored_tracks(spark, d), "points")
+    pairs = drift_pairs(spark, d)
+    signals = predict.drift_signals(pairs)
+    concern = predict.drift_concern(predict.drift_scores(signals, pairs), signals)
+    routes = staged(profile.routes(profile.trip_signatures(p)), "routes")
+    return outlook(spark, d, p, routes, concern.select("user_id", (F.col("concern") != "none").alias("has_drift")))
 
 
 # --- drift, from snapshots of orders per customer and quarter
@@ -224,7 +273,23 @@ def jol_04_as_of(spark: SparkSession, d: str) -> DataFrame:
     return drift_pairs(spark, d).select("user_id", "window", F.col("old.at").alias("taken_at"), "old.stop_count")
 
 
-@query("drf_01_07")
+BOUNDED = "case when greatest(abs({0}),abs({1}))=0 then 0e0 else least(1e0,abs({1}-{0})/greatest(abs({0}),abs({1}))) end"
+KL = "list_sum(list_transform(range(1,25), lambda i: ({0}[i]+1e-10)*ln(({0}[i]+1e-10)/(({0}[i]+{1}[i])/2+1e-10))))"
+SHARES = "list_transform({0}, lambda v: (v+1e-10)/list_sum(list_transform({0}, lambda u: u+1e-10)))"
+
+
+@query("drf_01_07", sql.query("snap", f"""with n as (select user_id,max(taken_at) last from snap group by 1), t as (select user_id,last,w,last-w*86400*4e0 t from n cross join (values (7),(30),(90)) v(w)), o as (select t.user_id,t.w,t.last,s.* exclude (user_id) from t asof join snap s on t.user_id=s.user_id and t.t>=s.taken_at),
+ h as (select o.*,c.speed_mean c_mean,c.speed_std c_std,c.update_regularity c_reg,c.route_adherence c_adh,c.stop_count c_stop,{SHARES.format("o.hrs")} p,{SHARES.format("c.hrs")} q from o join snap c on c.user_id=o.user_id and c.taken_at=o.last),
+ x as (select user_id,w,0.7e0*{BOUNDED.format("speed_mean", "c_mean")}+0.3e0*{BOUNDED.format("speed_std", "c_std")} speed,abs(c_adh-route_adherence) adh,abs(c_reg-update_regularity) reg,sqrt(greatest(0e0,({KL.format("p", "q")}+{KL.format("q", "p")})/2)) tim,
+  case when stop_count=0 then case when c_stop=0 then 0e0 else 1e0 end else abs(c_stop-stop_count)*1e0/abs(stop_count) end stops from h),
+ s as (select user_id,w,'speed' kind,least(1e0,speed) severity from x where speed>=0.15e0 union all select user_id,w,'route',least(1e0,2*adh) from x where adh>=0.15e0 union all select user_id,w,'timing',least(1e0,2*tim) from x where tim>=0.15e0
+  union all select user_id,w,'stops',least(1e0,stops) from x where stops>=0.3e0 union all select user_id,w,'regularity',least(1e0,2*reg) from x where reg>=0.15e0),
+ g as (select u.user_id,v.w,coalesce(sum(severity),0e0) s,count(severity) n from (select distinct user_id from x) u cross join (values (7),(30),(90)) v(w) left join s on s.user_id=u.user_id and s.w=v.w group by 1,2),
+ c as (select user_id,w,case when sum(n) over k>0 then sum(s) over k/sum(n) over k else 0e0 end score from g window k as (partition by user_id order by w rows unbounded preceding)),
+ m as (select user_id,max(score) filter (where w=7) w7,max(score) filter (where w=30) w30,max(score) filter (where w=90) w90 from c group by 1), d as (select *,0.5e0*w7+0.3e0*w30+0.2e0*w90 drift from m),
+ b as (select user_id,max(severity) filter (where kind in ('route','timing')) place from s group by 1)
+select user_id,round(w7,5) w7,round(w30,5) w30,round(w90,5) w90,round(drift,5) drift,case when drift<0.15e0 then 'none' when drift<0.3e0 then 'low' when drift<0.5e0 then case when coalesce(place,0e0)>0.4e0 or w7>2*w90 then 'moderate' else 'low' end
+ when drift<0.7e0 then case when coalesce(place,0e0)>0.4e0 or w7>2*w90 then 'high' else 'moderate' end else 'critical' end concern from d left join b using (user_id)"""))
 def drf_01_07(spark: SparkSession, d: str) -> DataFrame:
     pairs = drift_pairs(spark, d)
     s = predict.drift_signals(pairs)
