@@ -54,3 +54,25 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         ids = [r["doc_id"] for r in out]
         assert 9 not in ids and not {1, 2, 3} & set(ids) and {r["doc_id"] for r in out} <= {4, None, 6, 7, 8, 10}
         assert all(r["ids_sha256"] and r["decoded_sha256"] and r["n_tokens"] > 0 for r in out)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Columns named like helpers of the stages, in their own types, or with dots and blanks, come through unchanged."""
+    rng = random.Random(3)
+    helpers = ["_row", "_shard", "_words", "_size", "_start", "_order", "_all", "_drop_id", "_drop_hash", "_text_hash", "_listed", "_nth", "id", "node", "group", "epoch", "shard", "size", "row", "c0", "a.b", "with blank", "tick`s", "KEY"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{h.replace('`', '``')}` {('int', 'string', 'array<int>', 'map<string,int>')[i % 4]}" for i, h in enumerate(helpers))
+    value = [7, "seven", [7], {"a": 7}]
+    rows = [(i, prose(rng, 40), "en", f"s{i % 2}", 1, *(value[k % 4] for k in range(len(helpers)))) for i in range(60)]
+    rows += [(100 + i, *rows[5][1:]) for i in range(10)] + [(5, rows[5][1], "en", "zz", 1, *rows[5][5:])]  # copies, and a repeated row of another source
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        found = out.collect()
+        assert found and all(r[5 + i] == value[i % 4] for r in found for i in range(len(helpers)))
+        kept[name] = found
+        docs = spark.createDataFrame(found, schema)
+    assert [r["source"] for r in kept["near_copies"] if r["doc_id"] == 5] == ["s1"]  # the first of repeated rows by their columns
+    assert len(kept["near_copies"]) == 60

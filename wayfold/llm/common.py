@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfold.sources.staging import discard, staged
 
-__all__ = ["WORD", "bounded_batches", "discard", "materialize", "partitions", "table"]
+__all__ = ["WORD", "bounded_batches", "discard", "materialize", "numbered_columns", "partitions", "table"]
 
 #: White space of the corpus contracts: blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... on the way through an operator, and those names by the columns' own: they clash with nothing, and hold no dots."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, discard, materialize, partitions
+from .common import bounded_batches, discard, materialize, numbered_columns, partitions
 
 #: Documents in the sample that tells frequent shingles (or one in so many, if
 #: that is more), how often a shingle is in them to count as frequent, and how
@@ -760,19 +760,23 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Only texts whose key is in a bit map of the keys to drop are shuffled.
     """
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
-    members = materialize(link_copies(docs, id_col=id_col, text_col=text_col)[0], "groups").filter(F.col("node").isNotNull())
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), "text_hash")
+    flat, names = numbered_columns(docs)
+    id_, text = names[id_col], names[text_col]
+    keyed = flat.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
+    members = materialize(link_copies(flat.select(F.col(id_).alias("id"), F.col(text).alias("text")), id_col="id")[0], "groups").filter(F.col("node").isNotNull())
+    order = F.struct(F.col("id").isNull(), F.col("id"), "text_hash")
     first = materialize(members.groupBy("group").agg(F.min(order).alias("first")), "first")
-    drop = members.join(first, "group").filter(order != F.col("first")).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
-    repeated = members.groupBy(id_col, "text_hash").count().filter(F.col("count") > 1).select(F.col(id_col).alias("_drop_id"), F.col("text_hash").alias("_drop_hash"))
+    drop = members.join(first, "group").filter(order != F.col("first")).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
+    repeated = members.groupBy("id", "text_hash").count().filter(F.col("count") > 1).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"))
     drop = materialize(drop.withColumn("_all", F.lit(True)).unionByName(repeated.withColumn("_all", F.lit(False))).groupBy("_drop_id", "_drop_hash").agg(F.max("_all").alias("_all")), "drop")
-    marked = keyed.withColumn("_listed", F.coalesce(listed(drop, F.xxhash64("_drop_id", "_drop_hash"), F.xxhash64(F.col(id_col).cast("long"), "_text_hash")), F.lit(True)))
-    looked_up = marked.filter("_listed").join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash")), "left").filter(~F.coalesce("_all", F.lit(False)))
-    nth = F.row_number().over(Window.partitionBy(id_col, "_text_hash").orderBy(F.lit(0)))
+    marked = keyed.withColumn("_listed", F.coalesce(listed(drop, F.xxhash64("_drop_id", "_drop_hash"), F.xxhash64(F.col(id_).cast("long"), "_text_hash")), F.lit(True)))
+    looked_up = marked.filter("_listed").join(drop, F.col(id_).cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash")), "left").filter(~F.coalesce("_all", F.lit(False)))
+    # of rows with equal id and text the first by all other columns, so that reruns agree
+    others = [F.to_json(F.struct(n)) if "map<" in kind or kind == "variant" else F.col(n) for n, kind in flat.dtypes if n not in (id_, text)]
+    nth = F.row_number().over(Window.partitionBy(id_, "_text_hash").orderBy(*others or [F.lit(0)]))
     looked_up = looked_up.withColumn("_nth", nth).filter(F.col("_all").isNull() | (F.col("_nth") == 1))
-    return marked.filter(~F.col("_listed")).select(docs.columns).union(looked_up.select(docs.columns))
+    rows = marked.filter(~F.col("_listed")).select(*names.values()).union(looked_up.select(*names.values()))
+    return rows.toDF(*names)
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

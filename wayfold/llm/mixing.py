@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, partitions
+from .common import WORD, materialize, numbered_columns, partitions
 
 #: Rows of a source and epoch in a bucket of the prefix sums, about, and buckets in a group of them.
 BUCKET_ROWS, GROUP_BUCKETS = 256, 4096
@@ -230,26 +230,28 @@ def mix(docs: DataFrame, *, shards: int = 16, seed: int = 11, id_col: str = "doc
     )
 
 
-def mixed_documents(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
     """docs as the mix takes them, all columns, in the order of the mix: by shard, and shuffled inside.
 
     A row per epoch and shard that takes words of a document: a whole copy, or
     where a block ends the part that was drawn. length_col, if there, is set anew.
     """
     spark = docs.sparkSession
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    mixed = mix(numbered, source_col=source_col, text_col=text_col, row_col="_row", **options)
+    flat, names = numbered_columns(docs)
+    id_, source, text, length = names[id_col], names[source_col], names[text_col], names.get(length_col)
+    numbered = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    mixed = mix(numbered, id_col=id_, source_col=source, text_col=text, row_col="_row", **options)
     runs = mixed.filter("n_words > 0").groupBy(F.col("row").alias("_row"), "epoch", F.col("shard").alias("_shard")).agg(
         F.first("size").alias("_size"), F.min("word_start").alias("_start"), F.sum("n_words").alias("_words"), F.min("mix_order").alias("_order")
     )
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     part = F.array_join(F.slice(words, (F.col("_start") + 1).cast("int"), F.col("_words").cast("int")), "")
     cut = F.col("_words") < F.col("_size")
-    rows = numbered.join(runs, "_row").withColumn(text_col, F.when(cut, part).otherwise(F.col(text_col)))
-    if length_col in docs.columns:
-        rows = rows.withColumn(length_col, F.when(cut, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    rows = numbered.join(runs, "_row").withColumn(text, F.when(cut, part).otherwise(F.col(text)))
+    if length:
+        rows = rows.withColumn(length, F.when(cut, F.char_length(text).cast(flat.schema[length].dataType)).otherwise(F.col(length)))
     rows = rows.repartition(partitions(spark), "_shard", F.pmod("_order", F.lit(max(1, partitions(spark) // options.get("shards", 16)))))
-    return rows.sortWithinPartitions("_shard", "_order").select(docs.columns)
+    return rows.sortWithinPartitions("_shard", "_order").select(*names.values()).toDF(*names)
 
 
 def taken_by_document(mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

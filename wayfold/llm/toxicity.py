@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, numbered_columns
 
 TRAIN_ROWS = 8000
 FOLDS = 3
@@ -245,7 +245,8 @@ def without(docs: DataFrame, chain: Chain, category: str, *, text_col: str = "te
         for b in batches:
             yield b.filter(pa.array(scorer(b.column(place).to_pylist())[:, at] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    flat, names = numbered_columns(docs)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
 
 
 #: The categories of the labels table, in the order of the chain.
