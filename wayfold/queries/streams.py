@@ -6,15 +6,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfold.operators import baseline
+from wayfold.operators import features as batch_features
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, sql
 from wayfold.queries.registry import query, rounded
 from wayfold.sources import sinks, tables
 from wayfold.sources import tracks as source
-from wayfold.sources.staging import shared_dir
+from wayfold.sources.staging import shared_dir, staged
 from wayfold.streaming import points as stream
+from wayfold.streaming import state
 
 K, KEY = analysis.K, analysis.KEY
 LATE = "365 days"
@@ -24,13 +27,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def arriving(spark: SparkSession, events: DataFrame, *parts: str) -> DataFrame:
-    """A stream of events that come in so many files, one in a micro-batch."""
+def arriving(spark: SparkSession, events: DataFrame, *parts: str, folder_too: bool = False) -> DataFrame | tuple[DataFrame, str]:
+    """A stream of events that come in so many files, one in a micro-batch; folder_too: with the folder, for more to come."""
     place, names = folder(spark, "events"), [c.split() for c in stream.EVENTS.split(", ")]
     rows = events.select(*[F.col(n).cast(k).alias(n) for n, k in names])
     for part in parts:
         rows.filter(part).coalesce(1).write.mode("append").parquet(place)
-    return stream.read(spark, place, files_per_trigger=1)
+    found = stream.read(spark, place, files_per_trigger=1)
+    return (found, place) if folder_too else found
 
 
 def to_end(spark: SparkSession, rows: DataFrame, mode: str = "append") -> DataFrame:
@@ -58,6 +62,27 @@ def str_03(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("user_id", "trip_id", "event_id", *FEATURES, "is_stop"), 4, nudge=1e-9)
 
 
+def pushed(spark: SparkSession, place: str) -> None:
+    """One more event far beyond all others, of no user: the watermark passes these."""
+    rows = spark.read.parquet(place)
+    far = rows.agg(F.max("timestamp_unix").alias("t")).select(*[(F.col("t") + 3 * 365 * 86400.0 if f.name == "timestamp_unix" else F.lit(-1 if f.name in ("user_id", "trip_id") else None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    far.coalesce(1).write.mode("append").parquet(place)
+
+
+@query("str_03_resumed", sql.query("feat", f"select user_id,trip_id,event_id,{','.join(f'round({c}+1e-9,4) {c}' for c in FEATURES)},is_stop from feat"))
+def str_03_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the first half of each trip by the batch, of the rest by a stream that goes on from there and gets its events in disorder."""
+    rows = staged(source.normalize(source.tracks(spark, d)), "events")
+    nth = F.row_number().over(Window.partitionBy("user_id", "trip_id").orderBy("timestamp_unix", "point_index", "event_id"))
+    half = staged(rows.withColumn("_later", nth > 5), "halves")
+    known = staged(batch_features.features(half.filter("not _later").drop("_later")), "features")
+    events, place = arriving(spark, half.filter("_later"), "event_id % 2 = 0", "event_id % 2 = 1", "false", folder_too=True)
+    pushed(spark, place)
+    out = to_end(spark, state.features(events, start=state.last_seen(known), late=LATE))
+    both = known.select("user_id", "trip_id", "event_id", *FEATURES, "is_stop").unionByName(out.select("user_id", "trip_id", "event_id", *FEATURES, "is_stop"))
+    return rounded(both, 4, nudge=1e-9)
+
+
 @query("str_04", sql.query("metrics", "select user_id,metric,sample_size from metrics where sample_size>0 and metric<>'trip_duration'"))
 def str_04(spark: SparkSession, d: str) -> DataFrame:
     """Metrics blended batch by batch, one of which is sent twice: numbers of values are those of all points."""
@@ -118,12 +143,31 @@ def src_10(spark: SparkSession, d: str) -> DataFrame:
 AGES = "with q as (select o_orderkey id,'c'||(o_custkey%20) cell,(cast(o_orderdate as date)-date '1992-01-01')*60e0 as at_q from orders), r as (select 'c'||(c_custkey%20) cell,c_custkey*97.0e0 as at_r,c_custkey impact from customer)"
 
 
-def aged(spark: SparkSession, d: str, seconds: float) -> DataFrame:
+def requests_and_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
     cell = lambda c: F.concat(F.lit("c"), F.col(c) % 20).alias("cell")
     requests = read("orders").select(F.col("o_orderkey").alias("id"), cell("o_custkey"), (F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")) * 60.0).alias("at"))
     records = read("customer").select(cell("c_custkey"), (F.col("c_custkey") * 97.0).alias("at"), F.col("c_custkey").alias("impact"))
-    return tables.fresh(requests, records, seconds, value=["impact"]).select("id", "impact")
+    return requests, records
+
+
+def aged(spark: SparkSession, d: str, seconds: float) -> DataFrame:
+    return tables.fresh(*requests_and_records(spark, d), seconds, value=["impact"]).select("id", "impact")
+
+
+def aged_stream(spark: SparkSession, d: str, seconds: float) -> DataFrame:
+    """The same by two streams, requests and records in several files, not in order of time."""
+    places = {}
+    requests, records = requests_and_records(spark, d)
+    for name, df, key in (("requests", requests, "id"), ("records", records.withColumnRenamed("impact", "value"), "value")):
+        places[name] = folder(spark, name)
+        for i in range(2):
+            df.filter(F.pmod(F.xxhash64(key), F.lit(2)) == i).coalesce(1).write.mode("append").parquet(places[name])
+        far = df.agg(F.max("at").alias("t")).select(*[(F.col("t") + 1e9 if f.name == "at" else F.lit("none" if f.name == "cell" else -1)).cast(f.dataType).alias(f.name) for f in df.schema])
+        far.coalesce(1).write.mode("append").parquet(places[name])
+    read = lambda name: spark.readStream.schema(spark.read.parquet(places[name]).schema).option("maxFilesPerTrigger", 1).parquet(places[name])
+    out = to_end(spark, state.fresh(read("requests"), read("records"), seconds, kind="bigint", late="3000 days"))
+    return out.filter("cell <> 'none'").select("id", F.col("value").alias("impact"))
 
 
 def aged_sql(seconds: int) -> str:
@@ -142,6 +186,18 @@ def src_12(spark: SparkSession, d: str) -> DataFrame:
     return aged(spark, d, 300)
 
 
+@query("str_06_weather", aged_sql(900))
+def str_06_weather(spark: SparkSession, d: str) -> DataFrame:
+    """Weather records, fit for 15 minutes, as the state of a stream."""
+    return aged_stream(spark, d, 900)
+
+
+@query("str_06_traffic", aged_sql(300))
+def str_06_traffic(spark: SparkSession, d: str) -> DataFrame:
+    """Traffic records, fit for 5 minutes, as the state of a stream."""
+    return aged_stream(spark, d, 300)
+
+
 @query("src_13", sql.query("tracks", "with t as (select user_id,trip_id,count(*) n from tracks group by 1,2) select user_id,trip_id,case when trip_id%3=0 then -n else n end n from t where user_id%5<>0"))
 def src_13(spark: SparkSession, d: str) -> DataFrame:
     """A table made in two appends, some rows replaced, some deleted."""

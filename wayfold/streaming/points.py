@@ -57,18 +57,14 @@ def _distance(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.
     return 2 * RADIUS * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
 
 
-def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, ttl_ms: int) -> Iterator[pd.DataFrame]:
-    """Features of one trip's events against the last one seen; the state is one row, and goes when no event has come for ttl_ms."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["timestamp_unix", "point_index", "event_id"])
-    last = state.get if state.exists else None
+def advance(key: tuple, rows: pd.DataFrame, last: tuple | None) -> tuple[list[pd.DataFrame], tuple | None]:
+    """Features of one trip's events against the last one seen (a row of STATE), and the last one now."""
+    rows, out = rows.sort_values(["timestamp_unix", "point_index", "event_id"]), []
     late = rows[rows["timestamp_unix"] < last[0]] if last else rows[:0]
     rows = rows[len(late) :]  # in order of time, the late ones come first
     if len(late):
         nothing = dict.fromkeys(("distance", "calc_speed", "acceleration", "is_stop", "stop_duration"))
-        yield pd.DataFrame({"user_id": key[0], "trip_id": key[1], "event_id": late["event_id"], "time_delta": late["timestamp_unix"] - last[0], **nothing, "late": True}, index=late.index)
+        out.append(pd.DataFrame({"user_id": key[0], "trip_id": key[1], "event_id": late["event_id"], "time_delta": late["timestamp_unix"] - last[0], **nothing, "late": True}, index=late.index))
     if len(rows):
         # the last event seen stands before the new ones
         t, lat, lon = (np.concatenate(([last[i]] if last else [np.nan], rows[c].to_numpy(float))) for i, c in enumerate(("timestamp_unix", "lat", "lon")))
@@ -84,13 +80,25 @@ def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, tt
         stayed = np.cumsum(np.where(stop & before & after, dt, 0.0))
         start = np.maximum.accumulate(np.where(stop & before, -np.inf, stayed))  # where the run of stops began
         run = np.where(stop, stayed - np.where(np.isfinite(start), start, 0.0) + np.where(np.isfinite(start), 0.0, last[6] if last else 0.0), 0.0)
-        state.update((float(t[-1]), float(lat[-1]), float(lon[-1]), None if np.isnan(v[-1]) else float(v[-1]), (last[4] if last else 0) + len(rows), bool(stop[-1]), float(run[-1])))
+        last = (float(t[-1]), float(lat[-1]), float(lon[-1]), None if np.isnan(v[-1]) else float(v[-1]), (last[4] if last else 0) + len(rows), bool(stop[-1]), float(run[-1]))
         number = lambda x: pd.Series(x, index=rows.index).astype(object).where(~np.isnan(x), None)
-        yield pd.DataFrame({
+        out.append(pd.DataFrame({
             "user_id": key[0], "trip_id": key[1], "event_id": rows["event_id"], "time_delta": number(dt), "distance": number(d), "calc_speed": number(calc), "acceleration": number(acc),
             "is_stop": stop, "stop_duration": number(np.where(stop & after, run, np.nan)), "late": False,
-        })
-    seen = state.get[0] if state.exists else 0.0
+        }))
+    return out, last
+
+
+def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """Features as events come; the state is one row, and goes when no event has come for ttl_ms."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    out, last = advance(key, pd.concat(list(batches)), state.get if state.exists else None)
+    if last:
+        state.update(last)
+    yield from out
+    seen = last[0] if last else 0.0
     state.setTimeoutTimestamp(max(int(seen * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
 
 
