@@ -5,8 +5,11 @@ All fitted parameters are keyed by user.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from wayfold.functions.core import cases
@@ -114,12 +117,69 @@ def physical(points: DataFrame) -> DataFrame:
     return points.withColumn("violates_physics", F.coalesce(F.col("speed") > 300, F.lit(False)) | F.coalesce(F.abs("acceleration") > 30, F.lit(False)) | F.coalesce(F.col("calc_speed") > 450, F.lit(False)))
 
 
-def ensemble(points: DataFrame) -> DataFrame:
-    """points (violates_physics, stat_score, hbos_score, iso_score) with anomaly_score and is_anomalous."""
-    mixed = F.least(F.lit(1.0), 0.3 * F.coalesce("iso_score", F.lit(0.0)) + 0.4 * F.coalesce("stat_score", F.lit(0.0)) + 0.2 * F.coalesce("hbos_score", F.lit(0.0)))
+#: What the ensemble weighs, by score column. Fixed values.
+WEIGHTS = {"iso_score": 0.3, "stat_score": 0.4, "hbos_score": 0.2}
+
+
+def ensemble(points: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """points (violates_physics and the weights' columns) with anomaly_score and is_anomalous."""
+    mixed = F.least(F.lit(1.0), sum((w * F.coalesce(c, F.lit(0.0)) for c, w in (weights or WEIGHTS).items()), F.lit(0.0)))
     return points.withColumn("anomaly_score", F.when(F.col("violates_physics"), 1.0).otherwise(mixed)).withColumn("is_anomalous", F.col("anomaly_score") >= 0.5)
 
 
+class Detector(Protocol):
+    """What can be plugged in: scored points to (event_id, score), a score from 0 to 1 or null; events may be missing."""
+
+    def __call__(self, points: DataFrame) -> DataFrame: ...
+
+
+class Detectors:
+    """Named detectors, each with its weight beside the built-in ones."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Detector, float]] = {}
+
+    def register(self, name: str, detector: Detector, weight: float) -> None:
+        if not name.isidentifier() or f"{name}_score" in WEIGHTS or name in self.known:
+            raise ValueError(f"a detector can't be named {name}")
+        if not 0 <= weight <= 1:
+            raise ValueError("weights lie between 0 and 1")
+        self.known[name] = (detector, weight)
+
+    def scored(self, points: DataFrame) -> DataFrame:
+        """points with a column <name>_score for each detector; of several scores of an event the highest."""
+        for name, (detector, _) in self.known.items():
+            found = detector(points).groupBy("event_id").agg(F.max(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score").cast("double")))).alias(f"{name}_score"))
+            points = points.join(found, "event_id", "left")
+        return points
+
+    def weights(self) -> dict[str, float]:
+        return WEIGHTS | {f"{name}_score": w for name, (_, w) in self.known.items()}
+
+
+@udtf(returnType="event_id bigint, score double")
+class Zigzag:
+    """A detector as a table function over a trip's points in order: points where the heading turns back and forth, by more than 120 degrees each time."""
+
+    def __init__(self):
+        self.before: tuple[int, float] | None = None
+
+    def eval(self, row: Row):
+        turn = row["bearing_change"]
+        if turn is not None and abs(turn) > 120:
+            if self.before and self.before[1] * turn < 0:
+                yield row["event_id"], min(1.0, abs(turn) / 180)
+            self.before = (row["event_id"], turn)
+        else:
+            self.before = None
+
+
+def zigzags(points: DataFrame) -> DataFrame:
+    """The detector over `bearing_change` of points, trip by trip."""
+    rows = points.select(*KEYS, "timestamp_unix", "point_index", "event_id", "bearing_change")
+    return Zigzag(rows.asTable().partitionBy(*KEYS).orderBy("timestamp_unix", "point_index", "event_id"))
+
+
 def low_confidence_runs(points: DataFrame, *, size: int = 5) -> DataFrame:
     """points with low_runs (windows of `size` rows with mean confidence below 0.5 that hold the row), each of which adds 0.1 to the score."""
     order = Window.partitionBy(*KEYS).orderBy("timestamp_unix", "point_index", "event_id")
@@ -143,13 +203,15 @@ def signals(points: DataFrame) -> DataFrame:
     return points.select(*KEYS, "point_index", "event_id", F.inline(found))
 
 
-def detect(points: DataFrame, base: DataFrame | None = None, iso: DataFrame | None = None) -> DataFrame:
-    """Scored points with everything above. iso: (event_id, iso_score), else 0."""
+def detect(points: DataFrame, base: DataFrame | None = None, iso: DataFrame | None = None, detectors: Detectors | None = None) -> DataFrame:
+    """Scored points with everything above. iso: (event_id, iso_score), else 0; detectors: further ones, which the ensemble weighs too."""
     base = wide(points) if base is None else base
     out = z_score(z_from_baseline(physical(points), base))
     out = with_hbos(out, fit_hbos_arrays(points))
     out = out.join(iso, "event_id", "left") if iso is not None else out.withColumn("iso_score", F.lit(0.0))
-    return low_confidence_runs(ensemble(out))
+    if detectors is None:
+        return low_confidence_runs(ensemble(out))
+    return low_confidence_runs(ensemble(detectors.scored(out), detectors.weights()))
 
 
 def query(detected: DataFrame, *, trip_id: int | None = None, sensitivity: float = 0.0) -> DataFrame:

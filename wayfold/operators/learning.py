@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from wayfold.operators import models
+from wayfold.sources.staging import staged
 
 DELAY_FEATURES = ["distance_m", "hist_duration", "weather_impact", "traffic_factor", "hour", "weekday", "rush", "route_confidence"]
 
@@ -29,7 +32,7 @@ def fit_delay(requests: DataFrame, *, rounds: int = 10, depth: int = 3, folds: i
     if not folds:
         return steps.fit(rows)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, [2, depth]).build()
-    return CrossValidator(estimator=steps, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mae"), numFolds=folds, seed=42).fit(rows).bestModel
+    return CrossValidator(estimator=steps, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="mae"), numFolds=folds, seed=42, parallelism=4).fit(rows).bestModel
 
 
 def predict_delay(model, requests: DataFrame) -> DataFrame:
@@ -76,14 +79,39 @@ def evaluate_threat(history: DataFrame) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.round(log_loss(F.col("label"), F.col("p")), 4).alias("log_loss"), F.round(log_loss(F.col("label"), F.lit(share)), 4).alias("log_loss_of_share"))
 
 
-def batched_threat(history: DataFrame) -> DataFrame:
-    """(user_id, p): a fixed linear scorer run in Arrow batches, the form in which outside models are called."""
-    columns = ["avg_risk", "max_risk", "high_share", "anomaly_rate", "mean_anomaly", "max_spoof"]
-    weights = np.array([1.5, 0.8, 1.2, 1.0, 0.7, 0.9])
+def batched_threat(model, history: DataFrame) -> DataFrame:
+    """(user_id, p): a fitted pipeline's logistic regression run in Arrow batches, its weights loaded once a worker: the form in which outside models are called."""
+    columns, weights, bias = models.inputs(model), model.stages[-1].coefficients.toArray(), float(model.stages[-1].intercept)
+
+    def load():
+        def predict(x: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-(x @ weights + bias)))
+
+        return predict
+
+    score = predict_batch_udf(load, return_type=DoubleType(), batch_size=4096, input_tensor_shapes=[[len(columns)]])
+    return history.dropna(subset=columns).select("user_id", score(F.array(*[F.col(c).cast("double") for c in columns])).alias("p"))
+
 
-    def run(batches):
-        for b in batches:
-            x = b[columns].to_numpy(float)
-            yield pd.DataFrame({"user_id": b["user_id"], "p": 1 / (1 + np.exp(2.0 - x @ weights))})
+# --- delays as they were observed
 
-    return history.select("user_id", *columns).mapInPandas(run, "user_id bigint, p double")
+
+def observed_delays(requests: DataFrame, signatures: DataFrame) -> DataFrame:
+    """requests (features by delay_features; request_id is a trip's) with delay_minutes as the trip ran: its duration over the route's, or where none is known over that of its distance at 50 km/h; heuristic_minutes is what delay_minutes was before."""
+    took = signatures.select(F.col("trip_id").alias("request_id"), F.col("duration").alias("_took"))
+    usual = F.when(F.col("hist_duration") > 0, F.col("hist_duration")).otherwise(F.col("distance_m") / (50.0 / 3.6))
+    out = requests.withColumnRenamed("delay_minutes", "heuristic_minutes").join(took, "request_id")
+    return out.withColumn("delay_minutes", F.greatest(F.lit(0.0), (F.col("_took") - usual) / 60)).drop("_took")
+
+
+def evaluate_observed(requests: DataFrame, *, folds: int = 5) -> DataFrame:
+    """One row: requests held out (one in five), the depth that cross validation chose, and mean absolute errors of the model, of the heuristic and of predicting the mean."""
+    requests = staged(requests, "requests")
+    held = F.pmod(F.xxhash64("request_id"), F.lit(5)) == 0
+    train = requests.filter(~held)
+    model = fit_delay(train, folds=folds)
+    mean = train.agg(F.avg("delay_minutes")).first()[0] or 0.0
+    out = predict_delay(model, requests.filter(held))
+    error = lambda c: F.round(F.avg(F.abs(c - F.col("label"))), 4)
+    found = out.agg(F.count("*").alias("n"), error(F.col("delay_predicted")).alias("mae"), error(F.col("heuristic_minutes")).alias("mae_of_heuristic"), error(F.lit(mean)).alias("mae_of_mean"))
+    return found.withColumn("depth", F.lit(model.stages[-1].getMaxDepth()))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.window import Window
 
 from wayfold.functions.core import cases, names_where
@@ -69,3 +70,14 @@ def newest_versions(versions: DataFrame, *, kept: int = 5) -> DataFrame:
 def processing_rate(log: DataFrame) -> DataFrame:
     """Records per second and error rate of jobs (job, records, errors, seconds)."""
     return log.groupBy("job").agg((F.sum("records") / F.greatest(F.sum("seconds"), F.lit(1e-9))).alias("records_per_second"), (F.sum("errors") / F.greatest(F.sum("records"), F.lit(1))).alias("error_rate"))
+
+
+def observed(stream: DataFrame, name: str, *, error: Column) -> DataFrame:
+    """A stream whose progress tells records and errors of each micro-batch, counted while it runs."""
+    return stream.observe(name, F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce(error, F.lit(False))).alias("errors"))
+
+
+def counted(query: StreamingQuery, name: str) -> DataFrame:
+    """(job, records, errors, seconds): a row for each micro-batch of a stream that `observed` named; as processing_rate takes them."""
+    told = [(p["observedMetrics"][name], p["durationMs"].get("triggerExecution", 0) / 1000) for p in query.recentProgress if name in p["observedMetrics"]]
+    return SparkSession.active().createDataFrame([(name, m["records"], m["errors"], s) for m, s in told], "job string, records bigint, errors bigint, seconds double")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import anomaly, baseline, learning, ops, predict, profile, risk, safety, spoofing
+from wayfold.operators import anomaly, baseline, learning, models, ops, predict, profile, risk, safety, spoofing
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, risks, sql
 from wayfold.queries.registry import query, rounded
-from wayfold.sources.staging import staged
+from wayfold.sources.staging import shared_dir, staged
 
 READ = "select * from {0}"
 
@@ -441,15 +444,55 @@ def rsk_09(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("user_id", "trip_id", "session_risk", "trust_rate", "is_valid", F.array_join("recommendations", ",").alias("recommendations")))
 
 
-@query("mlt_01_threat")
-def mlt_01_threat(spark: SparkSession, d: str) -> DataFrame:
-    """Customers' risks up to NOW against whether their first order after it is a risk above 0.5."""
+def threat_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' risks up to NOW, and whether their first order after it is a risk above 0.5."""
     o = order_risks(spark, d, by="o_custkey")
     later = o.filter(F.col("at") > NOW).groupBy("user_id").agg((F.min_by("risk", F.struct("at", "risk")) > 0.5).cast("int").alias("label"))
-    return learning.evaluate_threat(predict.risk_history(o, NOW, days=3650).join(later, "user_id"))
+    return predict.risk_history(o, NOW, days=3650).join(later, "user_id")
+
+
+@query("mlt_01_threat")
+def mlt_01_threat(spark: SparkSession, d: str) -> DataFrame:
+    return learning.evaluate_threat(threat_rows(spark, d))
 
 
 @query("mlt_02")
 def mlt_02(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(learning.batched_threat(threats(spark, d)))
+    """Chances of a threat from a fitted model that is run outside Spark ML, in batches."""
+    rows = staged(threat_rows(spark, d), "threats")
+    return learning.batched_threat(learning.fit_threat(rows), rows)
+
+
+@query("snk_02", """with o as (select o_custkey user_id, (cast(o_orderdate as date)-date '1970-01-01')*86400e0+o_orderkey%86400 as taken_at from orders), n as (select count(*) n from (select user_id from o group by 1 having count(*) filter (where taken_at>870000000e0)>0))
+select 'threat' model, cast(v as bigint) "version", v=7 newest, n scored, cast(0 as bigint) differing from range(3,8) r(v), n""")
+def snk_02(spark: SparkSession, d: str) -> DataFrame:
+    """A model saved seven times: the five newest versions stay, and each predicts what the fitted one does."""
+    rows = staged(threat_rows(spark, d), "threats")
+    fitted, place = learning.fit_threat(rows), f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
+    for _ in range(7):
+        models.save(fitted, spark, place, "threat")
+    want, parts = staged(learning.predict_threat(fitted, rows).select("user_id", F.col("p").alias("want")), "predicted"), []
+    for v in models.versions(spark, place, "threat"):
+        loaded = models.load(spark, place, "threat", version=v, columns=learning.THREAT_FEATURES)
+        parts.append(staged(learning.predict_threat(loaded, rows).select("user_id", "p", F.lit(v).cast("bigint").alias("version")), "predicted"))
+    counts = reduce(DataFrame.union, parts).join(want, "user_id").groupBy("version").agg(F.count("*").alias("scored"), F.count_if(F.abs(F.col("p") - F.col("want")) > 1e-12).alias("differing"))
+    return models.listed(spark, place, "threat").join(counts, "version").select("model", "version", "newest", "scored", "differing")
+
+
+@query("dly_04_observed")
+def dly_04_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Delays of trips as they ran, predicted with the depth that five-fold cross validation chose."""
+    p = staged(scored_tracks(spark, d), "points")
+    sig = staged(profile.trip_signatures(p), "signatures")
+    return learning.evaluate_observed(learning.observed_delays(delays(p, staged(profile.routes(sig), "routes")), sig))
 
+
+@query("ano_10_detectors")
+def ano_10_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of an ensemble with a detector of its own, beside those without."""
+    p = staged(scored_tracks(spark, d), "points")
+    more = anomaly.Detectors()
+    more.register("zigzag", anomaly.zigzags, 0.3)
+    iso = staged(analysis.given_isolation(p), "isolation")
+    with_it, without = anomaly.detect(p, iso=iso, detectors=more), anomaly.detect(p, iso=iso).select("event_id", F.col("anomaly_score").alias("score_without"))
+    return rounded(with_it.select("event_id", "zigzag_score", F.col("anomaly_score").alias("score")).join(without, "event_id"))

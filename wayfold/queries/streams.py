@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfold.operators import baseline
+from wayfold.operators import baseline, ops
 from wayfold.operators import features as batch_features
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, sql
@@ -117,6 +117,21 @@ def str_08(spark: SparkSession, d: str) -> DataFrame:
     return to_end(spark, stream.calls_per_minute(events, late=LATE), "complete").withColumn("start", F.unix_timestamp("start"))
 
 
+BAD = "lat not between -90 and 90 or lon not between -180 and 180"
+
+
+@query("ops_04_observed", sql.query("dirty", f"select 'tracks' job,count(*) records,count(*) filter (where {BAD}) errors from dirty"))
+def ops_04_observed(spark: SparkSession, d: str) -> DataFrame:
+    """Records and bad coordinates that a stream counted while it was written."""
+    rows = source.dirty_tracks(spark, d)
+    place, out = folder(spark, "dirty"), folder(spark, "written")
+    rows.write.parquet(place)
+    events = ops.observed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place), "tracks", error=F.expr(BAD))
+    ran = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    ran.awaitTermination()
+    return ops.counted(ran, "tracks").groupBy("job").agg(F.sum("records").alias("records"), F.sum("errors").alias("errors"))
+
+
 @query("src_01", sql.query("tracks", f"select {K},is_moving,activity_type from tracks"))
 def src_01(spark: SparkSession, d: str) -> DataFrame:
     """Events written as CSV and read again by its schema."""
@@ -128,9 +143,6 @@ def src_01(spark: SparkSession, d: str) -> DataFrame:
     return found.drop("trip_index_for_user")
 
 
-BAD = "lat not between -90 and 90 or lon not between -180 and 180"
-
-
 @query("src_10", sql.query("dirty", f"with r as (select * from dirty where user_id=11 or event_id%223=0) select case when {BAD} then 'invalid_coordinates' else '' end errors,count(*) n from r group by 1"))
 def src_10(spark: SparkSession, d: str) -> DataFrame:
     """An ingest request's accepted and quarantined rows, by their errors."""
