@@ -93,7 +93,7 @@ def op11_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_hamerly(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster_vectors, with_inertia
 
-    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings")))
+    return with_inertia(*cluster_vectors(table(spark, sf_dir, "embeddings"))).drop("scans")
 
 
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
