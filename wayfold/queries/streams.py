@@ -170,7 +170,8 @@ def aged(spark: SparkSession, d: str, seconds: float) -> DataFrame:
 def aged_stream(spark: SparkSession, d: str, seconds: float) -> DataFrame:
     """The same by two streams, requests and records in several files, not in order of time."""
     places = {}
-    requests, records = requests_and_records(spark, d)
+    # a day later, both: a stream takes what is as old as the epoch for late from the start
+    requests, records = (df.withColumn("at", F.col("at") + 86400) for df in requests_and_records(spark, d))
     for name, df, key in (("requests", requests, "id"), ("records", records.withColumnRenamed("impact", "value"), "value")):
         places[name] = folder(spark, name)
         for i in range(2):

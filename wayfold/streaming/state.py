@@ -109,15 +109,15 @@ class Freshest(OneTimer):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getMapState("records", "at double", f"value {self.kind}")
+        self.records = handle.getListState("records", f"at double, value {self.kind}")
         self.waiting = handle.getListState("waiting", "id bigint, at double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for b in rows:
             asked = b["id"].notna()
-            for at, value in b.loc[~asked, ["at", "value"]].itertuples(index=False, name=None):
-                if not self.records.containsKey((at,)) or self.records.getValue((at,))[0] < value:  # of equal times the greatest
-                    self.records.updateValue((at,), (value,))
+            if not asked.all():
+                whole = int if self.kind in ("int", "bigint") else float
+                self.records.appendList([(float(at), whole(v)) for at, v in b.loc[~asked, ["at", "value"]].itertuples(index=False, name=None)])
             if asked.any():
                 self.waiting.appendList([(int(i), float(at)) for i, at in b.loc[asked, ["id", "at"]].itertuples(index=False, name=None)])
         yield from self.told(key, timerValues)
@@ -129,7 +129,7 @@ class Freshest(OneTimer):
         now = timer.getCurrentWatermarkInMs()
         rows = list(self.waiting.get()) if self.waiting.exists() else []
         ready, rest = [r for r in rows if r[1] * 1000 <= now], [r for r in rows if r[1] * 1000 > now]
-        known = sorted((k[0], v[0]) for k, v in self.records.iterator()) if self.records.exists() else []
+        known = sorted(self.records.get()) if self.records.exists() else []  # of equal times the greatest is last
         times = np.array([t for t, _ in known])
         if ready:
             at = np.array([r[1] for r in ready])
@@ -137,10 +137,10 @@ class Freshest(OneTimer):
             fit = [i >= 0 and a - times[i] <= self.ttl_ms / 1000 for i, a in zip(nth, at, strict=True)]
             yield pd.DataFrame({"id": [r[0] for r in ready], "cell": key[0], "value": [known[i][1] if ok else None for i, ok in zip(nth, fit, strict=True)]}).astype({"value": object})
             self.waiting.put(rest) if rest else self.waiting.clear()
-        kept = [t for t in times if t * 1000 + self.ttl_ms >= now]
-        for t in times[: len(times) - len(kept)]:
-            self.records.removeKey((float(t),))
-        due = [int(np.ceil(r[1] * 1000)) for r in rest] + [int(t * 1000) + self.ttl_ms + 1 for t in kept[:1]]
+        kept = [r for r in known if r[0] * 1000 + self.ttl_ms >= now]
+        if len(kept) < len(known):
+            self.records.put(kept) if kept else self.records.clear()
+        due = [int(np.ceil(r[1] * 1000)) for r in rest] + [int(r[0] * 1000) + self.ttl_ms + 1 for r in kept[:1]]
         self.wake(min(due, default=None), now)
 
 
