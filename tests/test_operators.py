@@ -68,6 +68,19 @@ def test_p_values():
     assert stats.beta_cdf(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-4)
     rng = np.random.default_rng(0)
     assert stats.shapiro_p(rng.normal(size=200)) > 0.01 and stats.shapiro_p(rng.exponential(size=200)) < 1e-6
+    assert stats.shapiro_p(np.arange(1.0, 11.0)) == pytest.approx(0.8924, abs=2e-3)
+    assert all(stats.shapiro_p(np.array([*[0.0] * (n - 1), 1.0])) < 1e-3 for n in range(8, 12))
+
+
+def test_long_averages(spark):
+    rng = np.random.default_rng(1)
+    for alpha, n in ((0.3, 700), (0.05, 2000), (1.0, 5), (0.3, 1), (0.3, 0)):
+        v = rng.normal(size=n).tolist()
+        want = v[:1]
+        for x in v[1:]:
+            want.append(alpha * x + (1 - alpha) * want[-1])
+        df = spark.createDataFrame([(v,)], "v array<double>")
+        assert df.select(stats.ema(F.col("v"), alpha).alias("e")).first()["e"] == pytest.approx(want, abs=1e-12)
 
 
 def test_normality_of_small_and_large_groups(spark):
@@ -232,6 +245,44 @@ def test_fresh_records(spark):
     assert sorted((x["cell"], x["at"], x["impact"]) for x in tables.fresh(q, r, 900, value=["impact"]).collect() if x["impact"]) == [("a", 1000.0, 2.0)]
 
 
+def test_fresh_records_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    asked = [(i, rng.choice(["a", "b", None], p=[0.7, 0.2, 0.1]), None if i % 17 == 0 else float(rng.integers(-40, 400))) for i in range(300)]
+    asked += asked[:5]
+    kept = [(rng.choice(["a", "b", "c", None]), None if i % 13 == 0 else float(rng.integers(-40, 400)), None if i % 7 == 0 else int(rng.integers(9))) for i in range(60)]
+    q = spark.createDataFrame([(i, None if c is None else str(c), t) for i, c, t in asked], "id long, cell string, at double").withColumn("record", F.lit("mine"))
+    r = spark.createDataFrame([(None if c is None else str(c), t, v) for c, t, v in kept], "cell string, at double, impact long")
+
+    def best(cell, at):
+        found = [(t, -1 if v is None else v) for c, t, v in kept if cell is not None and c == cell and None not in (t, at) and 0 <= at - t <= 25]
+        return None if not found or max(found)[1] < 0 else max(found)[1]
+
+    out = tables.fresh(q, r, 25, value=["impact"])
+    assert out.columns == ["id", "cell", "at", "record", "impact"]
+    assert sorted((x["id"], str(x["impact"])) for x in out.collect()) == sorted((i, str(best(c, t))) for i, c, t in asked)
+    assert tables.fresh(q, r.limit(0), 25, value=["impact"]).filter("impact is null").count() == len(asked)
+
+
+def test_summary_of_users_equals_the_long_forms(spark):
+    from wayfold.operators import anomaly, baseline, profile, summary
+    from wayfold.plans.tracking import scored_tracks
+
+    low = F.when(F.col("user_id") == 3, 0.1).when(F.col("event_id") % 5 == 0, 0.4).otherwise(F.col("confidence"))  # one user without any point of enough confidence
+    p = scored_tracks(spark, "/root/testdata/sf0.001").withColumn("confidence", low).cache()
+    t = summary.with_trips(p)
+    users = summary.users(t, mature_trips=2, mature_points=9).cache()
+    flat = lambda df: {r["user_id"]: tuple(None if v is None else round(v, 9) for m in (*baseline.METRICS,) for v in r[m]) + tuple(r[c] for c in ("trips", "points", "is_mature")) for r in df.collect()}
+    known, want = flat(users.filter("points > 0")), flat(baseline.wide(p, mature_trips=2, mature_points=9))
+    assert 3 not in known and known == want and users.filter("user_id = 3").first()["speed"] is None
+    shares = {(r["user_id"], r["activity"]): r["share"] for r in users.select("user_id", F.inline("shares")).collect()}
+    assert shares == pytest.approx({(r["user_id"], r["activity"]): r["share"] for r in baseline.activities(p).collect()})
+    hours = {(r["user_id"], r["pos"]): r["col"] for r in users.select("user_id", F.posexplode("hours")).collect()}
+    assert hours == pytest.approx({(r["user_id"], r["hour"]): r["probability"] for r in profile.hour_probabilities(p).collect()})
+    fits = [sorted(map(str, f.collect())) for f in (anomaly.fit_hbos_arrays(p), anomaly.fit_hbos_arrays(t, users.select("user_id", "ends.*")))]
+    assert fits[0] == fits[1] and fits[0]
+    p.unpersist()
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("user_id,trip_index_for_user,trip_global_index,point_index\n1,0,10,0\n1,0,10,x\n")
     raw = tracks.read_csv(spark, str(tmp_path / "x.csv")).cache()

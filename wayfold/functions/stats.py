@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -127,7 +128,11 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def shapiro_p(values: np.ndarray) -> float:
-    """p of the Shapiro-Wilk test by Royston's approximation, for 12 to 5000 values."""
+    """p of the Shapiro-Wilk test for 6 to 5000 values that aren't all equal.
+
+    Royston's approximation (Applied Statistics 44, 1995, algorithm AS R94): up to 11 values the
+    logarithm of 1 - W is taken from a bound of its own first. All coefficients are fixed values.
+    """
     from statistics import NormalDist
 
     x = np.sort(values)
@@ -140,20 +145,29 @@ def shapiro_p(values: np.ndarray) -> float:
     a = m / np.sqrt(phi)
     a[[0, 1, -2, -1]] = -last, -prior, prior, last
     w = float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean())))
-    log_n = np.log(n)
-    mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n), np.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
-    return 1 - normal.cdf((np.log(1 - w) - mean) / sd)
+    if w >= 1:
+        return 1.0
+    found, log_n = np.log(1 - w), np.log(n)
+    if n <= 11:
+        bound = -2.273 + 0.459 * n
+        if found >= bound:
+            return 0.0
+        found = -np.log(bound - found)
+        mean, sd = np.polyval([-0.0006714, 0.025054, -0.39978, 0.544], n), np.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
+    else:
+        mean, sd = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n), np.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+    return 1 - normal.cdf((found - mean) / sd)
 
 
 def normality(df: DataFrame, x: str, by: str) -> DataFrame:
-    """(by, n, p): Shapiro-Wilk up to 5000 values of a group, else D'Agostino and Pearson. Groups of up to 5000 values are gathered, larger ones only summed."""
+    """(by, n, p) of groups with 8 values or more: Shapiro-Wilk up to 5000 values, else D'Agostino and Pearson. Groups of up to 5000 values are gathered, larger ones only summed."""
     sums = df.filter(F.col(x).isNotNull()).groupBy(by).agg(*shape(F.col(x)))
     large = sums.filter("n > 5000").select(by, "n", normality_p(F.col("skewness"), F.col("kurtosis"), F.col("n")).alias("p"))
     kind = df.schema[by].dataType.simpleString()
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         v = g[x].to_numpy(float)
-        p = None if len(v) < 12 or np.ptp(v) == 0 else shapiro_p(v)
+        p = None if np.ptp(v) == 0 else shapiro_p(v)
         return pd.DataFrame({by: [g[by].iloc[0]], "n": [len(v)], "p": [p]})
 
     small = df.filter(F.col(x).isNotNull()).join(sums.filter("n between 8 and 5000").select(by), by).select(by, x).groupBy(by).applyInPandas(run, f"{by} {kind}, n long, p double")
@@ -161,13 +175,22 @@ def normality(df: DataFrame, x: str, by: str) -> DataFrame:
 
 
 def ema(values: Column, alpha: float = 0.3) -> Column:
-    """Exponential moving average of an array: an array of the same length, starting with the first value."""
-    start = F.struct(F.array(F.get(values, F.lit(0))).alias("out"), F.get(values, F.lit(0)).alias("last"))
-    def step(acc: Column, v: Column) -> Column:
-        now = alpha * v + (1 - alpha) * acc["last"]
-        return F.struct(F.concat(acc["out"], F.array(now)).alias("out"), now.alias("last"))
-    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
-    return F.when(F.size(values) == 0, F.array().cast("array<double>")).otherwise(F.aggregate(rest, start, step, lambda acc: acc["out"]))
+    """Exponential moving average of an array: an array of the same length, starting with the first value.
+
+    A value's weight shrinks by 1 - alpha with each that follows, so an average
+    is made of the last values only, as many as weigh more than 1e-18 of the
+    whole: the same in doubles, and linear in the array's length. Null values
+    make all averages null that they weigh in.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha lies above 0 and at most at 1")
+    reach = 1 if alpha == 1 else math.ceil(math.log(1e-18) / math.log(1 - alpha)) + 1
+
+    def at(_: Column, i: Column) -> Column:
+        first = F.greatest(i - reach, F.lit(0))
+        return F.aggregate(F.slice(values, first + 2, i - first), F.get(values, first).cast("double"), lambda last, v: alpha * v + (1 - alpha) * last)
+
+    return F.transform(values, at)
 
 
 BUCKETS = ["0.00-0.25", "0.25-0.50", "0.50-0.75", "0.75-0.90", "0.90-1.00"]

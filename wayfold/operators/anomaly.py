@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
-from wayfold.functions.core import cases
+from wayfold.functions.core import cases, let
 from wayfold.operators.baseline import wide
 
 KEYS = ["user_id", "trip_id"]
@@ -56,17 +56,30 @@ def z_score(points: DataFrame) -> DataFrame:
     return points.withColumn("z_max", flagged).withColumn("stat_score", F.when(flagged <= 3, flagged / 6).otherwise(score))
 
 
-def fit_hbos_arrays(points: DataFrame, *, least: int = 50, bins: int = 20) -> DataFrame:
-    """(user_id, fits): per user with enough points, and feature with enough values, a struct (feature, low, width, densities) of `bins` densities plus 0.1, made to sum to 1."""
-    value = {c: F.col(c) if c == "speed" else F.when(F.col(c) != 0, F.col(c)) for c in HBOS_COLUMNS}
-    ends = points.groupBy("user_id").agg(F.count("*").alias("points"), *[f(value[c]).alias(f"{n}_{c}") for c in HBOS_COLUMNS for n, f in (("a", F.min), ("b", F.max), ("n", F.count))])
+def hbos_value(c: str) -> Column:
+    """What a histogram counts: zeros for speed only."""
+    return F.col(c) if c == "speed" else F.when(F.col(c) != 0, F.col(c))
+
+
+def hbos_ends() -> list[Column]:
+    """Aggregates that the histograms begin with: n_points, and least value, greatest and number by feature."""
+    return [F.count("*").alias("n_points"), *[f(hbos_value(c)).alias(f"{n}_{c}") for c in HBOS_COLUMNS for n, f in (("a", F.min), ("b", F.max), ("n", F.count))]]
+
+
+def fit_hbos_arrays(points: DataFrame, ends: DataFrame | None = None, *, least: int = 50, bins: int = 20) -> DataFrame:
+    """(user_id, fits): per user with enough points, and feature with enough values, a struct (feature, low, width, densities) of `bins` densities plus 0.1, made to sum to 1.
+
+    ends: (user_id and hbos_ends), where these are known already.
+    """
+    value = {c: hbos_value(c) for c in HBOS_COLUMNS}
+    ends = points.groupBy("user_id").agg(*hbos_ends()) if ends is None else ends
 
     def end(c: str) -> Column:
         a, b = F.col(f"a_{c}"), F.col(f"b_{c}")
         low, high = F.when(a < b, a).otherwise(a - 0.5), F.when(a < b, b).otherwise(b + 0.5)
         return F.when(F.col(f"n_{c}") >= 10, F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), low.alias("low"), ((high - low) / bins).alias("width")))
 
-    ends = ends.filter(F.col("points") >= least).select("user_id", *[end(c).alias(f"end_{c}") for c in HBOS_COLUMNS])
+    ends = ends.filter(F.col("n_points") >= least).select("user_id", *[end(c).alias(f"end_{c}") for c in HBOS_COLUMNS])
 
     def key(c: str) -> Column:
         """The number of the value's bin among those of all features; null without a value or a fit."""
@@ -80,8 +93,8 @@ def fit_hbos_arrays(points: DataFrame, *, least: int = 50, bins: int = 20) -> Da
     def fit(c: str) -> Column:
         e = F.col(f"end_{c}")
         raw = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("counts", b + bins * HBOS_COLUMNS.index(c)), F.lit(0)) / (e["n"] * e["width"]) + 0.1)
-        total = F.aggregate(raw, F.lit(0.0), lambda t, x: t + x)
-        return F.when(e.isNotNull(), F.struct(e["feature"].alias("feature"), e["low"].alias("low"), e["width"].alias("width"), F.transform(raw, lambda x: x / total).alias("densities")))
+        part = let(raw, lambda r: let(F.aggregate(r, F.lit(0.0), lambda t, x: t + x), lambda total: F.transform(r, lambda x: x / total)))
+        return F.when(e.isNotNull(), F.struct(e["feature"].alias("feature"), e["low"].alias("low"), e["width"].alias("width"), part.alias("densities")))
 
     return ends.join(counts, "user_id").select("user_id", F.array_compact(F.array(*[fit(c) for c in HBOS_COLUMNS])).alias("fits"))
 
@@ -203,12 +216,15 @@ def signals(points: DataFrame) -> DataFrame:
     return points.select(*KEYS, "point_index", "event_id", F.inline(found))
 
 
-def detect(points: DataFrame, base: DataFrame | None = None, iso: DataFrame | None = None, detectors: Detectors | None = None) -> DataFrame:
-    """Scored points with everything above. iso: (event_id, iso_score), else 0; detectors: further ones, which the ensemble weighs too."""
+def detect(points: DataFrame, base: DataFrame | None = None, iso: DataFrame | None = None, detectors: Detectors | None = None, fits: DataFrame | None = None) -> DataFrame:
+    """Scored points with everything above. iso: (event_id, iso_score), else the points' own iso_score, else 0; detectors: further ones, which the ensemble weighs too; fits: histograms, if known."""
     base = wide(points) if base is None else base
     out = z_score(z_from_baseline(physical(points), base))
-    out = with_hbos(out, fit_hbos_arrays(points))
-    out = out.join(iso, "event_id", "left") if iso is not None else out.withColumn("iso_score", F.lit(0.0))
+    out = with_hbos(out, fit_hbos_arrays(points) if fits is None else fits)
+    if iso is not None:
+        out = out.drop("iso_score").join(iso, "event_id", "left")
+    elif "iso_score" not in out.columns:
+        out = out.withColumn("iso_score", F.lit(0.0))
     if detectors is None:
         return low_confidence_runs(ensemble(out))
     return low_confidence_runs(ensemble(detectors.scored(out), detectors.weights()))

@@ -15,19 +15,20 @@ def level(risk: Column) -> Column:
     return cases((risk < 0.1, "minimal"), (risk < 0.25, "low"), (risk < 0.45, "moderate"), (risk < 0.65, "elevated"), (risk < 0.85, "high"), other="critical")
 
 
-def baseline_deviation(points: DataFrame, base: DataFrame, shares: DataFrame, hours: DataFrame) -> DataFrame:
+def baseline_deviation(points: DataFrame, users: DataFrame) -> DataFrame:
     """points with deviation: 0 unless the user's baseline is mature; the mean of what applies of speed, a rare activity, a rare hour.
 
-    base: wide baselines; shares: (user_id, activity, share); hours: (user_id, hour, probability).
+    users: (user_id, is_mature, speed, shares, hours), a row per user.
     """
-    b = base.select("user_id", "is_mature", F.col("speed.mean").alias("_m"), F.col("speed.std").alias("_s"))
+    b = users.select("user_id", F.coalesce("is_mature", F.lit(False)).alias("_mature"), F.col("speed.mean").alias("_m"), F.col("speed.std").alias("_s"), F.col("shares").alias("_shares"), F.col("hours").alias("_hours"))
     hour = F.pmod(F.floor(F.col("timestamp_unix") / 3600), F.lit(24)).cast("int")
-    out = points.withColumn("hour", hour).join(b, "user_id", "left").join(shares.withColumnRenamed("share", "_share"), ["user_id", "activity"], "left").join(hours.select("user_id", "hour", F.col("probability").alias("_p")), ["user_id", "hour"], "left")
+    out = points.withColumn("hour", hour).join(b, "user_id", "left")
+    share = F.get(F.transform(F.filter("_shares", lambda x: x["activity"] == F.col("activity")), lambda x: x["share"]), F.lit(0))
     parts = F.array_compact(F.array(
-        F.when((F.col("_s") > 0) & F.col("speed").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("speed") - F.col("_m")) / F.col("_s") / 3)), F.when(F.col("_share") < 0.1, F.lit(0.5)), F.when(F.col("_p") < 0.05, F.lit(0.3))
+        F.when((F.col("_s") > 0) & F.col("speed").isNotNull(), F.least(F.lit(1.0), F.abs(F.col("speed") - F.col("_m")) / F.col("_s") / 3)), F.when(share < 0.1, F.lit(0.5)), F.when(F.get("_hours", F.col("hour")) < 0.05, F.lit(0.3))
     ))
     mean = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda t, x: t + x) / F.size(parts)).otherwise(0.0)
-    return out.withColumn("deviation", F.when(F.coalesce("is_mature", F.lit(False)), mean).otherwise(0.0)).drop("_m", "_s", "_share", "_p", "is_mature")
+    return out.withColumn("deviation", F.when(F.col("_mature"), mean).otherwise(0.0)).drop("_mature", "_m", "_s", "_shares", "_hours")
 
 
 def locations(points: DataFrame, sessions: DataFrame) -> DataFrame:

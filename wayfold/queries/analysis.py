@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators import anomaly, baseline, iforest, trips
+from wayfold.plans import sessions as plan
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import sql
 from wayfold.queries.registry import query, rounded
-from wayfold.sources.staging import staged
 
 K = "user_id,trip_id,point_index,event_id"
 KEY = K.split(",")
@@ -169,13 +169,12 @@ def ano_09(spark: SparkSession, d: str) -> DataFrame:
 
 
 def given_isolation(points: DataFrame) -> DataFrame:
-    """(event_id, iso_score) by arithmetic: forests are beyond SQL, so that both engines get the same scores; ano_10_forest learns them."""
-    return points.select("event_id", (F.pmod(F.col("event_id") * 37, F.lit(101)) / 100).alias("iso_score"))
+    """points with iso_score by arithmetic: forests are beyond SQL, so that both engines get the same scores; ano_10_forest learns them."""
+    return points.withColumn("iso_score", F.pmod(F.col("event_id") * 37, F.lit(101)) / 100)
 
 
 def detected(spark: SparkSession, d: str) -> DataFrame:
-    p = scored_tracks(spark, d)
-    return anomaly.detect(p, iso=given_isolation(p))
+    return plan.detected(plan.prepared(given_isolation(scored_tracks(spark, d))))
 
 
 sql.define("ano", ["zsc", "hbos"], """with i as (select z.*, h.hbos_score, (event_id*37%101)/1e2 iso_score from zsc z left join hbos h using (event_id)),
@@ -212,8 +211,8 @@ def ano_12_signals(spark: SparkSession, d: str) -> DataFrame:
 @query("ano_10_forest")
 def ano_10_forest(spark: SparkSession, d: str) -> DataFrame:
     """The ensemble with learned isolation forests."""
-    p = staged(scored_tracks(spark, d), "scored-points")
-    out = anomaly.detect(p, iso=iforest.score(p))
+    p = plan.prepared(scored_tracks(spark, d))
+    out = plan.detected(p, iso=iforest.score(p))
     return rounded(out.select(*KEY, "violates_physics", "iso_score", "stat_score", "hbos_score", "low_runs", "anomaly_score", "is_anomalous"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators import anomaly, baseline, learning, models, ops, predict, profile, risk, safety, spoofing
+from wayfold.plans import sessions
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, risks, sql
 from wayfold.queries.registry import query, rounded
@@ -203,8 +204,8 @@ def thr_04(spark: SparkSession, d: str) -> DataFrame:
 
 def threats(spark: SparkSession, d: str, p: DataFrame | None = None, drifting: DataFrame | None = None) -> DataFrame:
     """Threats from the points' anomalies and spoofing, the orders' risks, and users' drift (has_drift; a stand-in without)."""
-    p = staged(scored_tracks(spark, d), "points") if p is None else p
-    a = staged(anomaly.detect(p, iso=analysis.given_isolation(p)), "anomalies")
+    p = sessions.prepared(analysis.given_isolation(scored_tracks(spark, d))) if p is None else p
+    a = staged(sessions.detected(p), "anomalies")
     h = predict.risk_history(order_risks(spark, d), NOW, days=35).join(predict.trend(order_risks(spark, d)), "user_id")
     h = h.join(predict.anomaly_history(a, anomaly.signals(a)), "user_id").join(predict.spoof_history(spoofing.sessions(p)), "user_id")
     if drifting is None:
@@ -236,13 +237,13 @@ def outlook(spark: SparkSession, d: str, p: DataFrame, routes: DataFrame | None
 
 @query("p3_01", sql.query("thr dly", f"with l as (select user_id,max(delay_minutes) delay_minutes from dly group by 1) select user_id,round(threat,5) threat,{LEVEL} threat_level,round(delay_minutes,5)+0e0 delay_minutes,case when delay_minutes>15 then 'expect_delay' else {ADVICE} end recommendation from thr left join l using (user_id)"))
 def p3_01(spark: SparkSession, d: str) -> DataFrame:
-    return outlook(spark, d, staged(scored_tracks(spark, d), "points"))
+    return outlook(spark, d, sessions.prepared(analysis.given_isolation(scored_tracks(spark, d))))
 
 
 @query("p3_01_learned")
 def p3_01_learned(spark: SparkSession, d: str) -> DataFrame:
     """The same from learned routes and from the drift of the users' snapshots."""
-    p = staged(scored_tracks(spark, d), "points")
+    p = sessions.prepared(analysis.given_isolation(scored_tracks(spark, d)))
     pairs = drift_pairs(spark, d)
     signals = predict.drift_signals(pairs)
     concern = predict.drift_concern(predict.drift_scores(signals, pairs), signals)
@@ -490,9 +491,9 @@ def dly_04_observed(spark: SparkSession, d: str) -> DataFrame:
 @query("ano_10_detectors")
 def ano_10_detectors(spark: SparkSession, d: str) -> DataFrame:
     """Scores of an ensemble with a detector of its own, beside those without."""
-    p = staged(scored_tracks(spark, d), "points")
+    p = sessions.prepared(analysis.given_isolation(scored_tracks(spark, d)))
     more = anomaly.Detectors()
     more.register("zigzag", anomaly.zigzags, 0.3)
-    iso = staged(analysis.given_isolation(p), "isolation")
-    with_it, without = anomaly.detect(p, iso=iso, detectors=more), anomaly.detect(p, iso=iso).select("event_id", F.col("anomaly_score").alias("score_without"))
+    users = sessions.known(p)
+    with_it, without = sessions.detected(p, users, detectors=more), sessions.detected(p, users).select("event_id", F.col("anomaly_score").alias("score_without"))
     return rounded(with_it.select("event_id", "zigzag_score", F.col("anomaly_score").alias("score")).join(without, "event_id"))

@@ -122,8 +122,7 @@ select *, risk<0.5e0 and confidence>=0.5e0 and not is_anomalous and not requires
 
 
 def located(spark: SparkSession, d: str) -> DataFrame:
-    p = scored_tracks(spark, d)
-    return plan.located(p, mature_trips=5, mature_points=50, iso=analysis.given_isolation(p))
+    return plan.located(analysis.given_isolation(scored_tracks(spark, d)), mature_trips=5, mature_points=50)
 
 
 @query("rsk_01_04", sql.query("loc", f"select {K},round(deviation,5) deviation,round(risk,5) risk,risk_level,is_trusted,array_to_string(reasons,',') reasons from loc"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,8 +103,19 @@ class Table:
 
 
 def fresh(requests: DataFrame, records: DataFrame, seconds: float, *, cell: str = "cell", at: str = "at", value: list[str]) -> DataFrame:
-    """requests with the latest record of their cell that is at most `seconds` old (weather: 900, traffic: 300), null without one."""
-    older = records.select(F.col(cell).alias("_cell"), F.col(at).alias("_at"), F.struct(F.col(at), *value).alias("_record"))
-    met = requests.withColumn("_row", F.monotonically_increasing_id()).join(older, (F.col(cell) == F.col("_cell")) & (F.col("_at") <= F.col(at)) & (F.col("_at") >= F.col(at) - seconds), "left")
-    best = met.groupBy("_row", *requests.columns).agg(F.max("_record").alias("_record"))
-    return best.select(*requests.columns, *[F.col(f"_record.{v}").alias(v) for v in value])
+    """requests with the latest record of their cell that is at most `seconds` old (weather: 900, traffic: 300), null without one.
+
+    Requests and records are merged in one ordered pass, cell by cell and span
+    by span of `seconds`: a record goes into its own span and the next, beyond
+    which it is too old. So a busy cell is spread over its spans, and no request
+    meets more than one record. Of records of one time the one with the largest
+    values counts; requests without a cell or a time have none.
+    """
+    known = records.filter(F.col(cell).isNotNull() & F.col(at).isNotNull())
+    record = known.select(F.col(cell).alias("cell"), F.col(at).alias("t"), F.struct(F.col(at).alias("at"), F.struct(*value).alias("of")).alias("record"))
+    record = record.withColumn("span", F.explode(F.array(F.floor(F.col("t") / seconds), F.floor(F.col("t") / seconds) + 1)))
+    request = requests.select(F.col(cell).alias("cell"), F.col(at).alias("t"), F.struct(*requests.columns).alias("request")).withColumn("span", F.floor(F.col("t") / seconds))
+    both = record.unionByName(request, allowMissingColumns=True)
+    order = Window.partitionBy("cell", "span").orderBy("t", F.col("request").isNotNull(), "record").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("last", F.last("record", ignorenulls=True).over(order)).filter(F.col("request").isNotNull())
+    return met.select("request.*", *[F.when(F.col("t") - F.col("last.at") <= seconds, F.col(f"last.of.{v}")).alias(v) for v in value])
