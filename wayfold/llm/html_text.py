@@ -4,14 +4,18 @@ A page is cut into text lines, one per block element. Lines in elements that
 never hold the article (menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, reader comments, hidden parts) are left out; a class or
 id tells so only if all its words do or stand around such (`cookie-notice`,
-`comment-list`, but not `share-prices`). The rest
+`comment-list`, but not `share-prices`). In a marked article only names of
+adverts, comments, notices and navigation decide so; others (`tags`, `social`,
+`responses`) nominate: a nominated line goes if the nearest page has it too and
+not in its own text. The rest
 is compared with the page nearest by URL path on the same host: the two pages'
 lines, inside and outside the article, are aligned by their longest common
 subsequence. Where a page doesn't mark its article (article, main), lines that
 both pages have are the site's, not the article's, and go. In a marked article
 runs of two lines or more go that the other page has in a run outside its own
 text; a single line, which may be a sentence that an advert quotes, and lines
-that both articles have stay. A page that would lose all its lines to a copy of
+that both articles have stay, as does all of a page next to its exact copy, which
+tells nothing. A page that would lose all its lines to a copy of
 itself keeps them.
 
 Pages are dealt to ranges of (host, path, id) between sampled splitters, so a
@@ -63,11 +67,19 @@ NAMES = {
     "subscribe", "subscription", "tags", "toolbar", "topbar", "trending", "widget",
 }
 OUTSIDE_NAMES = {"header"}
+#: Names that in a marked article decide nothing by themselves.
+NOMINATING = {
+    "alert", "aside", "banner", "copyright", "disclaimer", "login", "masthead", "modal", "notification", "overlay", "pager", "pagination", "popup", "replies", "respond", "responses", "search", "share",
+    "sharing", "signup", "skip", "social", "tags", "toolbar", "topbar", "trending", "widget",
+}
 AROUND = {
     "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "first", "form", "global", "group", "icons", "inner", "item", "items", "last", "left",
     "articles", "level", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "primary", "stories", "right", "row", "secondary", "section", "site", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
 }
 NEVER_BY_NAME = {"html", "body", "article", "main"}
+#: What a line is: left out, the article's, or the article's unless the nearest page has it outside its text; the signs they are shuffled under.
+OUT, TEXT, NOMINATED = 0, 1, 2
+SIGNS = "-+?"
 
 OPENS = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
@@ -76,54 +88,59 @@ ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 PARTS = re.compile(r"[a-z]+")
 
 
-def left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's text can't be the article's; inside: it lies in a marked article."""
+def role(name: str, attributes: str, inside: bool) -> int:
+    """What an element's text is by its tag and attributes; inside: it lies in a marked article."""
     if name in LEFT_OUT or name == "header" and not inside:
-        return True
+        return OUT
     if not attributes or name in NEVER_BY_NAME and "comment" not in attributes and "hidden" not in attributes:
-        return False
+        return TEXT
+    found = TEXT
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return OUT
         if key == "role" and value in ROLES:
-            return True
+            return OUT
         if key in ("class", "id"):
             names = {"comment", "comments"} if name in NEVER_BY_NAME else NAMES if inside else NAMES | OUTSIDE_NAMES
-            if any((words := set(PARTS.findall(one))) & names and words <= names | AROUND for one in value.split()):
-                return True
-    return False
-
-
-def page_lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of text in order; whether each lies in a marked article; whether it may be the article's (isn't left out)."""
-    lines: list[tuple[str, bool, bool]] = []
-    text: list[str] = []
-    aside: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, text left out, inside a marked article
-    out, inside, at, end = False, False, 0, len(page)
+            for one in value.split():
+                words = set(PARTS.findall(one))
+                if words & names and words <= names | AROUND:
+                    if not inside or name in NEVER_BY_NAME or words & names - NOMINATING:
+                        return OUT
+                    if name not in INLINE:  # a part of a line isn't told apart from it
+                        found = NOMINATED
+    return found
+
+
+def page_lines(page: str) -> list[tuple[str, bool, int]]:
+    """Lines of text in order; whether each lies in a marked article; what it is (OUT, TEXT, NOMINATED)."""
+    lines: list[tuple[str, bool, int]] = []
+    parts: tuple[list[str], ...] = ([], [], [])  # of the line at hand, by what they are
+    stack: list[tuple[str, int, bool]] = []  # name, what its text is, inside a marked article
+    kind, inside, at, end = TEXT, False, 0, len(page)
 
     def flush() -> None:
-        for parts, kept in ((text, True), (aside, False)):
-            if parts:
-                line = " ".join("".join(parts).split())
+        for k in (TEXT, NOMINATED, OUT):
+            if parts[k]:
+                line = " ".join("".join(parts[k]).split())
                 if line:
-                    lines.append((line, inside, kept))
-                parts.clear()
+                    lines.append((line, inside, k))
+                parts[k].clear()
 
     def close(i: int) -> None:
-        nonlocal out, inside
+        nonlocal kind, inside
         if any(n not in INLINE for n, _, _ in stack[i:]):
             flush()
         del stack[i:]
-        out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        kind, inside = (stack[-1][1], stack[-1][2]) if stack else (TEXT, False)
 
     while at < end:
         found = OPENS.search(page, at)
         start = found.start() if found else end
         if start > at:
             run = page[at:start]
-            (aside if out else text).append(html.unescape(run) if "&" in run else run)
+            parts[kind].append(html.unescape(run) if "&" in run else run)
         if not found:
             break
         if found[0] == "<!--":
@@ -157,7 +174,7 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
             at = end if close_ < 0 else close_ + 1
             continue
         if name == "br":
-            (aside if out else text).append(" ")
+            parts[kind].append(" ")
             continue
         if name not in INLINE:
             flush()
@@ -171,17 +188,18 @@ def page_lines(page: str) -> list[tuple[str, bool, bool]]:
                 if stack[i][0] not in INLINE:
                     break
         marked = inside or name in ("article", "main") or 'role="main"' in tag[3]
-        stack.append((name, out or left_out(name, tag[3], marked), marked))
-        out, inside = stack[-1][1], stack[-1][2]
+        own = OUT if kind == OUT else role(name, tag[3], marked)
+        stack.append((name, NOMINATED if own == TEXT and kind == NOMINATED else own, marked))
+        kind, inside = stack[-1][1], stack[-1][2]
     flush()
     return lines
 
 
-def candidate_lines(page: str) -> tuple[list[str], list[bool], bool]:
-    """All lines, whether each is a candidate (of the marked article, or of what isn't left out), and whether the article is marked."""
+def candidate_lines(page: str) -> tuple[list[str], list[int], bool]:
+    """All lines, what each is as a candidate (of the marked article, or of what isn't left out), and whether the article is marked."""
     lines = page_lines(page)
-    marked = any(inside and kept for _, inside, kept in lines)
-    return [line for line, _, _ in lines], [kept and (inside or not marked) for _, inside, kept in lines], marked
+    marked = any(inside and kind for _, inside, kind in lines)
+    return [line for line, _, _ in lines], [kind if inside or not marked else OUT for _, inside, kind in lines], marked
 
 
 def rows_of(a: list[str], b: list[str]) -> Iterator[int]:
@@ -230,18 +248,20 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return [i for i, _ in aligned(a, b)]
 
 
-def own_lines(lines: list[str], candidate: list[bool], marked: bool, other: tuple[list[str], list[bool]] | None) -> list[str]:
-    """The candidates among lines without the site's, as far as the nearest page (lines, candidate) tells them; all, if none were left."""
-    own = [x for x, c in zip(lines, candidate, strict=True) if c]
+def own_lines(lines: list[str], kinds: list[int], marked: bool, other: tuple[list[str], list[int]] | None) -> list[str]:
+    """The candidates among lines without the site's, as far as the nearest page (lines, kinds) tells them; all, if none were left."""
+    own = [x for x, k in zip(lines, kinds, strict=True) if k]
     if not other or not own:
         return own
     if not marked:
         shared = set(common_lines(own, other[0]))
         return [x for i, x in enumerate(own) if i not in shared] or own
-    texts = {x for x, c in zip(*other, strict=True) if c}
-    pairs = {(i, j) for i, j in aligned(lines, other[0]) if candidate[i] and lines[i] not in texts}
-    site = {i for i, j in pairs if (i - 1, j - 1) in pairs or (i + 1, j + 1) in pairs}
-    return [x for i, x in enumerate(lines) if candidate[i] and i not in site] or own
+    if lines == other[0]:
+        return own
+    texts = {x for x, k in zip(*other, strict=True) if k == TEXT}
+    pairs = {(i, j) for i, j in aligned(lines, other[0]) if kinds[i] and lines[i] not in texts}
+    site = {i for i, j in pairs if kinds[i] == NOMINATED or (i - 1, j - 1) in pairs or (i + 1, j + 1) in pairs}
+    return [x for i, x in enumerate(lines) if kinds[i] and i not in site] or own
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -252,8 +272,8 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def nearest(path: str, before: tuple | None, after: tuple | None) -> tuple[list[str], list[bool]] | None:
-    """The lines of the neighbour (path, lines and candidates) whose path has the longer start in common; the one before, if equal."""
+def nearest(path: str, before: tuple | None, after: tuple | None) -> tuple[list[str], list[int]] | None:
+    """The lines of the neighbour (path, lines and kinds) whose path has the longer start in common; the one before, if equal."""
     sides = [x for x in (before, after) if x]
     return max(sides, key=lambda x: len(os.path.commonprefix([path, x[0]])))[1] if sides else None
 
@@ -298,7 +318,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             keys = [(*p, -1 if i is pd.NA else int(i)) for p, i in zip(places, ids, strict=True)]
             out = pd.DataFrame({
                 "range": [bisect.bisect_right(bounds, k) for k in keys], "host": [p[0] for p in places], "path": [p[1] for p in places], "place": [k[2] for k in keys], "id": ids, "url": b["url"],
-                "marked": [m for _, _, m in parsed], "lines": ["\n".join("+-"[not c] + x for x, c in zip(a, k, strict=True)) for a, k, _ in parsed], "context": False,
+                "marked": [m for _, _, m in parsed], "lines": ["\n".join(SIGNS[c] + x for x, c in zip(a, k, strict=True)) for a, k, _ in parsed], "context": False,
             })
             yield out
             beside = [(i, r) for i, k in enumerate(keys) for r in also.get(k, ())]
@@ -306,7 +326,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 yield out.iloc[[i for i, _ in beside]].assign(range=[r for _, r in beside], context=True)
 
     def difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = now = None  # (range and host, path, lines and candidates, marked, id, url, context)
+        before = now = None  # (range and host, path, lines and kinds, marked, id, url, context)
 
         def result(after: tuple | None) -> tuple:
             sides = [x[1:3] if x and x[0] == now[0] else None for x in (before, after)]
@@ -321,7 +341,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             found = []
             for r, host, path, _, i, url, marked, lines, context in b.astype({"id": "Int64"}).itertuples(index=False, name=None):
                 coded = lines.split("\n") if lines else []
-                page = ((r, host), path, ([x[1:] for x in coded], [x[0] == "+" for x in coded]), marked, i, url, context)
+                page = ((r, host), path, ([x[1:] for x in coded], [SIGNS.index(x[0]) for x in coded]), marked, i, url, context)
                 if now and not now[6]:
                     found.append(result(page))
                 before, now = now, page
