@@ -335,6 +335,16 @@ def test_class_names_inside_an_article(spark):
     assert html_text.extract(pages).first()["text"] == "One. Two. Three. Four. Five."
 
 
+def test_names_nominate_inside_an_article(spark):
+    make = lambda i, more: f"<article><p>Own text {i}</p>{more}</article>"
+    text = "<section id='tags'><p>Tags are three.</p></section><figcaption class='social-bar'>A bar.</figcaption><ol class='responses'><li>One answer.</ol><p>He <span class='share'>said</span> so.</p>"
+    bar = "<div class='share-bar'>Tell your friends</div>"
+    rows = [(1, "http://a.example/x/1", make(1, text)), (2, "http://b.example/x/1", make(2, bar + text)), (3, "http://b.example/x/2", make(3, bar)), (4, "http://c.example/1", make(4, bar)), (4, "http://c.example/1", make(4, bar))]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).orderBy("page_id").collect()
+    kept = "Tags are three. A bar. One answer. He said so."
+    assert [r["text"] for r in found] == [f"Own text 1 {kept}", f"Own text 2 {kept}", "Own text 3", *["Own text 4 Tell your friends"] * 2]
+
+
 def test_differencing_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES_PER_RANGE", 2)
     rng = random.Random(31)
@@ -426,9 +436,36 @@ def test_mined_rules_find_planted_tokens(spark):
     labels = spark.createDataFrame([(i, s) for i, _, s in rows if i % 2], "page_id bigint, block boolean")
     got = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(pages, RULES, labels=labels).collect()}
     assert all((got[i] == "block") == ("casino" in u) for i, u, _ in rows)
-    mined = [{"tokens": frozenset("ab")}, {"tokens": frozenset("c")}, {"tokens": frozenset("abd")}]
-    df = spark.createDataFrame([(["a", "b"],), (["c", "x"],), (["a"],), ([],)], "t array<string>")
-    assert [sorted(r[0]) for r in df.select(url_rules.fired(F.col("t"), mined)).collect()] == [[0], [1], [], []]
+    mined = spark.createDataFrame([(list("ab"), 1.0, 1.0), (["c"], 1.0, 1.0), (list("abd"), 1.0, 1.0)], url_rules.RULES)
+    df = spark.createDataFrame([("0", ["a", "b"]), ("1", ["c", "x"]), ("2", ["a"]), ("3", [])], "_url string, _tokens array<string>")
+    assert sorted((r["_url"], "".join(r["tokens"])) for r in url_rules.fired(df, mined).collect()) == [("0", "ab"), ("1", "c")]
+
+
+def test_fired_and_simplest_rules_equal_brute_force(spark):
+    rng = random.Random(43)
+    tokens = [f"t{i}" for i in range(60)]
+    rules = {tuple(sorted(rng.sample(tokens, rng.randint(1, 4)))): round(rng.uniform(0.8, 1), 2) for _ in range(3000)}
+    urls = {f"u{i}": rng.sample(tokens, rng.randint(0, 12)) for i in range(200)}
+    mined = spark.createDataFrame([(list(t), c, 0.1) for t, c in rules.items()], url_rules.RULES)
+    rows = [(u, t) for u, t in urls.items() for _ in range(1 + (u == "u7"))] + [(None, [])]
+    found = url_rules.fired(spark.createDataFrame(rows, "_url string, _tokens array<string>"), mined).collect()
+    want = {(u, r) for u, t in urls.items() for r in rules if set(r) <= set(t)}
+    assert len(found) == len(want) and {(r["_url"], tuple(r["tokens"])) for r in found} == want
+    kept = {tuple(r["tokens"]) for r in url_rules.simplest(mined).collect()}
+    assert kept == {r for r, c in rules.items() if not any(set(q) < set(r) and d >= c for q, d in rules.items())}
+
+
+def test_repeated_and_null_urls_under_mined_rules(spark):
+    rows = [(i, f"http://{'casino' if i % 3 == 0 else 'news'}.a.org/{i}") for i in range(90)] + [(200, "http://casino.b.org/x" + "y" * 5000)] * 3 + [(201, None), (None, "http://casino.c.org/"), (202, "http://casino.com/")]
+    pages = spark.createDataFrame([(*r, 1, 2) for r in rows], "page_id bigint, url string, _url int, _hits int")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(90)], "page_id bigint, block boolean")
+    got = url_rules.filter_urls(pages, RULES, labels=labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = "allow" if r["page_id"] in (201, 202) else "block" if r["host"].startswith("casino") else "allow"
+        assert r["verdict"] == want and (r["mined_hits"] > 0) == (want == "block")
+    few = url_rules.filter_urls(pages, RULES, labels=labels.filter("page_id < 19")).collect()
+    assert len(few) == len(rows) and all(r["mined_hits"] == 0 and r["verdict"] == "allow" for r in few)
 
 
 def test_pages_get_labels_by_their_text(spark):

@@ -5,14 +5,16 @@ subdomains where the url's path starts with the rule's; the longest wins.
 For urls that none fits, FP-growth mines combinations of url tokens from
 labelled urls; combinations that imply `block` with enough confidence and
 support, and for which no part of them does so as surely, become rules. They
-match by an inverted index from token to rules: a rule fires if the index names
-it as often as it has tokens.
+match by an inverted index from token to rules: urls' tokens meet its postings in
+an equi-join, and a rule fires if the index names it as often as it has tokens.
+The index is a table; Spark broadcasts it while it is small, and only urls with
+a token in it are grouped, each url once however many rows have it.
 
 FP-growth sees at most about `train_rows` of the labels, drawn by a hash of the
 url. (What the hand-written rules judge is no use as labels: they choose by the
-very tokens that would be mined, so that every other url looks blocked.) How
-many rules there are is bounded by the support: a url has few tokens, so few
-combinations are frequent; there is no bound on a rule's length.
+very tokens that would be mined, so that every other url looks blocked.) Rules
+are pruned and matched as tables and never gathered on the driver; there is no
+bound on their number or length.
 
 Where only documents are labelled, `labels_by_text` labels pages: a logistic
 regression on hashed words, fitted on a bounded sample of labelled documents,
@@ -20,13 +22,13 @@ judges the text of a bounded sample of pages, all in Spark's own functions.
 
 Cases: a null url, or one without `://`, has an empty host and path and no
 tokens, so no rule and the verdict `allow`; repeated rows give repeated
-results; without any blocked label nothing is mined and the method allows all;
-an empty table gives an empty result; columns beside id and url don't matter.
+results; without any blocked label nothing is mined and the method allows all, as
+with fewer labelled rows than the support of `min_rows` asks of a rule; urls are
+read whole, however long; an empty table gives an empty result; columns beside id and url don't matter.
 """
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -35,8 +37,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "label:block"
+RULES = "tokens array<string>, confidence double, support double"
 
 
 @dataclass(frozen=True)
@@ -100,23 +105,27 @@ def judged_by_rules(urls: DataFrame, rules: list[UrlRule], url_col: str = "url")
     return out.withColumns({"_rule": rule, "_verdict": verdict, "_tokens": url_tokens(url, F.col("_host"), F.col("_path"))})
 
 
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.8, train_rows: int = 50_000, seed: int = 5) -> list[dict]:
-    """Token combinations that imply `block`, from rows with _tokens and _verdict; pruned by support (min_rows at least), confidence and simpler rules."""
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.005, min_rows: int = 20, min_confidence: float = 0.8, train_rows: int = 50_000, seed: int = 5) -> DataFrame:
+    """Token combinations that imply `block` (tokens, confidence, support), from rows with _tokens and _verdict; pruned by support (min_rows at least), confidence and simpler rules."""
     n = labelled.count()
-    if n < min_rows:
-        return []
+    support = max(min_support, min_rows / max(1, min(n, train_rows)))
+    if support > 1:  # fewer rows than a rule needs
+        return labelled.sparkSession.createDataFrame([], RULES)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_tokens"), 11) / F.lit(float(1 << 53))
     sample = labelled.filter(chance < train_rows / n) if n > train_rows else labelled
     label = F.when(F.col("_verdict") == "block", F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / min(n, train_rows)), minConfidence=min_confidence).fit(sample.select(F.concat("_tokens", label).alias("items")))
-    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).select("antecedent", "confidence", "support").collect()
-    found = sorted(found, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"])))
-    kept: list[dict] = []
-    for r in found:
-        tokens = frozenset(r["antecedent"])
-        if not any(k["tokens"] < tokens and k["confidence"] >= r["confidence"] for k in kept):
-            kept.append({"tokens": tokens, "confidence": r["confidence"], "support": r["support"]})
-    return kept
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sample.select(F.concat("_tokens", label).alias("items")))
+    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK)))
+    return simplest(materialize(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules"))
+
+
+def simplest(rules: DataFrame) -> DataFrame:
+    """The rules of which no part implies `block` as surely. A part's first token is one of the whole's, so they meet by it."""
+    part = rules.select(F.get("tokens", F.lit(0)).alias("_token"), F.col("tokens").alias("_part"), F.col("confidence").alias("_sure"))
+    whole = rules.withColumn("_token", F.explode("tokens"))
+    within = (F.size("_part") < F.size("tokens")) & (F.col("_sure") >= F.col("confidence")) & (F.size(F.array_except("_part", "tokens")) == 0)
+    longer = whole.join(part, "_token").filter(within).select("tokens").distinct()
+    return rules.join(longer, "tokens", "left_anti")
 
 
 def drawn(rows: DataFrame, key: Column, most: int, seed: int) -> DataFrame:
@@ -149,19 +158,12 @@ def labels_by_text(pages: DataFrame, docs: DataFrame, labels: DataFrame, *, id_c
     return model.transform(featured(some, plain)).select(id_col, (F.col("prediction") > 0.5).alias("block"))
 
 
-def fired(tokens: Column, mined: list[dict]) -> Column:
-    """Numbers of the mined rules all of whose tokens are among `tokens`, by the inverted index."""
-    if not mined:
-        return F.array().cast("array<int>")
-    index: dict[str, list[int]] = {}
-    for i, rule in enumerate(mined):
-        for t in rule["tokens"]:
-            index.setdefault(t, []).append(i)
-    postings = F.from_json(F.lit(json.dumps(index)), "map<string,array<int>>")
-    need = F.from_json(F.lit(json.dumps([len(r["tokens"]) for r in mined])), "array<int>")
-    known = F.array_intersect(tokens, F.map_keys(postings))
-    named = F.flatten(F.transform(known, lambda t: F.try_element_at(postings, t)))
-    return F.filter(F.array_distinct(named), lambda i: F.size(F.filter(named, lambda j: i == j)) == F.get(need, i))
+def fired(urls: DataFrame, mined: DataFrame) -> DataFrame:
+    """(_url, tokens) of every url and mined rule all of whose tokens are among the url's _tokens, once each."""
+    postings = mined.select("tokens", F.explode("tokens").alias("_token"))
+    named = urls.select("_url", F.explode("_tokens").alias("_token")).join(postings, "_token")
+    met = named.groupBy("_url", "tokens").agg(F.count_distinct("_token").alias("n"))
+    return met.filter(F.col("n") == F.size("tokens")).select("_url", "tokens")
 
 
 def filter_urls(pages: DataFrame, rules: list[str], *, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None, **mining) -> DataFrame:
@@ -170,11 +172,15 @@ def filter_urls(pages: DataFrame, rules: list[str], *, id_col: str = "page_id",
     labels: (the id, `block` boolean); without them nothing is mined.
     """
     judged = judged_by_rules(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), rules_from(rules), "_url")
-    mined = []
+    hits = F.lit(0)
     if labels is not None:
         known = labels.select(F.col(id_col).alias("_id"), F.when(F.col("block"), "block").otherwise("allow").alias("label")).distinct()
-        mined = mine_rules(judged.join(known, "_id").select("_tokens", F.col("label").alias("_verdict")), **mining)
-    hits = F.when(F.col("_verdict").isNull(), F.size(fired(F.col("_tokens"), mined))).otherwise(0)
+        mined = materialize(mine_rules(judged.join(known, "_id").select("_tokens", F.col("label").alias("_verdict")), **mining), "url-rules")
+        if not mined.isEmpty():
+            open_ = judged.filter(F.col("_verdict").isNull()).select("_url", "_tokens")
+            found = fired(open_, mined).groupBy("_url").agg(F.count("*").cast("int").alias("_hits"))
+            judged = judged.join(found, "_url", "left")
+            hits = F.when(F.col("_verdict").isNull(), F.coalesce("_hits", F.lit(0))).otherwise(0)
     return judged.select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
         F.coalesce(F.col("_verdict"), F.when(hits > 0, "block").otherwise("allow")).alias("verdict"), hits.alias("mined_hits"),
