@@ -13,6 +13,7 @@ from wayfold.operators import features as batch_features
 from wayfold.plans.tracking import scored_tracks
 from wayfold.queries import analysis, sql
 from wayfold.queries.registry import query, rounded
+from wayfold.schema import RAW_EVENT
 from wayfold.sources import sinks, tables
 from wayfold.sources import tracks as source
 from wayfold.sources.staging import shared_dir, staged
@@ -54,6 +55,21 @@ def to_end(spark: SparkSession, rows: DataFrame, mode: str = "append") -> DataFr
 FEATURES = ["time_delta", "distance", "calc_speed", "acceleration", "stop_duration"]
 
 
+@query("str_02", sql.query("norm", "select event_id%3 batch,count(*) n from norm group by 1"))
+def str_02(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-batches of a bounded number of files, started by the clock."""
+    events = arriving(spark, source.normalize(source.tracks(spark, d)), *[f"event_id % 3 = {i}" for i in range(3)])
+    place = folder(spark, "batches")
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.agg(F.lit(number).cast("bigint").alias("batch"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/{number}")
+
+    run = stream.start(events, folder(spark, "checkpoint"), each, every="1 second")
+    run.processAllAvailable()
+    run.stop()
+    return spark.read.schema("batch bigint, n bigint").parquet(f"{place}/*")
+
+
 @query("str_03", sql.query("feat", f"select user_id,trip_id,event_id,{','.join(f'round({c}+1e-9,4) {c}' for c in FEATURES)},is_stop from feat"))
 def str_03(spark: SparkSession, d: str) -> DataFrame:
     """Features of a stream in two micro-batches, against the batch's."""
@@ -85,14 +101,20 @@ def str_03_resumed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str_04", sql.query("metrics", "select user_id,metric,sample_size from metrics where sample_size>0 and metric<>'trip_duration'"))
 def str_04(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics blended batch by batch, one of which is sent twice: numbers of values are those of all points."""
-    points = scored_tracks(spark, d)
+    """Metrics blended batch by batch, each of which a stream sends twice: numbers of values are those of all points."""
+    points, place = scored_tracks(spark, d), folder(spark, "points")
     empty = baseline.metrics(points.limit(0))
     kept = tables.Table(spark, folder(spark, "metrics"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema), ["user_id", "metric"])
+    for part in ("trip_id % 2 = 0", "trip_id % 2 = 1"):
+        points.filter(part).coalesce(1).write.mode("append").parquet(place)
     update = stream.baseline_updater(kept)
-    for number, part in enumerate((points.filter("trip_id % 2 = 0"), points.filter("trip_id % 2 = 1"))):
-        for _ in range(1 + number):
-            update(part, number)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        update(batch, number)
+        update(batch, number)
+
+    arriving_points = stream.read(spark, place, files_per_trigger=1, schema=points.schema)
+    stream.start(arriving_points, folder(spark, "checkpoint"), twice).awaitTermination()
     return kept.read().filter("sample_size > 0 and metric <> 'trip_duration'").select("user_id", "metric", F.col("sample_size").cast("bigint").alias("sample_size"))
 
 
@@ -134,13 +156,15 @@ def ops_04_observed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("src_01", sql.query("tracks", f"select {K},is_moving,activity_type from tracks"))
 def src_01(spark: SparkSession, d: str) -> DataFrame:
-    """Events written as CSV and read again by its schema."""
-    place = folder(spark, "csv")
-    t = source.tracks(spark, d)
-    raw = t.select("user_id", F.lit(0).alias("trip_index_for_user"), F.col("trip_id").alias("trip_global_index"), "point_index", F.col("event_id").alias("odometer"), "is_moving", "activity_type")
-    raw.write.option("header", True).csv(place)
-    found = spark.read.schema("user_id bigint, trip_index_for_user int, trip_id bigint, point_index int, event_id bigint, is_moving int, activity_type string").option("header", True).option("enforceSchema", True).csv(place)
-    return found.drop("trip_index_for_user")
+    """Events of a CSV file, some lines of which can't be read."""
+    place, t = folder(spark, "csv"), source.tracks(spark, d)
+    known = {"trip_index_for_user": F.lit(0), "trip_global_index": F.col("trip_id"), "timestamp": F.timestamp_micros((F.col("timestamp_unix") * 1_000_000).cast("bigint")), "odometer": F.col("event_id")}
+    names = [c.split()[0] for c in RAW_EVENT.split(",")]
+    raw = t.select(*[known.get(n, F.col(n) if n in t.columns else F.lit(None)).cast("string").alias(n) for n in names])
+    broken = raw.filter("cast(odometer as bigint) % 97 = 0").withColumn("user_id", F.lit("nobody"))
+    raw.unionByName(broken).write.option("header", True).csv(place)
+    found = source.read_csv(spark, place).filter("_corrupt_record is null")
+    return found.select("user_id", F.col("trip_global_index").alias("trip_id"), "point_index", F.col("odometer").cast("bigint").alias("event_id"), "is_moving", "activity_type")
 
 
 @query("src_10", sql.query("dirty", f"with r as (select * from dirty where user_id=11 or event_id%223=0) select case when {BAD} then 'invalid_coordinates' else '' end errors,count(*) n from r group by 1"))

@@ -46,6 +46,13 @@ def src_04(spark: SparkSession, d: str) -> DataFrame:
     return source.dataset_stats(source.tracks(spark, d))
 
 
+@query("src_04_file")
+def src_04_file(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the size and place of the file."""
+    path = f"{d}/events.parquet"
+    return src_04(spark, d).withColumns({"file_size_mb": F.lit(source.file_size_mb(spark, path)), "path": F.lit(path)})
+
+
 @query("src_05", sql.query("tracks", "select distinct user_id from tracks"))
 def src_05(spark: SparkSession, d: str) -> DataFrame:
     return source.users(source.tracks(spark, d))

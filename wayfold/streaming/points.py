@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from wayfold.operators import baseline
 from wayfold.sources.tables import Table
@@ -25,7 +26,7 @@ EVENTS = "user_id bigint, trip_id bigint, point_index int, event_id bigint, time
 RADIUS = 6371008.8
 
 
-def read(spark: SparkSession, path: str, *, files_per_trigger: int = 100, schema: str = EVENTS) -> DataFrame:
+def read(spark: SparkSession, path: str, *, files_per_trigger: int = 100, schema: str | StructType = EVENTS) -> DataFrame:
     """A stream of Parquet files, so many in a micro-batch."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return stream.withColumn("event_time", F.timestamp_micros((F.col("timestamp_unix") * 1_000_000).cast("bigint")))
