@@ -2,10 +2,22 @@
 
 import math
 
+import pytest
+
 from wayfold.operators import safety
+from wayfold.sources import tracks
 
 
 def test_battery_halves_go_up(spark):
     """A quotient a bit below 156.25 is told like in the query's SQL, upward."""
     b = spark.createDataFrame([(1, 84, False, math.nextafter(84 / 156.25, 1.0), 20.0)], "user_id long, battery_level int, is_charging boolean, drain_rate_per_hour double, battery_temperature double")
     assert safety.batteries(b).first()["hours_left"] == 156.3
+
+
+def test_any_number_of_rows_is_checked(spark):
+    """More rows than one request may have: each is accepted or quarantined, and a request is still refused."""
+    rows = spark.range(12_000).selectExpr("id user_id", "id trip_id", "0 point_index", "if(id % 4 = 0, 95e0, 10e0) lat", "20e0 lon", "50L activity_confidence")
+    good, bad = tracks.checked(rows)
+    assert (good.count(), bad.filter("errors[0] = 'invalid_coordinates'").count()) == (9_000, 3_000)
+    with pytest.raises(ValueError):
+        tracks.split_valid(rows)
