@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from wayfold.llm import jaccard
 from wayfold.operators import safety
 from wayfold.sources import tracks
 
@@ -21,3 +22,13 @@ def test_any_number_of_rows_is_checked(spark):
     assert (good.count(), bad.filter("errors[0] = 'invalid_coordinates'").count()) == (9_000, 3_000)
     with pytest.raises(ValueError):
         tracks.split_valid(rows)
+
+
+def test_words_without_structure_in_their_hashes(spark):
+    """Thue-Morse words of 1,024 letters, which collide under every polynomial of 64 bits, are different words."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, f"p q {a} r s"), (2, f"p q {b} r s"), (3, f"p q {a} r s {b} q {a} r s"), (4, f"P q {a} r s")]
+    found = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 1), (2, 1, 2), (3, 6, 3), (4, 1, 1)]

@@ -57,6 +57,8 @@ PAIRS_AT_ONCE, BLOCK = 4, 512
 #: Bits of the map of documents whose sets verification needs, and of maps in plans.
 MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
+#: Bytes of a word up to which one polynomial is its hash.
+CHUNK = 64
 #: Bytes of text for each bucket of signatures (some 17 give one), and signatures that a task holds before it deals them out.
 BUCKET_BYTES, SIGNED_AT_ONCE = 8 << 20, 1 << 17
 
@@ -185,8 +187,14 @@ class Shingler:
         upto = self.upto[: n + 1]
         np.multiply(lower, self.powers[:n], out=upto[1:])
         np.cumsum(upto, out=upto)
-        word = (upto[ends] - upto[starts]) * self.inverse[starts]
-        return mixed(word + (ends - starts).astype(U64) * U64(BASE)), np.searchsorted(starts, at)
+        word, size = (upto[ends] - upto[starts]) * self.inverse[starts], ends - starts
+        if len(far := np.flatnonzero(size > CHUNK)):  # polynomials of long words can cancel (Thue-Morse): mixed piece by piece
+            count = -(-size[far] // CHUNK)
+            nth = np.arange(count.sum()) - np.repeat(offsets(count)[:-1], count)
+            lo = np.repeat(starts[far], count) + nth * CHUNK
+            hi = np.minimum(lo + CHUNK, np.repeat(ends[far], count))
+            word[far] = sums(mixed((upto[hi] - upto[lo]) * self.inverse[lo] + nth.astype(U64) * U64(PLACE[0])), offsets(count))
+        return mixed(word + size.astype(U64) * U64(BASE)), np.searchsorted(starts, at)
 
 
 def blank(data: np.ndarray) -> np.ndarray:
