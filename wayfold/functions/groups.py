@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def map_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, parts: int | None = None) -> DataFrame:
     """run(rows, starts) over batches of whole groups of equal keys, many to a batch; starts: where each group begins.
 
     One call serves all groups of a batch, so that a group costs what its rows
     cost, and no worker call of its own. A group that goes on in the next batch waits for it.
+    parts: so many tasks, for work that is much for its bytes; else Spark merges small ones.
     """
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,7 +40,7 @@ def map_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame, np.n
             whole = pd.concat(held, ignore_index=True)
             yield run(whole, _starts(whole, keys))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
+    return df.repartition(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).mapInPandas(batches, schema)
 
 
 def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
