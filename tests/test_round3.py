@@ -5,9 +5,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
+from wayfold.queries import streams
 from wayfold.sources import tracks
 
 
@@ -69,3 +71,15 @@ def test_trips_are_simplified_together():
     p = np.column_stack((34 + rng.integers(0, 9, n.sum()) * 1e-4, -118 + rng.integers(0, 9, n.sum()) * 1e-4))
     want = set().union(*({a, a + k - 1} | alone(p, a, a + k - 1, set()) for a, k in zip(starts.tolist(), n.tolist(), strict=True)))
     assert set(np.flatnonzero(simplify.kept_all(p, starts)).tolist()) == want
+
+
+def test_parts_arrive_in_files_of_bounded_size(spark, monkeypatch):
+    """A part of a stream is a micro-batch of several files, so that no task writes or reads the whole; batches still hold their parts."""
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id user_id", "id trip_id", "0 point_index", "id event_id", "1.7e9 + id timestamp_unix", "1e0 lat", "1e0 lon", "1e0 speed", "1 is_moving", "'still' activity")
+    found, place = streams.arriving(spark, rows, "event_id % 3 = 0", "event_id < 3", "event_id % 3 > 0", folder_too=True)
+    sizes = spark.read.parquet(place).groupBy(F.input_file_name()).count()
+    assert sizes.agg(F.max("count")).first()[0] < 200
+    seen = []
+    streams.stream.start(found, streams.folder(spark, "checkpoint"), lambda b, n: seen.append(b.count())).awaitTermination()
+    assert seen == [334, 3, 666]
