@@ -3,13 +3,14 @@
 import math
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
-from wayfold.queries import streams
+from wayfold.queries import registry, streams
 from wayfold.sources import tracks
 
 
@@ -83,3 +84,12 @@ def test_parts_arrive_in_files_of_bounded_size(spark, monkeypatch):
     seen = []
     streams.stream.start(found, streams.folder(spark, "checkpoint"), lambda b, n: seen.append(b.count())).awaitTermination()
     assert seen == [334, 3, 666]
+
+
+def test_rounded_like_the_sql(spark):
+    """Halves are those of the product with a power of ten, as SQL's round takes them, not those of the shortest decimal form."""
+    values = [0.746445, 1.000005, 0.123455, 0.300025, 2.5e-6, -0.746445, None, 0.125]
+    values += [k / 1e5 + 5e-6 for k in range(100_000)]
+    found = registry.rounded(spark.createDataFrame([(x,) for x in values], "x double"), 5)
+    want = duckdb.sql("select round(unnest(?), 5) x", params=[values]).fetchall()
+    assert [tuple(r) for r in found.collect()] == [(None if x is None else x + 0.0,) for (x,) in want]
