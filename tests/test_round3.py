@@ -93,3 +93,27 @@ def test_rounded_like_the_sql(spark):
     found = registry.rounded(spark.createDataFrame([(x,) for x in values], "x double"), 5)
     want = duckdb.sql("select round(unnest(?), 5) x", params=[values]).fetchall()
     assert [tuple(r) for r in found.collect()] == [(None if x is None else x + 0.0,) for (x,) in want]
+
+
+def test_pairs_within_a_component_need_no_verification(spark, monkeypatch):
+    """A large group of near copies shares very many signatures: its members are compared some times each, and the components are those of all links."""
+    monkeypatch.setattr(jaccard, "AT_ONCE", 0)
+    seen, plain = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, sets: seen.append(pairs.count()) or plain(pairs, sets))
+    rng = np.random.default_rng(5)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(120):
+        words = list(base)
+        for k in rng.integers(0, 300, 3):
+            words[k] = f"x{rng.integers(10_000)}"
+        rows.append((i, " ".join(words)))
+    found = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert sum(seen) < 8 * len(rows)
+
+
+def test_map_of_keys_lets_all_of_them_through(spark):
+    df = spark.range(20_000).withColumn("x", F.col("id") * 7)
+    found = jaccard.listed(df, F.xxhash64("id"), spark.range(0, 20_000, 10), F.xxhash64("id")).filter("_listed")
+    assert found.columns == ["id", "x", "_listed"] and found.filter("id % 10 = 0").count() == 2000 and found.count() < 2200
+    assert jaccard.listed(df, F.xxhash64("id"), spark.range(0), F.xxhash64("id")).filter("_listed").count() == 0

@@ -54,6 +54,8 @@ SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, FREQUENT_BOUND = 16_384, 32, 3, 2_000_000
 #: Pairs for each member up to which a group is compared pairwise at once, and
 #: members in a block around a centre.
 PAIRS_AT_ONCE, BLOCK = 4, 512
+#: Pairs up to which all are verified, whatever components they lie in.
+AT_ONCE = 10_000
 #: Bits of the map of documents whose sets verification needs, and of maps in plans.
 MAP_BITS, LISTED_BITS = 1 << 24, 1 << 21
 WORDS = 5
@@ -617,16 +619,18 @@ def in_map(table: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (table[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1
 
 
-def listed(rows: DataFrame, key: Column, value: Column) -> Column:
-    """Whether `value` may be among the keys of rows: false only where it isn't.
+def listed(df: DataFrame, value: Column, keys: DataFrame, key: Column) -> DataFrame:
+    """df with `_listed`: whether `value` may be among the keys; false only where it isn't.
 
-    The map is a literal of fixed size (LISTED_BITS), looked up without Python.
+    The map has a fixed size (LISTED_BITS) and is broadcast as a small table:
+    as a literal each plan that the driver keeps would hold it several times.
     """
-    words = key_map(rows, key, LISTED_BITS).view(np.int64)
-    table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
-    bit = map_bit(value, LISTED_BITS)
-    word = F.get(table, F.shiftright(bit, 6).cast("int"))
-    return F.call_function("shiftright", word, bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    bit = map_bit(key, LISTED_BITS)
+    table = keys.select(bit.alias("_bit")).groupBy((F.col("_bit") / 32768).cast("int").alias("_part")).agg(F.bitmap_construct_agg(F.pmod("_bit", F.lit(32768))).alias("_bits"))
+    met = df.withColumn("_bit", map_bit(value, LISTED_BITS)).withColumn("_part", (F.col("_bit") / 32768).cast("int")).join(F.broadcast(table), "_part", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.pmod("_bit", F.lit(32768)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.pmod("_bit", F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn("_listed", F.coalesce(hit, F.lit(False))).drop("_bit", "_part", "_bits")
 
 
 def needed_sets(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -686,7 +690,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = met.filter(~F.col("open")).select("a", "b", bound.alias("d"), F.lit(False).alias("linked"))
     both = F.size(F.array_intersect("shinglesa", "shinglesb")).cast("long")
     open_nodes = met.filter("open").select(F.explode(F.array("a", "b")).alias("node"))
-    sets = sets.filter(listed(open_nodes, F.xxhash64("node"), F.xxhash64("node")))
+    sets = listed(sets, F.xxhash64("node"), open_nodes, F.xxhash64("node")).filter("_listed")
     exact = met.filter("open").select("a", "b", "na", "nb").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").withColumn("both", both)
     union = total - F.col("both")
     return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))), met
@@ -712,7 +716,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per row (id, n_shingles, node, group, text_hash, component_id), and the links between nodes (a, b, d).
+    """Per row (id, n_shingles, node, group, text_hash, component_id), and links between nodes (a, b, d) that make up the components.
 
     node: the hash of the row's set (null: none); rows of a node have equal
     sets. group: the smallest node of the component.
@@ -743,13 +747,40 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col), edges
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Links (a, b, d) among pairs that make up the components of all their links (and those before).
+
+    First each node is compared with its first mate, then with a few: members of
+    a large group of near copies come into one component by some links each. Of
+    the other pairs only those across components are open, and all of these are
+    verified. Few pairs are verified at once.
+    """
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    rest, links = materialize(pairs.withColumn("nth", nth), "ranked", release=True), None
+    for mates in (1, 4, None):
+        last = mates is None or rest.count() <= AT_ONCE
+        found, met = verified((rest if last else rest.filter(F.col("nth") <= mates)).select("a", "b"), sets)
+        found = found.filter("linked").select("a", "b", "d")
+        links = materialize(found if links is None else links.union(found), "links", release=True)
+        discard(met)
+        if last:
+            break
+        labels = components(links if before is None else links.union(before))
+        side_a, side_b = (labels.select(F.col("node").alias(x), F.col("comp").alias("comp_" + x)) for x in "ab")
+        across = rest.filter(F.col("nth") > mates).join(side_a, "a", "left").join(side_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        across = materialize(across.select("a", "b", "nth"), "across", release=True)
+        discard(rest)
+        rest = across
+    discard(rest)
+    return links
+
+
 def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFrame, before: DataFrame | None, parts: int) -> DataFrame:
-    """The links (a, b, d) among candidates and around their centres; known: node, f, comp; before: earlier links."""
+    """Links (a, b, d) among candidates and around their centres, as many as make up the components; known: node, f, comp; before: earlier links."""
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", release=True)
     sets = materialize(needed_sets(rows, nodes, pairs), "sets", release=True)
-    found_links, met = verified(pairs, sets)
-    links = materialize(found_links.filter("linked").select("a", "b", "d"), "links", release=True)
-    discard(pairs, met)
+    links = _linked(pairs, sets, before)
+    discard(pairs)
     stars = materialize(found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct(), "stars")
     if stars.isEmpty():
         discard(sets)
@@ -777,7 +808,7 @@ def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     drop = members.join(first, "group").filter(order != F.col("first")).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash")).distinct()
     repeated = members.groupBy("id", "text_hash").count().filter(F.col("count") > 1).select(F.col("id").alias("_drop_id"), F.col("text_hash").alias("_drop_hash"))
     drop = materialize(drop.withColumn("_all", F.lit(True)).unionByName(repeated.withColumn("_all", F.lit(False))).groupBy("_drop_id", "_drop_hash").agg(F.max("_all").alias("_all")), "drop")
-    marked = keyed.withColumn("_listed", F.coalesce(listed(drop, F.xxhash64("_drop_id", "_drop_hash"), F.xxhash64(F.col(id_).cast("long"), "_text_hash")), F.lit(True)))
+    marked = listed(keyed, F.xxhash64(F.col(id_).cast("long"), "_text_hash"), drop, F.xxhash64("_drop_id", "_drop_hash"))
     looked_up = marked.filter("_listed").join(drop, F.col(id_).cast("long").eqNullSafe(F.col("_drop_id")) & (F.col("_text_hash") == F.col("_drop_hash")), "left").filter(~F.coalesce("_all", F.lit(False)))
     # of rows with equal id and text the first by all other columns, so that reruns agree
     others = [F.to_json(F.struct(n)) if "map<" in kind or kind == "variant" else F.col(n) for n, kind in flat.dtypes if n not in (id_, text)]
