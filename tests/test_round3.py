@@ -5,6 +5,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
 from wayfold.queries import registry, streams
 from wayfold.sources import tracks
+from wayfold.streaming import state
 
 
 def test_battery_halves_go_up(spark):
@@ -117,3 +119,43 @@ def test_map_of_keys_lets_all_of_them_through(spark):
     found = jaccard.listed(df, F.xxhash64("id"), spark.range(0, 20_000, 10), F.xxhash64("id")).filter("_listed")
     assert found.columns == ["id", "x", "_listed"] and found.filter("id % 10 = 0").count() == 2000 and found.count() < 2200
     assert jaccard.listed(df, F.xxhash64("id"), spark.range(0), F.xxhash64("id")).filter("_listed").count() == 0
+
+
+class Kept:
+    """A list state or the handle of one key that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads = [], [], 0
+
+    getListState = getValueState = lambda self, *_: Kept()
+    exists = lambda self: bool(self.rows)
+    listTimers = lambda self: iter(self.timers)
+    registerTimer = lambda self, at: self.timers.append(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+    appendList = lambda self, rows: self.rows.extend(rows)
+    clear = lambda self: self.rows.clear()
+    getCurrentWatermarkInMs = lambda self: 0
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+
+def test_state_of_many_rows_is_few_entries():
+    """A key's ten thousand requests and records are a few entries of state, not one call each."""
+    p = state.Freshest(5000, "bigint")
+    p.init(Kept())
+    n = np.arange(1, 10_001)
+    rows = pd.DataFrame({"at": n.astype(float), "id": np.where(n % 2 == 0, n, np.nan), "value": np.where(n % 2 == 0, np.nan, n)})
+    assert list(p.handleInputRows(("c",), iter([rows]), Kept())) == [] and len(p.records.rows) == len(p.waiting.rows) == 1
+    assert len(state.held(p.waiting, state.ASKED)) == 5000 and p.handle.timers == [2000]
+
+
+def test_waiting_events_are_not_read_again_by_each_batch():
+    """Nothing can be told before the watermark: a batch only adds its events and sets the timer to the first."""
+    p = state.TripFeatures(1000)
+    p.init(Kept())
+    for first, due in ((50.0, 50_000), (90.0, 50_000), (20.0, 20_000)):
+        rows = pd.DataFrame([(0, 1, first, 1.0, 1.0, 1.0, 1, "still")], columns=state.COLUMNS)
+        assert list(p.handleInputRows((1, 1), iter([rows]), Kept())) == [] and p.handle.timers == [due]
+    assert len(p.waiting.rows) == 3 and p.waiting.reads == 0

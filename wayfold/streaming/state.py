@@ -33,7 +33,10 @@ class OneTimer(StatefulProcessor):
     handle: StatefulProcessorHandle
 
     def wake(self, at_ms: int | None, now_ms: int) -> None:
-        for old in list(self.handle.listTimers()):
+        self.stand(list(self.handle.listTimers()), at_ms, now_ms)
+
+    def stand(self, timers: list[int], at_ms: int | None, now_ms: int) -> None:
+        for old in timers:
             self.handle.deleteTimer(old)
         if at_ms is not None:
             self.handle.registerTimer(max(at_ms, now_ms + 1))
@@ -56,7 +59,13 @@ class TripFeatures(OneTimer):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(rows))[COLUMNS]
         self.waiting.appendList(list(rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None)))
-        yield from self.told(key, timerValues)
+        first, now = float(rows["timestamp_unix"].min()) * 1000, timerValues.getCurrentWatermarkInMs()
+        if first <= now:
+            yield from self.told(key, timerValues)
+        else:  # nothing to tell: what is kept needn't be read, each call on it costs more than a row
+            timers = list(self.handle.listTimers())
+            if not timers or min(timers) > first:
+                self.stand(timers, int(np.ceil(first)), now)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.told(key, timerValues)
@@ -106,20 +115,18 @@ class Freshest(OneTimer):
 
     def __init__(self, ttl_ms: int, kind: str):
         self.ttl_ms, self.kind = ttl_ms, kind
+        self.record = np.dtype([("at", "f8"), ("value", "i8" if kind in ("int", "bigint") else "f8")])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.records = handle.getListState("records", f"at double, value {self.kind}")
-        self.waiting = handle.getListState("waiting", "id bigint, at double")
+        self.records = handle.getListState("records", "block binary")
+        self.waiting = handle.getListState("waiting", "block binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for b in rows:
-            asked = b["id"].notna()
-            if not asked.all():
-                whole = int if self.kind in ("int", "bigint") else float
-                self.records.appendList([(float(at), whole(v)) for at, v in b.loc[~asked, ["at", "value"]].itertuples(index=False, name=None)])
-            if asked.any():
-                self.waiting.appendList([(int(i), float(at)) for i, at in b.loc[asked, ["id", "at"]].itertuples(index=False, name=None)])
+            asked = b["id"].notna().to_numpy()
+            append(self.records, blocks(b[~asked], self.record))
+            append(self.waiting, blocks(b[asked], ASKED))
         yield from self.told(key, timerValues)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -127,23 +134,50 @@ class Freshest(OneTimer):
 
     def told(self, key: tuple, timer) -> Iterator[pd.DataFrame]:
         now = timer.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[1] * 1000 <= now], [r for r in rows if r[1] * 1000 > now]
-        known = sorted(self.records.get()) if self.records.exists() else []  # of equal times the greatest is last
-        times = np.array([t for t, _ in known])
-        if ready:
-            at = np.array([r[1] for r in ready])
-            nth = np.searchsorted(times, at, side="right") - 1
-            fit = [i >= 0 and a - times[i] <= self.ttl_ms / 1000 for i, a in zip(nth, at, strict=True)]
-            yield pd.DataFrame({"id": [r[0] for r in ready], "cell": key[0], "value": [known[i][1] if ok else None for i, ok in zip(nth, fit, strict=True)]}).astype({"value": object})
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        kept = [r for r in known if r[0] * 1000 + self.ttl_ms >= now]
+        rows, known = held(self.waiting, ASKED), np.sort(held(self.records, self.record), order=["at", "value"])  # of equal times the greatest is last
+        is_ready = rows["at"] * 1000 <= now
+        ready, rest = rows[is_ready], rows[~is_ready]
+        if len(ready):
+            nth = np.searchsorted(known["at"], ready["at"], side="right") - 1
+            fit = nth >= 0
+            fit[fit] = ready["at"][fit] - known["at"][nth[fit]] <= self.ttl_ms / 1000
+            value = np.full(len(ready), None, dtype=object)
+            value[fit] = known["value"][nth[fit]].tolist()
+            yield pd.DataFrame({"id": ready["id"], "cell": key[0], "value": value})
+            put(self.waiting, rest)
+        kept = known[known["at"] * 1000 + self.ttl_ms >= now]
         if len(kept) < len(known):
-            self.records.put(kept) if kept else self.records.clear()
-        due = [int(np.ceil(r[1] * 1000)) for r in rest] + [int(r[0] * 1000) + self.ttl_ms + 1 for r in kept[:1]]
+            put(self.records, kept)
+        due = ([int(np.ceil(rest["at"].min() * 1000))] if len(rest) else []) + [int(t * 1000) + self.ttl_ms + 1 for t in kept["at"][:1]]
         self.wake(min(due, default=None), now)
 
 
+#: Rows of a state's block, at most: rows are kept as bytes of arrays, many to an entry, since each entry costs a call.
+BLOCK = 65_536
+ASKED = np.dtype([("id", "i8"), ("at", "f8")])
+
+
+def blocks(rows: pd.DataFrame | np.ndarray, kind: np.dtype) -> list[tuple[bytes]]:
+    out = np.empty(len(rows), dtype=kind)
+    for c in kind.names:
+        out[c] = rows[c]
+    return [(out[i : i + BLOCK].tobytes(),) for i in range(0, len(out), BLOCK)]
+
+
+def append(state, entries: list[tuple[bytes]]) -> None:
+    if entries:
+        state.appendList(entries)
+
+
+def held(state, kind: np.dtype) -> np.ndarray:
+    found = [np.frombuffer(bytes(r[0]), dtype=kind) for r in state.get()] if state.exists() else []
+    return np.concatenate(found) if found else np.empty(0, dtype=kind)
+
+
+def put(state, rows: np.ndarray) -> None:
+    state.put(blocks(rows, rows.dtype)) if len(rows) else state.clear()
+
+
 def fresh(requests: DataFrame, records: DataFrame, seconds: float, *, kind: str = "double", late: str = "10 minutes") -> DataFrame:
     """Of each request (stream of id, cell, at) the newest record (stream of cell, at, value) of its cell that is at most `seconds` old, null without one.
 
