@@ -114,6 +114,39 @@ def test_pairs_within_a_component_need_no_verification(spark, monkeypatch):
     assert sum(seen) < 8 * len(rows)
 
 
+def test_components_go_on_from_earlier_ones(spark, monkeypatch):
+    """Later edges join the components of earlier ones only, whatever the order: what lies within one is dropped, and edges shrink round by round."""
+    left, plain = [], jaccard.materialize
+
+    def counted(df, tag, **options):
+        out = plain(df, tag, **options)
+        if tag == "edges":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rng = np.random.default_rng(8)
+    names = rng.permutation(600) * 7 - 2000
+    edges = [(i, i + 1) for i in range(199)] + [(200, k) for k in range(201, 400)] + [(int(a), int(b)) for a, b in rng.integers(400, 600, (150, 2)) if a != b]
+    edges = [(int(names[a]), int(names[b])) for a, b in edges]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        before = dict(low)
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    rng.shuffle(edges)
+    table = lambda rows: spark.createDataFrame([tuple(map(int, e)) for e in rows], "a long, b long")
+    found = jaccard.components(table(edges)).collect()
+    assert sorted(map(tuple, found)) == sorted(low.items()) and sum(left) < 2.5 * len(edges)
+    known = jaccard.components(table(edges[:300]))
+    more = jaccard.components(table(edges[250:]), known).collect()
+    assert sorted(map(tuple, more)) == sorted(low.items())
+    assert sorted(map(tuple, jaccard.components(table(edges[:9]), known).collect())) == sorted(map(tuple, known.collect()))
+    assert jaccard.components(table([])).count() == 0
+
+
 def test_map_of_keys_lets_all_of_them_through(spark):
     df = spark.range(20_000).withColumn("x", F.col("id") * 7)
     found = jaccard.listed(df, F.xxhash64("id"), spark.range(0, 20_000, 10), F.xxhash64("id")).filter("_listed")

@@ -696,23 +696,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.union(exact.select("a", "b", (1 - F.col("both") / union).alias("d"), (100 * F.col("both") >= 75 * union).alias("linked"))), met
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for the nodes of edges (a, b): comp is the smallest node reachable.
-
-    Labels fall by neighbours' labels and by the label of the label, so that
-    the rounds grow with the logarithm of a component's diameter.
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, comp) for the nodes of edges (a, b), and those of known: comp is the smallest node reachable.
+
+    known: what components of earlier edges are; only edges across these count.
+    Each node of the edges left points at its smallest neighbour, and these
+    pointers are followed to their ends, which the edges join from then on:
+    those within one end are gone. Two rounds at least halve the ends of
+    each component (one that nobody points at has a smaller neighbour by
+    then), so that all rounds together join little more than the edges once.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")), "labels")
-    total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "comp")
-        jump = labels.join(labels.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp").select("node", F.col("next").alias("comp"))
-        labels = materialize(near.union(jump).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
-        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
+    labels, left = None, _between(edges, known)
+    while labels is None or not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        ends = _followed(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp")))
+        labels = ends if labels is None else _relabelled(labels, ends)
+        left = _between(left, ends)
+    if known is None:
+        return materialize(labels, "labels")
+    fresh = labels.join(known, "node", "left_anti")
+    return materialize(_relabelled(known, labels).union(fresh), "labels")
+
+
+def _between(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Distinct edges between the components of labels, smaller end first; a node without a label is its own."""
+    a, b = F.col("a"), F.col("b")
+    if labels is not None:
+        side_a, side_b = (labels.select(F.col("node").alias(x), F.col("comp").alias("comp_" + x)) for x in "ab")
+        edges = edges.select("a", "b").join(side_a, "a", "left").join(side_b, "b", "left")
+        a, b = F.coalesce("comp_a", "a"), F.coalesce("comp_b", "b")
+    return materialize(edges.filter(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
+
+
+def _followed(pointers: DataFrame) -> DataFrame:
+    """Where the pointers (node, comp) of each node end; their length halves in each round."""
+    pointers = materialize(pointers.withColumn("moved", F.col("node") != F.col("comp")), "pointers")
+    while not pointers.filter("moved").isEmpty():
+        further = pointers.filter("node <> comp").select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        to = F.coalesce("next", "comp")
+        pointers = materialize(pointers.join(further, "comp", "left").select("node", to.alias("comp"), F.col("next").isNotNull().alias("moved")), "pointers")
+    return pointers.select("node", "comp")
+
+
+def _relabelled(labels: DataFrame, ends: DataFrame) -> DataFrame:
+    """labels with their components' own labels, where these have some."""
+    to = ends.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return labels.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
 
 
 def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -733,65 +762,70 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     signed = materialize(signed, "signed", release=True)
     discard(made)
     whole = signed.filter(F.col("kind") != RAW)
-    first = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
-    known = materialize(certain_differences(members, components(first)), "differences")
+    first, labels = _resolved(whole, nodes.select("node", F.lit(-1).cast("long").alias("f"), F.col("node").alias("comp")), rows, nodes, None, parts)
+    known = materialize(certain_differences(members, labels), "differences")
     near = signed.filter(F.col("kind") == RAW).select("sig", F.col("b").alias("node")).join(known, "node")
     near = materialize(candidates(near, parts), "near", release=True)
     discard(signed)
-    second = _resolved(near, known, rows, nodes, first, parts)
+    second, labels = _resolved(near, known, rows, nodes, labels, parts)
     edges = materialize(first.union(second).distinct(), "links", release=True)
-    labels = components(edges)
     low = materialize(labels.join(nodes, "node").groupBy("comp").agg(F.min("rep").alias("low")), "lowest")
     named = materialize(nodes.join(labels, "node", "left").join(low, "comp", "left").select("node", F.coalesce("comp", "node").alias("group"), F.coalesce("low", "rep").alias("component")), "named")
     out = members.join(named, "node", "left").select("id", "n_shingles", "node", "group", "text_hash", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
     return out.withColumnRenamed("id", id_col), edges
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Links (a, b, d) among pairs that make up the components of all their links (and those before).
+def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, d) among pairs that make up the components of all their links and of labels, and the labels then.
 
     First each node is compared with its first mate, then with a few: members of
-    a large group of near copies come into one component by some links each. Of
+    a large group of near copies come into one component by a link each. Of
     the other pairs only those across components are open, and all of these are
     verified. Few pairs are verified at once.
     """
-    nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    rest, links = materialize(pairs.withColumn("nth", nth), "ranked", release=True), None
+    rest, links = pairs, None
     for mates in (1, 4, None):
         last = mates is None or rest.count() <= AT_ONCE
-        found, met = verified((rest if last else rest.filter(F.col("nth") <= mates)).select("a", "b"), sets)
-        found = found.filter("linked").select("a", "b", "d")
-        links = materialize(found if links is None else links.union(found), "links", release=True)
+        if last:
+            now = rest
+        elif mates == 1:
+            now = materialize(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "mates")
+        else:
+            nth = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+            now = materialize(rest.withColumn("nth", nth).filter(F.col("nth") <= mates).select("a", "b"), "mates")
+        found, met = verified(now, sets)
+        found = materialize(found.filter("linked").select("a", "b", "d"), "links", release=True)
         discard(met)
+        links = found if links is None else materialize(links.union(found), "links")
+        labels = components(found, labels)
         if last:
             break
-        labels = components(links if before is None else links.union(before))
         side_a, side_b = (labels.select(F.col("node").alias(x), F.col("comp").alias("comp_" + x)) for x in "ab")
-        across = rest.filter(F.col("nth") > mates).join(side_a, "a", "left").join(side_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-        across = materialize(across.select("a", "b", "nth"), "across", release=True)
-        discard(rest)
+        across = rest.join(side_a, "a", "left").join(side_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        across = materialize(across.select("a", "b").join(now, ["a", "b"], "left_anti"), "across", release=True)
+        discard(now, *([rest] if rest is not pairs else []))
         rest = across
-    discard(rest)
-    return links
+    if rest is not pairs:
+        discard(rest)
+    return links, labels
 
 
-def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFrame, before: DataFrame | None, parts: int) -> DataFrame:
-    """Links (a, b, d) among candidates and around their centres, as many as make up the components; known: node, f, comp; before: earlier links."""
+def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b, d) among candidates and around their centres, as many as make up the components with those of labels, and the labels then; known: node, f, comp; labels: of earlier links."""
     pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", release=True)
     sets = materialize(needed_sets(rows, nodes, pairs), "sets", release=True)
-    links = _linked(pairs, sets, before)
+    links, labels = _linked(pairs, sets, labels)
     discard(pairs)
     stars = materialize(found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct(), "stars")
     if stars.isEmpty():
         discard(sets)
-        return links
-    labels = components(links if before is None else links.union(before)).withColumnRenamed("comp", "now")
-    known = known.join(labels, "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+        return links, labels
+    known = known.join(labels.withColumnRenamed("comp", "now"), "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
     more = materialize(around_centres(stars, known.join(sets.select("node", "n", "bits"), "node"), parts), "around-pairs")
-    found_links, met = verified(more, sets)
-    links = materialize(links.union(found_links.filter("linked").select("a", "b", "d")).distinct(), "links", release=True)
+    around, met = verified(more, sets)
+    around = materialize(around.filter("linked").select("a", "b", "d"), "links", release=True)
     discard(sets, met)
-    return links
+    return links.union(around).distinct(), components(around, labels)
 
 
 def without_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
