@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from wayfold.functions import stats
 from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
 from wayfold.queries import registry, streams
@@ -192,3 +193,21 @@ def test_waiting_events_are_not_read_again_by_each_batch():
         rows = pd.DataFrame([(0, 1, first, 1.0, 1.0, 1.0, 1, "still")], columns=state.COLUMNS)
         assert list(p.handleInputRows((1, 1), iter([rows]), Kept())) == [] and p.handle.timers == [due]
     assert len(p.waiting.rows) == 3 and p.waiting.reads == 0
+
+
+@pytest.mark.parametrize(("sketch", "small"), [(10_000, 40_000), (10_000, 0), (3, 0)])
+def test_percentiles_of_large_groups_are_exact(spark, monkeypatch, sketch, small):
+    """Ties, null keys and values, groups of one and of none, outliers: as numpy has them, also where a sketch is too coarse; and no aggregate holds a group's values."""
+    monkeypatch.setattr(stats, "SKETCH", sketch)
+    monkeypatch.setattr(stats, "SMALL_GROUP", small)
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(size=3000), "b": rng.integers(0, 5, 2000).astype(float), None: np.append(rng.exponential(size=1500), 1e300), "one": np.array([7.0]), "two": np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("none", None)]
+    df, at = spark.createDataFrame(rows, "g string, x double").repartition(5), [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    found = {r["g"]: r[1:] for r in stats.large_percentiles(df, "x", ["g"], at).collect()}
+    assert set(found) == set(values) and all(np.allclose(found[k], np.quantile(v, at), rtol=1e-12) for k, v in values.items())
+    whole = stats.described(df, "x", ["g"])
+    got, want = ({r["g"]: tuple(r) for r in d.collect()} for d in (whole, df.groupBy("g").agg(*stats.describe(F.col("x"))).select(whole.columns)))
+    assert got.keys() == want.keys() and all(np.allclose(got[k][1:], want[k][1:], rtol=1e-9) for k in got)
+    plan = stats.outlier_mad(df, "x", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,58 @@ def describe(x: Column) -> list[Column]:
     return [*out, *[zero(F.get(p, F.lit(i)), n) for i, n in enumerate(("p5", "p25", "p75", "p95"))], F.count(x).alias("sample_size")]
 
 
+def joined(df: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of groups, a table with a row for each of few groups; null is a key like others."""
+    keyed = groups.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in groups.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(F.broadcast(keyed), reduce(Column.__and__, same), "left").drop(*[f"_by_{c}" for c in by])
+
+
+#: Parts into which a sketch tells ranks, and values up to which a group needs none.
+SKETCH, SMALL_GROUP = 10_000, 40_000
+
+
+def large_percentiles(df: DataFrame, x: str, by: list[str], at: list[float]) -> DataFrame:
+    """(by, p0, p1, ...): the same of few, large groups, of which no task holds all values.
+
+    A sketch tells between which two values a percentile lies, at most some
+    thousandths of a group; rows below are counted, and only the values between are
+    sorted. Where the counts show that a sketch was wrong, the whole group is.
+    """
+    rows, several = df.filter(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x")), range(len(at))
+    asked = [min(1.0, max(0.0, a + side * 4 / SKETCH)) for a in at for side in (-1, 1)]
+    ends = rows.groupBy(*by).agg(F.percentile_approx("_x", asked, F.lit(SKETCH)).alias("_q"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("*").alias("_n"))
+    side = lambda i, k: F.when(F.col("_n") <= SMALL_GROUP, F.col(("_low", "_high")[k])).otherwise(F.get("_q", F.lit(2 * i + k)))
+    ends = ends.select(*by, "_low", "_high", "_n", *[side(i, k).alias(f"_{'ab'[k]}{i}") for i in several for k in (0, 1)])
+    counts = joined(rows, ends, by).groupBy(*by).agg(*[F.first(c).alias(c) for c in ends.columns if c not in by], *[F.count_if(F.col("_x") < F.col(f"_a{i}")).alias(f"_below{i}") for i in several], *[F.count_if(F.col("_x") <= F.col(f"_b{i}")).alias(f"_upto{i}") for i in several])
+
+    def part(i: int, a: float) -> Column:
+        place = a * (F.col("_n") - 1)
+        right = (F.col(f"_below{i}") <= F.floor(place)) & (F.ceil(place) < F.col(f"_upto{i}"))
+        known = lambda c, other: F.when(right, F.col(f"{c}{i}")).otherwise(other)
+        return F.struct(F.lit(i).alias("i"), place.alias("place"), known("_a", F.col("_low")).alias("a"), known("_b", F.col("_high")).alias("b"), known("_below", F.lit(0)).alias("below"))
+
+    parts = counts.select(*by, F.array(*[part(i, a) for i, a in enumerate(at)]).alias("_parts"))
+    inside = joined(rows, parts, by).select(*by, "_x", F.explode(F.filter("_parts", lambda p: (F.col("_x") >= p["a"]) & (F.col("_x") <= p["b"]))).alias("_p"))
+    inside = inside.groupBy(*by, "_p", "_x").agg(F.count("*").alias("_c"))
+    upto = F.col("_p.below") + F.sum("_c").over(Window.partitionBy(*by, "_p.i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.col("_p.place")
+    first = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_x")))
+    found = inside.withColumn("_upto", upto).groupBy(*by, "_p.i", F.col("_p.place").alias("_place")).agg(first(F.floor(place)).alias("_l"), first(F.ceil(place)).alias("_r"))
+    between = F.when(F.col("_l") == F.col("_r"), F.col("_l")).otherwise((F.ceil("_place") - F.col("_place")) * F.col("_l") + (F.col("_place") - F.floor("_place")) * F.col("_r"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, between)).alias(f"p{i}") for i in several])
+
+
+def described(df: DataFrame, x: str, by: list[str]) -> DataFrame:
+    """(by, what `describe` gives) of few, large groups."""
+    names = ("p5", "p25", "median", "p75", "p95")
+    p = large_percentiles(df, x, by, [0.05, 0.25, 0.5, 0.75, 0.95]).select(*by, *[F.col(f"p{i}").alias(n) for i, n in enumerate(names)])
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    v = F.col(x)
+    sums = df.groupBy(*by).agg(zero(F.avg(v)).alias("mean"), zero(F.stddev_pop(v)).alias("std"), zero(F.min(v)).alias("min"), zero(F.max(v)).alias("max"), F.count(v).alias("sample_size"))
+    return joined(sums, p, by).select(*by, "mean", zero("median").alias("median"), "std", "min", "max", *[zero(n).alias(n) for n in ("p5", "p25", "p75", "p95")], "sample_size")
+
+
 def percentiles(x: Column, at: list[float]) -> Column:
     """Exact, with linear interpolation."""
     return F.percentile(x, F.array(*[F.lit(a) for a in at]))
@@ -38,22 +91,22 @@ def rolling_std(x: Column, k: int, by: list[str], order: list[str]) -> Column:
 
 
 def outlier_iqr(df: DataFrame, x: str, by: list[str], factor: float = 1.5) -> DataFrame:
-    """df with `outlier`; bounds come from one aggregate per group, joined back."""
-    q = df.groupBy(*by).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    low, high = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
-    return df.join(q, by).withColumn("outlier", (F.col(x) < low - factor * (high - low)) | (F.col(x) > high + factor * (high - low))).drop("_q")
+    """df with `outlier`; bounds come from a row for each of few, large groups, joined back."""
+    q = large_percentiles(df, x, by, [0.25, 0.75]).select(*by, F.col("p0").alias("_low"), F.col("p1").alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    return joined(df, q, by).withColumn("outlier", (F.col(x) < low - factor * (high - low)) | (F.col(x) > high + factor * (high - low))).drop("_low", "_high")
 
 
 def outlier_z(df: DataFrame, x: str, by: list[str], most: float = 3.0) -> DataFrame:
     s = df.groupBy(*by).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
-    return df.join(s, by).withColumn("outlier", F.coalesce(F.when(F.col("_s") > 0, F.abs((F.col(x) - F.col("_m")) / F.col("_s")) > most), F.lit(False))).drop("_m", "_s")
+    return joined(df, s, by).withColumn("outlier", F.coalesce(F.when(F.col("_s") > 0, F.abs((F.col(x) - F.col("_m")) / F.col("_s")) > most), F.lit(False))).drop("_m", "_s")
 
 
 def outlier_mad(df: DataFrame, x: str, by: list[str], most: float = 3.5) -> DataFrame:
-    med = df.groupBy(*by).agg(F.median(x).alias("_med"))
-    mid = df.join(med, by)
-    mad = mid.groupBy(*by).agg(F.median(F.abs(F.col(x) - F.col("_med"))).alias("_mad"))
-    return mid.join(mad, by).withColumn("outlier", F.coalesce(F.when(F.col("_mad") > 0, F.abs(0.6745 * (F.col(x) - F.col("_med")) / F.col("_mad")) > most), F.lit(False))).drop("_med", "_mad")
+    mid = joined(df, large_percentiles(df, x, by, [0.5]).withColumnRenamed("p0", "_med"), by)
+    far = mid.select(*by, F.abs(F.col(x) - F.col("_med")).alias("_far"))
+    mid = joined(mid, large_percentiles(far, "_far", by, [0.5]).withColumnRenamed("p0", "_mad"), by)
+    return mid.withColumn("outlier", F.coalesce(F.when(F.col("_mad") > 0, F.abs(0.6745 * (F.col(x) - F.col("_med")) / F.col("_mad")) > most), F.lit(False))).drop("_med", "_mad")
 
 
 def histogram(df: DataFrame, x: str, by: list[str], bins: int = 20) -> DataFrame:
