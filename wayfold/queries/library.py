@@ -112,7 +112,7 @@ def geo_12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sta_01_02", sql.query("li", "select l_returnflag,round(avg(x),4) mean,round(median(x),4) median,round(stddev_pop(x),4) std,min(x) \"min\",max(x) \"max\",round(quantile_cont(x,0.05),4) p5,round(quantile_cont(x,0.25),4) p25,round(quantile_cont(x,0.75),4) p75,round(quantile_cont(x,0.95),4) p95,count(x) sample_size from li group by 1"))
 def sta_01_02(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(line(spark, d).groupBy("l_returnflag").agg(*stats.describe(F.col("x"))), 4)
+    return rounded(stats.described(line(spark, d), "x", ["l_returnflag"]), 4)
 
 
 R = "over (partition by k order by n,x rows 2 preceding)"
