@@ -2,6 +2,7 @@
 
 import math
 import time
+from datetime import timedelta
 
 import duckdb
 import numpy as np
@@ -14,7 +15,7 @@ from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
 from wayfold.queries import registry, streams
 from wayfold.sources import tracks
-from wayfold.streaming import state
+from wayfold.streaming import points, state
 
 
 def test_battery_halves_go_up(spark):
@@ -211,3 +212,37 @@ def test_percentiles_of_large_groups_are_exact(spark, monkeypatch, sketch, small
     assert got.keys() == want.keys() and all(np.allclose(got[k][1:], want[k][1:], rtol=1e-9) for k in got)
     plan = stats.outlier_mad(df, "x", ["g"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_many_trips_are_followed_together():
+    """Batches of many trips give what each gives alone, late events and stops that go on included, in a fraction of a call for each."""
+    rng = np.random.default_rng(6)
+    n, trips = 6000, 1500
+    events = pd.DataFrame({"user_id": rng.integers(1, 40, n) * 2**54 + 1, "trip_id": rng.integers(0, trips // 40, n), "point_index": rng.integers(0, 9, n), "event_id": np.arange(n), "timestamp_unix": rng.integers(0, 500, n) + 0.25})
+    events = events.assign(lat=50 + rng.integers(0, 3, n) * 1e-5, lon=10.0, speed=rng.choice([np.nan, -1.0, 0.2, 5.0], n), is_moving=rng.integers(0, 2, n), activity=rng.choice(["still", "walking"], n))
+    state, alone, got, want = np.empty(0, dtype=points.LAST), {}, [], []
+    for part in (events[:3000], events[3000:3500], events[3500:]):
+        found, state = points.advance_all(part, state)
+        got += found
+        for key, rows in part.groupby(["user_id", "trip_id"]):
+            found, alone[key] = points.advance(key, rows, alone.get(key))
+            want += found
+    got, want = (pd.concat(x).sort_values("event_id") for x in (got, want))
+    assert len(got) == n and got["late"].sum() == want["late"].sum() > 100
+    for c in want.columns:
+        assert np.array_equal(got[c].astype(float), want[c].astype(float), equal_nan=True), c
+    assert {(int(r["user_id"]), int(r["trip_id"])): (r["t"], r["n"], r["stopped"], r["run"]) for r in state} == {k: (v[0], v[4], v[5], v[6]) for k, v in alone.items()}
+
+
+def test_streamed_trips_share_states(spark, tmp_path):
+    """A stream keeps its trips in few states, trips without a user too, and forgets each by itself."""
+    event = lambda user, i, t: (user, 1, i, i, float(t), 50.0, 10.0, 0.0, 0, "still")
+    for i, part in enumerate(([event(u, k, 1000 + 10 * k) for u in (1, 2, None) for k in range(3)], [event(9, 0, 5000)], [event(9, 1, 5001)], [event(1, 9, 4990), event(9, 2, 5002)], [event(1, 10, 5000)])):
+        spark.createDataFrame(part, points.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    rows = spark.readStream.schema(points.EVENTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_micros((F.col("timestamp_unix") * 1_000_000).cast("bigint")))
+    told = []
+    run = points.start(points.features(rows, late="1 minute", ttl=timedelta(seconds=60), buckets=2), f"{tmp_path}/checkpoint", lambda b, _: told.extend(b.collect()))
+    run.awaitTermination()
+    found = {(r["user_id"], r["event_id"]): (r["time_delta"], r["stop_duration"], r["acceleration"]) for r in told}
+    assert found[None, 2] == (10.0, 20.0, 0.0) and found[1, 9] == (None, None, None) and found[1, 10] == (10.0, 10.0, 0.0) and len(found) == 14
+    assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 4

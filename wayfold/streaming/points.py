@@ -103,15 +103,93 @@ def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, tt
     state.setTimeoutTimestamp(max(int(seen * 1000) + ttl_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def features(stream: DataFrame, *, late: str = "1 day", ttl: timedelta = timedelta(days=1)) -> DataFrame:
+#: Where a trip stands, many in a bucket's state; a missing speed is NaN.
+LAST = np.dtype([("user_id", "i8"), ("trip_id", "i8"), ("t", "f8"), ("lat", "f8"), ("lon", "f8"), ("speed", "f8"), ("n", "i8"), ("stopped", "?"), ("run", "f8")])
+BUCKETS = 1024
+
+
+def advance_all(rows: pd.DataFrame, last: np.ndarray) -> tuple[list[pd.DataFrame], np.ndarray]:
+    """The features that `advance` gives trip by trip, of many trips at once; last: where trips stand (LAST), and do now. Ids are null in all rows or in none."""
+    rows = rows.sort_values(["user_id", "trip_id", "timestamp_unix", "point_index", "event_id"])
+    ids = np.column_stack([rows[c].fillna(0).to_numpy(np.int64) for c in ("user_id", "trip_id")])
+    keys, code = np.unique(np.concatenate((np.column_stack((last["user_id"], last["trip_id"])), ids)), axis=0, return_inverse=True)
+    had, code = code.ravel()[: len(last)], code.ravel()[len(last) :]
+    since = np.full(len(keys), np.nan)
+    since[had] = last["t"]
+    gap, out = rows["timestamp_unix"].to_numpy(float) - since[code], []
+    ids = {c: rows[c] if rows[c].notna().all() else None for c in ("user_id", "trip_id")}
+    if (late := gap < 0).any():
+        nothing = dict.fromkeys(("distance", "calc_speed", "acceleration", "is_stop", "stop_duration"))
+        out.append(pd.DataFrame({**{c: x if x is None else x[late] for c, x in ids.items()}, "event_id": rows["event_id"][late], "time_delta": gap[late], **nothing, "late": True}))
+        rows, code = rows[~late], code[~late]
+        ids = {c: x if x is None else x[~late] for c, x in ids.items()}
+    if not len(rows):
+        return out, last
+    # the last event seen of a trip stands before its new ones
+    seen = np.isin(had, code)
+    order = np.argsort(np.concatenate((had[seen], code)), kind="stable")
+    trip, new = np.concatenate((had[seen], code))[order], (np.arange(seen.sum() + len(rows)) >= seen.sum())[order]
+    column = lambda kept, now: np.concatenate((last[kept][seen], now))[order]
+    t, lat, lon = (column(k, rows[c].to_numpy(float)) for k, c in (("t", "timestamp_unix"), ("lat", "lat"), ("lon", "lon")))
+    v = rows["speed"].to_numpy(float)
+    v = column("speed", np.where(v >= 0, v, np.nan))
+    head = np.concatenate(([True], trip[1:] != trip[:-1]))
+    prior = lambda x: np.where(head, np.nan, np.concatenate(([np.nan], x[:-1])))
+    dt, d = t - prior(t), _distance(prior(lat), prior(lon), lat, lon)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        calc, acc = np.where(dt > 0, d / dt, np.nan), np.where(dt > 0, (v - prior(v)) / dt, np.nan)
+    after, none = ~np.isnan(dt), np.zeros(seen.sum(), dtype=bool)
+    still = np.concatenate((none, (rows["activity"] == "still").to_numpy(bool)))[order]
+    stop = column("stopped", rows["is_moving"].to_numpy() != 1) | (new & after & (still | (v < 0.5) | (calc < 0.5)))
+    goes_on = stop & ~head & np.concatenate(([False], stop[:-1]))
+    spent = np.where(new, np.where(goes_on & after, dt, 0.0), column("run", np.zeros(len(rows))))
+    run = np.where(stop, pd.Series(spent).groupby(np.cumsum(~goes_on)).cumsum().to_numpy(), 0.0)
+    out.append(pd.DataFrame({
+        **ids, "event_id": rows["event_id"], "time_delta": dt[new], "distance": d[new], "calc_speed": calc[new], "acceleration": acc[new],
+        "is_stop": stop[new], "stop_duration": np.where(stop & after, run, np.nan)[new], "late": False,
+    }))
+    end = np.flatnonzero(np.append(head[1:], True))
+    now = np.empty(len(end), dtype=LAST)
+    counts = np.bincount(code, minlength=len(keys))
+    counts[had] += last["n"]
+    now["user_id"], now["trip_id"] = keys[trip[end]].T
+    for c, x in (("t", t), ("lat", lat), ("lon", lon), ("speed", v), ("n", counts[trip]), ("stopped", stop), ("run", run)):
+        now[c] = x[end]
+    return out, np.concatenate((last[~seen], now))
+
+
+def follow_all(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, ttl_ms: int) -> Iterator[pd.DataFrame]:
+    """Features of a bucket's trips as events come; a trip without events is forgotten when the watermark is ttl_ms beyond its last."""
+    last = np.frombuffer(bytes(state.get[0]), dtype=LAST) if state.exists else np.empty(0, dtype=LAST)
+    rows, now = [] if state.hasTimedOut else list(batches), state.getCurrentWatermarkMs()
+    kept = last["t"] * 1000 + ttl_ms >= now
+    if rows:
+        rows = pd.concat(rows)
+        if not kept.all():
+            ids = [rows[c].fillna(0).astype("int64") for c in ("user_id", "trip_id")]
+            kept |= pd.MultiIndex.from_arrays([last["user_id"], last["trip_id"]]).isin(pd.MultiIndex.from_arrays(ids))
+        out, last = advance_all(rows, last[kept])
+        yield from out
+    else:
+        last = last[kept]
+    if not len(last):
+        state.remove()
+        return
+    state.update((last.tobytes(),))
+    state.setTimeoutTimestamp(max(int(last["t"].min() * 1000) + ttl_ms, now + 1))
+
+
+def features(stream: DataFrame, *, late: str = "1 day", ttl: timedelta = timedelta(days=1), buckets: int = BUCKETS) -> DataFrame:
     """Features as they come.
 
     Events that come after later ones of their trip are marked as late; those
     older than the watermark, `late` behind the newest event, are left out. A
-    trip is forgotten once the watermark is `ttl` beyond its last event.
+    trip is forgotten once the watermark is `ttl` beyond its last event. Trips
+    are dealt to buckets, each with one state and one call a micro-batch.
     """
-    grouped = stream.withWatermark("event_time", late).groupBy("user_id", "trip_id")
-    return grouped.applyInPandasWithState(partial(follow, ttl_ms=int(ttl.total_seconds() * 1000)), FEATURES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    keys = {"bucket": F.pmod(F.xxhash64("user_id", "trip_id"), F.lit(buckets)), "no_user": F.col("user_id").isNull(), "no_trip": F.col("trip_id").isNull()}
+    grouped = stream.withWatermark("event_time", late).withColumns(keys).groupBy(*keys)
+    return grouped.applyInPandasWithState(partial(follow_all, ttl_ms=int(ttl.total_seconds() * 1000)), FEATURES, "trips binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def baseline_updater(table: Table) -> Callable[[DataFrame, int], None]:
