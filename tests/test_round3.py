@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import stats
 from wayfold.llm import jaccard
 from wayfold.operators import iforest, safety, simplify
-from wayfold.queries import registry, streams
+from wayfold.queries import profiles, registry, streams
 from wayfold.sources import tracks
 from wayfold.streaming import points, state
 
@@ -246,3 +246,12 @@ def test_streamed_trips_share_states(spark, tmp_path):
     found = {(r["user_id"], r["event_id"]): (r["time_delta"], r["stop_duration"], r["acceleration"]) for r in told}
     assert found[None, 2] == (10.0, 20.0, 0.0) and found[1, 9] == (None, None, None) and found[1, 10] == (10.0, 10.0, 0.0) and len(found) == 14
     assert max(op["numRowsTotal"] for p in run.recentProgress for op in p["stateOperators"]) <= 4
+
+
+@pytest.mark.parametrize("name", ["dly_01_05", "dly_01_learned"])
+def test_points_are_summed_up_by_trip_once(spark, monkeypatch, name):
+    """Requests, zones and routes all come from one table of trips."""
+    calls, plain = [], profiles.profile.trip_signatures
+    monkeypatch.setattr(profiles.profile, "trip_signatures", lambda p: calls.append(1) or plain(p))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1

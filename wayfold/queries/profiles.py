@@ -72,9 +72,8 @@ def pro_07_08(spark: SparkSession, d: str) -> DataFrame:
     return rounded(profile.speed_consistency(p, baseline.wide(p)).join(profile.update_regularity(p), "user_id"), 5)
 
 
-def tour_zones(p: DataFrame) -> DataFrame:
-    """A zone around the ends of each user's first trip, for queries that need routes both engines know."""
-    s = profile.trip_signatures(p)
+def tour_zones(s: DataFrame) -> DataFrame:
+    """A zone around the ends of each user's first trip of signatures, for queries that need routes both engines know."""
     first = s.groupBy("user_id").agg(F.min_by(F.struct(*[c for c in s.columns if c != "user_id"]), "trip_id").alias("t")).select("user_id", "t.*")
     return first.withColumns({"start_radius": F.lit(1500.0), "end_radius": F.lit(1500.0), "frequency": F.lit(4), "route_id": F.concat(F.lit("r"), F.col("user_id"))})
 
@@ -87,7 +86,8 @@ sql.define("tz", ["tsig"], "select user_id,min(trip_id) z_trip,arg_min(start_lat
  n as (select user_id,count(distinct trip_id) trips from conf group by 1) select user_id,round(coalesce(hits,0)*1e0/trips,6) route_adherence from n left join h using (user_id)"""))
 def pro_09(spark: SparkSession, d: str) -> DataFrame:
     p = scored_tracks(spark, d)
-    return rounded(profile.route_adherence(profile.trip_signatures(p), p, tour_zones(p)))
+    sig = profile.trip_signatures(p)
+    return rounded(profile.route_adherence(sig, p, tour_zones(sig)))
 
 
 @query("pro_10", sql.query("head", "select user_id,round(0.3e0*least(1e0,trips/20e0)+0.3e0*least(1e0,points/1000e0)+0.4e0*(case when trips>=5 and points>=50 then 1e0 else 0.5e0 end),6) profile_confidence from head"))
@@ -121,8 +121,7 @@ def pro_11_12(spark: SparkSession, d: str) -> DataFrame:
 # --- delay
 
 
-def requests(p: DataFrame) -> DataFrame:
-    s = profile.trip_signatures(p)
+def requests(s: DataFrame) -> DataFrame:
     return s.select(F.col("trip_id").alias("request_id"), "user_id", F.col("start_lat").alias("o_lat"), F.col("start_lon").alias("o_lon"), F.col("end_lat").alias("d_lat"), F.col("end_lon").alias("d_lon"), F.col("start").alias("departure"),
                     (F.pmod("trip_id", F.lit(10)) / 10.0).alias("weather_impact"), F.when(F.col("trip_id") % 4 > 0, 1 + F.pmod("trip_id", F.lit(7)) / 10.0).alias("traffic_factor"))
 
@@ -139,25 +138,30 @@ DLY = ["route_confidence", "distance_m", "hist_duration", "delay_factor", "delay
 
 @query("dly_01_05", sql.query("dly", f'select request_id,user_id,hr "hour",weekday,is_rush,{",".join(f"round({c},4)+0e0 {c}" for c in DLY)} from dly'))
 def dly_01_05(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(delays(scored_tracks(spark, d)).select("request_id", "user_id", "hour", "weekday", "is_rush", *DLY), 4)
+    return rounded(delays(signatures(scored_tracks(spark, d))).select("request_id", "user_id", "hour", "weekday", "is_rush", *DLY), 4)
 
 
-def delays(p: DataFrame, routes: DataFrame | None = None) -> DataFrame:
-    r = predict.delay_features(predict.match_routes(requests(p), tour_zones(p) if routes is None else routes))
+def signatures(p: DataFrame) -> DataFrame:
+    """A row per trip, computed once: requests, zones and learned routes all come from there, not from the points again."""
+    return staged(profile.trip_signatures(p), "signatures")
+
+
+def delays(sig: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+    r = predict.delay_features(predict.match_routes(requests(sig), tour_zones(sig) if routes is None else routes))
     return predict.heuristic_delay(r.withColumns(predict.fuse(F.col("weather_impact"), F.col("traffic_factor"))))
 
 
 @query("dly_01_learned")
 def dly_01_learned(spark: SparkSession, d: str) -> DataFrame:
     """Delays by the best of the learned routes that a request lies on."""
-    p = staged(scored_tracks(spark, d), "points")
-    late = delays(p, staged(profile.routes(profile.trip_signatures(p)), "routes"))
+    sig = signatures(scored_tracks(spark, d))
+    late = delays(sig, staged(profile.routes(sig), "routes"))
     return rounded(late.select("request_id", "user_id", "route_id", "hour", "weekday", "is_rush", *DLY), 4)
 
 
 @query("dly_04_mlt_01")
 def dly_04_mlt_01(spark: SparkSession, d: str) -> DataFrame:
-    return learning.evaluate_delay(delays(scored_tracks(spark, d)))
+    return learning.evaluate_delay(delays(signatures(scored_tracks(spark, d))))
 
 
 # --- threat, from orders as risk history
@@ -228,16 +232,17 @@ def thr_05_06(spark: SparkSession, d: str) -> DataFrame:
     return t.select("user_id", F.round("threat", 5).alias("threat"), F.round("threat_confidence", 6).alias("threat_confidence"), "threat_level", "outlook", "advice")
 
 
-def outlook(spark: SparkSession, d: str, p: DataFrame, routes: DataFrame | None = None, drifting: DataFrame | None = None) -> DataFrame:
-    """A user's threat, worst delay and what follows from both."""
-    late = delays(p, routes).groupBy("user_id").agg(F.max("delay_minutes").alias("delay_minutes"))
+def outlook(spark: SparkSession, d: str, p: DataFrame, sig: DataFrame, routes: DataFrame | None = None, drifting: DataFrame | None = None) -> DataFrame:
+    """A user's threat, worst delay and what follows from both; sig: signatures of the points."""
+    late = delays(sig, routes).groupBy("user_id").agg(F.max("delay_minutes").alias("delay_minutes"))
     out = threats(spark, d, p, drifting).join(late, "user_id", "left")
     return rounded(out.select("user_id", "threat", "threat_level", "delay_minutes", F.when(F.col("delay_minutes") > 15, "expect_delay").otherwise(F.col("advice")).alias("recommendation")), 5)
 
 
 @query("p3_01", sql.query("thr dly", f"with l as (select user_id,max(delay_minutes) delay_minutes from dly group by 1) select user_id,round(threat,5) threat,{LEVEL} threat_level,round(delay_minutes,5)+0e0 delay_minutes,case when delay_minutes>15 then 'expect_delay' else {ADVICE} end recommendation from thr left join l using (user_id)"))
 def p3_01(spark: SparkSession, d: str) -> DataFrame:
-    return outlook(spark, d, sessions.prepared(analysis.given_isolation(scored_tracks(spark, d))))
+    p = sessions.prepared(analysis.given_isolation(scored_tracks(spark, d)))
+    return outlook(spark, d, p, signatures(p))
 
 
 @query("p3_01_learned")
@@ -247,8 +252,8 @@ def p3_01_learned(spark: SparkSession, d: str) -> DataFrame:
     pairs = drift_pairs(spark, d)
     signals = predict.drift_signals(pairs)
     concern = predict.drift_concern(predict.drift_scores(signals, pairs), signals)
-    routes = staged(profile.routes(profile.trip_signatures(p)), "routes")
-    return outlook(spark, d, p, routes, concern.select("user_id", (F.col("concern") != "none").alias("has_drift")))
+    sig = signatures(p)
+    return outlook(spark, d, p, sig, staged(profile.routes(sig), "routes"), concern.select("user_id", (F.col("concern") != "none").alias("has_drift")))
 
 
 # --- drift, from snapshots of orders per customer and quarter
@@ -483,9 +488,8 @@ def snk_02(spark: SparkSession, d: str) -> DataFrame:
 @query("dly_04_observed")
 def dly_04_observed(spark: SparkSession, d: str) -> DataFrame:
     """Delays of trips as they ran, predicted with the depth that five-fold cross validation chose."""
-    p = staged(scored_tracks(spark, d), "points")
-    sig = staged(profile.trip_signatures(p), "signatures")
-    return learning.evaluate_observed(learning.observed_delays(delays(p, staged(profile.routes(sig), "routes")), sig))
+    sig = signatures(scored_tracks(spark, d))
+    return learning.evaluate_observed(learning.observed_delays(delays(sig, staged(profile.routes(sig), "routes")), sig))
 
 
 @query("ano_10_detectors")
