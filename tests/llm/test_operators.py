@@ -623,6 +623,46 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, frequent, at_onc
     assert [rows[i]["component_id"] for i in range(len(texts))] == comps
 
 
+def test_members_around_a_centre_come_into_the_components_of_their_links():
+    rng = np.random.default_rng(17)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.where(rng.random(150) < rng.choice([0.05, 0.1, 0.12, 0.15]), rng.integers(0, 1 << 63, 150, dtype=np.uint64), base)) for _ in range(120)]
+    each = jaccard.Sets(np.concatenate(sets), jaccard.offsets(np.array([len(x) for x in sets])))
+    bits, shingles = (jaccard.lists(*x).to_numpy(zero_copy_only=False) for x in (jaccard.bit_maps(each), each))
+    node = np.arange(120)
+
+    def parts(links):
+        comp = node.copy()
+        for i, j in links:
+            comp[comp == comp[i]] = comp[j]
+        return {frozenset(np.flatnonzero(comp == c).tolist()) for c in comp}
+
+    def linked(i, j):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        return 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+
+    true = {(i, j) for j in range(120) for i in range(j) if linked(i, j)}
+    own, found = node % 3, []
+    for i, j in [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]:
+        rows = list(jaccard.compare(node, node, np.full(120, -1), each.sizes(), bits, shingles, np.flatnonzero(own == i), np.flatnonzero(own == j)))
+        assert sum(b.num_rows for b in rows) < 80  # fewer than members, not the pairs that link
+        found += [(a, b) for x in rows for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist(), strict=True)]
+    assert set(found) <= true and len(true) > 1000
+    assert parts(found) == parts(true) and len(parts(true)) > 1
+
+
+def test_pairs_of_large_groups_are_not_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 0)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 0)
+    verified, pairs = jaccard.verified, []
+    monkeypatch.setattr(jaccard, "verified", lambda now, sets: pairs.append(now.count()) or verified(now, sets))
+    texts = near_corpus(18, clusters=2, size=60, noise=5)
+    rows = {r["doc_id"]: r for r in jaccard.near_copies(documents(spark, texts)).collect()}
+    assert [rows[i]["component_id"] for i in range(len(texts))] == brute_components(texts)[1]
+    assert sum(pairs) <= 4 * len(texts)
+
+
 def test_pairs_that_link_share_a_signature():
     rng = np.random.default_rng(14)
     checked = 0

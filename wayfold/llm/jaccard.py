@@ -22,10 +22,11 @@ certain, and their numbers u rule out pairs with 7 (u + u') > n + n'.
 Groups of sets with a common signature are never expanded into all pairs when
 large: the members are compared with one centre (of least u) of the group. What
 is then in one component needs no more; members of different components around
-one centre are compared by bit maps of their sets in blocks of bounded size,
-inside tasks, and only pairs that the maps leave open come out. All candidates
-are verified exactly on whole sets. Equal sets (64-bit set hash) are one node
-from the start.
+one centre, itself included, are compared in blocks of bounded size inside
+tasks: by bit maps of their sets, and where these leave a link open on whole
+sets, until what links is in one component. Only such links come out. All
+candidates are verified exactly on whole sets. Equal sets (64-bit set hash) are
+one node from the start.
 
 Cases: null, empty and blank texts have no set, link with nothing and are their
 own component; fewer than five words make one shingle; repeated rows are
@@ -52,8 +53,8 @@ from .common import bounded_batches, discard, materialize, numbered_columns, par
 #: many such are kept.
 SAMPLE_DOCS, SAMPLE_SHARE, FREQUENT, FREQUENT_BOUND = 16_384, 32, 3, 2_000_000
 #: Pairs for each member up to which a group is compared pairwise at once, and
-#: members in a block around a centre.
-PAIRS_AT_ONCE, BLOCK = 4, 512
+#: members in a block around a centre and elements of their sets (about).
+PAIRS_AT_ONCE, BLOCK, BLOCK_ELEMENTS = 4, 512, 1 << 20
 #: Pairs up to which all are verified, whatever components they lie in.
 AT_ONCE = 10_000
 #: Bits of the map of documents whose sets verification needs, and of maps in plans.
@@ -553,51 +554,65 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: li
 
 
 def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of different components around one centre that bit maps don't rule out.
+    """Links (a, b, d) around centres, as many as bring members that link into one component.
 
-    stars: distinct (centre, node); known: node, comp, f, n, bits. The members
-    of a centre are dealt to blocks; each pair of blocks meets in one task.
+    stars: distinct (centre, node), the centre itself included; known: node,
+    comp, f, n, bits, shingles. The members of a centre are dealt to blocks;
+    each pair of blocks meets in one task, which verifies what bit maps leave
+    open, so that pairs are never rows.
     """
-    members = materialize(stars.join(known, "node"), "around")
-    open_ = members.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("low <> high").select("centre", "blocks")
+    members = materialize(stars.join(known, "node"), "around", release=True)
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
+    open_ = members.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks")).filter("low <> high").select("centre", "blocks")
     dealt = members.join(materialize(open_, "open"), "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    dealt = dealt.select("centre", "node", "comp", "f", "n", "bits", "own", F.inline(meet))
+    dealt = dealt.select("centre", "node", "comp", "f", "n", "bits", "shingles", "own", F.inline(meet))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", "bits"]):
-            centre, i, j, own, node, comp, f, n, bits = arrays
+        for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", "bits", "shingles"]):
+            centre, i, j = arrays[:3]
             change = np.flatnonzero((centre[1:] != centre[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(node)], strict=True):
-                here = np.arange(lo, hi)
-                rows, cols = here[own[here] == i[lo]], here[own[here] == j[lo]]
-                yield from compare(node, comp, f, n, bits, rows, cols)
+            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(centre)], strict=True):
+                own, *values = (x[lo:hi] for x in arrays[3:])
+                yield from compare(*values, np.flatnonzero(own == i[lo]), np.flatnonzero(own == j[lo]))
 
     spread = dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    return spread.mapInArrow(run, "a long, b long").distinct()
+    links = materialize(spread.mapInArrow(run, "a long, b long, d double").distinct(), "around-links", release=True)
+    discard(members)
+    return links
 
 
-def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs of a row and a column of different components for which neither f, nor sizes, nor bit maps rule a link out."""
+def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, shingles: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of a row and a column; pairs that these links have brought into one component by then are not looked at."""
     if not len(rows) or not len(cols):
         return
+    comp, found = comp.copy(), []
     words = min(min(len(bits[k]) for k in rows), min(len(bits[k]) for k in cols))
 
     def folded(k: int) -> np.ndarray:
-        x = np.asarray(bits[k], dtype=np.int64)
+        x = np.asarray(bits[k], dtype=np.int64).view(U64)  # of a negative number bitwise_count counts the bits of its absolute value
         while len(x) > words:
             x = x[: len(x) // 2] | x[len(x) // 2 :]
         return x
 
-    right = np.stack([folded(k) for k in cols])
+    right, one = np.stack([folded(k) for k in cols]), np.array_equal(rows, cols)
     for k in rows.tolist():
         fit = (comp[cols] != comp[k]) & (f[cols] + f[k] <= 0) & (4 * np.minimum(n[cols], n[k]) >= 3 * np.maximum(n[cols], n[k])) & (node[cols] != node[k])
+        if one:
+            fit &= cols > k
         at = np.flatnonzero(fit)
-        if len(at):
-            differ = np.bitwise_count(right[at] ^ folded(k)).sum(axis=1)
-            at = cols[at[7 * differ <= n[cols[at]] + n[k]]]
-            if len(at):
-                yield batch(a=np.minimum(node[at], node[k]), b=np.maximum(node[at], node[k]))
+        differ = np.bitwise_count(right[at] ^ folded(k)).sum(axis=1)
+        may = 7 * differ <= n[cols[at]] + n[k]
+        for x in cols[at[may][np.argsort(differ[may], kind="stable")]].tolist():  # the likest first
+            if comp[x] != comp[k]:
+                both = len(np.intersect1d(shingles[x], shingles[k], assume_unique=True))
+                union = int(n[x]) + int(n[k]) - both
+                if 100 * both >= 75 * union:
+                    comp[comp == comp[x]] = comp[k]
+                    found.append((*sorted((int(node[x]), int(node[k]))), 1 - both / union))
+    if found:
+        a, b, d = zip(*found, strict=True)
+        yield batch(a=np.array(a, dtype=np.int64), b=np.array(b, dtype=np.int64), d=np.array(d))
 
 
 def map_bit(key: Column, bits: int = MAP_BITS) -> Column:
@@ -776,18 +791,19 @@ def link_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, d) among pairs that make up the components of all their links and of labels, and the labels then.
+    """Links (a, b, d) among pairs (a, b, star) that make up the components of all their links and of labels, and the labels then.
 
     First each node is compared with its first mate, then with a few: members of
     a large group of near copies come into one component by a link each. Of
     the other pairs only those across components are open, and all of these are
-    verified. Few pairs are verified at once.
+    verified. Few pairs are verified at once. Of many, those that only stars
+    give go no further than first mates: they are left to around_centres.
     """
     rest, links = pairs, None
     for mates in (1, 4, None):
         last = mates is None or rest.count() <= AT_ONCE
         if last:
-            now = rest
+            now = rest.select("a", "b")
         elif mates == 1:
             now = materialize(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "mates")
         else:
@@ -801,8 +817,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None) -> tupl
         if last:
             break
         side_a, side_b = (labels.select(F.col("node").alias(x), F.col("comp").alias("comp_" + x)) for x in "ab")
-        across = rest.join(side_a, "a", "left").join(side_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
-        across = materialize(across.select("a", "b").join(now, ["a", "b"], "left_anti"), "across", release=True)
+        across = rest.filter("not star").join(side_a, "a", "left").join(side_b, "b", "left").filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+        across = materialize(across.select("a", "b", "star").join(now, ["a", "b"], "left_anti"), "across", release=True)
         discard(now, *([rest] if rest is not pairs else []))
         rest = across
     if rest is not pairs:
@@ -812,19 +828,19 @@ def _linked(pairs: DataFrame, sets: DataFrame, labels: DataFrame | None) -> tupl
 
 def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFrame, labels: DataFrame | None, parts: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, d) among candidates and around their centres, as many as make up the components with those of labels, and the labels then; known: node, f, comp; labels: of earlier links."""
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs", release=True)
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(F.col("kind") == STAR).alias("star"))
+    pairs = materialize(pairs, "pairs", release=True)
     sets = materialize(needed_sets(rows, nodes, pairs), "sets", release=True)
     links, labels = _linked(pairs, sets, labels)
     discard(pairs)
-    stars = materialize(found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct(), "stars")
+    stars = found.filter(F.col("kind") == STAR).select(F.col("a").alias("centre"), F.col("b").alias("node")).distinct()
+    stars = materialize(stars.union(stars.select("centre", F.col("centre").alias("node"))).distinct(), "stars")
     if stars.isEmpty():
         discard(sets)
         return links, labels
     known = known.join(labels.withColumnRenamed("comp", "now"), "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-    more = materialize(around_centres(stars, known.join(sets.select("node", "n", "bits"), "node"), parts), "around-pairs")
-    around, met = verified(more, sets)
-    around = materialize(around.filter("linked").select("a", "b", "d"), "links", release=True)
-    discard(sets, met)
+    around = around_centres(stars, known.join(sets, "node"), parts)
+    discard(sets)
     return links.union(around).distinct(), components(around, labels)
 
 
