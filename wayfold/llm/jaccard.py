@@ -37,7 +37,7 @@ beside id and text don't matter, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -553,40 +553,46 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: li
         yield kept
 
 
-def around_centres(stars: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+def around_centres(stars: DataFrame, known: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     """Links (a, b, d) around centres, as many as bring members that link into one component.
 
     stars: distinct (centre, node), the centre itself included; known: node,
-    comp, f, n, bits, shingles. The members of a centre are dealt to blocks;
-    each pair of blocks meets in one task, which verifies what bit maps leave
-    open, so that pairs are never rows.
+    comp, f; sets: node, n, bits, shingles. The members of a centre are dealt to
+    blocks, and each pair of blocks meets in one task, so that pairs are never
+    rows: once with bit maps, which tell the members that may link with another,
+    and then these with whole sets.
     """
-    members = materialize(stars.join(known, "node"), "around", release=True)
+    known = known.join(sets.select("node", "n"), "node")
+    members = materialize(stars.join(known, "node"), "around")
+    met = in_blocks(members, sets.select("node", "bits"), ["bits"], open_members, "centre long, node long", parts)
+    members = materialize(met.join(known, "node"), "around-open", release=True)
+    whole = listed(sets, F.xxhash64("node"), members, F.xxhash64("node")).filter("_listed").select("node", "bits", "shingles")
+    return materialize(in_blocks(members, whole, ["bits", "shingles"], compare, "a long, b long, d double", parts), "around-links", release=True)
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, columns: list[str], compared: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+    """Distinct rows that pairs of blocks of a centre's members give. members: centre, node, comp, f, n; sets: node and columns."""
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ELEMENTS)).cast("int")
     open_ = members.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), blocks.alias("blocks")).filter("low <> high").select("centre", "blocks")
     dealt = members.join(materialize(open_, "open"), "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
-    dealt = dealt.select("centre", "node", "comp", "f", "n", "bits", "shingles", "own", F.inline(meet))
+    dealt = dealt.select("centre", "node", "comp", "f", "n", "own", F.inline(meet)).join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", "bits", "shingles"]):
+        for arrays in whole_groups(batches, ["centre", "i", "j"], ["centre", "i", "j", "own", "node", "comp", "f", "n", *columns]):
             centre, i, j = arrays[:3]
             change = np.flatnonzero((centre[1:] != centre[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for lo, hi in zip([0, *change.tolist()], [*change.tolist(), len(centre)], strict=True):
                 own, *values = (x[lo:hi] for x in arrays[3:])
-                yield from compare(*values, np.flatnonzero(own == i[lo]), np.flatnonzero(own == j[lo]))
+                rows, cols = np.flatnonzero(own == i[lo]), np.flatnonzero(own == j[lo])
+                if len(rows) and len(cols):
+                    yield from compared(*values, rows, cols, *([centre[lo]] if compared is open_members else []))
 
-    spread = dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j")
-    links = materialize(spread.mapInArrow(run, "a long, b long, d double").distinct(), "around-links", release=True)
-    discard(members)
-    return links
+    return dealt.repartition(parts, "centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(run, schema).distinct()
 
 
-def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, shingles: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links of a row and a column; pairs that these links have brought into one component by then are not looked at."""
-    if not len(rows) or not len(cols):
-        return
-    comp, found = comp.copy(), []
+def open_mates(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row with the columns of other components for which neither f, nor sizes, nor bit maps rule a link out, the likest first."""
     words = min(min(len(bits[k]) for k in rows), min(len(bits[k]) for k in cols))
 
     def folded(k: int) -> np.ndarray:
@@ -603,7 +609,24 @@ def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bi
         at = np.flatnonzero(fit)
         differ = np.bitwise_count(right[at] ^ folded(k)).sum(axis=1)
         may = 7 * differ <= n[cols[at]] + n[k]
-        for x in cols[at[may][np.argsort(differ[may], kind="stable")]].tolist():  # the likest first
+        yield k, cols[at[may][np.argsort(differ[may], kind="stable")]]
+
+
+def open_members(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, rows: np.ndarray, cols: np.ndarray, centre: int) -> Iterator[pa.RecordBatch]:
+    """(centre, node) of rows and columns that have open mates."""
+    held = np.zeros(len(node), dtype=bool)
+    for k, mates in open_mates(node, comp, f, n, bits, rows, cols):
+        held[mates] = True
+        held[k] |= len(mates) > 0
+    if held.any():
+        yield batch(centre=np.full(held.sum(), centre), node=node[held])
+
+
+def compare(node: np.ndarray, comp: np.ndarray, f: np.ndarray, n: np.ndarray, bits: np.ndarray, shingles: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, d) of a row and a column; pairs that these links have brought into one component by then are not looked at."""
+    comp, found = comp.copy(), []
+    for k, mates in open_mates(node, comp, f, n, bits, rows, cols):
+        for x in mates.tolist():
             if comp[x] != comp[k]:
                 both = len(np.intersect1d(shingles[x], shingles[k], assume_unique=True))
                 union = int(n[x]) + int(n[k]) - both
@@ -839,7 +862,7 @@ def _resolved(found: DataFrame, known: DataFrame, rows: DataFrame, nodes: DataFr
         discard(sets)
         return links, labels
     known = known.join(labels.withColumnRenamed("comp", "now"), "node", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-    around = around_centres(stars, known.join(sets, "node"), parts)
+    around = around_centres(stars, known, sets, parts)
     discard(sets)
     return links.union(around).distinct(), components(around, labels)
 
