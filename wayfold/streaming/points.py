@@ -13,7 +13,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -158,6 +158,12 @@ def advance_all(rows: pd.DataFrame, last: np.ndarray) -> tuple[list[pd.DataFrame
     return out, np.concatenate((last[~seen], now))
 
 
+def named(last: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
+    """Which of the trips (LAST) have events among rows."""
+    ids = [rows[c].fillna(0).astype("int64") for c in ("user_id", "trip_id")]
+    return pd.MultiIndex.from_arrays([last["user_id"], last["trip_id"]]).isin(pd.MultiIndex.from_arrays(ids))
+
+
 def follow_all(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *, ttl_ms: int) -> Iterator[pd.DataFrame]:
     """Features of a bucket's trips as events come; a trip without events is forgotten when the watermark is ttl_ms beyond its last."""
     last = np.frombuffer(bytes(state.get[0]), dtype=LAST) if state.exists else np.empty(0, dtype=LAST)
@@ -166,8 +172,7 @@ def follow_all(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *
     if rows:
         rows = pd.concat(rows)
         if not kept.all():
-            ids = [rows[c].fillna(0).astype("int64") for c in ("user_id", "trip_id")]
-            kept |= pd.MultiIndex.from_arrays([last["user_id"], last["trip_id"]]).isin(pd.MultiIndex.from_arrays(ids))
+            kept |= named(last, rows)
         out, last = advance_all(rows, last[kept])
         yield from out
     else:
@@ -179,6 +184,12 @@ def follow_all(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, *
     state.setTimeoutTimestamp(max(int(last["t"].min() * 1000) + ttl_ms, now + 1))
 
 
+def bucketed(rows: DataFrame, buckets: int) -> GroupedData:
+    """rows by the bucket that their trip is dealt to, those without a user or a trip apart."""
+    keys = {"bucket": F.pmod(F.xxhash64("user_id", "trip_id"), F.lit(buckets)), "no_user": F.col("user_id").isNull(), "no_trip": F.col("trip_id").isNull()}
+    return rows.withColumns(keys).groupBy(*keys)
+
+
 def features(stream: DataFrame, *, late: str = "1 day", ttl: timedelta = timedelta(days=1), buckets: int = BUCKETS) -> DataFrame:
     """Features as they come.
 
@@ -187,8 +198,7 @@ def features(stream: DataFrame, *, late: str = "1 day", ttl: timedelta = timedel
     trip is forgotten once the watermark is `ttl` beyond its last event. Trips
     are dealt to buckets, each with one state and one call a micro-batch.
     """
-    keys = {"bucket": F.pmod(F.xxhash64("user_id", "trip_id"), F.lit(buckets)), "no_user": F.col("user_id").isNull(), "no_trip": F.col("trip_id").isNull()}
-    grouped = stream.withWatermark("event_time", late).withColumns(keys).groupBy(*keys)
+    grouped = bucketed(stream.withWatermark("event_time", late), buckets)
     return grouped.applyInPandasWithState(partial(follow_all, ttl_ms=int(ttl.total_seconds() * 1000)), FEATURES, "trips binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -13,18 +13,24 @@ from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from wayfold.streaming.points import FEATURES, STATE, advance
+from wayfold.streaming.points import FEATURES, LAST, advance_all, bucketed, named
 
-WAITING = "point_index int, event_id bigint, timestamp_unix double, lat double, lon double, speed double, is_moving int, activity string"
-COLUMNS = [c.split()[0] for c in WAITING.split(", ")]
+#: Events that wait. They are kept as bytes of Arrow tables, many to an entry, like the trips of a bucket, since each entry costs a call.
+WAITING = pa.schema({
+    "user_id": pa.int64(), "trip_id": pa.int64(), "point_index": pa.int32(), "event_id": pa.int64(), "timestamp_unix": pa.float64(), "lat": pa.float64(), "lon": pa.float64(), "speed": pa.float64(), "is_moving": pa.int32(), "activity": pa.string(),
+})
+COLUMNS = WAITING.names[2:]
 
 
 def with_rocksdb(spark: SparkSession) -> None:
+    """Batches write what changed of the state; whole copies are written beside them now and then."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 class OneTimer(StatefulProcessor):
@@ -43,26 +49,35 @@ class OneTimer(StatefulProcessor):
 
 
 class TripFeatures(OneTimer):
-    """Features of a trip's events in order of time, from where an initial state left off; a trip is forgotten ttl after its last event."""
+    """Features of a bucket's trips, each in order of time, from where an initial state left off; a trip is forgotten ttl after its last event, unless more of it wait."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last, self.waiting = handle, handle.getValueState("last", STATE), handle.getListState("waiting", WAITING)
+        self.handle, self.last, self.waiting = handle, handle.getValueState("last", "trips binary"), handle.getListState("waiting", "block binary")
+
+    def trips(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.last.get()[0]), dtype=LAST) if self.last.exists() else np.empty(0, dtype=LAST)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[-1]
-        self.last.update((float(row["t"]), float(row["lat"]), float(row["lon"]), None if pd.isna(row["speed"]) else float(row["speed"]), int(row["n"]), bool(row["stopped"]), float(row["run"])))
-        self.wake(int(row["t"] * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs())
+        """A part of the bucket's trips: there may be several calls."""
+        more = np.empty(len(initialState), dtype=LAST)
+        for c in LAST.names:
+            more[c] = initialState[c] if LAST[c].kind == "f" else initialState[c].fillna(0)
+        last = np.concatenate((self.trips(), more))
+        last = last[~pd.DataFrame({c: last[c] for c in ("user_id", "trip_id")}).duplicated(keep="last").to_numpy()]
+        self.last.update((last.tobytes(),))
+        self.wake(int(last["t"].min() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows))[COLUMNS]
-        self.waiting.appendList(list(rows.astype(object).where(rows.notna(), None).itertuples(index=False, name=None)))
+        rows = pd.concat(list(rows)).reindex(columns=[*WAITING.names, "no_event"])
+        rows["event_id"] = rows["event_id"].astype("Int64").mask(rows["no_event"].eq(True))
+        append(self.waiting, packed(rows))
         first, now = float(rows["timestamp_unix"].min()) * 1000, timerValues.getCurrentWatermarkInMs()
         if first <= now:
             yield from self.told(key, timerValues)
-        else:  # nothing to tell: what is kept needn't be read, each call on it costs more than a row
+        else:  # nothing to tell: what is kept needn't be read
             timers = list(self.handle.listTimers())
             if not timers or min(timers) > first:
                 self.stand(timers, int(np.ceil(first)), now)
@@ -72,22 +87,22 @@ class TripFeatures(OneTimer):
 
     def told(self, key: tuple, timer) -> Iterator[pd.DataFrame]:
         now = timer.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[2] * 1000 <= now], [r for r in rows if r[2] * 1000 > now]
-        last = self.last.get() if self.last.exists() else None
-        if ready:
-            frame = pd.DataFrame(ready, columns=COLUMNS)
-            found, last = advance(key, frame.assign(speed=frame["speed"].astype(float)), last)
+        rows, last = unpacked(self.waiting), self.trips()
+        is_ready = (rows["timestamp_unix"] * 1000 <= now).to_numpy()
+        rest, before = rows[~is_ready], len(last)
+        if is_ready.any():
+            found, last = advance_all(rows[is_ready], last)
             yield from found
-            self.last.update(last)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.wake(int(np.ceil(min(r[2] for r in rest) * 1000)), now)
-        elif last is not None and last[0] * 1000 + self.ttl_ms <= now:
+            self.waiting.put(packed(rest)) if len(rest) else self.waiting.clear()
+        waits = named(last, rest)
+        kept = waits | (last["t"] * 1000 + self.ttl_ms > now)
+        due = [int(np.ceil(rest["timestamp_unix"].min() * 1000))] if len(rest) else []
+        due += [int(t * 1000) + self.ttl_ms for t in [last["t"][kept & ~waits].min(initial=np.inf)] if t < np.inf]
+        if not kept.any():
             self.last.clear()
-            self.wake(None, now)
-        elif last is not None:
-            self.wake(int(last[0] * 1000) + self.ttl_ms, now)
+        elif is_ready.any() or kept.sum() < before:
+            self.last.update((last[kept].tobytes(),))
+        self.wake(min(due, default=None), now)
 
 
 def last_seen(features: DataFrame) -> DataFrame:
@@ -98,15 +113,18 @@ def last_seen(features: DataFrame) -> DataFrame:
     return last.select("user_id", "trip_id", "l.t", "l.lat", "l.lon", "l.speed", "n", "l.stopped", "l.run")
 
 
-def features(stream: DataFrame, *, start: DataFrame | None = None, late: str = "1 day", ttl: timedelta = timedelta(days=1)) -> DataFrame:
+def features(stream: DataFrame, *, start: DataFrame | None = None, late: str = "1 day", ttl: timedelta = timedelta(days=1), buckets: int = 256) -> DataFrame:
     """Features of every event, told when the watermark (`late` behind the newest event) has passed it: those of the batch, in whatever order events come.
 
     start: where trips stand already (last_seen of a batch). Events older than
     the watermark are left out; ones older than their trip's start are marked late.
+    Trips are dealt to buckets, each with one state and one timer.
     """
     with_rocksdb(stream.sparkSession)
-    grouped = stream.withWatermark("event_time", late).groupBy("user_id", "trip_id")
-    begun = None if start is None else start.groupBy("user_id", "trip_id")
+    # an id that is null would make the others of its batch inexact doubles in pandas
+    events = stream.withWatermark("event_time", late).withColumns({"no_event": F.col("event_id").isNull(), "event_id": F.coalesce("event_id", F.lit(0))})
+    grouped = bucketed(events, buckets)
+    begun = None if start is None else bucketed(start, buckets)
     return grouped.transformWithStateInPandas(TripFeatures(int(ttl.total_seconds() * 1000)), FEATURES, "append", "EventTime", begun)
 
 
@@ -164,6 +182,22 @@ def blocks(rows: pd.DataFrame | np.ndarray, kind: np.dtype) -> list[tuple[bytes]
     return [(out[i : i + BLOCK].tobytes(),) for i in range(0, len(out), BLOCK)]
 
 
+def packed(rows: pd.DataFrame) -> list[tuple[bytes]]:
+    table = pa.Table.from_pandas(rows, schema=WAITING, preserve_index=False).replace_schema_metadata()
+    out = []
+    for i in range(0, len(rows), BLOCK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table.slice(i, BLOCK))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def unpacked(state) -> pd.DataFrame:
+    found = [pa.ipc.open_stream(bytes(r[0])).read_all() for r in state.get()] if state.exists() else []
+    return pa.concat_tables([WAITING.empty_table(), *found]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+
 def append(state, entries: list[tuple[bytes]]) -> None:
     if entries:
         state.appendList(entries)
